@@ -104,7 +104,7 @@ def q_normalize_epoch_s(spark, sf):
 
 def q_display_timezone(spark, sf):
     a = _an(spark, sf, "named", timezone=TZ)
-    return _norm(a.profiles.select("user_id", "first_seen", "last_seen"))
+    return _norm(a.core_profiles.select("user_id", "first_seen", "last_seen"))
 
 
 def q_resolve_schema_alias(spark, sf):
@@ -205,7 +205,7 @@ def q_family_registry(spark, sf):
 
 def q_family_counts(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(a.profiles.select("user_id", F.explode("family_counts").alias("family", "count")))
+    return _norm(a.core_profiles.select("user_id", F.explode("family_counts").alias("family", "count")))
 
 
 # --------------------------------------------------------------------------- SS
@@ -259,12 +259,12 @@ def q_timeline_cap(spark, sf):
 
 def q_user_totals(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(a.profiles.select("user_id", "events", "sessions", "first_seen", "last_seen"))
+    return _norm(a.core_profiles.select("user_id", "events", "sessions", "first_seen", "last_seen"))
 
 
 def q_user_cap(spark, sf):
     a = _an(spark, sf, "named", max_users=100)
-    return _norm(a.profiles.select("user_id", "events", "sessions"))
+    return _norm(a.core_profiles.select("user_id", "events", "sessions"))
 
 
 def q_flat_timeline(spark, sf):
@@ -274,7 +274,7 @@ def q_flat_timeline(spark, sf):
 
 def q_run_summary(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(P.run_summary(a.events, a.profiles).select("events", "users", "sessions"))
+    return _norm(P.run_summary(a.events, a.core_profiles).select("events", "users", "sessions"))
 
 
 def q_top_events(spark, sf):
@@ -286,12 +286,12 @@ def q_top_events(spark, sf):
 
 def q_recency(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(INS.recency(a.profiles, AS_OF))
+    return _norm(INS.recency(a.core_profiles, AS_OF))
 
 
 def q_longest_gap(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(INS.longest_gap(a.sessions, a.profiles))
+    return _norm(INS.longest_gap(a.sessions, a.core_profiles))
 
 
 def q_power_score(spark, sf):
@@ -301,7 +301,7 @@ def q_power_score(spark, sf):
 
 def q_top_families(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(INS.top_families(a.profiles))
+    return _norm(INS.top_families(a.core_profiles))
 
 
 def q_stuck_signals(spark, sf):
@@ -311,7 +311,7 @@ def q_stuck_signals(spark, sf):
 
 def q_family_first_seen(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(INS.family_first_seen(a.profiles))
+    return _norm(INS.family_first_seen(a.core_profiles))
 
 
 # --------------------------------------------------------------------------- Q
@@ -460,12 +460,12 @@ def q_next_event_step(spark, sf):
 
 def q_composition(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(FL.composition(a.profiles).withColumn("share", F.bround("share", 9)))
+    return _norm(FL.composition(a.core_profiles).withColumn("share", F.bround("share", 9)))
 
 
 def q_cohort_index(spark, sf):
     a = _an(spark, sf, "named")
-    out = FL.cohort_index(a.profiles)
+    out = FL.cohort_index(a.core_profiles)
     return _norm(out.select("user_id", "family", *[F.bround(c, 6).alias(c) for c in ("share", "mean_share", "index")]))
 
 

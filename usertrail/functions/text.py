@@ -1,4 +1,9 @@
-"""Event-name tokenisation (F1): split on separators, lower-case, drop empties."""
+"""Event-name tokenisation (F1): split on separators, lower-case, drop empties.
+
+``first_token`` / ``last_token`` use ``regexp_extract`` (code-generated)
+rather than ``filter(split(...))``, whose lambda would drop the projection
+out of whole-stage codegen.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +12,19 @@ from pyspark.sql import functions as F
 
 from usertrail.constants import TOKEN_SPLIT_PATTERN
 
+_SEP = "_.\\-: "  # the separator class of TOKEN_SPLIT_PATTERN, without brackets/quantifier
+
 
 def tokens(name: Column) -> Column:
+    """All non-empty tokens (array), for callers that need every token."""
     return F.filter(F.split(F.lower(name), TOKEN_SPLIT_PATTERN), lambda t: t != F.lit(""))
 
 
 def last_token(name: Column) -> Column:
-    toks = tokens(name)
-    return F.when(F.size(toks) > 0, F.element_at(toks, -1))
+    tok = F.regexp_extract(F.lower(name), f"([^{_SEP}]+)[{_SEP}]*$", 1)
+    return F.when(tok != F.lit(""), tok)
 
 
 def first_token(name: Column) -> Column:
-    toks = tokens(name)
-    return F.when(F.size(toks) > 0, F.element_at(toks, 1))
+    tok = F.regexp_extract(F.lower(name), f"^[{_SEP}]*([^{_SEP}]+)", 1)
+    return F.when(tok != F.lit(""), tok)

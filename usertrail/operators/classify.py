@@ -37,6 +37,7 @@ class Classification:
     constant_per_user: dict[str, bool] = field(default_factory=dict)
     max_cardinality: int = 0
     n_users: int = 0
+    n_rows: int = 0
 
     def rows(self) -> list[tuple[str, int, str]]:
         out = []
@@ -69,7 +70,8 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
                      n_rows: int | None = None) -> Classification:
     extras = list(extras)
     if not extras:
-        return Classification((), (), ())
+        n = n_rows if n_rows is not None else events.count()
+        return Classification((), (), (), n_rows=n)
     dtypes = {f.name: f.dataType for f in events.schema.fields}
 
     # Job A: estimates, null flags and the row count.
@@ -122,7 +124,7 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
             attrs.append(c)            # C4 + C5
         else:
             props.append(c)
-    return Classification(tuple(attrs), tuple(props), tuple(skipped), n_unique, constant, cap, n_users)
+    return Classification(tuple(attrs), tuple(props), tuple(skipped), n_unique, constant, cap, n_users, rows)
 
 
 def first_attr_value(c: str, dtype: T.DataType | None = None) -> Column:

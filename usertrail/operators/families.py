@@ -1,11 +1,19 @@
 """Event families.
 
-Families depend only on the ``(event_name, count)`` table.  Two small jobs
-(a row count and one aggregate over the column-pruned name counts) bring back
-a *provably bounded* result: the verb families present (at most 7) and the
-qualifying prefixes (each needs a share >= 0.5 % of all rows, so at most 200).
-The assignment is then a pure column expression -- no join against the
-events, no shuffle, stays inside whole-stage codegen.
+Families depend only on the ``(event_name, count)`` table.  One aggregate
+job over the column-pruned name counts (plus the row count, usually shared
+with the classification job) brings back a *provably bounded* result: the
+verb families present (at most 7), the qualifying prefixes (each needs a
+share >= 0.5 % of all rows, so at most 200) and the number of distinct names.
+
+Applying the assignment to events has two strategies, chosen on that checked
+name count:
+
+* few names (<= ``BROADCAST_MAX_NAMES``): the per-name dimension
+  ``(event_name, family)`` is computed by Spark from the events and joined
+  with a broadcast hash join -- one hash probe per event;
+* otherwise: the assignment is evaluated as a column expression per event
+  (regex tokenising + literal map), which needs no join and no broadcast.
 """
 
 from __future__ import annotations
@@ -27,6 +35,10 @@ from usertrail.constants import (
 )
 from usertrail.functions.text import first_token, last_token
 
+# Largest name dimension we broadcast (the count is checked by plan_families);
+# ~200k short strings is a few MB per executor.
+BROADCAST_MAX_NAMES = 200_000
+
 
 def verb_family(name: Column) -> Column:
     """family from the verb-like last token, null when no entry matches."""
@@ -42,6 +54,7 @@ class FamilyPlan:
     prefixes: tuple[str, ...]      # qualifying first-token prefixes (<= 200)
     has_other: bool
     disabled: bool = False
+    n_names: int = 0               # distinct non-null event names (checked size)
 
     def family(self, name: Column) -> Column:
         """F3/F4/F6/F7 as one expression over the event name."""
@@ -54,6 +67,21 @@ class FamilyPlan:
         )
         return F.when(candidate.isin(*self.kept), candidate).otherwise(F.lit(OTHER_FAMILY))
 
+    def apply(self, df: DataFrame, names: DataFrame | None = None, col: str = "family") -> DataFrame:
+        """Add the family column to ``df``.
+
+        ``names`` is a DataFrame holding the event-name column the dimension
+        is derived from (normally the events themselves).
+        """
+        if self.disabled or not self.kept:
+            return df.withColumn(col, F.lit(OTHER_FAMILY))
+        if names is not None and self.n_names <= BROADCAST_MAX_NAMES:
+            dim = (names.select("event_name").where(F.col("event_name").isNotNull()).distinct()
+                   .select("event_name", self.family(F.col("event_name")).alias("_fam")))
+            out = df.join(F.broadcast(dim), "event_name", "left")
+            return out.withColumn(col, F.coalesce(F.col("_fam"), F.lit(OTHER_FAMILY))).drop("_fam")
+        return df.withColumn(col, self.family(F.col("event_name")))
+
     def registry_rows(self) -> list[tuple[str, str, int, str, str, str]]:
         """(family, label, slot, color, bg, fg); slot from a stable CRC32."""
         import zlib
@@ -100,13 +128,14 @@ def plan_families(events: DataFrame, *, no_families: bool = False,
         F.collect_set(F.when(F.col("g").startswith("v:"), F.substring("g", 3, 1 << 20))).alias("verbs"),
         F.collect_set(F.when(qualifies, F.substring("g", 3, 1 << 20))).alias("prefixes"),
         F.max((F.col("g") == "x") | (is_prefix & ~qualifies)).alias("unmatched"),
+        F.sum("d").alias("n_names"),
     ).first()
     verbs = set(row["verbs"] or [])
     prefixes = sorted(row["prefixes"] or [])
     named = sorted(verbs | set(prefixes))
     kept = tuple(named[:MAX_FAMILIES])
     has_other = bool(row["unmatched"]) or len(named) > MAX_FAMILIES
-    return FamilyPlan(kept, tuple(prefixes), has_other)
+    return FamilyPlan(kept, tuple(prefixes), has_other, n_names=int(row["n_names"] or 0))
 
 
 def event_family_dim(events: DataFrame, plan: FamilyPlan) -> DataFrame:

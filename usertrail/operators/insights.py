@@ -98,9 +98,9 @@ def family_first_seen(profiles: DataFrame, tz: str | None = None) -> DataFrame:
 
 def runs(tl: DataFrame) -> DataFrame:
     """Runs of identical consecutive names inside a session (map-side combined)."""
-    return tl.groupBy("user_id", "run_no").agg(
-        F.min("event_name").alias("event_name"),
-        F.min("session_id").alias("session_id"),
+    # name and session are constant within a run: grouping keys, not string
+    # aggregates, so the aggregation stays hash-based
+    return tl.groupBy("user_id", "run_no", "event_name", "session_id").agg(
         F.min("pos").alias("start_pos"),
         F.count(F.lit(1)).alias("length"),
     )

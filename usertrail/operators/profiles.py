@@ -23,12 +23,13 @@ def _fam_key(i: int) -> str:
     return f"_f{i}"
 
 
-def user_profile(tl: DataFrame, families: Sequence[str], attrs: Sequence[str] = (),
-                 tz: str | None = None) -> DataFrame:
-    """U1/U2/U4 (+ the per-family inputs of I5 and I7).
+def user_profile(tl: DataFrame, families: Sequence[str], tz: str | None = None) -> DataFrame:
+    """U1/U2/U4 core (+ the per-family inputs of I5 and I7), no attributes.
 
     ``tl`` is the timeline with a ``family`` column.  ``families`` is the
     bounded list of possible family values (kept families + ``other``).
+    All aggregates have fixed-width buffers, so Spark uses hash aggregation
+    with map-side partial aggregation.
     """
     fams = list(dict.fromkeys(list(families) + [OTHER_FAMILY]))
     aggs: list[Column] = [
@@ -44,8 +45,6 @@ def user_profile(tl: DataFrame, families: Sequence[str], attrs: Sequence[str] =
             F.min(F.when(hit, F.col("pos"))).alias(f"{_fam_key(i)}_p"),
             F.min(F.when(hit, F.col("ts"))).alias(f"{_fam_key(i)}_t"),
         ]
-    for j, a in enumerate(attrs):
-        aggs.append(first_attr_value(a).alias(f"_a{j}"))
     g = tl.groupBy("user_id").agg(*aggs)
 
     stats = F.filter(
@@ -57,17 +56,34 @@ def user_profile(tl: DataFrame, families: Sequence[str], attrs: Sequence[str] =
         lambda s: s["count"] > 0,
     )
     counts = F.map_from_entries(F.transform(stats, lambda s: F.struct(s["family"], s["count"])))
-    attr_values = {a: F.col(f"_a{j}") for j, a in enumerate(attrs)}
     return g.select(
         "user_id", "events", "sessions", "first_ts", "last_ts",
         fmt_ts(F.col("first_ts"), tz).alias("first_seen"),
         fmt_ts(F.col("last_ts"), tz).alias("last_seen"),
         counts.alias("family_counts"),
         stats.alias("family_stats"),
-        attrs_map(attr_values).alias("attrs"),
     )
 
 
+def user_attributes(events: DataFrame, attrs: Sequence[str]) -> DataFrame:
+    """Per-user attribute map (first non-null value in time order).
+
+    Kept apart from ``user_profile``: string-valued ``min_by`` buffers force
+    sort-based aggregation, which should not drag the wide numeric profile
+    aggregation along.  Both sides are hash-partitioned on ``user_id``, so
+    joining them adds no shuffle.
+    """
+    ev = events.where(F.col("user_id").isNotNull())
+    g = ev.groupBy("user_id").agg(*[first_attr_value(a).alias(f"_a{j}") for j, a in enumerate(attrs)])
+    return g.select("user_id", attrs_map({a: F.col(f"_a{j}") for j, a in enumerate(attrs)}).alias("attrs"))
+
+
+def with_attributes(core: DataFrame, attributes: DataFrame | None) -> DataFrame:
+    if attributes is None:
+        return core.withColumn("attrs", F.create_map().cast("map<string,string>"))
+    return core.join(attributes, "user_id", "inner")
+
+
 def cap_users(events: DataFrame, max_users: int | None) -> DataFrame:
     """Keep the first ``max_users`` users by string user id.
 

@@ -174,11 +174,19 @@ def with_runs(tl: DataFrame) -> DataFrame:
     return out.drop("_r", "_ro")
 
 
-def sessions_table(tl: DataFrame) -> DataFrame:
-    """SS3/SS5: one row per session (start = first known time in it, D11)."""
-    return tl.groupBy("user_id", "session_no").agg(
-        F.min("session_id").alias("session_id"),
+def sessions_table(tl: DataFrame, by_column: bool = False) -> DataFrame:
+    """SS3/SS5: one row per session (start = first known time in it, D11).
+
+    Only fixed-width aggregates (hash aggregation); the gap-mode session id is
+    rebuilt from the keys, a column-mode id is constant per session so it is a
+    grouping key rather than a (sort-based) string aggregate.
+    """
+    keys = ["user_id", "session_no"] + (["session_id"] if by_column else [])
+    out = tl.groupBy(*keys).agg(
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
         F.count(F.lit(1)).alias("n_events"),
     )
+    if not by_column:
+        out = out.withColumn("session_id", F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string")))
+    return out

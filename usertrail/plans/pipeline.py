@@ -67,6 +67,9 @@ class Analysis:
 
     @cached_property
     def n_events(self) -> int:
+        # reuse the classification job's row count when it already ran
+        if "classification" in self.__dict__:
+            return self.classification.n_rows
         return self.events.count()
 
     @cached_property
@@ -76,7 +79,8 @@ class Analysis:
 
     @cached_property
     def classification(self) -> C.Classification:
-        return C.classify_columns(self.events, self.schema.extras, n_rows=self.n_events)
+        known = self.__dict__.get("n_events")
+        return C.classify_columns(self.events, self.schema.extras, n_rows=known)
 
     @property
     def families(self) -> list[str]:
@@ -91,11 +95,10 @@ class Analysis:
         return P.cap_users(self.events, self.options.max_users)
 
     def timeline(self, *, with_props: bool = False, with_family: bool = True) -> DataFrame:
-        by_col = bool(self.schema.session_id) and self.options.use_session_column
         tl = timeline(self.capped_events, gap_minutes=self.options.session_gap_minutes,
-                      by_column=by_col, bucket_seconds=self.options.bucket_seconds)
+                      by_column=self.by_column, bucket_seconds=self.options.bucket_seconds)
         if with_family:
-            tl = tl.withColumn("family", self.family_of(F.col("event_name")))
+            tl = self.family_plan.apply(tl, names=self.capped_events)
         if with_props:
             tl = tl.withColumn("props", C.props_map(self.classification.props))
         return tl
@@ -104,21 +107,36 @@ class Analysis:
     def tl(self) -> DataFrame:
         return self.timeline()
 
+    @property
+    def by_column(self) -> bool:
+        return bool(self.schema.session_id) and self.options.use_session_column
+
     @cached_property
     def sessions(self) -> DataFrame:
-        return sessions_table(self.timeline(with_family=False))
+        return sessions_table(self.timeline(with_family=False), by_column=self.by_column)
+
+    @cached_property
+    def core_profiles(self) -> DataFrame:
+        """Profiles without attributes (no classification job needed)."""
+        return P.user_profile(self.tl, self.families, tz=self.options.timezone)
+
+    @cached_property
+    def attributes(self) -> DataFrame | None:
+        attrs = self.classification.attrs
+        return P.user_attributes(self.capped_events, attrs) if attrs else None
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return P.user_profile(self.tl, self.families, self.classification.attrs
-                              if self.schema.extras else (), tz=self.options.timezone)
+        """Core profiles plus the ``attrs`` map (runs the classification first)."""
+        attributes = self.attributes
+        return P.with_attributes(self.core_profiles, attributes)
 
     def profiles_without_attrs(self) -> DataFrame:
-        return P.user_profile(self.tl, self.families, (), tz=self.options.timezone)
+        return self.core_profiles
 
     @cached_property
     def power(self) -> DataFrame:
-        return INS.power_scores(self.profiles)
+        return INS.power_scores(self.core_profiles)
 
     def top_events(self, n: int = 50) -> DataFrame:
         return P.top_events(self.events, self.family_of, n)
@@ -126,6 +144,9 @@ class Analysis:
     def event_family_dim(self) -> DataFrame:
         return FAM.event_family_dim(self.events, self.family_plan)
 
+    def with_family(self, df: DataFrame) -> DataFrame:
+        return self.family_plan.apply(df, names=self.events)
+
 
 def analyze(spark: SparkSession, source: str | DataFrame, options: Options | None = None,
             **kw) -> Analysis:

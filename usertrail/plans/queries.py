@@ -64,6 +64,11 @@ def id_filter(df: DataFrame, ids: Sequence[str] | DataFrame, col: str = "user_id
     return df.where(F.col(col).isin([str(i) for i in ids]))
 
 
+def _prof(a: Analysis, flt: Mapping[str, str]) -> DataFrame:
+    """Profiles with attributes only when an attribute filter needs them."""
+    return a.profiles if flt else a.core_profiles
+
+
 def _order(sort_by: str) -> list[Column]:
     key = SORT_KEYS.get(sort_by, "events")
     primary = F.col(key).asc() if sort_by == "first_seen" else F.col(key).desc()
@@ -152,7 +157,7 @@ def user_event_ranking(a: Analysis, tl: DataFrame | None = None) -> DataFrame:
 # ---- Q4 ----------------------------------------------------------------------
 def taxonomy(a: Analysis, n: int = 50) -> tuple[DataFrame, DataFrame]:
     """Q4: top events with pct of all user events; families; totals."""
-    totals = a.profiles.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
+    totals = a.core_profiles.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
                             F.count(F.lit(1)).alias("total_users"))
     top = a.top_events(n)
     joined = P._one_row_join(top, totals)
@@ -173,7 +178,7 @@ class Cohort:
 def cohort(a: Analysis, filters: str | Mapping[str, object] | None = None,
            top_events_n: int = 20, power_n: int = 10) -> Cohort:
     flt = parse_filters(filters)
-    prof = a.profiles
+    prof = _prof(a, flt)
     members = prof.where(attr_predicate(flt)) if flt else prof
     summary = P._one_row_join(
         prof.agg(F.count(F.lit(1)).alias("total_users")),
@@ -243,7 +248,7 @@ def quick_report(a: Analysis, filters: str | Mapping[str, object] | None = None,
                  n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Q8: (top users by events, top events, totals) for the filtered users."""
     flt = parse_filters(filters)
-    prof = a.profiles
+    prof = _prof(a, flt)
     chosen = prof.where(attr_predicate(flt)) if flt else prof
     top_users = chosen.orderBy(F.col("events").desc(), F.col("user_id").asc()).limit(n) \
         .select("user_id", "events", "sessions")
