@@ -465,7 +465,7 @@ def q_composition(spark, sf):
 
 def q_cohort_index(spark, sf):
     a = _an(spark, sf, "named")
-    out = FL.cohort_index(a.core_profiles)
+    out = FL.cohort_index(a.core_profiles, a.n_users)
     return _norm(out.select("user_id", "family", *[F.bround(c, 6).alias(c) for c in ("share", "mean_share", "index")]))
 
 

@@ -87,16 +87,15 @@ def composition(profiles: DataFrame) -> DataFrame:
     return out.select("user_id", "family", "n", (F.col("n") / F.col("events")).alias("share"))
 
 
-def cohort_index(profiles: DataFrame) -> DataFrame:
+def cohort_index(profiles: DataFrame, n_users: int | None = None) -> DataFrame:
     """V8: user share / mean share over all users (absent family counts as 0).
 
-    The per-family means are one row per family (at most 13), broadcast.
+    The per-family means are one row per family (at most 13), broadcast; the
+    user count is one scalar.
     """
     comp = composition(profiles)
-    n_users = profiles.agg(F.count(F.lit(1)).alias("n_users"))
-    means = comp.groupBy("family").agg(F.sum("share").alias("share_sum"))
-    means = means.withColumn("_k", F.lit(1)).join(F.broadcast(n_users.withColumn("_k", F.lit(1))), "_k") \
-        .select("family", (F.col("share_sum") / F.col("n_users")).alias("mean_share"))
+    n = n_users if n_users is not None else profiles.count()
+    means = comp.groupBy("family").agg((F.sum("share") / F.lit(max(n, 1))).alias("mean_share"))
     return comp.join(F.broadcast(means), "family").select(
         "user_id", "family", "share", "mean_share", (F.col("share") / F.col("mean_share")).alias("index"))
 

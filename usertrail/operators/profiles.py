@@ -125,17 +125,17 @@ def session_events(tl: DataFrame, tz: str | None = None) -> DataFrame:
 
 
 def run_summary(events: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Totals. Events count every row (null users too); users/sessions the profiles."""
+    """Totals. Events count every row (null users too); users/sessions the profiles.
+
+    Two one-row aggregates computed as scalars and returned as one row.
+    """
     ev = events.agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("user_id").isNull()).alias("null_user_events"),
         F.count_if(F.col("ts").isNull()).alias("null_ts_events"),
-    )
+    ).first()
     pr = profiles.agg(F.count(F.lit(1)).alias("users"),
-                      F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))
-    return _one_row_join(ev, pr)
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two single-row aggregates side by side (equi-join on a constant)."""
-    return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
+                      F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions")).first()
+    return events.sparkSession.createDataFrame(
+        [(ev["events"], ev["null_user_events"], ev["null_ts_events"], pr["users"], pr["sessions"])],
+        "events long, null_user_events long, null_ts_events long, users long, sessions long")

@@ -62,20 +62,49 @@ def timeline(events: DataFrame, *, gap_minutes: int = 30, by_column: bool = Fals
     """
     if by_column:
         return _column_timeline(events, bucket_seconds)
+    gap_us, width = _gap_width(gap_minutes, bucket_seconds)
+    ev = _with_bucket(events, width)
+    summ = _bucket_summary(ev, gap_us).select("user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po")
+
+    # Stitch: the only shuffle of event rows is on (user_id, bucket).
+    out = ev.join(summ, ["user_id", "bucket"], "inner")
+    w = Window.partitionBy("user_id", "bucket").orderBy("ts_key", "ord")
+    out = out.withColumns({
+        "_rn": F.row_number().over(w),
+        "_pk": F.lag("ts_key").over(w),
+        "_pn": F.lag("event_name").over(w),
+    })
+    first = F.col("_rn") == 1
+    out = out.withColumns({
+        "pos": F.col("_po") + F.col("_rn"),
+        "session_no": F.col("_sno"),
+        "is_start": first & F.col("_fst"),
+        "prev_name": F.when(first, F.col("_pln")).otherwise(F.col("_pn")),
+        "prev_ts_key": F.when(first, F.col("_plk")).otherwise(F.col("_pk")),
+    }).withColumn("session_id", F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string")))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def _gap_width(gap_minutes: int, bucket_seconds: int) -> tuple[int, int]:
     gap_us = int(gap_minutes) * 60 * 1_000_000
-    width = min(int(bucket_seconds) * 1_000_000, gap_us) if gap_us > 0 else int(bucket_seconds) * 1_000_000
     if gap_us <= 0:
         raise ValueError("session gap must be positive")
-    ev = _with_bucket(events, width)
+    return gap_us, min(int(bucket_seconds) * 1_000_000, gap_us)
 
-    # Level 1: per (user, bucket) summary -- map-side combinable aggregates.
+
+def _bucket_summary(ev: DataFrame, gap_us: int) -> DataFrame:
+    """Per (user, bucket): counts, first/last time, session flags and offsets.
+
+    Level 1 is a map-side combinable aggregate; level 2 a window over the
+    (few) non-empty buckets of each user.
+    """
     summ = ev.groupBy("user_id", "bucket").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("ts_key").alias("_fk"),
         F.max("ts_key").alias("_lk"),
+        F.min(F.when(F.col("ts_key") != F.lit(NULL_TS_KEY), F.col("ts_key"))).alias("_fkn"),
         F.max_by("event_name", F.struct("ts_key", "ord")).alias("_lnm"),
     )
-    # Level 2: offsets over a user's buckets (one row per non-empty bucket).
     w2 = Window.partitionBy("user_id").orderBy("bucket")
     summ = summ.withColumns({
         "_plk": F.lag("_lk").over(w2),
@@ -83,28 +112,36 @@ def timeline(events: DataFrame, *, gap_minutes: int = 30, by_column: bool = Fals
         "_first": F.row_number().over(w2) == 1,
     })
     summ = summ.withColumn("_fst", F.col("_first") | _gap_start(F.col("_fk"), F.col("_plk"), gap_us))
-    summ = summ.withColumns({
+    return summ.withColumns({
         "_sno": F.sum(F.col("_fst").cast("long")).over(w2.rowsBetween(Window.unboundedPreceding, 0)),
         "_po": F.coalesce(F.sum("_n").over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    }).select("user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po")
-
-    # Stitch: the only shuffle of event rows is on (user_id, bucket).
-    out = ev.join(summ, ["user_id", "bucket"], "inner")
-    w = Window.partitionBy("user_id", "bucket").orderBy("ts_key", "ord")
-    out = out.withColumns({
-        "_rn": F.row_number().over(w),
-        "_pk": F.lag("ts_key").over(w),
-        "_pn": F.lag("event_name").over(w),
     })
-    first = F.col("_rn") == 1
-    out = out.withColumns({
-        "pos": F.col("_po") + F.col("_rn"),
-        "session_no": F.col("_sno"),
-        "is_start": first & F.col("_fst"),
-        "prev_name": F.when(first, F.col("_pln")).otherwise(F.col("_pn")),
-        "prev_ts_key": F.when(first, F.col("_plk")).otherwise(F.col("_pk")),
-    }).withColumn("session_id", F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string")))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def session_summary(events: DataFrame, *, gap_minutes: int = 30,
+                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """SS3/SS5 for gap sessions straight from the bucket summary.
+
+    Sessions only start on a bucket's first row, so a session is a run of
+    consecutive buckets: start/end/size come from per-bucket aggregates and
+    no event row is shuffled at all (only the map-side pre-aggregated
+    summary).  Same columns as ``sessions_table``.
+    """
+    gap_us, width = _gap_width(gap_minutes, bucket_seconds)
+    summ = _bucket_summary(_with_bucket(events, width), gap_us)
+    real_last = F.when(F.col("_lk") != F.lit(NULL_TS_KEY), F.col("_lk"))
+    out = summ.groupBy("user_id", F.col("_sno").alias("session_no")).agg(
+        F.min("_fkn").alias("_start"),
+        F.max(real_last).alias("_end"),
+        F.sum("_n").alias("n_events"),
+    )
+    return out.select(
+        "user_id", "session_no",
+        F.timestamp_micros(F.col("_start")).alias("start_ts"),
+        F.timestamp_micros(F.col("_end")).alias("end_ts"),
+        "n_events",
+        F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string")).alias("session_id"),
+    )
 
 
 def _column_timeline(events: DataFrame, bucket_seconds: int) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.config import prepare
+from usertrail.config import ensure_checkpoint_dir, prepare
 from usertrail.constants import DEFAULT_SESSION_GAP_MINUTES, OTHER_FAMILY
 from usertrail.operators import classify as C
 from usertrail.operators import families as FAM
@@ -26,7 +26,7 @@ from usertrail.operators import insights as INS
 from usertrail.operators import profiles as P
 from usertrail.operators.normalize import normalize
 from usertrail.operators.resolve import SniffedSchema, resolve_schema
-from usertrail.operators.timeline import DEFAULT_BUCKET_SECONDS, sessions_table, timeline
+from usertrail.operators.timeline import DEFAULT_BUCKET_SECONDS, session_summary, sessions_table, timeline
 from usertrail.sources.reader import read_events
 
 
@@ -44,6 +44,12 @@ class Options:
     timezone: str | None = None
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS
     use_session_column: bool = True
+    # Materialise the per-user gold tables (profiles, attributes, power
+    # scores, user x event counts) once with ``checkpoint()`` into the shared
+    # ``spark.checkpoint.dir``: later queries read users, not events, and the
+    # lineage back to the raw events is cut (an executor loss does not
+    # recompute the sessionisation).
+    materialize: bool = True
 
 
 @dataclass
@@ -90,6 +96,12 @@ class Analysis:
         return self.family_plan.family(name_col)
 
     # ---- tables ------------------------------------------------------------
+    def _gold(self, df: DataFrame) -> DataFrame:
+        if not self.options.materialize:
+            return df
+        ensure_checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
     @cached_property
     def capped_events(self) -> DataFrame:
         return P.cap_users(self.events, self.options.max_users)
@@ -113,17 +125,21 @@ class Analysis:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return sessions_table(self.timeline(with_family=False), by_column=self.by_column)
+        if self.by_column:
+            return sessions_table(self.timeline(with_family=False), by_column=True)
+        # gap sessions come from the bucket summary alone (no event shuffle)
+        return session_summary(self.capped_events, gap_minutes=self.options.session_gap_minutes,
+                               bucket_seconds=self.options.bucket_seconds)
 
     @cached_property
     def core_profiles(self) -> DataFrame:
         """Profiles without attributes (no classification job needed)."""
-        return P.user_profile(self.tl, self.families, tz=self.options.timezone)
+        return self._gold(P.user_profile(self.tl, self.families, tz=self.options.timezone))
 
     @cached_property
     def attributes(self) -> DataFrame | None:
         attrs = self.classification.attrs
-        return P.user_attributes(self.capped_events, attrs) if attrs else None
+        return self._gold(P.user_attributes(self.capped_events, attrs)) if attrs else None
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -136,7 +152,17 @@ class Analysis:
 
     @cached_property
     def power(self) -> DataFrame:
-        return INS.power_scores(self.core_profiles)
+        return self._gold(INS.power_scores(self.core_profiles))
+
+    @cached_property
+    def user_event_counts(self) -> DataFrame:
+        """Gold (user, event, family, count, first_pos) shared by Q3/Q5/Q6/Q8."""
+        return self._gold(self.tl.groupBy("user_id", "event_name", "family").agg(
+            F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos")))
+
+    @cached_property
+    def n_users(self) -> int:
+        return self.core_profiles.count()
 
     def top_events(self, n: int = 50) -> DataFrame:
         return P.top_events(self.events, self.family_of, n)

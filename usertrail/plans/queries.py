@@ -149,7 +149,8 @@ def analyze_user(a: Analysis, user_id: str, as_of) -> UserAnalysis:
 
 def user_event_ranking(a: Analysis, tl: DataFrame | None = None) -> DataFrame:
     """Q3: (user, event, family, count, first_pos) -- the shared gold table."""
-    tl = a.tl if tl is None else tl
+    if tl is None:
+        return a.user_event_counts
     return tl.groupBy("user_id", "event_name", "family").agg(
         F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos"))
 
@@ -158,12 +159,11 @@ def user_event_ranking(a: Analysis, tl: DataFrame | None = None) -> DataFrame:
 def taxonomy(a: Analysis, n: int = 50) -> tuple[DataFrame, DataFrame]:
     """Q4: top events with pct of all user events; families; totals."""
     totals = a.core_profiles.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
-                            F.count(F.lit(1)).alias("total_users"))
-    top = a.top_events(n)
-    joined = P._one_row_join(top, totals)
-    pct = F.when(F.col("total_events") > 0,
-                 F.bround(F.col("count") * 100.0 / F.col("total_events"), 0)).otherwise(F.lit(0)).cast("int")
-    return joined.select("name", "count", "family", pct.alias("pct")), totals
+                                 F.count(F.lit(1)).alias("total_users"))
+    total_events = totals.first()["total_events"]  # one scalar back to the driver
+    pct = (F.bround(F.col("count") * 100.0 / F.lit(total_events), 0) if total_events
+           else F.lit(0)).cast("int")
+    return a.top_events(n).select("name", "count", "family", pct.alias("pct")), totals
 
 
 # ---- Q5 ----------------------------------------------------------------------
@@ -180,14 +180,15 @@ def cohort(a: Analysis, filters: str | Mapping[str, object] | None = None,
     flt = parse_filters(filters)
     prof = _prof(a, flt)
     members = prof.where(attr_predicate(flt)) if flt else prof
-    summary = P._one_row_join(
-        prof.agg(F.count(F.lit(1)).alias("total_users")),
-        members.agg(
-            F.count(F.lit(1)).alias("filtered_users"),
-            F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
-            F.coalesce(F.avg("events"), F.lit(0.0)).alias("avg_events_per_user"),
-            F.coalesce(F.median("sessions").cast("double"), F.lit(0.0)).alias("median_sessions"),
-        ))
+    # one pass over the profiles: conditional aggregates instead of a join
+    inside = attr_predicate(flt)
+    summary = prof.agg(
+        F.count(F.lit(1)).alias("total_users"),
+        F.count_if(inside).alias("filtered_users"),
+        F.coalesce(F.sum(F.when(inside, F.col("events"))), F.lit(0)).alias("total_events"),
+        F.coalesce(F.avg(F.when(inside, F.col("events"))), F.lit(0.0)).alias("avg_events_per_user"),
+        F.coalesce(F.median(F.when(inside, F.col("sessions"))).cast("double"), F.lit(0.0)).alias("median_sessions"),
+    )
     gold = user_event_ranking(a)
     if flt:
         gold = gold.join(members.select("user_id"), "user_id", "left_semi")
