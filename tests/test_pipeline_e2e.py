@@ -88,3 +88,27 @@ def test_max_users_cap_is_lexicographic(spark):
         "user_id string, timestamp string, event_name string")
     a = analyze(spark, df, Options(max_users=2))
     assert sorted(r["user_id"] for r in a.profiles.collect()) == ["1", "10"]
+
+
+MESSY = [
+    ("u1", "2024-01-05T09:00:00", "page_viewed", "hello"),
+    ("u1", "2024-01-05T09:02:00", "page_viewed", "hello"),
+    ("u1", "2024-01-05T09:02:00", "page_viewed", "hello"),
+    ("u1", "1704448800", "button_clicked", "world"),
+    ("u2", "2024-01-06 14:30:00", "form_submitted", None),
+    ("u2", "2024-01-06T14:31:00Z", "form_submitted", None),
+    ("u2", "2024-01-06T14:35:00", "page_viewed", "ok"),
+    ("u1", "2024-03-01T08:00:00", "page_viewed", None),
+]
+
+
+def test_messy_timestamps(spark):
+    df = spark.createDataFrame(MESSY, "user_id string, timestamp string, event_name string, extra string")
+    a = analyze(spark, df)
+    summary = {r["null_ts_events"] for r in __import__("usertrail.operators.profiles", fromlist=["x"])
+               .run_summary(a.events, a.core_profiles).collect()}
+    assert summary == {1}  # the bare epoch string is not a timestamp
+    prof = _by_user(a.core_profiles)
+    assert (prof["u1"]["sessions"], prof["u2"]["sessions"]) == (2, 1)
+    assert a.classification.props == ("extra",)
+    assert prof["u2"]["first_seen"] == "2024-01-06 14:30:00"

@@ -38,3 +38,23 @@ def test_stream_user_counts_changelog(spark):
     got = {r["user_id"]: r["events"] for r in L.latest(spark, base + "/log").collect()}
     want = {str(r["user_id"]): r["count"] for r in src.groupBy("user_id").count().collect()}
     assert got == want
+
+
+def test_stream_column_sessions_across_batches_and_late_rows(spark):
+    import time as _time
+
+    base = ensure_checkpoint_dir(spark) + f"/t-{uuid.uuid4().hex}"
+    schema = "event_id long, ts timestamp, user_id string, sid string"
+    from datetime import datetime
+    b1 = [(1, datetime(2026, 1, 1, 10, 0), "u", "A"), (2, datetime(2026, 1, 1, 10, 1), "u", "A"),
+          (3, datetime(2026, 1, 1, 10, 2), "u", "B")]
+    b2 = [(4, datetime(2026, 1, 1, 10, 3), "u", "B"), (5, datetime(2026, 1, 1, 10, 4), "u", "A"),
+          (6, datetime(2026, 1, 1, 9, 0), "u", "A")]  # 6 is older than the state: late
+    for i, rows in enumerate((b1, b2)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+        _time.sleep(1.1)
+    stream = L.read_event_stream(spark, base + "/in", schema=schema, max_files_per_trigger=1)
+    out = L.stream_column_sessions(stream, session_col="sid")
+    L.run_available_now(out, checkpoint=base + "/ck", output_mode="append", sink_path=base + "/out")
+    got = {r["event_id"]: (r["session_no"], r["late"]) for r in spark.read.parquet(base + "/out").collect()}
+    assert got == {1: (1, False), 2: (1, False), 3: (2, False), 4: (2, False), 5: (3, False), 6: (None, True)}

@@ -4,10 +4,12 @@ The decision is metadata (column names) and is made from at most three
 aggregate jobs whose results are one row each:
 
 A. one pass with ``approx_count_distinct`` + a null flag per extra (C1/C2);
-B. per-user ``min``/``max`` per extra -> ``bool_and(min <=> max)`` (C4: a user
-   has at most one distinct non-null value iff min equals max) and the exact
-   user count (C5).  ``groupBy(user)`` is map-side combinable, so a hot user
-   never materialises as one group;
+B. per-user ``min``/``max`` of a 64-bit hash of each extra ->
+   ``bool_and(min <=> max)`` (C4: a user has at most one distinct non-null
+   value iff they agree; hashing keeps every buffer fixed-width so the job is
+   a hash aggregation, and a 64-bit collision between two values of one user
+   is ~1e-19) plus the exact user count (C5).  ``groupBy(user)`` is map-side
+   combinable, so a hot user never materialises as one group;
 C. exact distinct counts only for the columns whose estimate lies near a
    decision boundary (each exact distinct adds an Expand branch).
 """
@@ -84,10 +86,13 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
     estimate = {c: ra[f"a{i}"] + (ra[f"z{i}"] or 0) for i, c in enumerate(extras)}
 
     # Job B: constant-per-user flags and the exact user count (null user counts).
+    def _h(c: str) -> Column:
+        v = _orderable(c, dtypes[c])
+        return F.when(v.isNotNull(), F.xxhash64(v))
+
     per_user = events.groupBy("user_id").agg(*[
         agg for i, c in enumerate(extras)
-        for agg in (F.min(_orderable(c, dtypes[c])).alias(f"mn{i}"),
-                    F.max(_orderable(c, dtypes[c])).alias(f"mx{i}"))
+        for agg in (F.min(_h(c)).alias(f"mn{i}"), F.max(_h(c)).alias(f"mx{i}"))
     ])
     rb = per_user.agg(
         F.count(F.lit(1)).alias("__users"),

@@ -167,6 +167,8 @@ s AS (SELECT *, sum(CASE WHEN rn = 1 OR sid <> psid THEN 1 ELSE 0 END)
       FROM l)
 SELECT user_id, event_id, CAST(sno AS BIGINT) AS session_no, sid AS session_id FROM s"""
 
+ORACLE["stream_column_sessions"] = ORACLE["sessions_by_column"]
+
 ORACLE["session_table"] = with_(ev_raw(), sessions(30)) + f"""
 SELECT user_id, user_id || '_s' || CAST(session_no AS VARCHAR) AS session_id,
        strftime(min(ts), {TS}) AS start, strftime(max(ts), {TS}) AS "end", count(*) AS n_events

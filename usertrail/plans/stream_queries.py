@@ -74,7 +74,20 @@ def q_stream_profile_refresh(spark: SparkSession, sf: str) -> DataFrame:
                       F.explode("family_counts").alias("family", "count"))
 
 
+def q_stream_column_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/usertrail-stream-{uuid.uuid4().hex}"
+    prepare(spark)
+    FX.column_session_events(spark, sf).write.parquet(base + "/landing")
+    stream = L.read_event_stream(spark, base + "/landing",
+                                 schema="event_id long, ts timestamp_ntz, user_id long, event_type string, sid int")
+    out = L.stream_column_sessions(stream, session_col="sid")
+    L.run_available_now(out, checkpoint=base + "/ckpt", output_mode="append", sink_path=base + "/out")
+    res = spark.read.parquet(base + "/out")
+    return res.where(~F.col("late")).select("user_id", "event_id", "session_no", "session_id")
+
+
 STREAM_QUERIES = {
+    "stream_column_sessions": q_stream_column_sessions,
     "stream_sessions": q_stream_sessions,
     "stream_user_counts": q_stream_user_counts,
     "stream_profile_refresh": q_stream_profile_refresh,

@@ -5,10 +5,11 @@ from usertrail.streaming.live import (
     latest,
     read_event_stream,
     run_available_now,
+    stream_column_sessions,
     stream_profiles,
     stream_sessions,
     stream_user_counts,
 )
 
-__all__ = ["changelog_writer", "latest", "read_event_stream", "run_available_now", "stream_profiles",
+__all__ = ["changelog_writer", "latest", "read_event_stream", "run_available_now", "stream_column_sessions", "stream_profiles",
            "stream_sessions", "stream_user_counts"]

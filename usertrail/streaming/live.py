@@ -111,3 +111,77 @@ def run_available_now(df: DataFrame, *, checkpoint: str, output_mode: str, sink_
         q = w.format(fmt).option("path", sink_path).start()
     q.awaitTermination()
     return q
+
+
+# --- T3: column-based session runs in a stream ---------------------------------
+
+COLUMN_SESSION_OUT = "user_id string, event_id long, session_no long, session_id string, late boolean"
+COLUMN_SESSION_STATE = "last_key long, last_ord long, last_sid string, session_no long"
+
+
+def _column_session_step(key, batches, state):
+    """Per user and micro-batch: continue the run-based session numbering.
+
+    State (last time key, last order key, last session value, session count)
+    carries the run across micro-batches.  Rows older than the state's last
+    row cannot be re-inserted into history: they are emitted with
+    ``late=True`` and no session.  Vectorised with pandas/numpy.
+    """
+    import numpy as np
+    import pandas as pd
+
+    pdf = pd.concat(list(batches), ignore_index=True)
+    if pdf.empty:
+        return
+    pdf = pdf.sort_values(["ts_key", "ord"], kind="mergesort").reset_index(drop=True)
+    if state.exists:
+        last_key, last_ord, last_sid, sno = state.get
+        late = (pdf["ts_key"] < last_key) | ((pdf["ts_key"] == last_key) & (pdf["ord"] <= last_ord))
+    else:
+        last_key = last_ord = None
+        last_sid, sno = None, 0
+        late = pd.Series(False, index=pdf.index)
+    live = pdf[~late]
+    out_parts = []
+    if not live.empty:
+        sid = live["sid"].to_numpy(dtype=object)
+        prev = np.empty(len(sid), dtype=object)
+        prev[0] = last_sid
+        prev[1:] = sid[:-1]
+        new = np.array([p is None or s != p for s, p in zip(sid, prev)], dtype=np.int64)
+        numbers = sno + np.cumsum(new)
+        out_parts.append(pd.DataFrame({
+            "user_id": key[0], "event_id": live["ord"].to_numpy(), "session_no": numbers,
+            "session_id": sid, "late": False}))
+        tail = live.iloc[-1]
+        state.update((int(tail["ts_key"]), int(tail["ord"]), str(sid[-1]), int(numbers[-1])))
+    dropped = pdf[late]
+    if not dropped.empty:
+        out_parts.append(pd.DataFrame({
+            "user_id": key[0], "event_id": dropped["ord"].to_numpy(), "session_no": None,
+            "session_id": None, "late": True}))
+    yield pd.concat(out_parts, ignore_index=True)
+
+
+def stream_column_sessions(stream: DataFrame, *, user_col: str = "user_id", ts_col: str = "ts",
+                           session_col: str = "sid", order_col: str = "event_id") -> DataFrame:
+    """A new session whenever the session column changes (A,B,A -> 3).
+
+    ``applyInPandasWithState`` keyed by user: one small state row per user;
+    each micro-batch's rows of a user are handled together (bounded by the
+    trigger size, e.g. ``maxFilesPerTrigger``).
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    ts = F.col(ts_col)
+    if not isinstance(stream.schema[ts_col].dataType, T.TimestampType):
+        ts = ts.cast("timestamp")
+    ev = stream.select(
+        F.col(user_col).cast("string").alias("user_id"),
+        F.unix_micros(ts).alias("ts_key"),
+        F.col(order_col).cast("long").alias("ord"),
+        F.coalesce(F.col(session_col).cast("string"), F.lit("")).alias("sid"),
+    ).where(F.col("user_id").isNotNull() & F.col("ts_key").isNotNull())
+    return ev.groupBy("user_id").applyInPandasWithState(
+        _column_session_step, COLUMN_SESSION_OUT, COLUMN_SESSION_STATE, "append",
+        GroupStateTimeout.NoTimeout)
