@@ -306,7 +306,7 @@ def q_top_families(spark, sf):
 
 def q_stuck_signals(spark, sf):
     a = _an(spark, sf, "raw", 1440)
-    return _norm(INS.stuck_signals(a.timeline(with_family=False)))
+    return _norm(INS.stuck_signals(a.timeline(with_family=False), paths=a.paths))
 
 
 def q_family_first_seen(spark, sf):

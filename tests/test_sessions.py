@@ -104,8 +104,10 @@ def _brute(rows, gap_min):
     return out
 
 
-@pytest.mark.parametrize("seed,gap,bucket", [(1, 30, 900), (2, 30, 60), (3, 1440, 900), (4, 5, 3600)])
-def test_skew_safe_scan_matches_brute_force(spark, seed, gap, bucket):
+@pytest.mark.parametrize("seed,gap,bucket,skew", [
+    (1, 30, 900, "bucketed"), (2, 30, 60, "bucketed"), (3, 1440, 900, "bucketed"), (4, 5, 3600, "bucketed"),
+    (5, 30, 900, "single"), (6, 30, 900, "auto"), (7, 1440, 600, "auto")])
+def test_skew_safe_scan_matches_brute_force(spark, seed, gap, bucket, skew):
     rnd = random.Random(seed)
     base = datetime(2026, 1, 1)
     rows = []
@@ -118,10 +120,19 @@ def test_skew_safe_scan_matches_brute_force(spark, seed, gap, bucket):
             rows.append((u, ts, rnd.choice(["x", "y", "y", "z"])))
     data = [(i, u, ts, n) for i, (u, ts, n) in enumerate(rows)]
     df = spark.createDataFrame(data, "event_id long, user_id string, ts timestamp, event_name string")
-    a = analyze(spark, df, Options(order_by="event_id", session_gap_minutes=gap, bucket_seconds=bucket))
+    a = analyze(spark, df, Options(order_by="event_id", session_gap_minutes=gap, bucket_seconds=bucket,
+                                   skew=skew, hot_user_events=100))
+    if skew == "auto":
+        assert a.hot_users == ["hot"] and a.paths == "mixed"
     got = {r["event_id"]: (r["session_no"], r["pos"], r["run_no"], r["prev_name"])
-           for r in with_runs(a.timeline(with_family=False)).collect()}
+           for r in with_runs(a.timeline(with_family=False), a.paths).collect()}
     assert got == _brute(rows, gap)
+    # the sessions table (bucket summary for hot users) agrees with the rows
+    per_session = {}
+    for (u, ts, _n), i in zip(rows, range(len(rows))):
+        per_session.setdefault((u, got[i][0]), []).append(ts)
+    sess = {(r["user_id"], r["session_no"]): r["n_events"] for r in a.sessions.collect()}
+    assert sess == {k: len(v) for k, v in per_session.items()}
 
 
 def test_column_mode_matches_brute_force(spark):
@@ -139,14 +150,16 @@ def test_column_mode_matches_brute_force(spark):
         data.append((i, "u", t, "e", sid))
         expect[i] = sno
     df = spark.createDataFrame(data, "event_id long, user_id string, ts timestamp, event_name string, session string")
-    a = analyze(spark, df, Options(order_by="event_id", bucket_seconds=600))
-    got = {r["event_id"]: r["session_no"] for r in a.timeline(with_family=False).collect()}
-    assert got == expect
+    for skew in ("bucketed", "single"):
+        a = analyze(spark, df, Options(order_by="event_id", bucket_seconds=600, skew=skew))
+        got = {r["event_id"]: r["session_no"] for r in a.timeline(with_family=False).collect()}
+        assert got == expect, skew
 
 
 def test_single_big_exchange_of_events(spark):
     """Gap sessions shuffle event rows once; the bucket summary is pre-aggregated."""
-    a = analyze(spark, spark.read.parquet("/root/testdata/sf0.001/events.parquet"), Options(order_by="event_id"))
+    a = analyze(spark, spark.read.parquet("/root/testdata/sf0.001/events.parquet"),
+                Options(order_by="event_id", skew="bucketed"))
     plan = a.timeline(with_family=False).select("user_id", "session_no", "pos")._jdf.queryExecution() \
         .executedPlan().toString()
     # summary side: partial aggregation happens before its exchange

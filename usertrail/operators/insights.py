@@ -106,13 +106,13 @@ def runs(tl: DataFrame) -> DataFrame:
     )
 
 
-def stuck_signals(tl: DataFrame, top_n: int = STUCK_TOP_N) -> DataFrame:
+def stuck_signals(tl: DataFrame, top_n: int = STUCK_TOP_N, paths: str = "mixed") -> DataFrame:
     """Longest run per (session, event) above threshold; top ``top_n`` per user.
 
     Ordered by run length desc, then first occurrence.  The per-user top-n is
     done in two stages (spread over sessions) so a hot user is not one window.
     """
-    r = runs(with_runs(tl))
+    r = runs(with_runs(tl, paths))
     threshold = F.when(F.col("event_name").isin(*STUCK_HIGH_EVENTS), F.lit(STUCK_HIGH_MIN_RUN)) \
         .otherwise(F.lit(STUCK_DEFAULT_MIN_RUN))
     r = r.where(F.col("event_name").isNotNull() & (F.col("length") >= threshold))

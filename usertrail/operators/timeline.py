@@ -1,9 +1,15 @@
 """Per-user ordered scan (SS1-SS3, SS5 and the ordered inputs of I6, V3, V4, V10).
 
-A plain ``Window.partitionBy(user_id)`` puts a user's whole history in one
-task, so a single hot user (a bot, an anonymous id) holding a third of all
-rows would serialise the job.  The scan is therefore split in two levels
-keyed by ``(user_id, bucket)``, where ``bucket`` is a fixed-width time slice:
+Hot keys are split from the rest (``hot_users``):
+
+* ordinary users take ONE window partitioned by user (one shuffle, one
+  sort) -- the cheapest plan when a user's history fits a task;
+* hot users (a bot, an anonymous id, possibly a third of all rows) take a
+  two-level scan keyed by ``(user_id, bucket)``, so no single user is ever one
+  window partition.  Both paths are exact: which users are "hot" only
+  changes speed, never results.
+
+The two-level scan.  ``bucket`` is a fixed-width time slice:
 
 Gap sessions (the default).  The bucket width is at most the session gap, so
 two rows of one bucket are always less than a gap apart: a session can only
@@ -19,8 +25,9 @@ Column sessions (SS2: a new session whenever the id changes) need the order
 inside a bucket, so that path runs the in-bucket window first and derives
 the summary from it.
 
-Output columns added to the events (``bucket`` is kept so downstream windows
-can reuse the partitioning):
+Output columns added to the events (``bucket`` is kept for the two-level
+rows so downstream windows can reuse the partitioning; it is null on the
+single-window rows):
 
 ``pos``          1-based position of the row in its user's history
 ``session_no``   1-based session number within the user
@@ -52,14 +59,56 @@ def _with_bucket(events: DataFrame, width_us: int) -> DataFrame:
     return events.where(F.col("user_id").isNotNull()).withColumn("bucket", F.expr(f"ts_key div {width_us}"))
 
 
+def _split(events: DataFrame, hot_users):
+    ev = events.where(F.col("user_id").isNotNull())
+    hot = F.broadcast(ev.sparkSession.createDataFrame([(str(u),) for u in hot_users], "user_id string"))
+    return ev.join(hot, "user_id", "left_anti"), ev.join(hot, "user_id", "left_semi")
+
+
 def timeline(events: DataFrame, *, gap_minutes: int = 30, by_column: bool = False,
-             bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+             bucket_seconds: int = DEFAULT_BUCKET_SECONDS, hot_users=None) -> DataFrame:
     """Add session / position / previous-event columns to normalised events.
 
     ``events`` must carry ``user_id, ts_key, ord, event_name`` (and
     ``session_id`` when ``by_column``).  Rows with a null user are dropped:
     they belong to no user history (they are still counted by the totals).
+    ``hot_users``: ``None`` sends every user through the two-level scan, a
+    (bounded, broadcast) list sends only those users, ``[]`` none.
     """
+    if hot_users is None:
+        return _bucketed(events, gap_minutes=gap_minutes, by_column=by_column, bucket_seconds=bucket_seconds)
+    if not hot_users:
+        return _single_window(events, gap_minutes=gap_minutes, by_column=by_column)
+    normal, hot = _split(events, hot_users)
+    return _single_window(normal, gap_minutes=gap_minutes, by_column=by_column).unionByName(
+        _bucketed(hot, gap_minutes=gap_minutes, by_column=by_column, bucket_seconds=bucket_seconds))
+
+
+def _single_window(events: DataFrame, *, gap_minutes: int, by_column: bool) -> DataFrame:
+    """Ordinary users: one window per user (one shuffle, one sort)."""
+    ev = events.where(F.col("user_id").isNotNull())
+    w = Window.partitionBy("user_id").orderBy("ts_key", "ord")
+    ev = ev.withColumns({
+        "pos": F.row_number().over(w).cast("long"),
+        "prev_ts_key": F.lag("ts_key").over(w),
+        "prev_name": F.lag("event_name").over(w),
+    })
+    if by_column:
+        ev = ev.withColumn("_sv", F.coalesce(F.col("session_id").cast("string"), F.lit(""))).drop("session_id")
+        ev = ev.withColumn("_ps", F.lag("_sv").over(w))
+        start = (F.col("pos") == 1) | (F.col("_sv") != F.col("_ps"))
+    else:
+        gap_us, _ = _gap_width(gap_minutes, DEFAULT_BUCKET_SECONDS)
+        start = (F.col("pos") == 1) | _gap_start(F.col("ts_key"), F.col("prev_ts_key"), gap_us)
+    ev = ev.withColumn("is_start", start)
+    ev = ev.withColumn("session_no", F.sum(F.col("is_start").cast("long")).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sid = F.col("_sv") if by_column else F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string"))
+    ev = ev.withColumn("session_id", sid).withColumn("bucket", F.lit(None).cast("long"))
+    return ev.drop(*[c for c in ev.columns if c.startswith("_")])
+
+
+def _bucketed(events: DataFrame, *, gap_minutes: int, by_column: bool, bucket_seconds: int) -> DataFrame:
     if by_column:
         return _column_timeline(events, bucket_seconds)
     gap_us, width = _gap_width(gap_minutes, bucket_seconds)
@@ -192,15 +241,26 @@ def _column_timeline(events: DataFrame, bucket_seconds: int) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def with_runs(tl: DataFrame) -> DataFrame:
+def with_runs(tl: DataFrame, paths: str = "mixed") -> DataFrame:
     """Add ``run_no``: runs of identical consecutive names, never crossing sessions.
 
     A run starts on a session start or when the name differs from the previous
-    event (``prev_name`` is already correct across bucket edges), so the run
-    starts of a bucket are a plain sum; a window over the bucket totals gives
-    offsets and an in-bucket running sum finishes the numbering.
+    event (``prev_name`` is already correct across bucket edges).  Single-window
+    rows (``bucket`` null) number runs with a running sum per user; two-level
+    rows sum run starts per bucket, take offsets from a window over the
+    bucket totals and finish with an in-bucket running sum.
     """
     t = tl.withColumn("_r", (F.col("is_start") | ~F.col("event_name").eqNullSafe(F.col("prev_name"))).cast("long"))
+    if paths == "bucketed":
+        return _bucketed_runs(t)
+    wp = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    if paths == "single":
+        return t.withColumn("run_no", F.sum("_r").over(wp)).drop("_r")
+    plain = t.where(F.col("bucket").isNull()).withColumn("run_no", F.sum("_r").over(wp)).drop("_r")
+    return plain.unionByName(_bucketed_runs(t.where(F.col("bucket").isNotNull())))
+
+
+def _bucketed_runs(t: DataFrame) -> DataFrame:
     summ = t.groupBy("user_id", "bucket").agg(F.sum("_r").alias("_rt"))
     w2 = Window.partitionBy("user_id").orderBy("bucket")
     summ = summ.select("user_id", "bucket", F.coalesce(
@@ -211,6 +271,39 @@ def with_runs(tl: DataFrame) -> DataFrame:
     return out.drop("_r", "_ro")
 
 
+def sessions(events: DataFrame, *, gap_minutes: int = 30, by_column: bool = False,
+             bucket_seconds: int = DEFAULT_BUCKET_SECONDS, hot_users=None) -> DataFrame:
+    """One row per session: hot users from the bucket summary (no event-row
+    shuffle), ordinary users from their single-window timeline."""
+    if by_column:
+        return sessions_table(timeline(events, by_column=True, bucket_seconds=bucket_seconds,
+                                       hot_users=hot_users), by_column=True)
+    if hot_users is None:
+        return session_summary(events, gap_minutes=gap_minutes, bucket_seconds=bucket_seconds)
+    if not hot_users:
+        return sessions_table(_single_window(events, gap_minutes=gap_minutes, by_column=False))
+    normal, hot = _split(events, hot_users)
+    return sessions_table(_single_window(normal, gap_minutes=gap_minutes, by_column=False)).unionByName(
+        session_summary(hot, gap_minutes=gap_minutes, bucket_seconds=bucket_seconds))
+
+
+def detect_hot_users(events: DataFrame, min_events: int, *, max_users: int = 100_000,
+                     seed: int = 17) -> list[str]:
+    """Users whose history is too large for one window partition.
+
+    Estimated from a deterministic Bernoulli sample (about 1000 expected hits
+    for a user right at ``min_events``); at most ``max_users`` come back (the
+    heaviest first), so the list is bounded and safe to broadcast.  A miss or
+    a false hit only moves a user to the other (equally exact) path.
+    """
+    fraction = min(1.0, 1000.0 / max(min_events, 1))
+    sampled = (events.where(F.col("user_id").isNotNull()).select("user_id")
+               .sample(withReplacement=False, fraction=fraction, seed=seed)
+               .groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+    hot = sampled.where(F.col("n") >= F.lit(min_events * fraction)).orderBy(F.col("n").desc()).limit(max_users)
+    return [r["user_id"] for r in hot.collect()]
+
+
 def sessions_table(tl: DataFrame, by_column: bool = False) -> DataFrame:
     """SS3/SS5: one row per session (start = first known time in it, D11).
 

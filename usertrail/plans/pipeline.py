@@ -12,6 +12,7 @@ once and only when a table that needs it is requested:
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -26,7 +27,7 @@ from usertrail.operators import insights as INS
 from usertrail.operators import profiles as P
 from usertrail.operators.normalize import normalize
 from usertrail.operators.resolve import SniffedSchema, resolve_schema
-from usertrail.operators.timeline import DEFAULT_BUCKET_SECONDS, session_summary, sessions_table, timeline
+from usertrail.operators.timeline import DEFAULT_BUCKET_SECONDS, detect_hot_users, sessions, timeline
 from usertrail.sources.reader import read_events
 
 
@@ -45,11 +46,17 @@ class Options:
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS
     use_session_column: bool = True
     # Materialise the per-user gold tables (profiles, attributes, power
-    # scores, user x event counts) once with ``checkpoint()`` into the shared
+    # scores, user x event counts) once as Parquet in the shared
     # ``spark.checkpoint.dir``: later queries read users, not events, and the
     # lineage back to the raw events is cut (an executor loss does not
     # recompute the sessionisation).
     materialize: bool = True
+    # Skew handling for the per-user ordered scan: "auto" samples for users
+    # with >= hot_user_events events and sends only them through the
+    # two-level (user, time-bucket) scan; "bucketed" sends everyone;
+    # "single" no one.  Results are identical in every mode.
+    skew: str = "auto"
+    hot_user_events: int = 2_000_000
 
 
 @dataclass
@@ -97,18 +104,44 @@ class Analysis:
 
     # ---- tables ------------------------------------------------------------
     def _gold(self, df: DataFrame) -> DataFrame:
+        """Write a gold table once into the shared checkpoint folder, read it back.
+
+        A written table cuts the lineage like ``checkpoint()`` but computes the
+        plan once (a reliable checkpoint of an unpersisted plan recomputes it
+        for the write).
+        """
         if not self.options.materialize:
             return df
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        base = ensure_checkpoint_dir(self.spark).rstrip("/")
+        path = f"{base}/usertrail-gold-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def capped_events(self) -> DataFrame:
         return P.cap_users(self.events, self.options.max_users)
 
+    @cached_property
+    def hot_users(self) -> list[str] | None:
+        """Users routed through the two-level scan (None = all of them)."""
+        mode = self.options.skew
+        if mode == "bucketed":
+            return None
+        if mode == "single":
+            return []
+        if mode != "auto":
+            raise ValueError(f"unknown skew mode {mode!r}")
+        return detect_hot_users(self.capped_events, self.options.hot_user_events)
+
+    @property
+    def paths(self) -> str:
+        hot = self.hot_users
+        return "bucketed" if hot is None else ("single" if not hot else "mixed")
+
     def timeline(self, *, with_props: bool = False, with_family: bool = True) -> DataFrame:
         tl = timeline(self.capped_events, gap_minutes=self.options.session_gap_minutes,
-                      by_column=self.by_column, bucket_seconds=self.options.bucket_seconds)
+                      by_column=self.by_column, bucket_seconds=self.options.bucket_seconds,
+                      hot_users=self.hot_users)
         if with_family:
             tl = self.family_plan.apply(tl, names=self.capped_events)
         if with_props:
@@ -125,11 +158,10 @@ class Analysis:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        if self.by_column:
-            return sessions_table(self.timeline(with_family=False), by_column=True)
-        # gap sessions come from the bucket summary alone (no event shuffle)
-        return session_summary(self.capped_events, gap_minutes=self.options.session_gap_minutes,
-                               bucket_seconds=self.options.bucket_seconds)
+        # hot users' gap sessions come from the bucket summary alone
+        return sessions(self.capped_events, gap_minutes=self.options.session_gap_minutes,
+                        by_column=self.by_column, bucket_seconds=self.options.bucket_seconds,
+                        hot_users=self.hot_users)
 
     @cached_property
     def core_profiles(self) -> DataFrame:

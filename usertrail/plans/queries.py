@@ -138,7 +138,7 @@ def analyze_user(a: Analysis, user_id: str, as_of) -> UserAnalysis:
         stats=prof.select("user_id", "events", "sessions", "first_seen", "last_seen", "attrs"),
         insights=insights,
         top_families=INS.top_families(prof),
-        stuck_signals=INS.stuck_signals(tl),
+        stuck_signals=INS.stuck_signals(tl, paths=a.paths),
         family_first_seen=INS.family_first_seen(prof, a.options.timezone),
         sessions=sessions,
         events=events,
