@@ -15,8 +15,7 @@ def test_entry_runs(spark):
 
 def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"resolve_schema_sniff"}
+    assert set(E.queries()) == set(E.oracle_sql())
 
 
 def _duck(sf):

@@ -378,3 +378,50 @@ SELECT user_id, strftime(min(ts), {TS}) AS start, strftime(max(ts) + INTERVAL 30
        count(*) AS n_events
 FROM se WHERE ts IS NOT NULL GROUP BY user_id, session_no
 HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT w FROM wm)"""
+
+
+def _sniff_sql() -> str:
+    """Content sniff over the first 1000 rows of ``events`` renamed c0..c5."""
+    from usertrail.constants import ISO_TIMESTAMP_PATTERN
+    from usertrail.operators.resolve import _ISO_LOOSE_PATTERN
+
+    def num(c):
+        return (f"count(*) FILTER (WHERE {c} IS NOT NULL AND (({c} > 1000000000 AND {c} < 4000000000) "
+                f"OR ({c} > 1000000000000 AND {c} < 4000000000000)))")
+
+    def text(c):
+        return (f"count(*) FILTER (WHERE {c} IS NOT NULL AND (regexp_full_match(trim({c}), '{ISO_TIMESTAMP_PATTERN}') "
+                f"OR regexp_full_match(replace({c}, 'Z', '+00:00'), '{_ISO_LOOSE_PATTERN}')))")
+
+    parts = [
+        ("c0", 0, "event_id", num("event_id"), "false"),
+        ("c1", 1, "ts", "count(ts)", "false"),
+        ("c2", 2, "user_id", num("user_id"), "false"),
+        ("c3", 3, "event_type", text("event_type"), "true"),
+        ("c4", 4, "value", num("value"), "false"),
+        ("c5", 5, "props", text("props"), "true"),
+    ]
+    cols = " UNION ALL ".join(
+        f"SELECT '{name}' AS col, {i} AS ord, count({c}) AS nn, {hit} AS tsh, count(DISTINCT {c}) AS nu, "
+        f"{is_str} AS is_str FROM s" for name, i, c, hit, is_str in parts)
+    return f"""
+WITH s AS (SELECT * FROM events LIMIT 1000),
+n AS (SELECT count(*) AS nrows FROM s),
+cols AS ({cols}),
+sc AS (SELECT col, ord, tsh / least(nn, 1000) AS ts_score,
+              CASE WHEN nu <= 1 THEN 0.0 WHEN nu / nrows BETWEEN 0.001 AND 0.9
+                   THEN 0.6 + 0.3 * least(nu / nrows / 0.5, 1.0) ELSE 0.0 END AS user_score,
+              CASE WHEN NOT is_str THEN 0.0 WHEN nu = 0 OR nu > 500 THEN 0.0 WHEN nu / nrows > 0.5 THEN 0.0
+                   WHEN nu BETWEEN 2 AND 200 THEN 0.7 ELSE 0.3 END AS ev_score
+       FROM cols, n WHERE nn > 0),
+t AS (SELECT col FROM sc WHERE ts_score > 0.8 ORDER BY ts_score DESC, ord LIMIT 1),
+u AS (SELECT col FROM sc WHERE user_score > 0.5 AND col NOT IN (SELECT col FROM t)
+      ORDER BY user_score DESC, ord LIMIT 1),
+e AS (SELECT col FROM sc WHERE ev_score > 0.5 AND col NOT IN (SELECT col FROM t) AND col NOT IN (SELECT col FROM u)
+      ORDER BY ev_score DESC, ord LIMIT 1)
+SELECT 'timestamp' AS role, col AS "column" FROM t
+UNION ALL SELECT 'user_id', col FROM u
+UNION ALL SELECT 'event_name', col FROM e"""
+
+
+ORACLE["resolve_schema_sniff"] = _sniff_sql()
