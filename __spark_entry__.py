@@ -351,6 +351,16 @@ def q_analyze_user_top_events(spark, sf):
     return _norm(Q.analyze_user(a, "7", AS_OF).top_events)
 
 
+def q_analyze_user_insights(spark, sf):
+    a = _an(spark, sf, "named")
+    return _norm(Q.analyze_user(a, "7", AS_OF).insights)
+
+
+def q_user_top_events_pct(spark, sf):
+    a = _an(spark, sf, "named")
+    return _norm(Q.user_top_events(a))
+
+
 def q_user_event_ranking(spark, sf):
     a = _an(spark, sf, "named")
     return _norm(Q.user_event_ranking(a).drop("first_pos"))

@@ -74,3 +74,28 @@ def test_epoch_columns(spark):
         df = spark.createDataFrame([("u", val, "e")], "user_id string, timestamp long, event_name string")
         a = analyze(spark, df, Options())
         assert a.core_profiles.first()["first_seen"] == "2026-04-01 09:00:00", scale
+
+
+def test_scoped_export_sink(spark, tmp_path, tiny):
+    from usertrail.operators.profiles import session_events
+    from usertrail.plans import queries as Q
+    from usertrail.sources import export_users
+
+    a = analyze(spark, tiny)
+    chosen, missing = Q.export_subset(a, ["101", "103"])
+    Q.check_export(chosen, missing)
+    out = str(tmp_path / "export")
+    export_users(chosen, session_events(a.tl), out)
+    prof = spark.read.json(out + "/profiles")
+    ev = spark.read.json(out + "/events")
+    assert sorted(r["user_id"] for r in prof.collect()) == ["101", "103"]
+    assert ev.count() == 11
+
+
+def test_meta_record(spark, with_attrs):
+    a = analyze(spark, with_attrs)
+    meta = a.meta()
+    assert {r["role"]: r["column"] for r in meta["schema"].collect()}["user_id"] == "user_id"
+    assert sorted((r["key"], r["value"]) for r in meta["attributes"].collect()) == [
+        ("user_country", "PL"), ("user_country", "UA"), ("user_plan", "free"), ("user_plan", "premium")]
+    assert meta["top_events"].first()["name"] == "page_viewed"

@@ -266,6 +266,23 @@ FROM se WHERE user_id = '7' GROUP BY user_id, session_no"""
 ORACLE["analyze_user_top_events"] = _core(ev_named()) + """
 SELECT event_name, family, count(*) AS count FROM fe WHERE user_id = '7' GROUP BY 1, 2"""
 
+ORACLE["analyze_user_insights"] = with_(
+    ev_named(), families(), sessions(30), fam_events(), profiles(), power().strip(),
+    "st AS (SELECT user_id, session_no, epoch_us(min(ts)) // 1000000 AS sec FROM se GROUP BY 1, 2)",
+    "lg AS (SELECT user_id, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY session_no) AS d FROM st)",
+    "gp AS (SELECT user_id, CAST(coalesce(max(floor(d / 86400)), 0) AS BIGINT) AS longest_gap_days "
+    "FROM lg GROUP BY user_id)",
+) + f"""
+SELECT pr.user_id, pw.power_score, date_diff('day', CAST(pr.last_ts AS DATE), {AS_OF}) AS days_since_last,
+       strftime(pr.first_ts, '%Y-%m-%d') AS first_date, strftime(pr.last_ts, '%Y-%m-%d') AS last_date,
+       gp.longest_gap_days
+FROM pr JOIN pw USING (user_id) JOIN gp USING (user_id) WHERE pr.user_id = '7'"""
+
+ORACLE["user_top_events_pct"] = _core(ev_named()) + """
+SELECT f.user_id, f.event_name, f.family, count(*) AS count,
+       CAST(round_even(100.0 * count(*) / any_value(p.events), 0) AS BIGINT) AS pct
+FROM fe f JOIN pr p USING (user_id) GROUP BY f.user_id, f.event_name, f.family"""
+
 ORACLE["user_event_ranking"] = _core(ev_named()) + """
 SELECT user_id, event_name, family, count(*) AS count FROM fe GROUP BY 1, 2, 3"""
 

@@ -202,6 +202,21 @@ class Analysis:
     def event_family_dim(self) -> DataFrame:
         return FAM.event_family_dim(self.events, self.family_plan)
 
+    def meta(self, top_n: int = 50) -> dict[str, DataFrame]:
+        """U8: the dataset-level meta record as small DataFrames.
+
+        ``schema`` (role, column), ``attributes`` (key, value) domain,
+        ``families`` registry and ``top_events``.  Wall-clock fields are left
+        to the caller.
+        """
+        roles = [(r, c) for r, c in self.schema.as_mapping().items() if c is not None]
+        return {
+            "schema": self.spark.createDataFrame(roles, "role string, column string"),
+            "attributes": C.attribute_domain(self.events, self.classification.attrs),
+            "families": self.family_plan.registry(self.spark),
+            "top_events": self.top_events(top_n),
+        }
+
     def with_family(self, df: DataFrame) -> DataFrame:
         return self.family_plan.apply(df, names=self.events)
 

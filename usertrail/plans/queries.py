@@ -155,6 +155,18 @@ def user_event_ranking(a: Analysis, tl: DataFrame | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos"))
 
 
+def user_top_events(a: Analysis, user_id: str | None = None) -> DataFrame:
+    """V0 (per user): event counts with family and share of the user's events."""
+    gold = a.user_event_counts
+    if user_id is not None:
+        gold = gold.where(F.col("user_id") == str(user_id))
+    prof = a.core_profiles.select("user_id", "events")
+    if user_id is not None:
+        prof = prof.where(F.col("user_id") == str(user_id))
+    pct = F.bround(F.col("count") * 100.0 / F.col("events"), 0).cast("int")
+    return gold.join(prof, "user_id").select("user_id", "event_name", "family", "count", pct.alias("pct"))
+
+
 # ---- Q4 ----------------------------------------------------------------------
 def taxonomy(a: Analysis, n: int = 50) -> tuple[DataFrame, DataFrame]:
     """Q4: top events with pct of all user events; families; totals."""
