@@ -131,6 +131,8 @@ class Analysis:
             return []
         if mode != "auto":
             raise ValueError(f"unknown skew mode {mode!r}")
+        if self.n_events < self.options.hot_user_events:
+            return []  # no user can hold more events than the whole table
         return detect_hot_users(self.capped_events, self.options.hot_user_events)
 
     @property
