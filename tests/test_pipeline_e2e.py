@@ -112,3 +112,15 @@ def test_messy_timestamps(spark):
     assert (prof["u1"]["sessions"], prof["u2"]["sessions"]) == (2, 1)
     assert a.classification.props == ("extra",)
     assert prof["u2"]["first_seen"] == "2024-01-06 14:30:00"
+
+
+def test_timeline_props_and_tz_display(spark):
+    amounts = [1.5, None, 2.5, 1.5, 2.5, 1.5, 2.5, 1.5, 2.5, 1.5]
+    tags = [None, "k", "j", "k", "j", "k", "j", "k", "j", "k"]
+    rows = [("u1", f"2026-01-01 10:0{i}:00", "a_viewed", amounts[i], tags[i], "x") for i in range(10)]
+    df = spark.createDataFrame(
+        rows, "user_id string, timestamp string, event_name string, amount double, tag string, plan string")
+    a = analyze(spark, df)
+    assert a.classification.props == ("amount", "tag") and a.classification.attrs == ("plan",)
+    tl = a.timeline(with_props=True).orderBy("pos").collect()
+    assert dict(tl[0]["props"]) == {"amount": "1.5"} and dict(tl[1]["props"]) == {"tag": "k"}
