@@ -59,3 +59,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(shuffle_bytes: int, *, target_partition_bytes: int = 256 << 20,
+                 min_partitions: int = 200) -> dict[str, str]:
+    """Suggested settings for a cluster job (pass to ``SparkSession.builder.config``).
+
+    ``shuffle_bytes`` is the expected size of the largest shuffle -- for the
+    sessionisation that is roughly the bytes of the projected event columns
+    (user id, time, name, order key and the extras the outputs need).
+    Partitions are sized so a shuffle partition stays well inside executor
+    memory; AQE coalesces small ones and splits skewed join partitions.
+    """
+    partitions = max(min_partitions, -(-int(shuffle_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
