@@ -124,3 +124,15 @@ def test_timeline_props_and_tz_display(spark):
     assert a.classification.props == ("amount", "tag") and a.classification.attrs == ("plan",)
     tl = a.timeline(with_props=True).orderBy("pos").collect()
     assert dict(tl[0]["props"]) == {"amount": "1.5"} and dict(tl[1]["props"]) == {"tag": "k"}
+
+
+def test_release_deletes_gold_tables(spark, tiny):
+    import os
+
+    a = analyze(spark, tiny)
+    before = a.core_profiles.count()
+    paths = list(a._cache["gold_paths"])
+    assert paths and all(os.path.exists(p.replace("file:", "")) for p in paths)
+    a.release()
+    assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
+    assert a.core_profiles.count() == before  # recomputed on demand

@@ -115,8 +115,20 @@ class Analysis:
         base = ensure_checkpoint_dir(self.spark).rstrip("/")
         path = f"{base}/usertrail-gold-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._cache.setdefault("gold_paths", []).append(path)
         return self.spark.read.parquet(path)
 
+    def release(self) -> None:
+        """Delete the gold tables this analysis wrote (Hadoop FileSystem API,
+        so it works on shared storage); cached tables are recomputed on demand."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self._cache.pop("gold_paths", []):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        for name in ("core_profiles", "attributes", "power", "user_event_counts", "profiles", "n_users"):
+            self.__dict__.pop(name, None)
+
     @cached_property
     def capped_events(self) -> DataFrame:
         return P.cap_users(self.events, self.options.max_users)
