@@ -99,3 +99,10 @@ def test_meta_record(spark, with_attrs):
     assert sorted((r["key"], r["value"]) for r in meta["attributes"].collect()) == [
         ("user_country", "PL"), ("user_country", "UA"), ("user_plan", "free"), ("user_plan", "premium")]
     assert meta["top_events"].first()["name"] == "page_viewed"
+
+
+def test_file_scheme_and_glob(spark, tmp_path):
+    p = tmp_path / "part-1.csv"
+    _write_tiny(str(p))
+    assert read_events(spark, "file://" + str(p)).count() == 20
+    assert read_events(spark, str(tmp_path / "part-*.csv")).count() == 20

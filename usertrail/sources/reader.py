@@ -39,6 +39,10 @@ def _is_remote(path: str) -> bool:
 
 def _check_local(path: str) -> list[str]:
     """Existence and emptiness checks for local paths; returns matched files."""
+    if path.startswith("file://"):
+        path = path[len("file://"):]
+    elif path.startswith("file:"):
+        path = path[len("file:"):]
     if any(ch in path for ch in "*?["):
         files = sorted(_glob.glob(path))
         if not files:
