@@ -165,3 +165,21 @@ def test_single_big_exchange_of_events(spark):
     # summary side: partial aggregation happens before its exchange
     assert "partial_count" in plan and "partial_min" in plan
     assert F is not None
+
+
+def test_hot_user_holding_a_third_of_rows(spark):
+    """A third of all events reassigned to one user: every mode agrees."""
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    skewed = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    results = {}
+    for skew in ("single", "bucketed", "auto"):
+        a = analyze(spark, skewed, Options(order_by="event_id", skew=skew, hot_user_events=1000,
+                                           materialize=False))
+        if skew == "auto":
+            assert a.hot_users == ["-1"]
+        prof = {(r["user_id"], r["events"], r["sessions"]) for r in a.core_profiles.collect()}
+        sess = {(r["user_id"], r["session_no"], r["n_events"]) for r in a.sessions.collect()}
+        results[skew] = (prof, sess)
+    assert results["single"] == results["bucketed"] == results["auto"]
+    hot = [p for p in results["auto"][0] if p[0] == "-1"][0]
+    assert hot[1] == ev.where(F.col("event_id") % 3 == 0).count()
