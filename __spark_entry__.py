@@ -262,6 +262,17 @@ def q_user_totals(spark, sf):
     return _norm(a.core_profiles.select("user_id", "events", "sessions", "first_seen", "last_seen"))
 
 
+def q_user_profile(spark, sf):
+    """U4: the per-user profile, its maps exploded (one row per family and attribute)."""
+    a = _an(spark, sf, "customer")
+    base = a.profiles.select("user_id", "events", "sessions", "first_seen", "last_seen", "family_counts", "attrs")
+    fams = base.select("user_id", "events", "sessions", "first_seen", "last_seen",
+                       F.lit("family").alias("kind"), F.explode("family_counts").alias("key", "n"))
+    attrs = base.select("user_id", "events", "sessions", "first_seen", "last_seen",
+                        F.lit("attr").alias("kind"), F.explode("attrs").alias("key", "value"))
+    return _norm(fams.select("*", F.col("n").cast("string").alias("value")).drop("n").unionByName(attrs))
+
+
 def q_user_cap(spark, sf):
     a = _an(spark, sf, "named", max_users=100)
     return _norm(a.core_profiles.select("user_id", "events", "sessions"))

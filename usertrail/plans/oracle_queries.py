@@ -256,6 +256,12 @@ ORACLE["list_users_filtered"] = _LIST_BASE + f"""
 SELECT {_LIST_COLS} FROM pr JOIN pw USING (user_id) WHERE pr.user_id IN (SELECT user_id FROM cm)
 ORDER BY pr.events DESC, pr.user_id LIMIT 50"""
 
+ORACLE["user_profile"] = _LIST_BASE + f"""
+SELECT {_PROFILE_COLS}, 'family' AS kind, family AS key, CAST(count(*) AS VARCHAR) AS value
+FROM fe JOIN pr USING (user_id) GROUP BY ALL
+UNION ALL
+SELECT {_PROFILE_COLS}, 'attr', ua.key, ua.value FROM pr JOIN ua USING (user_id) WHERE ua.value IS NOT NULL"""
+
 ORACLE["profile_all_users"] = _LIST_BASE + f"\nSELECT {_LIST_COLS} FROM pr JOIN pw USING (user_id)"
 
 ORACLE["analyze_user_sessions"] = with_(ev_named(), sessions(30)) + f"""
