@@ -79,11 +79,53 @@ def timeline(events: DataFrame, *, gap_minutes: int = 30, by_column: bool = Fals
         return _bucketed(events, gap_minutes=gap_minutes, by_column=by_column, bucket_seconds=bucket_seconds)
     if not hot_users:
         return _single_window(events, gap_minutes=gap_minutes, by_column=by_column)
+    if not by_column:
+        return _mixed(events, hot_users, gap_minutes=gap_minutes, bucket_seconds=bucket_seconds)
     normal, hot = _split(events, hot_users)
     return _single_window(normal, gap_minutes=gap_minutes, by_column=by_column).unionByName(
         _bucketed(hot, gap_minutes=gap_minutes, by_column=by_column, bucket_seconds=bucket_seconds))
 
 
+def _mixed(events: DataFrame, hot_users, *, gap_minutes: int, bucket_seconds: int) -> DataFrame:
+    """Gap sessions, hot and ordinary users in ONE plan (one scan, one exchange).
+
+    Hot rows are flagged by a broadcast join with the (bounded) hot list and
+    keyed ``(user_id, bucket)``; ordinary rows get a null bucket, so
+    ``(user_id, null)`` is the user's whole history.  The hot users' bucket
+    summary is left-joined on ``(user_id, bucket)`` (null never matches), and
+    one window over ``(user_id, bucket)`` serves both kinds of rows.
+    """
+    gap_us, width = _gap_width(gap_minutes, bucket_seconds)
+    hot = F.broadcast(events.sparkSession.createDataFrame([(str(u), True) for u in hot_users],
+                                                          "user_id string, _hot boolean"))
+    ev = events.where(F.col("user_id").isNotNull()).join(hot, "user_id", "left")
+    ev = ev.withColumn("bucket", F.when(F.col("_hot"), F.expr(f"ts_key div {width}")))
+    summ = _bucket_summary(ev.where(F.col("_hot")), gap_us).select(
+        "user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po")
+    out = ev.join(summ, ["user_id", "bucket"], "left")
+    w = Window.partitionBy("user_id", "bucket").orderBy("ts_key", "ord")
+    out = out.withColumns({
+        "_rn": F.row_number().over(w).cast("long"),
+        "_pk": F.lag("ts_key").over(w),
+        "_pn": F.lag("event_name").over(w),
+    })
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    first = F.col("_rn") == 1
+    plain_start = first | _gap_start(F.col("ts_key"), F.col("_pk"), gap_us)
+    out = out.withColumn("_ps", plain_start)
+    out = out.withColumn("_psn", F.sum(F.col("_ps").cast("long")).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    session_no = F.when(is_hot, F.col("_sno")).otherwise(F.col("_psn"))
+    out = out.withColumns({
+        "pos": F.when(is_hot, F.col("_po") + F.col("_rn")).otherwise(F.col("_rn")),
+        "session_no": session_no,
+        "is_start": F.when(is_hot, first & F.col("_fst")).otherwise(F.col("_ps")),
+        "prev_name": F.when(is_hot & first, F.col("_pln")).otherwise(F.col("_pn")),
+        "prev_ts_key": F.when(is_hot & first, F.col("_plk")).otherwise(F.col("_pk")),
+    }).withColumn("session_id", F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string")))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
 def _single_window(events: DataFrame, *, gap_minutes: int, by_column: bool) -> DataFrame:
     """Ordinary users: one window per user (one shuffle, one sort)."""
     ev = events.where(F.col("user_id").isNotNull())
@@ -251,23 +293,18 @@ def with_runs(tl: DataFrame, paths: str = "mixed") -> DataFrame:
     bucket totals and finish with an in-bucket running sum.
     """
     t = tl.withColumn("_r", (F.col("is_start") | ~F.col("event_name").eqNullSafe(F.col("prev_name"))).cast("long"))
-    if paths == "bucketed":
-        return _bucketed_runs(t)
-    wp = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     if paths == "single":
+        wp = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
         return t.withColumn("run_no", F.sum("_r").over(wp)).drop("_r")
-    plain = t.where(F.col("bucket").isNull()).withColumn("run_no", F.sum("_r").over(wp)).drop("_r")
-    return plain.unionByName(_bucketed_runs(t.where(F.col("bucket").isNotNull())))
-
-
-def _bucketed_runs(t: DataFrame) -> DataFrame:
-    summ = t.groupBy("user_id", "bucket").agg(F.sum("_r").alias("_rt"))
+    # one formula for both kinds of rows: (user, null bucket) is a whole
+    # ordinary user (no offset); hot buckets get offsets from their totals
+    summ = t.where(F.col("bucket").isNotNull()).groupBy("user_id", "bucket").agg(F.sum("_r").alias("_rt"))
     w2 = Window.partitionBy("user_id").orderBy("bucket")
     summ = summ.select("user_id", "bucket", F.coalesce(
         F.sum("_rt").over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ro"))
-    out = t.join(summ, ["user_id", "bucket"], "inner")
+    out = t.join(summ, ["user_id", "bucket"], "left")
     w = Window.partitionBy("user_id", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("run_no", F.col("_ro") + F.sum("_r").over(w))
+    out = out.withColumn("run_no", F.coalesce(F.col("_ro"), F.lit(0)) + F.sum("_r").over(w))
     return out.drop("_r", "_ro")
 
 
