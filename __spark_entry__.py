@@ -24,9 +24,7 @@ from usertrail.operators import insights as INS
 from usertrail.operators import profiles as P
 from usertrail.operators.classify import attribute_domain, props_map
 from usertrail.operators.resolve import resolve_schema
-from usertrail.operators.timeline import sessions_table, timeline
 from usertrail.plans import fixtures as FX
-from usertrail.plans import oracle as O
 from usertrail.plans import queries as Q
 from usertrail.sources.reader import read_events
 
