@@ -67,18 +67,29 @@ class FamilyPlan:
         )
         return F.when(candidate.isin(*self.kept), candidate).otherwise(F.lit(OTHER_FAMILY))
 
-    def apply(self, df: DataFrame, names: DataFrame | None = None, col: str = "family") -> DataFrame:
+    @property
+    def broadcastable(self) -> bool:
+        return not self.disabled and bool(self.kept) and self.n_names <= BROADCAST_MAX_NAMES
+
+    def dimension(self, names: DataFrame) -> DataFrame:
+        """(event_name, family) for every distinct non-null name in ``names``."""
+        return (names.select("event_name").where(F.col("event_name").isNotNull()).distinct()
+                .select("event_name", self.family(F.col("event_name")).alias("family")))
+
+    def apply(self, df: DataFrame, names: DataFrame | None = None, col: str = "family",
+              dim: DataFrame | None = None) -> DataFrame:
         """Add the family column to ``df``.
 
-        ``names`` is a DataFrame holding the event-name column the dimension
-        is derived from (normally the events themselves).
+        ``dim`` is a prepared name dimension; otherwise ``names`` (normally the
+        events themselves) is used to derive one when the checked name count
+        allows a broadcast, else the expression path is taken.
         """
         if self.disabled or not self.kept:
             return df.withColumn(col, F.lit(OTHER_FAMILY))
-        if names is not None and self.n_names <= BROADCAST_MAX_NAMES:
-            dim = (names.select("event_name").where(F.col("event_name").isNotNull()).distinct()
-                   .select("event_name", self.family(F.col("event_name")).alias("_fam")))
-            out = df.join(F.broadcast(dim), "event_name", "left")
+        if dim is None and names is not None and self.broadcastable:
+            dim = self.dimension(names)
+        if dim is not None:
+            out = df.join(F.broadcast(dim.withColumnRenamed("family", "_fam")), "event_name", "left")
             return out.withColumn(col, F.coalesce(F.col("_fam"), F.lit(OTHER_FAMILY))).drop("_fam")
         return df.withColumn(col, self.family(F.col("event_name")))
 

@@ -95,6 +95,13 @@ class Analysis:
         known = self.__dict__.get("n_events")
         return C.classify_columns(self.events, self.schema.extras, n_rows=known)
 
+    @cached_property
+    def family_dim(self) -> DataFrame | None:
+        """The (event_name, family) dimension, written once when it is small
+        enough to broadcast (checked name count); None -> expression path."""
+        plan = self.family_plan
+        return self._gold(plan.dimension(self.events)) if plan.broadcastable else None
+
     @property
     def families(self) -> list[str]:
         return list(self.family_plan.kept) + [OTHER_FAMILY]
@@ -126,7 +133,8 @@ class Analysis:
         for path in self._cache.pop("gold_paths", []):
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
-        for name in ("core_profiles", "attributes", "power", "user_event_counts", "profiles", "n_users"):
+        for name in ("core_profiles", "attributes", "power", "user_event_counts", "profiles", "n_users",
+                     "family_dim", "tl"):
             self.__dict__.pop(name, None)
 
     @cached_property
@@ -157,7 +165,7 @@ class Analysis:
                       by_column=self.by_column, bucket_seconds=self.options.bucket_seconds,
                       hot_users=self.hot_users)
         if with_family:
-            tl = self.family_plan.apply(tl, names=self.capped_events)
+            tl = self.family_plan.apply(tl, dim=self.family_dim)
         if with_props:
             tl = tl.withColumn("props", C.props_map(self.classification.props))
         return tl
@@ -232,7 +240,7 @@ class Analysis:
         }
 
     def with_family(self, df: DataFrame) -> DataFrame:
-        return self.family_plan.apply(df, names=self.events)
+        return self.family_plan.apply(df, dim=self.family_dim)
 
 
 def analyze(spark: SparkSession, source: str | DataFrame, options: Options | None = None,
