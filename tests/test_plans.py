@@ -50,3 +50,10 @@ def test_sessions_for_hot_users_from_summary(spark, events):
     # no event-level window: only the bucket summary is windowed
     assert "partial_count" in plan and "row_number" in plan
     assert "lag(event_name" not in plan
+
+
+def test_single_user_predicate_reaches_the_scan(spark, events):
+    a = analyze(spark, events, Options(order_by="event_id", materialize=False))
+    plan = _plan(a.for_user("7").sessions)
+    assert "EqualTo(user_id,7)" in plan, plan
+    assert a.for_user("7").core_profiles.first()["user_id"] == "7"

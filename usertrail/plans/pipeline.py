@@ -239,6 +239,32 @@ class Analysis:
             "top_events": self.top_events(top_n),
         }
 
+    def for_user(self, user_id: str) -> "Analysis":
+        """A view of one user's history that the Parquet scan can prune.
+
+        ``user_id`` is compared on the normalised (string) id, which Parquet
+        cannot use; an equivalent predicate on the raw, typed column is added
+        so row groups are skipped by their min/max statistics.  Family plan and
+        classification are reused from this analysis (they describe the whole
+        data set); the one-user scan needs no skew handling or gold tables.
+        """
+        from dataclasses import replace
+
+        from pyspark.sql import types as T
+
+        col = self.schema.user_id
+        raw = self.raw
+        dtype = raw.schema[col].dataType
+        if isinstance(dtype, (T.NumericType, T.StringType)):
+            raw = raw.where(F.col(f"`{col}`") == F.lit(str(user_id)).try_cast(dtype))
+        sub = Analysis(self.spark, raw, replace(self.options, skew="single", materialize=False),
+                       self.sniffed)
+        sub.__dict__["family_plan"] = self.family_plan
+        if self.schema.extras:
+            sub.__dict__["classification"] = self.classification
+        sub.__dict__["events"] = sub.events.where(F.col("user_id") == F.lit(str(user_id)))
+        return sub
+
     def with_family(self, df: DataFrame) -> DataFrame:
         return self.family_plan.apply(df, dim=self.family_dim)
 

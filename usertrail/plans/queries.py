@@ -117,29 +117,32 @@ class UserAnalysis:
 def analyze_user(a: Analysis, user_id: str, as_of) -> UserAnalysis:
     """Q2: one user's stats, insights, sessions and event ranking.
 
-    The user filter is on the partition key, so Catalyst pushes it below the
-    session window and the scan; power score still ranks against all users.
+    Per-user parts run on ``a.for_user(uid)``: the predicate reaches the
+    Parquet scan (row-group pruning) and only that user's rows are shuffled.
+    The power score still ranks against all users (gold table).
     """
     uid = str(user_id)
-    prof = a.profiles.where(F.col("user_id") == uid)
-    if prof.select("user_id").limit(1).count() == 0:
+    if a.profiles.where(F.col("user_id") == uid).select("user_id").limit(1).count() == 0:
         raise QueryError(f"User '{uid}' not found")
-    tl = a.tl.where(F.col("user_id") == uid)
+    one = a.for_user(uid)
+    tz = a.options.timezone
+    prof = one.profiles
+    tl = one.tl
     power = a.power.where(F.col("user_id") == uid).select("user_id", "power_score")
-    rec = INS.recency(prof, as_of, a.options.timezone)
-    gap = INS.longest_gap(a.sessions.where(F.col("user_id") == uid), prof)
+    rec = INS.recency(prof, as_of, tz)
+    gap = INS.longest_gap(one.sessions, prof)
     insights = power.join(rec, "user_id").join(gap, "user_id")
-    sessions = (a.sessions.where(F.col("user_id") == uid)
+    sessions = (one.sessions
                 .select("session_no", "session_id",
                         F.coalesce(F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("start"),
                         "n_events"))
-    events = P.session_events(tl, a.options.timezone)
+    events = P.session_events(tl, tz)
     return UserAnalysis(
         stats=prof.select("user_id", "events", "sessions", "first_seen", "last_seen", "attrs"),
         insights=insights,
         top_families=INS.top_families(prof),
-        stuck_signals=INS.stuck_signals(tl, paths=a.paths),
-        family_first_seen=INS.family_first_seen(prof, a.options.timezone),
+        stuck_signals=INS.stuck_signals(tl, paths="single"),
+        family_first_seen=INS.family_first_seen(prof, tz),
         sessions=sessions,
         events=events,
         top_events=user_event_ranking(a, tl).drop("user_id").orderBy(
