@@ -136,3 +136,11 @@ def test_release_deletes_gold_tables(spark, tiny):
     a.release()
     assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
     assert a.core_profiles.count() == before  # recomputed on demand
+
+
+def test_map_extras_and_default_order(spark):
+    df = spark.createDataFrame(
+        [("u1", "2026-01-01 10:00:00", "a_viewed", {"k": 1}), ("u1", "2026-01-01 10:00:00", "b_viewed", {"k": 2})],
+        "user_id string, timestamp string, event_name string, m map<string,int>")
+    a = analyze(spark, df)
+    assert [r["event_name"] for r in a.tl.orderBy("pos").collect()] == ["a_viewed", "b_viewed"]

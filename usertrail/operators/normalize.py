@@ -57,11 +57,19 @@ def parse_timestamp(df: DataFrame, col: str = "ts") -> DataFrame:
     raise SchemaError(f"Unsupported timestamp column type: {dtype.simpleString()}")
 
 
-def default_order(extras: Sequence[str]) -> Column:
+def default_order(extras: Sequence[str], dtypes: dict | None = None) -> Column:
     """D3: deterministic tie-break when no order column is given."""
     if not extras:
         return F.xxhash64(F.lit(0))
-    return F.xxhash64(*[F.col(f"`{c}`") for c in extras])
+    dtypes = dtypes or {}
+
+    def hashable(c: str) -> Column:
+        # maps cannot be hashed directly: hash their JSON text instead
+        if isinstance(dtypes.get(c), T.MapType):
+            return F.to_json(F.col(f"`{c}`"))
+        return F.col(f"`{c}`")
+
+    return F.xxhash64(*[hashable(c) for c in extras])
 
 
 def normalize(df: DataFrame, schema: ResolvedSchema, *, order_by: Sequence[str] | str | None = None,
@@ -88,7 +96,8 @@ def normalize(df: DataFrame, schema: ResolvedSchema, *, order_by: Sequence[str]
         ord_col = F.struct(*[F.col(f"`{c}`") for c in order_by]) if len(order_by) > 1 \
             else F.col(f"`{order_by[0]}`")
     else:
-        ord_col = F.struct(F.col("event_name"), default_order(extras))
+        dtypes = {f.name: f.dataType for f in out.schema.fields}
+        ord_col = F.struct(F.col("event_name"), default_order(extras, dtypes))
 
     head = ["user_id", "ts", "event_name"] + (["session_id"] if schema.session_id else [])
     return out.select(
