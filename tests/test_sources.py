@@ -106,3 +106,11 @@ def test_file_scheme_and_glob(spark, tmp_path):
     _write_tiny(str(p))
     assert read_events(spark, "file://" + str(p)).count() == 20
     assert read_events(spark, str(tmp_path / "part-*.csv")).count() == 20
+
+
+def test_analyze_with_explicit_schema(spark, tmp_path):
+    p = str(tmp_path / "ev.csv")
+    _write_tiny(p)
+    a = analyze(spark, p, schema="user_id string, timestamp timestamp, event_name string")
+    assert a.raw.schema["timestamp"].dataType.simpleString() == "timestamp"
+    assert a.core_profiles.count() == 3

@@ -270,11 +270,15 @@ class Analysis:
 
 
 def analyze(spark: SparkSession, source: str | DataFrame, options: Options | None = None,
-            **kw) -> Analysis:
-    """Resolve the schema of ``source`` (a path or DataFrame) and return lazy tables."""
+            *, schema=None, **kw) -> Analysis:
+    """Resolve the schema of ``source`` (a path or DataFrame) and return lazy tables.
+
+    ``schema`` (DDL string or StructType) is passed to the reader for path
+    sources; at scale always give one for CSV/JSON (inference is a full pass).
+    """
     prepare(spark)
     options = options or Options(**kw)
-    raw = read_events(spark, source) if isinstance(source, str) else source
+    raw = read_events(spark, source, schema=schema) if isinstance(source, str) else source
     sniffed = resolve_schema(raw, user_id=options.user_id, timestamp=options.timestamp,
                              event_name=options.event_name, session_id=options.session_id)
     return Analysis(spark, raw, options, sniffed)
