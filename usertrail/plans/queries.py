@@ -221,7 +221,10 @@ def cohort(a: Analysis, filters: str | Mapping[str, object] | None = None,
 def find_users_by_event(a: Analysis, pattern: str, min_occurrences: int = 1,
                         limit: int = 20) -> tuple[DataFrame, DataFrame]:
     """Q6: users with >= min matching events; returns (page, total_matched)."""
-    occ = a.tl.groupBy("user_id").agg(F.count_if(event_match(pattern)).alias("occurrences"))
+    # from the user x event gold table (every user has a row), not from events
+    gold = a.user_event_counts
+    occ = gold.groupBy("user_id").agg(
+        F.coalesce(F.sum(F.when(event_match(pattern), F.col("count"))), F.lit(0)).alias("occurrences"))
     matched = occ.where(F.col("occurrences") >= int(min_occurrences))
     matched = matched.join(a.profiles.select("user_id", "attrs"), "user_id")
     page = matched.orderBy(F.col("occurrences").desc(), F.col("user_id").asc()).limit(int(limit))
