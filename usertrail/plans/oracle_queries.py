@@ -386,6 +386,10 @@ ORACLE["stream_user_counts"] = f"""
 SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS events, strftime(max(ts), {TS}) AS last_seen
 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"""
 
+ORACLE["stream_totals"] = """
+SELECT count(DISTINCT user_id) AS users, count(*) AS events
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"""
+
 ORACLE["stream_profile_refresh"] = with_(ev_raw(), families()) + f""",
 pf AS (SELECT ev.user_id, coalesce(fd.family, 'other') AS family, ev.ts
        FROM ev LEFT JOIN fd USING (event_name) WHERE ev.user_id IS NOT NULL AND ev.ts IS NOT NULL),

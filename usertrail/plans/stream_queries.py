@@ -86,7 +86,16 @@ def q_stream_column_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return res.where(~F.col("late")).select("user_id", "event_id", "session_no", "session_id")
 
 
+def q_stream_totals(spark: SparkSession, sf: str) -> DataFrame:
+    base, src, per_trigger = _landing(spark, sf)
+    out = L.stream_user_counts(_stream(spark, src, per_trigger))
+    L.run_available_now(out, checkpoint=base + "/ckpt", output_mode="update",
+                        foreach_batch=L.changelog_writer(base + "/log"))
+    return L.live_totals(spark, base + "/log")
+
+
 STREAM_QUERIES = {
+    "stream_totals": q_stream_totals,
     "stream_column_sessions": q_stream_column_sessions,
     "stream_sessions": q_stream_sessions,
     "stream_user_counts": q_stream_user_counts,

@@ -3,6 +3,7 @@
 from usertrail.streaming.live import (
     changelog_writer,
     latest,
+    live_totals,
     read_event_stream,
     run_available_now,
     stream_column_sessions,
@@ -11,5 +12,5 @@ from usertrail.streaming.live import (
     stream_user_counts,
 )
 
-__all__ = ["changelog_writer", "latest", "read_event_stream", "run_available_now", "stream_column_sessions", "stream_profiles",
+__all__ = ["changelog_writer", "latest", "live_totals", "read_event_stream", "run_available_now", "stream_column_sessions", "stream_profiles",
            "stream_sessions", "stream_user_counts"]

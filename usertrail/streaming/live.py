@@ -101,6 +101,16 @@ def latest(spark: SparkSession, path: str, key: str = "user_id") -> DataFrame:
     return newest.select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def live_totals(spark: SparkSession, path: str) -> DataFrame:
+    """T2 totals (users, events) read from the upserted per-user table.
+
+    Streaming aggregations cannot count distinct users exactly; the newest
+    row per user in the changelog can.
+    """
+    cur = latest(spark, path)
+    return cur.agg(F.count(F.lit(1)).alias("users"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
+
+
 def run_available_now(df: DataFrame, *, checkpoint: str, output_mode: str, sink_path: str | None = None,
                       foreach_batch=None, fmt: str = "parquet"):
     """Run a streaming query over everything available now and wait for it."""
