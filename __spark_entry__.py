@@ -443,12 +443,12 @@ def q_profile_all_users(spark, sf):
 
 def q_activity_heatmap(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(FL.activity_heatmap(a.tl))
+    return _norm(FL.activity_heatmap(a.tl, families=a.families))
 
 
 def q_heatmap_one_event(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(FL.activity_heatmap(a.tl, "purchase_viewed"))
+    return _norm(FL.activity_heatmap(a.tl, "purchase_viewed", families=a.families))
 
 
 def q_transitions(spark, sf):

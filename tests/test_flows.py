@@ -23,9 +23,11 @@ def test_next_event_step(spark, tiny):
 
 def test_heatmap_and_composition(spark, tiny):
     a = analyze(spark, tiny)
-    hm = {(r["user_id"], r["day"]): (r["events"], r["dominant_family"]) for r in FL.activity_heatmap(a.tl).collect()}
-    assert hm[("101", "2026-04-01")] == (5, "view")
-    assert hm[("101", "2026-04-02")] == (2, "close")  # tie view/close -> alphabetical
+    for fams in (None, a.families):
+        hm = {(r["user_id"], r["day"]): (r["events"], r["dominant_family"])
+              for r in FL.activity_heatmap(a.tl, families=fams).collect()}
+        assert hm[("101", "2026-04-01")] == (5, "view")
+        assert hm[("101", "2026-04-02")] == (2, "close")  # tie view/close -> alphabetical
     comp = {(r["user_id"], r["family"]): r["share"] for r in FL.composition(a.core_profiles).collect()}
     assert abs(comp[("103", "view")] - 0.75) < 1e-12
     idx = {(r["user_id"], r["family"]): r["index"] for r in FL.cohort_index(a.core_profiles).collect()}

@@ -16,16 +16,30 @@ from pyspark.sql import functions as F
 from usertrail.functions.timefmt import local_date
 
 
-def activity_heatmap(tl: DataFrame, event_name: str | None = None, tz: str | None = None) -> DataFrame:
-    """V1/V2: per user and day, event count and dominant family (ties alphabetical)."""
+def activity_heatmap(tl: DataFrame, event_name: str | None = None, tz: str | None = None,
+                     families: Sequence[str] | None = None) -> DataFrame:
+    """V1/V2: per user and day, event count and dominant family (ties alphabetical).
+
+    With the (bounded, <= 13) family list the choice is a hash aggregate:
+    ``count * 16 + (15 - alphabetical index)`` packs count and tie-break into
+    one long, so ``max`` picks the winner.  Without it a ``min_by`` is used.
+    """
     src = tl.where(F.col("event_name") == F.lit(event_name)) if event_name is not None else tl
     src = src.where(F.col("ts").isNotNull())
     per_fam = src.groupBy("user_id", local_date(F.col("ts"), tz).alias("day"), "family") \
         .agg(F.count(F.lit(1)).alias("n"))
-    return per_fam.groupBy("user_id", "day").agg(
-        F.sum("n").alias("events"),
-        F.min_by("family", F.struct((-F.col("n")).alias("neg_n"), F.col("family"))).alias("dominant_family"),
-    ).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "events", "dominant_family")
+    names = sorted(set(families)) if families is not None else None
+    if names is not None and len(names) <= 15:
+        index = F.create_map(*[x for i, f in enumerate(names) for x in (F.lit(f), F.lit(i))])
+        packed = F.col("n") * 16 + (F.lit(15) - F.element_at(index, F.col("family")))
+        best = per_fam.groupBy("user_id", "day").agg(F.sum("n").alias("events"), F.max(packed).alias("_p"))
+        decode = F.element_at(F.array(*[F.lit(f) for f in names]), (F.lit(15) - F.col("_p") % 16 + 1).cast("int"))
+        out = best.withColumn("dominant_family", decode)
+    else:
+        out = per_fam.groupBy("user_id", "day").agg(
+            F.sum("n").alias("events"),
+            F.min_by("family", F.struct((-F.col("n")).alias("neg_n"), F.col("family"))).alias("dominant_family"))
+    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "events", "dominant_family")
 
 
 def transition_pairs(tl: DataFrame) -> DataFrame:
