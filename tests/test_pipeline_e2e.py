@@ -144,3 +144,18 @@ def test_map_extras_and_default_order(spark):
         "user_id string, timestamp string, event_name string, m map<string,int>")
     a = analyze(spark, df)
     assert [r["event_name"] for r in a.tl.orderBy("pos").collect()] == ["a_viewed", "b_viewed"]
+
+
+def test_varying_prefixed_attribute_takes_first_value_in_time(spark):
+    rows = [("u1", "2026-01-01 10:05:00", "x_viewed", "late", "PL"),
+            ("u1", "2026-01-01 10:00:00", "x_viewed", None, "PL"),
+            ("u1", "2026-01-01 10:01:00", "x_viewed", "early", "PL"),
+            ("u2", "2026-01-01 10:00:00", "x_viewed", "only", None)]
+    df = spark.createDataFrame(rows, "user_id string, timestamp string, event_name string, "
+                                     "user_tier string, user_country string")
+    a = analyze(spark, df)
+    assert set(a.classification.attrs) == {"user_tier", "user_country"}
+    assert not a.classification.constant_per_user["user_tier"]
+    prof = _by_user(a.profiles)
+    assert dict(prof["u1"]["attrs"]) == {"user_tier": "early", "user_country": "PL"}
+    assert dict(prof["u2"]["attrs"]) == {"user_tier": "only"}

@@ -65,17 +65,34 @@ def user_profile(tl: DataFrame, families: Sequence[str], tz: str | None = None)
     )
 
 
-def user_attributes(events: DataFrame, attrs: Sequence[str]) -> DataFrame:
+def user_attributes(events: DataFrame, attrs: Sequence[str], constant: Sequence[str] = ()) -> DataFrame:
     """Per-user attribute map (first non-null value in time order).
 
-    Kept apart from ``user_profile``: string-valued ``min_by`` buffers force
-    sort-based aggregation, which should not drag the wide numeric profile
-    aggregation along.  Both sides are hash-partitioned on ``user_id``, so
-    joining them adds no shuffle.
+    ``constant`` names attributes proven constant per user (C4): any non-null
+    value is the first, so their values become *grouping keys* of a
+    map-side hash aggregation ``(user, values...) -> count``; a second, small
+    aggregation over those distinct combinations picks the non-null value.
+    Only attributes that may vary (prefix-named) need the time-ordered
+    ``min_by``, whose string buffer makes that (separate) aggregate
+    sort-based.  Both sides end hash-partitioned on ``user_id``.
     """
     ev = events.where(F.col("user_id").isNotNull())
-    g = ev.groupBy("user_id").agg(*[first_attr_value(a).alias(f"_a{j}") for j, a in enumerate(attrs)])
-    return g.select("user_id", attrs_map({a: F.col(f"_a{j}") for j, a in enumerate(attrs)}).alias("attrs"))
+    const = [a for a in attrs if a in set(constant)]
+    varying = [a for a in attrs if a not in set(constant)]
+    values: dict[str, Column] = {}
+    parts: list[DataFrame] = []
+    if const:
+        keys = [F.col(f"`{a}`").cast("string").alias(f"_c{j}") for j, a in enumerate(const)]
+        combos = ev.groupBy("user_id", *keys).agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(combos.groupBy("user_id").agg(*[F.max(f"_c{j}").alias(f"_c{j}") for j in range(len(const))]))
+        values.update({a: F.col(f"_c{j}") for j, a in enumerate(const)})
+    if varying:
+        parts.append(ev.groupBy("user_id").agg(
+            *[first_attr_value(a).alias(f"_v{j}") for j, a in enumerate(varying)]))
+        values.update({a: F.col(f"_v{j}") for j, a in enumerate(varying)})
+    g = parts[0] if len(parts) == 1 else parts[0].join(parts[1], "user_id", "full")
+    ordered = {a: values[a] for a in attrs}
+    return g.select("user_id", attrs_map(ordered).alias("attrs"))
 
 
 def with_attributes(core: DataFrame, attributes: DataFrame | None) -> DataFrame:

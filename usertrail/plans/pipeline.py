@@ -192,8 +192,11 @@ class Analysis:
 
     @cached_property
     def attributes(self) -> DataFrame | None:
-        attrs = self.classification.attrs
-        return self._gold(P.user_attributes(self.capped_events, attrs)) if attrs else None
+        cls = self.classification
+        if not cls.attrs:
+            return None
+        constant = [a for a in cls.attrs if cls.constant_per_user.get(a)]
+        return self._gold(P.user_attributes(self.capped_events, cls.attrs, constant))
 
     @cached_property
     def profiles(self) -> DataFrame:
