@@ -148,9 +148,11 @@ def test_map_extras_and_default_order(spark):
 
 def test_varying_prefixed_attribute_takes_first_value_in_time(spark):
     rows = [("u1", "2026-01-01 10:05:00", "x_viewed", "late", "PL"),
+            ("u1", "2026-01-01 10:06:00", "x_viewed", "late", "PL"),
+            ("u1", "2026-01-01 10:07:00", "x_viewed", "late", "PL"),
             ("u1", "2026-01-01 10:00:00", "x_viewed", None, "PL"),
-            ("u1", "2026-01-01 10:01:00", "x_viewed", "early", "PL"),
-            ("u2", "2026-01-01 10:00:00", "x_viewed", "only", None)]
+            ("u1", "2026-01-01 10:01:00", "x_viewed", "early", "PL")] + \
+           [("u2", f"2026-01-01 10:0{i}:00", "x_viewed", "only", None) for i in range(5)]
     df = spark.createDataFrame(rows, "user_id string, timestamp string, event_name string, "
                                      "user_tier string, user_country string")
     a = analyze(spark, df)
