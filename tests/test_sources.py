@@ -114,3 +114,11 @@ def test_analyze_with_explicit_schema(spark, tmp_path):
     a = analyze(spark, p, schema="user_id string, timestamp timestamp, event_name string")
     assert a.raw.schema["timestamp"].dataType.simpleString() == "timestamp"
     assert a.core_profiles.count() == 3
+
+
+def test_d6_float_epochs(spark):
+    df = spark.createDataFrame([("u", 1775034000.5, "e"), ("u", 1775034060.0, "e")],
+                               "user_id string, timestamp double, event_name string")
+    a = analyze(spark, df, Options())
+    r = a.core_profiles.first()
+    assert (r["first_seen"], r["last_seen"], r["sessions"]) == ("2026-04-01 09:00:00", "2026-04-01 09:01:00", 1)
