@@ -300,7 +300,7 @@ def q_recency(spark, sf):
 
 def q_longest_gap(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(INS.longest_gap(a.sessions, a.core_profiles))
+    return _norm(a.longest_gap())
 
 
 def q_power_score(spark, sf):

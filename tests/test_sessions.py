@@ -133,6 +133,19 @@ def test_skew_safe_scan_matches_brute_force(spark, seed, gap, bucket, skew):
         per_session.setdefault((u, got[i][0]), []).append(ts)
     sess = {(r["user_id"], r["session_no"]): r["n_events"] for r in a.sessions.collect()}
     assert sess == {k: len(v) for k, v in per_session.items()}
+    # I3 from the profile: whole days between consecutive session starts
+    # (first known time of each session, second precision)
+    starts = {}
+    for (u, sno), tss in per_session.items():
+        known = [t for t in tss if t is not None]
+        if known:
+            starts.setdefault(u, []).append((sno, min(known)))
+    want = {}
+    for u in {r[0] for r in rows}:
+        seq = [int(t.timestamp()) for _, t in sorted(starts.get(u, []))]
+        want[u] = max([(b - a) // 86400 for a, b in zip(seq, seq[1:])], default=0)
+    got_gap = {r["user_id"]: r["longest_gap_days"] for r in a.longest_gap().collect()}
+    assert got_gap == want
 
 
 def test_column_mode_matches_brute_force(spark):

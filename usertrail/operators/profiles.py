@@ -23,13 +23,17 @@ def _fam_key(i: int) -> str:
     return f"_f{i}"
 
 
-def user_profile(tl: DataFrame, families: Sequence[str], tz: str | None = None) -> DataFrame:
+def user_profile(tl: DataFrame, families: Sequence[str], tz: str | None = None,
+                 with_gap: bool = False) -> DataFrame:
     """U1/U2/U4 core (+ the per-family inputs of I5 and I7), no attributes.
 
     ``tl`` is the timeline with a ``family`` column.  ``families`` is the
     bounded list of possible family values (kept families + ``other``).
     All aggregates have fixed-width buffers, so Spark uses hash aggregation
-    with map-side partial aggregation.
+    with map-side partial aggregation.  ``with_gap`` adds I3
+    (``longest_gap_days``) from the timeline's ``prev_start_key`` -- whole
+    days between consecutive session starts at second precision -- so the
+    insight needs no join of the sessions table with itself.
     """
     fams = list(dict.fromkeys(list(families) + [OTHER_FAMILY]))
     aggs: list[Column] = [
@@ -45,6 +49,9 @@ def user_profile(tl: DataFrame, families: Sequence[str], tz: str | None = None)
             F.min(F.when(hit, F.col("pos"))).alias(f"{_fam_key(i)}_p"),
             F.min(F.when(hit, F.col("ts"))).alias(f"{_fam_key(i)}_t"),
         ]
+    if with_gap:
+        gap = F.floor((F.expr("ts_key div 1000000") - F.expr("prev_start_key div 1000000")) / 86400)
+        aggs.append(F.max(gap).cast("long").alias("_gap"))
     g = tl.groupBy("user_id").agg(*aggs)
 
     stats = F.filter(
@@ -62,6 +69,7 @@ def user_profile(tl: DataFrame, families: Sequence[str], tz: str | None = None)
         fmt_ts(F.col("last_ts"), tz).alias("last_seen"),
         counts.alias("family_counts"),
         stats.alias("family_stats"),
+        *([F.coalesce(F.col("_gap"), F.lit(0)).alias("longest_gap_days")] if with_gap else []),
     )
 
 

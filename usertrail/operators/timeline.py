@@ -101,7 +101,7 @@ def _mixed(events: DataFrame, hot_users, *, gap_minutes: int, bucket_seconds: in
     ev = events.where(F.col("user_id").isNotNull()).join(hot, "user_id", "left")
     ev = ev.withColumn("bucket", F.when(F.col("_hot"), F.expr(f"ts_key div {width}")))
     summ = _bucket_summary(ev.where(F.col("_hot")), gap_us).select(
-        "user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po")
+        "user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po", "_pss")
     out = ev.join(summ, ["user_id", "bucket"], "left")
     w = Window.partitionBy("user_id", "bucket").orderBy("ts_key", "ord")
     out = out.withColumns({
@@ -115,6 +115,7 @@ def _mixed(events: DataFrame, hot_users, *, gap_minutes: int, bucket_seconds: in
     out = out.withColumn("_ps", plain_start)
     out = out.withColumn("_psn", F.sum(F.col("_ps").cast("long")).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.withColumn("_pst", _prev_start(F.col("_ps"), ~first, w))
     session_no = F.when(is_hot, F.col("_sno")).otherwise(F.col("_psn"))
     out = out.withColumns({
         "pos": F.when(is_hot, F.col("_po") + F.col("_rn")).otherwise(F.col("_rn")),
@@ -122,6 +123,8 @@ def _mixed(events: DataFrame, hot_users, *, gap_minutes: int, bucket_seconds: in
         "is_start": F.when(is_hot, first & F.col("_fst")).otherwise(F.col("_ps")),
         "prev_name": F.when(is_hot & first, F.col("_pln")).otherwise(F.col("_pn")),
         "prev_ts_key": F.when(is_hot & first, F.col("_plk")).otherwise(F.col("_pk")),
+        "prev_start_key": F.when(is_hot, F.when(first & (F.col("ts_key") != F.lit(NULL_TS_KEY)), F.col("_pss")))
+        .otherwise(F.col("_pst")),
     }).withColumn("session_id", F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string")))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
@@ -145,17 +148,36 @@ def _single_window(events: DataFrame, *, gap_minutes: int, by_column: bool) -> D
     ev = ev.withColumn("is_start", start)
     ev = ev.withColumn("session_no", F.sum(F.col("is_start").cast("long")).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if by_column:
+        ev = ev.withColumn("prev_start_key", F.lit(None).cast("long"))
+    else:
+        ev = ev.withColumn("prev_start_key", _prev_start(F.col("is_start"), F.col("pos") > 1, w))
     sid = F.col("_sv") if by_column else F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string"))
     ev = ev.withColumn("session_id", sid).withColumn("bucket", F.lit(None).cast("long"))
     return ev.drop(*[c for c in ev.columns if c.startswith("_")])
 
 
+def _known(key):
+    return F.when(key != F.lit(NULL_TS_KEY), key)
+
+
+def _prev_start(is_start, not_first, w):
+    """On a session's first row (not the user's first): the previous session's
+    start = its first known time (D11).  Running ``last``/``first`` over the
+    same ordered window: no extra shuffle or sort."""
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last_start = F.last(F.when(is_start, F.col("ts_key")), ignorenulls=True).over(before)
+    first_known = F.first(_known(F.col("ts_key")), ignorenulls=True).over(before)
+    prev = F.when(last_start == F.lit(NULL_TS_KEY), first_known).otherwise(last_start)
+    return F.when(is_start & not_first & (F.col("ts_key") != F.lit(NULL_TS_KEY)), prev)
+
+
 def _bucketed(events: DataFrame, *, gap_minutes: int, by_column: bool, bucket_seconds: int) -> DataFrame:
     if by_column:
         return _column_timeline(events, bucket_seconds)
     gap_us, width = _gap_width(gap_minutes, bucket_seconds)
     ev = _with_bucket(events, width)
-    summ = _bucket_summary(ev, gap_us).select("user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po")
+    summ = _bucket_summary(ev, gap_us).select("user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po", "_pss")
 
     # Stitch: the only shuffle of event rows is on (user_id, bucket).
     out = ev.join(summ, ["user_id", "bucket"], "inner")
@@ -172,6 +194,7 @@ def _bucketed(events: DataFrame, *, gap_minutes: int, by_column: bool, bucket_se
         "is_start": first & F.col("_fst"),
         "prev_name": F.when(first, F.col("_pln")).otherwise(F.col("_pn")),
         "prev_ts_key": F.when(first, F.col("_plk")).otherwise(F.col("_pk")),
+        "prev_start_key": F.when(first & (F.col("ts_key") != F.lit(NULL_TS_KEY)), F.col("_pss")),
     }).withColumn("session_id", F.concat(F.col("user_id"), F.lit("_s"), F.col("session_no").cast("string")))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
@@ -203,9 +226,14 @@ def _bucket_summary(ev: DataFrame, gap_us: int) -> DataFrame:
         "_first": F.row_number().over(w2) == 1,
     })
     summ = summ.withColumn("_fst", F.col("_first") | _gap_start(F.col("_fk"), F.col("_plk"), gap_us))
+    before = w2.rowsBetween(Window.unboundedPreceding, -1)
+    last_start = F.last(F.when(F.col("_fst"), F.col("_fk")), ignorenulls=True).over(before)
+    first_known = F.first(F.col("_fkn"), ignorenulls=True).over(before)
     return summ.withColumns({
         "_sno": F.sum(F.col("_fst").cast("long")).over(w2.rowsBetween(Window.unboundedPreceding, 0)),
-        "_po": F.coalesce(F.sum("_n").over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_po": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+        "_pss": F.when(F.col("_fst") & ~F.col("_first"),
+                       F.when(last_start == F.lit(NULL_TS_KEY), first_known).otherwise(last_start)),
     })
 
 
@@ -279,6 +307,7 @@ def _column_timeline(events: DataFrame, bucket_seconds: int) -> DataFrame:
         "prev_name": F.when(first, F.col("_pln")).otherwise(F.col("_pn")),
         "prev_ts_key": F.when(first, F.col("_plk")).otherwise(F.col("_pk")),
         "session_id": F.col("_sv"),
+        "prev_start_key": F.lit(None).cast("long"),
     })
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 

@@ -188,7 +188,8 @@ class Analysis:
     @cached_property
     def core_profiles(self) -> DataFrame:
         """Profiles without attributes (no classification job needed)."""
-        return self._gold(P.user_profile(self.tl, self.families, tz=self.options.timezone))
+        return self._gold(P.user_profile(self.tl, self.families, tz=self.options.timezone,
+                                         with_gap=not self.by_column))
 
     @cached_property
     def attributes(self) -> DataFrame | None:
@@ -207,6 +208,13 @@ class Analysis:
     def profiles_without_attrs(self) -> DataFrame:
         return self.core_profiles
 
+    def longest_gap(self) -> DataFrame:
+        """I3 per user: from the profile (gap sessions) or, for column
+        sessions, from consecutive rows of the sessions table."""
+        if "longest_gap_days" in self.core_profiles.columns:
+            return self.core_profiles.select("user_id", "longest_gap_days")
+        return INS.longest_gap(self.sessions, self.core_profiles)
+
     @cached_property
     def power(self) -> DataFrame:
         return self._gold(INS.power_scores(self.core_profiles))

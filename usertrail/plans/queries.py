@@ -130,7 +130,7 @@ def analyze_user(a: Analysis, user_id: str, as_of) -> UserAnalysis:
     tl = one.tl
     power = a.power.where(F.col("user_id") == uid).select("user_id", "power_score")
     rec = INS.recency(prof, as_of, tz)
-    gap = INS.longest_gap(one.sessions, prof)
+    gap = one.longest_gap()
     insights = power.join(rec, "user_id").join(gap, "user_id")
     sessions = (one.sessions
                 .select("session_no", "session_id",
