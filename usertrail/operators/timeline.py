@@ -322,8 +322,10 @@ def with_runs(tl: DataFrame, paths: str = "mixed") -> DataFrame:
     bucket totals and finish with an in-bucket running sum.
     """
     t = tl.withColumn("_r", (F.col("is_start") | ~F.col("event_name").eqNullSafe(F.col("prev_name"))).cast("long"))
+    # (ts_key, ord) is the timeline's own order (pos follows it), so the run
+    # windows reuse the existing sort instead of re-sorting by pos
     if paths == "single":
-        wp = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        wp = Window.partitionBy("user_id").orderBy("ts_key", "ord").rowsBetween(Window.unboundedPreceding, 0)
         return t.withColumn("run_no", F.sum("_r").over(wp)).drop("_r")
     # one formula for both kinds of rows: (user, null bucket) is a whole
     # ordinary user (no offset); hot buckets get offsets from their totals
@@ -332,7 +334,7 @@ def with_runs(tl: DataFrame, paths: str = "mixed") -> DataFrame:
     summ = summ.select("user_id", "bucket", F.coalesce(
         F.sum("_rt").over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ro"))
     out = t.join(summ, ["user_id", "bucket"], "left")
-    w = Window.partitionBy("user_id", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("user_id", "bucket").orderBy("ts_key", "ord").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("run_no", F.coalesce(F.col("_ro"), F.lit(0)) + F.sum("_r").over(w))
     return out.drop("_r", "_ro")
 
