@@ -97,10 +97,14 @@ class Analysis:
 
     @cached_property
     def family_dim(self) -> DataFrame | None:
-        """The (event_name, family) dimension, written once when it is small
-        enough to broadcast (checked name count); None -> expression path."""
+        """The (event_name, family) dimension when it is small enough to
+        broadcast (checked name count); None -> expression path.
+
+        Kept lazy: as the build side of a broadcast join its narrow scan runs
+        concurrently with the main scan inside the same job (writing it as a
+        separate gold table measured slower: one more serial job)."""
         plan = self.family_plan
-        return self._gold(plan.dimension(self.events)) if plan.broadcastable else None
+        return plan.dimension(self.events) if plan.broadcastable else None
 
     @property
     def families(self) -> list[str]:
