@@ -7,7 +7,8 @@ Hot keys are split from the rest (``hot_users``):
 * hot users (a bot, an anonymous id, possibly a third of all rows) take a
   two-level scan keyed by ``(user_id, bucket)``, so no single user is ever one
   window partition.  Both paths are exact: which users are "hot" only
-  changes speed, never results.
+  changes speed, never results.  For gap sessions both kinds of users run in
+  one plan (``_mixed``): one scan, one exchange of event rows.
 
 The two-level scan.  ``bucket`` is a fixed-width time slice:
 
@@ -35,6 +36,8 @@ single-window rows):
 ``is_start``     row opens a session
 ``prev_name``    previous event name of the same user (null on the first)
 ``prev_ts_key``  previous row's time key
+``prev_start_key`` on a session's first row: the previous session's start
+                 (first known time; gap mode), feeding the longest-gap insight
 """
 
 from __future__ import annotations
