@@ -92,3 +92,16 @@ def test_quick_report(a_tiny):
     assert [r["user_id"] for r in users.collect()] == ["102", "101", "103"]
     assert events.first()["name"] == "page_viewed"
     assert totals.first()["total_events"] == 20
+
+
+def test_for_user_view_matches_full_analysis(spark, a_tiny):
+    full = {r["user_id"]: r for r in a_tiny.core_profiles.collect()}
+    for uid in ("101", "102", "103"):
+        one = a_tiny.for_user(uid).core_profiles.collect()
+        assert len(one) == 1
+        r = one[0]
+        f = full[uid]
+        assert (r["events"], r["sessions"], r["first_seen"], r["last_seen"], dict(r["family_counts"]),
+                r["longest_gap_days"]) == (f["events"], f["sessions"], f["first_seen"], f["last_seen"],
+                                           dict(f["family_counts"]), f["longest_gap_days"])
+    assert a_tiny.for_user("nobody").core_profiles.count() == 0
