@@ -9,9 +9,15 @@ parquet views; column names and integer types match the Spark side.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Callable
 
+# the package lives next to this file; make it importable however this file is loaded
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
