@@ -15,7 +15,8 @@ def test_entry_runs(spark):
 
 def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) == set(E.oracle_sql())
+    own = {q for q in E.queries() if q not in E._corpus()[0]}
+    assert own <= set(E.oracle_sql())
 
 
 def _duck(sf):
