@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import token_store
+from usertrail.llm import secret_owners, span_hash, token_store
 from usertrail.llm.common import scratch, table
 
 
@@ -22,5 +22,14 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", "ids_crc32")
 
 
+def op6_span_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_owners.scan(table(spark, sf_dir, "documents"))
+    return secret_owners.judge(scanned).withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.startswith("op")}
 ORACLE: dict[str, str] = {}
