@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import secret_owners, span_hash, token_store
+from usertrail.llm import ecoc_langid, quality_qda, secret_owners, span_hash, token_store
 from usertrail.llm.common import scratch, table
 
 
@@ -22,10 +22,29 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", "ids_crc32")
 
 
+def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = quality_qda.featurise(table(spark, sf_dir, "documents"))
+    fold = ecoc_langid.fold
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = quality_qda.score(features, quality_qda.learn(features, labels))
+    return scored.select(F.col("key").alias("doc_id"), (fold("key", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_span_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_hash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = ecoc_langid.fold("doc_id", 4) == 2
+    model = ecoc_langid.train(docs.where(~held_out))
+    found = ecoc_langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")).select(
+        "doc_id", "held_out", "text"), model)
+    return found.select("doc.doc_id", "doc.held_out", F.col("lang_id.lang").alias("lang_pred"),
+                        F.col("lang_id.score").alias("score"), F.col("lang_id.ambiguous").alias("ambiguous"))
+
+
 def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_owners.scan(table(spark, sf_dir, "documents"))
     return secret_owners.judge(scanned).withColumnRenamed("key", "doc_id")
