@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import ecoc_langid, quality_qda, secret_owners, span_hash, token_store
+from usertrail.llm import ecoc_langid, phrase_index, quality_qda, secret_owners, span_hash, token_store
 from usertrail.llm.common import scratch, table
 
 
@@ -45,10 +45,36 @@ def op7_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("lang_id.score").alias("score"), F.col("lang_id.ambiguous").alias("ambiguous"))
 
 
+def op8_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = phrase_index.build_index(table(spark, sf_dir, "documents"))
+    return phrase_index.digest(phrase_index.find(index, table(spark, sf_dir, "benchmark")))
+
+
 def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_owners.scan(table(spark, sf_dir, "documents"))
     return secret_owners.judge(scanned).withColumnRenamed("key", "doc_id")
 
 
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.startswith("op")}
-ORACLE: dict[str, str] = {}
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op8_phrase_index": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS.format("text")} AS w FROM benchmark),
+i AS (SELECT DISTINCT item, list_slice(w, s, s + least(10, len(w)) - 1) AS g
+      FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(g) AS n FROM i),
+g AS (SELECT r, s, n, list_slice(w, s, s + n - 1) AS g
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT g.r, g.s, g.n, i.item FROM g JOIN i ON g.g = i.g),
+n_hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.items, '')) AS items_sha256,
+       coalesce(n_hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)""",
+}
