@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import ecoc_langid, phrase_index, quality_qda, secret_owners, span_hash, token_store
+from usertrail.llm import bag_minhash, ecoc_langid, phrase_index, quality_qda, secret_owners, span_hash, token_store
 from usertrail.llm.common import scratch, table
 
 
@@ -50,6 +50,11 @@ def op8_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.digest(phrase_index.find(index, table(spark, sf_dir, "benchmark")))
 
 
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", (F.col("key") == F.col("class_id")).alias("kept"))
+
+
 def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_owners.scan(table(spark, sf_dir, "documents"))
     return secret_owners.judge(scanned).withColumnRenamed("key", "doc_id")
