@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -16,14 +18,28 @@ TEXTS = ["", "plain words, plain words.", "two  blanks\n\n\tand tabs \n", "it's
          "a<|endoftext|>b", "\x1c odd \x85 space　end ", "x" * 5000 + " y" * 3000]
 
 
-def plain(text):
+@cache
+def library():
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(PATH)
+
+
+def plain(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_encoder_equals_library():
-    got = S.Encoder(PATH)(TEXTS)
-    assert [np.frombuffer(x, "<u4").tolist() + [2] for x in got] == [plain(t) for t in TEXTS]
+    enc = S.Encoder(PATH)
+    for _ in range(2):  # with new and with known words
+        assert [np.frombuffer(x, enc.dtype).tolist() + [2] for x in enc(TEXTS)] == [plain(t) for t in TEXTS]
+
+
+def test_encoder_equals_library_on_random_texts():
+    rng = random.Random(5)
+    signs = "ab Zé.,!?'\n\t\xa0 \u20281½²Ⅷ東🙂_#  "
+    batch = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(800)]
+    got = S.Encoder(PATH)(batch)
+    assert [np.frombuffer(x, "<u2").tolist() + [2] for x in got] == [plain(t) for t in batch]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])

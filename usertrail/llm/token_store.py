@@ -2,7 +2,8 @@
 
 ``write_store`` sorts the documents by key into ranges, encodes each text and
 writes one file a range: ``shards/000000.bin`` holds the ids as little-endian
-unsigned 32-bit integers, and nothing else.  ``build_index`` maps each key to
+unsigned integers, and nothing else: of 16 bits where the vocabulary has no
+higher id, else of 32 (``id_bytes`` of the entries).  ``build_index`` maps each key to
 (shard, offset, length): keys fall into buckets by hash, and every bucket file
 ``index/000000.bin`` holds a minimal perfect hash function of its keys (bit
 arrays level by level, each key in the first level where it is alone; Limasset
@@ -23,6 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,53 +42,97 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file of the tokenizers library.
+    """Ids of whole texts by a byte-level BPE file of the tokenizers library, as packed integers.
 
     The pre-tokenizer never joins text over the units cut here (white space goes
     by itself, one blank goes with what follows), so a unit's ids do not depend
-    on its neighbours and are remembered, up to ``most`` units.  Units not yet
-    known are encoded together, in one call for a batch of texts.
+    on its neighbours and are remembered, up to ``most`` of them.  Words that are
+    not yet known go to the library together, as one text of words behind blanks:
+    only the first id of a word can start with the blank, which tells them apart.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.lib, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.lib, self.most = Tokenizer.from_file(path), most
+        self.units, self.words = {"": b""}, {}  # ids of a unit as it stands, and of a word behind a blank
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.units = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-        self.tail = re.compile(r"( ?[^\W\d_]+)([.,:;!?]+)")
-
-    def _learn(self, units: set[str]) -> None:
-        known, split = self.known, {}
-        ask = set()
-        for u in units:
-            m = self.tail.fullmatch(u)
-            if m:
-                split[u] = m.groups()
-                ask.update(p for p in m.groups() if p not in known)
-            else:
-                ask.add(u)
-        ask = list(ask)
-        if ask:
-            got = self.lib.encode(ask, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(got.ids, "<u4")
-            ends = np.searchsorted(np.asarray(got.word_ids), np.arange(len(ask) + 1))
-            raw = ids.tobytes()
-            for u, a, b in zip(ask, (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist()):
-                known[u] = raw[a:b]
-        for u, (a, b) in split.items():
-            known[u] = known[a] + known[b]
+        vocabulary = self.lib.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, number in vocabulary.items():
+            self.starts[number] = token.startswith("\u0120")
+        self.cut = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+        self.odd = ["  ", " \n", "\n ", "\n\n", *(c for c in _SPACE if c not in " \n")]
+
+    def _encode_units(self, units: list[str]) -> None:
+        if units:
+            got = self.lib.encode(units, is_pretokenized=True, add_special_tokens=False)
+            raw = np.asarray(got.ids, self.dtype).tobytes()
+            ends = np.searchsorted(np.asarray(got.word_ids), np.arange(len(units) + 1)) * self.dtype.itemsize
+            for u, a, b in zip(units, ends[:-1].tolist(), ends[1:].tolist()):
+                self.units[u] = raw[a:b]
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words without white space, each behind one blank; 1000 to a text."""
+        parts = [words[k:k + 1000] for k in range(0, len(words), 1000)]
+        for part, got in zip(parts, self.lib.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.asarray(got.ids, self.dtype)
+            at = np.append(np.flatnonzero(self.starts[ids]), len(ids))
+            if len(at) != len(part) + 1:
+                raise ValueError("the tokenizer's ids do not show where words start")
+            raw, at = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+            for w, a, b in zip(part, at[:-1], at[1:]):
+                self.words[w] = raw[a:b]
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words: behind a blank, or behind the line end that they show."""
+        self._encode_words([w for w in new if w[0] != "\n"])
+        heads = [w for w in new if w[0] == "\n"]
+        self._encode_units([u for u in {w[1:] for w in heads} | {"\n"} if u not in self.units])
+        for w in heads:
+            self.words[w] = self.units["\n"] + self.units[w[1:]]
+
+    def _unit_by_unit(self, text: str) -> bytes:
+        found = self.cut.findall(text)
+        self._encode_units([u for u in set(found) if u not in self.units])
+        return b"".join(map(self.units.__getitem__, found))
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        found = [None if any(s in t for s in self.special) else self.units.findall(t) for t in batch]
-        new = set().union(*(f for f in found if f)) - self.known.keys()
+        if len(self.units) > self.most:
+            self.units = {"": b""}
+        if len(self.words) > self.most:
+            self.words.clear()
+        out, get, held, new = [b""] * len(batch), self.words.get, [], set()
+        for i, t in enumerate(batch):
+            if any(s in t for s in self.special):
+                out[i] = np.asarray(self.lib.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
+            elif t[-1:] == " " or any(s in t for s in self.odd):
+                out[i] = self._unit_by_unit(t)
+            elif t:
+                # single blanks and line ends alone part the words; the first stands behind a line end of its own
+                found = f"\n{t}".replace("\n", " \n").split(" ")[1:]
+                ids = list(map(get, found))
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                missing = [found[k] for k in gaps]
+                new.update(missing)
+                held.append((i, ids, gaps, missing))
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        return [np.asarray(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None
-                else b"".join(map(get, f)) for t, f in zip(batch, found)]
+        if held:
+            self._encode_units(["\n"] if "\n" not in self.units else [])
+            line_end = len(self.units["\n"])
+        for i, ids, gaps, missing in held:
+            for k, w in zip(gaps, missing):
+                ids[k] = self.words[w]
+            out[i] = b"".join(ids)[line_end:]
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a Python worker, so that later tasks find the words known."""
+    return Encoder(path)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text: str = "text",
@@ -98,17 +144,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_i
     order = ["key", F.xxhash64("text"), "text"]
     # one range of keys a shard; ties are settled, so a task that runs again writes the same bytes
     rows = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
-    end = struct.pack("<I", end_id)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx, files, encoder = TaskContext.get(), SharedFiles(f"{path}/shards"), Encoder(tokenizer)
-        shard, kept = ctx.partitionId(), {"keys": [], "sizes": []}
+        ctx, files, encode_batch = TaskContext.get(), SharedFiles(f"{path}/shards"), encoder(tokenizer)
+        shard, kept, width = ctx.partitionId(), {"keys": [], "sizes": []}, encode_batch.dtype.itemsize
+        end = np.asarray([end_id], encode_batch.dtype).tobytes()
 
         def payload() -> Iterator[bytes]:
             for batch in slices(batches):
-                ids = encoder(texts(batch))
+                ids = encode_batch(texts(batch))
                 kept["keys"].append(column(batch, "key"))
-                kept["sizes"] += [len(x) // 4 + 1 for x in ids]
+                kept["sizes"] += [len(x) // width + 1 for x in ids]
                 yield end.join([*ids, b""])
 
         chunks = payload()
@@ -124,10 +169,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_i
             last = value
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(sizes), shard, np.int64)), pa.array(np.arange(len(sizes))), keys,
-             pa.array(copy), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)],
-            ["shard", "place", "key", "copy", "offset", "n_tokens"])
+             pa.array(copy), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes),
+             pa.array(np.full(len(sizes), width, np.int32))],
+            ["shard", "place", "key", "copy", "offset", "n_tokens", "id_bytes"])
 
-    schema = f"shard long, place long, key {key_type.simpleString()}, copy long, offset long, n_tokens long"
+    schema = f"shard long, place long, key {key_type.simpleString()}, copy long, offset long, n_tokens long, id_bytes int"
     rows.mapInArrow(encode, schema).write.parquet(f"{path}/entries")
     return entries(spark, path, schema)
 
@@ -147,7 +193,7 @@ def entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
                          F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).where("base > 0")
     joined = raw.join(F.broadcast(base), raw["key"].eqNullSafe(F.col("k")) & (raw["shard"] == F.col("s")), "left")
     return joined.select("shard", "place", "key", (F.col("copy") + F.coalesce("base", F.lit(0))).alias("copy"),
-                         "offset", "n_tokens")
+                         "offset", "n_tokens", "id_bytes")
 
 
 # ------------------------------------------------------------------ minimal perfect hash
@@ -188,7 +234,9 @@ def find_mph(levels: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.nda
     return out
 
 
-_PLACE = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n_tokens", "<i8")])
+_PLACE = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n_tokens", "<i8"),
+                   ("id_bytes", "<i4")])
+_PLACE_NAMES = ["shard", "offset", "n_tokens", "id_bytes"]
 
 
 def _bucket_file(levels: list[np.ndarray], places: np.ndarray) -> bytes:
@@ -249,7 +297,7 @@ def build_index(found: DataFrame, path: str) -> int:
     """Write the index over (key, copy) of all entries; return its number of buckets."""
     n_buckets = max(1, -(-found.count() // BUCKET_KEYS))
     spark = found.sparkSession
-    keyed = found.select(*_hashes("key", "copy"), "shard", "offset", "n_tokens").withColumn(
+    keyed = found.select(*_hashes("key", "copy"), *_PLACE_NAMES).withColumn(
         "bucket", F.expr(f"pmod(h1, {n_buckets})"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +307,7 @@ def build_index(found: DataFrame, path: str) -> int:
             levels, rank = build_mph(h1, h2)
             places = np.zeros(len(rank), _PLACE)
             places["fingerprint"][rank] = _fingerprint(h1, h2)
-            for name in ("shard", "offset", "n_tokens"):
+            for name in _PLACE_NAMES:
                 places[name][rank] = np.asarray(column(rows, name))
             files.write(FILE.format(bucket), [_bucket_file(levels, places)], str(TaskContext.get().taskAttemptId()))
             done.append(len(rank))
@@ -294,15 +342,15 @@ def lookup(keys: DataFrame, path: str, n_buckets: int) -> DataFrame:
                 miss = (rank < 0) | (place["fingerprint"] != _fingerprint(h1, h2))
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "key"), column(part, "copy"),
-                     *(pa.array(place[c].astype(np.int64), mask=miss) for c in ("shard", "offset", "n_tokens"))],
-                    ["key", "copy", "shard", "offset", "n_tokens"])
+                     *(pa.array(place[c].astype(np.int64), mask=miss) for c in _PLACE_NAMES)],
+                    ["key", "copy", *_PLACE_NAMES])
 
     return (rows.repartition(min(n_buckets, partitions(spark)), "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(probe, f"key {key_type}, copy long, shard long, offset long, n_tokens long"))
+            .mapInArrow(probe, f"key {key_type}, copy long, shard long, offset long, n_tokens long, id_bytes long"))
 
 
 def read_payloads(places: DataFrame, path: str, ids: bool = True) -> DataFrame:
-    """Read each found place from its shard: its ids, their number and their crc32."""
+    """Read each found place from its shard: its ids, their number and their crc32 as 32-bit integers."""
     key_type = places.schema["key"].dataType.simpleString()
     names = ["key", "copy", "shard", "offset", "n_tokens", "ids_crc32"] + ["ids"] * ids
 
@@ -310,16 +358,16 @@ def read_payloads(places: DataFrame, path: str, ids: bool = True) -> DataFrame:
         files, held = SharedFiles(f"{path}/shards"), (None, None)
         for batch in batches:
             out, crcs, sizes = [], [], []
-            for shard, offset, n in zip(*(column(batch, c).to_pylist() for c in ("shard", "offset", "n_tokens"))):
+            for shard, offset, n, width in zip(*(column(batch, c).to_pylist() for c in _PLACE_NAMES)):
                 if held[0] != shard:
                     if held[1]:
                         held[1].close()
                     held = (shard, files.open(FILE.format(shard)))
-                raw = held[1].read_at(4 * n, 4 * offset)
-                crcs.append(zlib.crc32(raw))
-                sizes.append(len(raw) // 4)
+                got = np.frombuffer(held[1].read_at(width * n, width * offset), f"<u{width}").astype("<u4")
+                crcs.append(zlib.crc32(got))
+                sizes.append(len(got))
                 if ids:
-                    out.append(np.frombuffer(raw, "<u4").astype(np.int64))
+                    out.append(got.astype(np.int64))
             arrays = [*(column(batch, c) for c in ("key", "copy", "shard", "offset")),
                       pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out, pa.list_(pa.int64()))] * ids, names)
@@ -352,7 +400,8 @@ class TokenStore:
             return None
         at = places[rank]
         with self.shards.open(FILE.format(int(at["shard"]))) as f:
-            return np.frombuffer(f.read_at(4 * int(at["n_tokens"]), 4 * int(at["offset"])), "<u4")
+            width = int(at["id_bytes"])
+            return np.frombuffer(f.read_at(width * int(at["n_tokens"]), width * int(at["offset"])), f"<u{width}")
 
 
 def key_hashes(keys: DataFrame) -> DataFrame:
