@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import bag_minhash, ecoc_langid, phrase_index, quality_qda, secret_owners, span_hash, token_store
+from usertrail.llm import bag_minhash, ecoc_langid, line_dedup, phrase_index, quality_qda, secret_owners, span_hash, token_store
 from usertrail.llm.common import scratch, table
 
 
@@ -31,6 +31,13 @@ def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
+                        F.col("n_dropped").cast("long").alias("n_dropped"),
+                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_span_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_hash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -66,6 +73,25 @@ _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, p, lines[p] AS raw, regexp_extract_all(lower(lines[p]), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p
+                 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
+f AS (SELECT w, min((doc_id, p)) AS first FROM l WHERE len(w) >= 5 GROUP BY w),
+v AS (SELECT w, first, 0 AS slot, w AS v FROM f WHERE len(w) >= 8 UNION ALL
+      SELECT w, first, i, list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w)))
+      FROM (SELECT w, first, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 8)),
+m AS (SELECT v FROM v GROUP BY v HAVING count(DISTINCT w) > 1),
+c AS (SELECT * FROM v SEMI JOIN m USING (v)),
+e AS (SELECT DISTINCT a.w FROM c a JOIN c b ON a.v = b.v AND b.first < a.first
+      AND (a.slot = b.slot OR a.slot = 0 OR b.slot = 0)),
+gone AS (SELECT l.doc_id, l.p FROM l JOIN f ON l.w = f.w LEFT JOIN e ON e.w = f.w
+         WHERE e.w IS NOT NULL OR f.first <> (l.doc_id, l.p)),
+t AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.p) AS n_dropped,
+             string_agg(CASE WHEN gone.p IS NULL THEN raw END, chr(10) ORDER BY l.p) AS kept
+      FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.p = l.p GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256
+FROM documents d LEFT JOIN t USING (doc_id)""",
     "op8_phrase_index": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS.format("text")} AS w FROM benchmark),
