@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import bag_minhash, ecoc_langid, line_dedup, phrase_index, quality_qda, secret_owners, span_hash, token_store
+from usertrail.llm import bag_minhash, ecoc_langid, line_dedup, phrase_index, quality_qda, secret_owners, sp_nbest, span_hash, token_store
 from usertrail.llm.common import scratch, table
 
 
@@ -38,6 +38,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op4_sp_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = sp_nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+    return found.drop("ids").withColumnRenamed("key", "doc_id")
+
+
 def op6_span_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_hash.fingerprints(table(spark, sf_dir, "documents"))
 
