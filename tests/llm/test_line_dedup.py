@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import re
 
 import duckdb
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from usertrail.llm import line_dedup as D
 from usertrail.llm.queries import ORACLE, op3_line_dedup
 
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 def distance(a, b):
@@ -30,7 +28,7 @@ def plain(rows):
         lines = [] if text is None else text.split("\n")
         stay = []
         for line in lines:
-            w = WORD.findall(line.lower())
+            w = line.strip(" ").lower().split(" ")
             gone = len(w) >= 5 and any(w == b or (min(len(w), len(b)) >= 8 and abs(len(w) - len(b)) <= 1
                                                   and distance(w, b) <= 1) for b in before)
             if len(w) >= 5:

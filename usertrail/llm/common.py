@@ -36,6 +36,30 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _marked(df: DataFrame, key: Column, among: DataFrame, among_key: Column, slots: int) -> DataFrame:
+    """``df`` with a column ``_maybe``: true wherever the long ``key`` is among the other's, and seldom elsewhere.
+
+    The keys set bits of a map of ``slots`` 64-bit words; the map is broadcast, at most a few
+    megabytes whatever the number of keys.
+    """
+    def slot(k: Column) -> Column:
+        return F.pmod(k, F.lit(slots)).cast("int")
+
+    def mask(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 40).bitwiseAND(F.lit(63)).cast("int"))
+
+    bits = among.select(slot(among_key).alias("_slot"), mask(among_key).alias("_bits")).groupBy("_slot").agg(
+        F.bit_or("_bits").alias("_bits"))
+    return (df.withColumn("_slot", slot(key)).withColumn("_mask", mask(key)).join(F.broadcast(bits), "_slot", "left")
+            .withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) != 0, F.lit(False)))
+            .drop("_slot", "_mask", "_bits"))
+
+
+def narrowed(df: DataFrame, key: Column, among: DataFrame, among_key: Column, slots: int = 1 << 16) -> DataFrame:
+    """The rows whose ``key`` may be among the other's: all that are, and some that are not."""
+    return _marked(df, key, among, among_key, slots).where("_maybe").drop("_maybe")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,30 +1,31 @@
 """Line deduplication within one word of edit, by a deletion-neighbourhood join.
 
-Lines are compared by their lower-cased words.  A line goes if an earlier line (by
-document id, then line number) has the same words, or if both have at least
-``fuzzy_words`` words and differ by one inserted, deleted or replaced word.  Lines
-of fewer than ``min_words`` words always stay, so do blank lines.
+Lines are trimmed and lower-cased; their words are what stands between blanks.  A
+line goes if an earlier line (by document id, then line number) has the same words,
+or if both have at least ``fuzzy_words`` words and differ by one inserted, deleted
+or replaced word.  Lines of fewer than ``min_words`` words always stay.
 
 Everything is DataFrame expressions; no step pairs up the lines of a group.
 
-1. Each line's 128-bit key, word count and two half-line keys are written once.
+1. Each line's 128-bit key, word count and half-line keys are written once.
 2. Lines within one word of each other share their first h or their last h words
    for every h up to half the shorter one.  Lines that share no such key with a
    different line have no neighbour, and emit nothing (an exact filter).
 3. The others emit themselves and every variant with one word deleted, hashed by
-   sums of position-salted word hashes, so that a line of n words costs n log n.
+   position-salted word hashes, so that a line of n words costs n log n.
 4. Equal variants meet by aggregation.  Of lines that had their word deleted in
    the same place, the earliest is the partner of all others; a line that equals a
    variant as it stands is the partner of all that made it.
 5. A partner's distance is verified on the words, by common beginning and end.
 
-The texts travel once, to meet their lists of lines to drop.  The lines whose words
-step 3 needs are found in a second scan by a bitmap of fixed size over their
-hashes, which narrows the scan, and by an exact join.
+Before a large side is shuffled to meet a small one, a bitmap of fixed size over the
+small side's keys narrows it (``common.narrowed``); the join that follows decides.
+So the words of step 3 come from a second scan without a shuffle of the texts, and
+only texts that lose a line travel, once.
 
 Defined cases: a null text stays null and has no line; null ids come after all
-others, then texts order by hash; of repeated rows the first keeps its lines.  A
-text whose lines all go is empty.
+others, then texts order by hash; of repeated rows one keeps its lines.  A text
+whose lines all go is empty.
 """
 
 from __future__ import annotations
@@ -32,14 +33,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import WORD, landed
+from usertrail.llm.common import _marked, landed, narrowed
 
-#: Slots of the bitmap, 64 bits each: under two megabytes, whatever the input.
-SLOTS = 1 << 16
+#: What tells a row from others: its id as text, whether it has none, and its text's hash.
+ROW = ["kid", "no_id", "th"]
+
+
+def plain(line: Column) -> Column:
+    return F.lower(F.trim(line))
 
 
 def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
+    return F.split(plain(line), " ", -1)
 
 
 def _let(value: Column, body) -> Column:
@@ -47,41 +52,51 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(line: Column, n: Column) -> Column:
     """Keys of the first and last h words, h the largest of 4, 8, 16, ... up to n / 2, and for n - 1 words as well."""
     def h(count: Column) -> Column:
         return F.when(count < 8, 4).otherwise(F.pow(F.lit(2), F.floor(F.log2(count.cast("double"))) - 1)).cast("int")
 
     def keys(size: Column) -> Column:
-        return F.array(F.xxhash64(F.lit("first"), size, F.slice(words, 1, size)),
-                       F.xxhash64(F.lit("last"), size, F.slice(words, n - size + 1, size)))
+        first, last = (F.call_function("substring_index", line, F.lit(" "), k) for k in (size, -size))
+        return F.array(F.xxhash64(F.lit("first"), size, first), F.xxhash64(F.lit("last"), size, last))
 
-    return F.array_distinct(F.concat(keys(h(n)), keys(h(n - 1))))
+    return F.when(h(n) == h(n - 1), keys(h(n))).otherwise(F.concat(keys(h(n)), keys(h(n - 1))))
 
 
-def _scan(sums: Column) -> Column:
-    """Running sums of an array of longs, by doubling steps."""
-    n = F.size(sums)
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int"), F.lit(1)))
-    return F.aggregate(steps, sums, lambda a, k: F.slice(F.zip_with(
-        a, F.concat(F.array_repeat(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("int")), a),
-        lambda x, y: F.coalesce(x, F.lit(0).cast("long")) + y), F.lit(1), n))
+def _scan(values: Column) -> Column:
+    """Running exclusive-ors of an array of longs, by doubling steps."""
+    n, zero = F.size(values), F.lit(0).cast("long")
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int"))
+    return F.aggregate(steps, values, lambda a, k: F.slice(F.zip_with(
+        a, F.concat(F.array_repeat(zero, F.pow(F.lit(2), k).cast("int")), a),
+        lambda x, y: F.coalesce(x, zero).bitwiseXOR(y)), F.lit(1), n))
 
 
 def _variants(words: Column) -> Column:
-    """Structs (s1, s2, n, slot): the line as it stands (slot 0), and with word 1, 2, ... deleted."""
-    def salted(seed: int, back: int) -> Column:
-        return F.transform(words, lambda w, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), w, i - F.lit(back)), 24))
+    """Structs (s1, s2, n, slot): the line as it stands (slot 0), and with word 1, 2, ... deleted.
+
+    A sequence's hash is the exclusive-or of its words' hashes, each salted with its
+    place.  Behind a deleted word all places move by one: the hash takes each word's
+    ``here`` before the gap and its ``back`` behind it.
+    """
+    zero = F.lit(0).cast("long")
+
+    def hashes(seed: int) -> Column:
+        both = F.transform(words, lambda w, i: F.struct(F.xxhash64(F.lit(seed), w, i).alias("here"),
+                                                        F.xxhash64(F.lit(seed), w, i - 1).alias("back")))
+        scanned = F.struct(both.alias("w"), _scan(F.transform(both, lambda b: b["here"].bitwiseXOR(b["back"]))).alias("sum"))
+
+        def each(s: Column) -> Column:
+            behind = F.aggregate(s["w"], zero, lambda a, b: a.bitwiseXOR(b["back"]))
+            gaps = F.transform(s["w"], lambda b, i: F.coalesce(F.get(s["sum"], i - 1), zero).bitwiseXOR(b["back"]))
+            return _let(behind, lambda all_: F.concat(
+                F.array(all_.bitwiseXOR(F.element_at(s["sum"], -1))), F.transform(gaps, lambda g: g.bitwiseXOR(all_))))
 
-    def sums(seed: int) -> Column:
-        """Sums of the whole and of each variant: words behind the gap move one place forward."""
-        return _let(F.struct(_scan(salted(seed, 0)).alias("here"), _scan(salted(seed, 1)).alias("back")), lambda s: F.concat(
-            F.array(F.element_at(s["here"], -1)),
-            F.transform(s["here"], lambda _, i: F.coalesce(F.get(s["here"], i - 1), F.lit(0).cast("long"))
-                        + F.element_at(s["back"], -1) - F.get(s["back"], i))))
+        return _let(scanned, each)
 
     n = F.size(words)
-    return F.transform(F.arrays_zip(sums(17).alias("a"), sums(29).alias("b")), lambda v, i: F.struct(
+    return F.transform(F.arrays_zip(hashes(17).alias("a"), hashes(29).alias("b")), lambda v, i: F.struct(
         v["a"].alias("s1"), v["b"].alias("s2"), F.when(i == 0, n).otherwise(n - 1).alias("n"), i.alias("slot")))
 
 
@@ -97,103 +112,107 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"),
-                       F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("kid"), F.col(key).isNull().alias("no_id"),
+                       F.xxhash64(text).alias("th"), F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("no_id", "id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-
-
-def _same_place(a: DataFrame, b: DataFrame) -> Column:
-    return a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"]) & (a["line"] == b["line"])
+    return rows.select(*ROW, "id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
 
 
 def _line_keys(docs: DataFrame, key: str, text: str, min_words: int, fuzzy_words: int) -> DataFrame:
     """A narrow row per line of at least ``min_words`` words, written once."""
-    found = _lines(_rows(docs, key, text)).select("no_id", "id", "th", "line", F.xxhash64("raw").alias("rh"),
-                                                  words_of(F.col("raw")).alias("w"))
-    n = F.size("w")
-    return landed(found.where(n >= min_words).select(
-        "no_id", "id", "th", "line", "rh", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(5), F.col("w")).alias("h2"),
-        n.alias("n"), F.when(n >= fuzzy_words, _half_keys(F.col("w"), n)).alias("halves")), "line-keys")
+    found = _lines(_rows(docs, key, text)).select(*ROW, "id", "line", F.xxhash64("raw").alias("rh"), plain(F.col("raw")).alias("p"))
+    blanks = F.octet_length("p") - F.octet_length(F.replace(F.col("p"), F.lit(" "), F.lit("")))
+    found = found.withColumn("n", blanks + 1).where(F.col("n") >= min_words)
+    return landed(found.select(
+        *ROW, "id", "line", "rh", F.xxhash64("p").alias("h1"), F.xxhash64(F.lit(5), "p").alias("h2"),
+        F.when(F.col("n") >= fuzzy_words, _half_keys(F.col("p"), F.col("n"))).alias("halves")), "line-keys")
 
 
-def _neighbours(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
+def _neighbours(docs: DataFrame, keys: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one word."""
     halves = distinct.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    near = halves.join(shared, "half").select("h1", "h2").distinct()
-    near = landed(distinct.join(near, ["h1", "h2"]).select("h1", "h2", "first"), "line-near")
-
-    # words of these lines: a bitmap narrows the second scan, an exact join decides
-    bit = F.shiftrightunsigned(F.col("rh"), 40).bitwiseAND(F.lit(63)).cast("int")
-    slot = F.expr(f"cast(pmod(rh, {SLOTS}) as int)")
-    places = near.select("h1", "h2", "first", F.col("first.id").alias("id"), F.col("first.th").alias("th"),
-                         F.col("first.line").alias("line"), F.col("first.rh").alias("rh"))
-    bitmap = places.select(slot.alias("slot"), F.expr("shiftleft(1L, cast(shiftrightunsigned(rh, 40) & 63 as int))").alias(
-        "bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
-    scanned = _lines(_rows(docs, key, text)).withColumn("rh", F.xxhash64("raw")).withColumn("slot", slot).withColumn("bit", bit)
-    hits = scanned.join(F.broadcast(bitmap), "slot").where(F.expr("(shiftrightunsigned(bits, bit) & 1) = 1"))
-    hits = hits.select("id", "th", "line", "raw")
-    near = landed(places.join(hits, _same_place(places, hits)).select("h1", "h2", "first", words_of(F.col("raw")).alias("w"))
-                  .dropDuplicates(["h1", "h2"]), "line-words")
-
-    variants = landed(near.select("h1", "h2", F.inline(_variants(F.col("w")))), "line-variants")
+    shared = landed(halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
+                    .select("half"), "line-halves")
+    near = narrowed(halves, F.col("half"), shared, F.col("half")).join(shared, "half").select("h1", "h2").distinct()
+    near = landed(near, "line-near")
+    near = narrowed(distinct.select("h1", "h2", "first"), F.col("h1"), near, F.col("h1")).join(near, ["h1", "h2"])
+    near = landed(near.withColumn("node", F.monotonically_increasing_id()), "line-near")
+
+    # the words of these lines, from their first places
+    places = near.select("node", "first", *[F.col(f"first.{c}").alias(c) for c in (*ROW, "line", "rh")])
+    scanned = _lines(_rows(docs, key, text)).drop("id").withColumn("rh", F.xxhash64("raw"))
+    hits = narrowed(scanned, F.col("rh"), places, F.col("rh")).drop("rh")
+    near = landed(hits.join(places, [*ROW, "line"]).select("node", "first", words_of(F.col("raw")).alias("w"))
+                  .dropDuplicates(["node"]), "line-words")
+
     variant = ["s1", "s2", "n"]
-    met = variants.groupBy(*variant).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select(*variant)
-    met = landed(variants.join(met, variant).join(near.select("h1", "h2", "first"), ["h1", "h2"]), "line-met")
+    variants = landed(near.select("node", F.inline(_variants(F.col("w")))), "line-variants")
+    met = landed(variants.groupBy(*variant).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+                 .select(*variant), "line-met")
+    met = narrowed(variants, F.col("s1"), met, F.col("s1")).join(met, variant)
+    met = landed(met.join(near.select("node", "first"), "node"), "line-met")
     cut, whole = met.where("slot > 0"), met.where("slot = 0")
     by_slot = cut.groupBy(*variant, "slot").agg(F.min("first").alias("partner"))
     by_variant = cut.groupBy(*variant).agg(F.min("first").alias("partner"))
     as_it_stands = whole.select(*variant, F.col("first").alias("partner"))
-    pairs = (cut.join(by_slot, [*variant, "slot"]).select("h1", "h2", "first", "partner")
-             .unionByName(cut.join(as_it_stands, variant).select("h1", "h2", "first", "partner"))
-             .unionByName(whole.join(by_variant, variant).select("h1", "h2", "first", "partner")))
-    pairs = pairs.where(F.col("partner") < F.col("first")).select("h1", "h2", "partner").distinct()
-    partners = near.select(F.col("first").alias("partner"), F.col("w").alias("partner_w"))
-    same = F.struct("partner.no_id", F.coalesce("partner.id", F.lit(0)).alias("id"), "partner.th", "partner.line")
-    pairs, partners = (p.withColumn("at", same) for p in (pairs, partners))
-    return (pairs.drop("partner").join(partners.drop("partner"), "at").join(near.select("h1", "h2", "w"), ["h1", "h2"])
-            .where(within_one(F.col("w"), F.col("partner_w"))).select("h1", "h2").distinct())
+    pairs = (cut.join(by_slot, [*variant, "slot"]).select("node", "first", "partner")
+             .unionByName(cut.join(as_it_stands, variant).select("node", "first", "partner"))
+             .unionByName(whole.join(by_variant, variant).select("node", "first", "partner")))
+    place = F.struct(*[F.col(f"partner.{c}") for c in (*ROW, "line")])
+    pairs = pairs.where(F.col("partner") < F.col("first")).select("node", place.alias("at")).distinct()
+    partners = near.select(F.col("first").alias("partner"), F.col("w").alias("partner_w")).select(place.alias("at"), "partner_w")
+    edited = (pairs.join(partners, "at").join(near.select("node", "w", "first"), "node")
+              .where(within_one(F.col("w"), F.col("partner_w"))).select("first").distinct())
+    # from the line's first place to its key
+    edited = edited.select(*[F.col(f"first.{c}").alias(c) for c in (*ROW, "line", "rh")])
+    return narrowed(keys.select(*ROW, "line", "rh", "h1", "h2"), F.col("rh"), edited, F.col("rh")).join(
+        edited, [*ROW, "line", "rh"]).select("h1", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 5,
                   fuzzy_words: int = 8) -> DataFrame:
-    """(no_id, id, th, drop): the sorted numbers (from 0) of each text's lines that go."""
+    """(kid, no_id, th, drop): the sorted numbers (from 0) of each text's lines that go."""
     if fuzzy_words < 8:
         raise ValueError("lines under 8 words have no half of 4 words to be found by")
     keys = _line_keys(docs, key, text, min_words, fuzzy_words)
-    distinct = landed(keys.groupBy("h1", "h2").agg(
-        F.min(F.struct("no_id", "id", "th", "line", "rh")).alias("first"), F.count(F.lit(1)).alias("copies"),
-        F.first("halves").alias("halves")), "line-first")
-    edited = _neighbours(docs, distinct, key, text).withColumn("edited", F.lit(True))
-    judged = distinct.select("h1", "h2", "first", "copies").join(edited, ["h1", "h2"], "left").where("edited or copies > 1")
-    judged = judged.select("h1", "h2", "first", F.coalesce("edited", F.lit(False)).alias("edited"))
-    gone = keys.select("no_id", "id", "th", "line", "h1", "h2").join(judged, ["h1", "h2"])
-    own = (F.col("first.no_id") == F.col("no_id")) & F.col("first.id").eqNullSafe(F.col("id")) & (
-        F.col("first.th") == F.col("th")) & (F.col("first.line") == F.col("line"))
-    return gone.where(F.col("edited") | ~own).groupBy("no_id", "id", "th").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+    first = F.struct("no_id", "id", "th", "line", "kid", "rh")
+    distinct = landed(keys.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"),
+                                                   F.first("halves").alias("halves")), "line-first")
+    edited = _neighbours(docs, keys, distinct, key, text).withColumn("edited", F.lit(True))
+    judged = distinct.where("copies > 1").select("h1", "h2", "first").join(edited, ["h1", "h2"], "full")
+    judged = landed(judged.select("h1", "h2", "first", F.coalesce("edited", F.lit(False)).alias("edited")), "line-judged")
+    lines = keys.select(*ROW, "line", "h1", "h2")
+    gone = narrowed(lines, F.col("h1"), judged, F.col("h1")).join(judged, ["h1", "h2"])
+    own = F.struct(*ROW, "line") == F.struct(*[F.col(f"first.{c}") for c in (*ROW, "line")])
+    return gone.where(F.col("edited") | ~own).groupBy(*ROW).agg(F.sort_array(F.collect_set("line")).alias("drop"))
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 5, fuzzy_words: int = 8) -> DataFrame:
     """All columns of ``docs`` in a struct ``doc``, with the new text, n_lines and n_dropped beside it."""
-    drops = dropped_lines(docs, key=key, text=text, min_words=min_words, fuzzy_words=fuzzy_words)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("id"),
-                       F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
-    drops = drops.select(F.col("id").alias("did"), F.col("th").alias("dth"), "drop")
-    met = rows.join(drops.hint("shuffle_hash"), rows["id"].eqNullSafe(drops["did"]) & (rows["th"] == drops["dth"]), "left")
-    # a repeated row's lines are all later than the first row's
-    copy = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(1)))
-    met = met.select("doc", "text", "drop", copy.alias("copy"))
-    lines = F.split("text", "\n", -1)
+    rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("kid"), F.col(key).isNull().alias("no_id"),
+                       F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    body = F.col("doc").getField(text).cast("string")
     none = F.array().cast("array<int>")
-    drop = F.when(F.col("copy") > 1, F.filter(F.transform(lines, lambda x, i: F.when(F.size(words_of(x)) >= min_words, i)),
-                                              F.isnotnull)).otherwise(F.coalesce("drop", none))
-    met = met.select("doc", "text", lines.alias("lines"), drop.alias("drop"))
+    drops = dropped_lines(docs, key=key, text=text, min_words=min_words, fuzzy_words=fuzzy_words)
+    repeated = rows.select(*ROW).groupBy(*ROW).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    drops = landed(drops.join(repeated, ROW, "full").select(
+        *ROW, F.coalesce("drop", none).alias("drop"), F.coalesce("rows", F.lit(1)).alias("rows")), "line-drops")
+
+    marked = _marked(rows, F.xxhash64(*ROW), drops, F.xxhash64(*ROW), 1 << 16)
+    still = marked.where("not _maybe").select("doc", none.alias("drop"))
+    met = marked.where("_maybe").drop("_maybe").join(drops.hint("shuffle_hash"), ROW, "left")
+    # a repeated row's lines are all later than those of the first such row
+    copy = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(1)))).otherwise(1)
+    lines = F.split(body, "\n", -1)
+    long_ones = F.filter(F.transform(lines, lambda x, i: F.when(F.size(words_of(x)) >= min_words, i)), F.isnotnull)
+    met = met.withColumn("copy", copy).select(
+        "doc", F.when(F.col("copy") > 1, long_ones).otherwise(F.coalesce("drop", none)).alias("drop"))
+    out = still.unionByName(met).select("doc", "drop", lines.alias("lines"))
     # stretches between the lines that go, so that a long text costs its length
     ends = F.concat("drop", F.array(F.size("lines")))
     kept = F.flatten(F.transform(F.arrays_zip(F.concat(F.array(F.lit(-1)), "drop").alias("a"), ends.alias("b")),
                                  lambda s: F.slice(F.col("lines"), s["a"] + 2, s["b"] - s["a"] - 1)))
-    return met.select("doc", F.when(F.size("drop") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"),
+    return out.select("doc", F.when(F.size("drop") > 0, F.array_join(kept, "\n")).otherwise(body).alias("text"),
                       F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.size("drop").alias("n_dropped"))

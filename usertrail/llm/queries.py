@@ -81,7 +81,7 @@ _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 
 ORACLE: dict[str, str] = {
     "op3_line_dedup": r"""
-WITH l AS (SELECT doc_id, p, lines[p] AS raw, regexp_extract_all(lower(lines[p]), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+WITH l AS (SELECT doc_id, p, lines[p] AS raw, string_split(lower(trim(lines[p])), ' ') AS w
            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p
                  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
 f AS (SELECT w, min((doc_id, p)) AS first FROM l WHERE len(w) >= 5 GROUP BY w),
