@@ -36,7 +36,7 @@ from usertrail.llm.common import words as words_of
 
 #: Positions left free between documents: more than any phrase or proximity window is long.
 GAP = 1 << 12
-BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 4 << 20
 CHUNK = "{:06d}.npz"
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import bag_minhash, ecoc_langid, line_dedup, phrase_index, quality_qda, secret_owners, sp_nbest, span_hash, token_store
+from usertrail.llm import bag_minhash, ecoc_langid, line_dedup, phrase_index, quality_qda, secret_owners, sp_nbest, span_hash, surrogates, token_store
 from usertrail.llm.common import scratch, table
 
 
@@ -45,6 +45,16 @@ def op4_sp_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("ids").withColumnRenamed("key", "doc_id")
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = surrogates.replace_all(docs, b"usertrail registered query")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("kinds", lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc.doc_id", "text", *map(count, surrogates.KINDS))
+
+
 def op6_span_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_hash.fingerprints(table(spark, sf_dir, "documents"))
 
