@@ -29,7 +29,6 @@ ALIASES: dict[str, tuple[str, ...]] = {
 }
 
 # --- FIXED VALUES: content-sniff thresholds --------------------------------
-SNIFF_SAMPLE_ROWS = 1000
 SNIFF_THRESHOLDS = (("timestamp", 0.8), ("user_id", 0.5), ("event_name", 0.5))
 ISO_TIMESTAMP_PATTERN = (
     r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
@@ -39,7 +38,7 @@ EPOCH_MILLIS_RANGE = (1_000_000_000_000, 4_000_000_000_000)
 EPOCH_MILLIS_ABOVE = 1e12  # integer epoch column: max above this -> ms, else s
 
 # --- FIXED VALUES: event-name tokenizer and verb-suffix families -----------
-TOKEN_SPLIT_PATTERN = r"[_.\-: ]+"
+TOKEN_SEPARATORS = r"_.\-: "
 VERB_FAMILIES: dict[str, str] = {
     "viewed": "view", "opened": "view", "shown": "view", "displayed": "view",
     "rendered": "view", "impression": "view",

@@ -1,6 +1,6 @@
 """Column-expression helpers (all built-in Spark functions, codegen friendly)."""
 
-from usertrail.functions.text import first_token, last_token, tokens
+from usertrail.functions.text import first_token, last_token, named
 from usertrail.functions.timefmt import (
     NULL_TS_KEY,
     fmt_hhmm,
@@ -12,5 +12,5 @@ from usertrail.functions.timefmt import (
 
 __all__ = [
     "NULL_TS_KEY", "first_token", "fmt_hhmm", "fmt_minute", "fmt_ts", "last_token",
-    "parse_string_ts", "tokens", "ts_key",
+    "named", "parse_string_ts", "ts_key",
 ]

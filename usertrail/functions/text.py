@@ -10,14 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from usertrail.constants import TOKEN_SPLIT_PATTERN
-
-_SEP = "_.\\-: "  # the separator class of TOKEN_SPLIT_PATTERN, without brackets/quantifier
-
-
-def tokens(name: Column) -> Column:
-    """All non-empty tokens (array), for callers that need every token."""
-    return F.filter(F.split(F.lower(name), TOKEN_SPLIT_PATTERN), lambda t: t != F.lit(""))
+from usertrail.constants import TOKEN_SEPARATORS as _SEP
 
 
 def last_token(name: Column) -> Column:
@@ -28,3 +21,8 @@ def last_token(name: Column) -> Column:
 def first_token(name: Column) -> Column:
     tok = F.regexp_extract(F.lower(name), f"^[{_SEP}]*([^{_SEP}]+)", 1)
     return F.when(tok != F.lit(""), tok)
+
+
+def named(name: Column) -> Column:
+    """An event name for output: rows without a name are listed as ``None``."""
+    return F.coalesce(name, F.lit("None"))
