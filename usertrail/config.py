@@ -1,12 +1,13 @@
 """Spark session helpers.
 
-The library never creates or configures a cluster session on its own: callers
-pass their ``SparkSession``.  ``local_session`` exists for tests and the bench.
+The library never creates a cluster session; callers pass their ``SparkSession``.
+Of its settings only the session time zone is pinned (``prepare``).  ``local_session`` exists for tests and the bench.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,7 +38,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the semantics the library relies on: naive timestamps are UTC."""
+    """Pin the semantics the library relies on: naive timestamps are UTC.
+
+    This is the one session setting the library changes; it stays changed."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
@@ -47,14 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared (distributed) folder and is left
-    untouched.  Only when it is unset (local tests) do we point it at a fresh
-    scratch folder.
+    untouched.  Only in a local session (tests) is a fresh scratch folder taken
+    where it is unset; on a cluster that is an error, as no executor sees
+    another machine's folder.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="usertrail-ckpt-", dir=os.environ.get("USERTRAIL_SCRATCH", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)

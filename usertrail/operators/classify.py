@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usertrail.constants import FREE_TEXT_SHARE, MAX_ATTR_CARDINALITY, USER_ATTR_PREFIX_PATTERN
+from usertrail.operators.normalize import extra_column
 
 _USER_PREFIX = re.compile(USER_ATTR_PREFIX_PATTERN)
 _NEAR = 0.10  # relative band around a threshold inside which we count exactly
@@ -50,7 +51,7 @@ class Classification:
 
 
 def _q(c: str) -> Column:
-    return F.col(f"`{c}`")
+    return F.col(f"`{extra_column(c)}`")
 
 
 def _orderable(c: str, dtype: T.DataType) -> Column:
@@ -79,7 +80,7 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
     # Job A: estimates, null flags and the row count.
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(extras):
-        aggs.append(F.approx_count_distinct(_orderable(c, dtypes[c])).alias(f"a{i}"))
+        aggs.append(F.approx_count_distinct(_orderable(c, dtypes[extra_column(c)])).alias(f"a{i}"))
         aggs.append(F.max(_q(c).isNull().cast("int")).alias(f"z{i}"))
     ra = events.agg(*aggs).first()
     rows = ra["__rows"] if n_rows is None else n_rows
@@ -87,7 +88,7 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
 
     # Job B: constant-per-user flags and the exact user count (null user counts).
     def _h(c: str) -> Column:
-        v = _orderable(c, dtypes[c])
+        v = _orderable(c, dtypes[extra_column(c)])
         return F.when(v.isNotNull(), F.xxhash64(v))
 
     per_user = events.groupBy("user_id").agg(*[
@@ -113,7 +114,7 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
     n_unique = dict(estimate)
     if exact_needed:
         rc = events.agg(*[
-            (F.count_distinct(_orderable(c, dtypes[c])) + F.max(_q(c).isNull().cast("int"))).alias(f"e{i}")
+            (F.count_distinct(_orderable(c, dtypes[extra_column(c)])) + F.max(_q(c).isNull().cast("int"))).alias(f"e{i}")
             for i, c in enumerate(exact_needed)
         ]).first()
         for i, c in enumerate(exact_needed):
@@ -158,14 +159,10 @@ def props_map(cols: list[str] | tuple[str, ...]) -> Column:
 def attribute_domain(events: DataFrame, attrs: list[str] | tuple[str, ...]) -> DataFrame:
     """C7 (long form): distinct non-null (key, value) pairs of every attribute.
 
-    Each attribute is deduplicated on its native type (partial aggregation on
-    the map side), then stringified; ordering is left to the consumer.
+    One scan for all attributes; the pairs are deduplicated on the map side
+    before the shuffle.  Ordering is left to the consumer.
     """
     if not attrs:
         return events.sparkSession.createDataFrame([], "key string, value string")
-    out = None
-    for c in attrs:
-        d = (events.where(_q(c).isNotNull()).select(_q(c).alias("v")).distinct()
-             .select(F.lit(c).alias("key"), F.col("v").cast("string").alias("value")))
-        out = d if out is None else out.unionByName(d)
-    return out
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), _q(c).cast("string").alias("value")) for c in attrs])
+    return events.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()

@@ -133,12 +133,13 @@ def plan_families(events: DataFrame, *, no_families: bool = False,
         .otherwise(F.concat(F.lit("p:"), F.col("first")))
     )
     groups = nc.groupBy(grp.alias("g")).agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("r"))
-    is_prefix = F.col("g").startswith("p:")
+    # the catch-all has no name of its own: a prefix spelled like it stays in it
+    is_prefix = F.col("g").startswith("p:") & (F.col("g") != F.lit("p:" + OTHER_FAMILY))
     qualifies = is_prefix & (F.col("d") >= PREFIX_MIN_DISTINCT) & (F.col("r") / F.lit(total) >= PREFIX_MIN_SHARE)
     row = groups.agg(
         F.collect_set(F.when(F.col("g").startswith("v:"), F.substring("g", 3, 1 << 20))).alias("verbs"),
         F.collect_set(F.when(qualifies, F.substring("g", 3, 1 << 20))).alias("prefixes"),
-        F.max((F.col("g") == "x") | (is_prefix & ~qualifies)).alias("unmatched"),
+        F.max((F.col("g") == "x") | (F.col("g").startswith("p:") & ~qualifies)).alias("unmatched"),
         F.sum("d").alias("n_names"),
     ).first()
     verbs = set(row["verbs"] or [])

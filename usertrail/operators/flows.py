@@ -1,8 +1,8 @@
 """Flow, heatmap and composition analytics.
 
 Transitions come from the timeline's ``prev_name`` (computed skew-safely), so
-no query here needs a per-user window.  Multi-step prefixes (V9) are matched
-with equi-joins on ``(user_id, pos)``: positions are dense per user, so
+no query here needs a per-user window.  Multi-step prefixes (V9) meet in one
+aggregation on ``(user_id, session, start)``: positions are dense per user, so
 "the next row" is a key, and hash partitioning on it spreads a hot user.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from usertrail.functions.text import named
 from usertrail.functions.timefmt import local_date
 
 
@@ -44,20 +45,19 @@ def activity_heatmap(tl: DataFrame, event_name: str | None = None, tz: str | Non
 
 def transition_pairs(tl: DataFrame) -> DataFrame:
     """Consecutive (from, to) pairs inside one session."""
-    return tl.where(~F.col("is_start") & F.col("prev_name").isNotNull()) \
-        .select("user_id", F.col("prev_name").alias("from_event"), F.col("event_name").alias("to_event"))
+    return tl.where(~F.col("is_start")).select(
+        "user_id", named(F.col("prev_name")).alias("from_event"), named(F.col("event_name")).alias("to_event"))
 
 
 def transitions(tl: DataFrame, per_user: bool = False) -> DataFrame:
     """V3: transition counts, globally or per user."""
     keys = (["user_id"] if per_user else []) + ["from_event", "to_event"]
-    return transition_pairs(tl).where(F.col("to_event").isNotNull()) \
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return transition_pairs(tl).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def entry_events(tl: DataFrame) -> DataFrame:
     """V4: first event of each session, counted by name."""
-    return tl.where(F.col("is_start")).groupBy("event_name").agg(F.count(F.lit(1)).alias("sessions"))
+    return tl.where(F.col("is_start")).groupBy(named(F.col("event_name")).alias("event_name")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
 def top_transition(tl: DataFrame, per_user: bool = True) -> DataFrame:
@@ -84,15 +84,19 @@ def next_event_step(tl: DataFrame, prefix: Sequence[str]) -> DataFrame:
     """V9: distribution of the event that follows ``prefix`` inside a session."""
     if not prefix:
         raise ValueError("prefix must name at least one event")
-    base = tl.select("user_id", "pos", "session_no", "event_name")
-    cur = base.where(F.col("event_name") == F.lit(prefix[0])) \
-        .select("user_id", "session_no", F.col("pos").alias("p0"), F.col("pos").alias("p"))
-    for step in list(prefix[1:]) + [None]:
-        nxt = base.select("user_id", "session_no", F.col("pos").alias("p"), F.col("event_name").alias("name"))
-        if step is not None:
-            nxt = nxt.where(F.col("name") == F.lit(step)).drop("name")
-        cur = cur.withColumn("p", F.col("p") + 1).join(nxt, ["user_id", "session_no", "p"])
-    return cur.groupBy(F.col("name").alias("next_event")).agg(F.count(F.lit(1)).alias("n"))
+    # Every event reports, per step of the prefix that it matches, to the place
+    # where such a prefix would begin, and as the follower to the place a whole
+    # prefix before it.  Places are keys, so one exchange serves all steps.
+    name, steps = named(F.col("event_name")), len(prefix)
+    reports = [F.when(name == F.lit(step), F.struct((F.col("pos") - k).alias("start"), F.lit(1 << k).alias("step"),
+                                                    F.lit(None).cast("string").alias("next_event")))
+               for k, step in enumerate(prefix)]
+    reports.append(F.struct((F.col("pos") - steps).alias("start"), F.lit(0).alias("step"), name.alias("next_event")))
+    told = tl.select("user_id", "session_no", F.inline(F.filter(F.array(*reports), F.isnotnull)))
+    whole = told.groupBy("user_id", "session_no", "start").agg(
+        F.bit_or("step").alias("steps"), F.max("next_event").alias("next_event"))
+    whole = whole.where((F.col("steps") == (1 << steps) - 1) & F.col("next_event").isNotNull())
+    return whole.groupBy("next_event").agg(F.count(F.lit(1)).alias("n"))
 
 
 def composition(profiles: DataFrame) -> DataFrame:

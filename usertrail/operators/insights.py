@@ -17,6 +17,7 @@ from usertrail.constants import (
     STUCK_TOP_N,
     TOP_FAMILIES_N,
 )
+from usertrail.functions.text import named
 from usertrail.functions.timefmt import fmt_minute, local_date
 from usertrail.operators.ranking import percentile_score, score_ranks, top_n_per_key
 from usertrail.operators.timeline import with_runs
@@ -115,7 +116,7 @@ def stuck_signals(tl: DataFrame, top_n: int = STUCK_TOP_N, paths: str = "mixed")
     r = runs(with_runs(tl, paths))
     threshold = F.when(F.col("event_name").isin(*STUCK_HIGH_EVENTS), F.lit(STUCK_HIGH_MIN_RUN)) \
         .otherwise(F.lit(STUCK_DEFAULT_MIN_RUN))
-    r = r.where(F.col("event_name").isNotNull() & (F.col("length") >= threshold))
+    r = r.withColumn("event_name", named(F.col("event_name"))).where(F.col("length") >= threshold)
     best = r.groupBy("user_id", "session_id", "event_name").agg(
         F.max("length").alias("count"), F.min("start_pos").alias("first_pos"))
     top = top_n_per_key(best, "user_id", [F.col("count").desc(), F.col("first_pos").asc()], top_n,

@@ -19,20 +19,24 @@ from usertrail.functions.timefmt import parse_string_ts, ts_key
 from usertrail.operators.resolve import ResolvedSchema, SchemaError
 
 CANONICAL = ("user_id", "ts", "event_name", "session_id")
+#: Names of columns that the library adds to events, timelines and profiles.
+RESERVED = frozenset(CANONICAL) | {
+    "ts_key", "ord", "bucket", "pos", "session_no", "is_start", "prev_name", "prev_ts_key", "prev_start_key",
+    "run_no", "family", "props", "attrs"}
+_OWN = "extra__"
+
+
+def extra_column(name: str) -> str:
+    """The column that holds the input's extra ``name``: its own name, unless the
+    library uses that one itself; names with a leading underscore are the library's."""
+    return _OWN + name if name.lower() in RESERVED or name.startswith(("_", _OWN)) else name
 
 
 def _rename(df: DataFrame, schema: ResolvedSchema) -> DataFrame:
-    mapping = {schema.user_id: "user_id", schema.timestamp: "ts", schema.event_name: "event_name"}
+    roles = {schema.user_id: "user_id", schema.timestamp: "ts", schema.event_name: "event_name"}
     if schema.session_id:
-        mapping[schema.session_id] = "session_id"
-    clash = [c for c in schema.extras if c in mapping.values() and c not in mapping]
-    if clash:
-        raise SchemaError(f"Extra column(s) {clash} collide with canonical names; rename them first")
-    cols = []
-    for c in df.columns:
-        target = mapping.get(c)
-        cols.append(F.col(f"`{c}`").alias(target) if target else F.col(f"`{c}`"))
-    return df.select(*cols)
+        roles[schema.session_id] = "session_id"
+    return df.select(*[F.col(f"`{c}`").alias(roles.get(c) or extra_column(c)) for c in df.columns])
 
 
 def parse_timestamp(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -65,13 +69,30 @@ def default_order(extras: Sequence[str], dtypes: dict | None = None) -> Column:
 
     def hashable(c: str) -> Column:
         # maps cannot be hashed directly: hash their JSON text instead
-        if isinstance(dtypes.get(c), T.MapType):
-            return F.to_json(F.col(f"`{c}`"))
-        return F.col(f"`{c}`")
+        col = F.col(f"`{extra_column(c)}`")
+        return F.to_json(col) if isinstance(dtypes.get(extra_column(c)), T.MapType) else col
 
     return F.xxhash64(*[hashable(c) for c in extras])
 
 
+def _redact_roles(out: DataFrame, schema: ResolvedSchema, redact: Sequence[str]) -> DataFrame:
+    """N7 for role columns.  Event names become one constant, as extras do.  A user or
+    session id becomes a digest instead, which hides the id but keeps whose rows are whose;
+    a redacted time would leave nothing to analyse."""
+    def digest(c: str) -> Column:
+        return F.concat(F.lit("redacted-"), F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 16))
+
+    if schema.timestamp in redact:
+        raise SchemaError(f"the time column {schema.timestamp!r} cannot be redacted: every result is about time")
+    if schema.event_name in redact:
+        out = out.withColumn("event_name", F.when(F.col("event_name").isNotNull(), F.lit(REDACTED)))
+    if schema.user_id in redact:
+        out = out.withColumn("user_id", digest("user_id"))
+    if schema.session_id and schema.session_id in redact:
+        out = out.withColumn("session_id", digest("session_id"))
+    return out
+
+
 def normalize(df: DataFrame, schema: ResolvedSchema, *, order_by: Sequence[str] | str | None = None,
               redact: Sequence[str] = ()) -> DataFrame:
     """N1-N5 + N7. ``order_by`` names the caller's tie-break column(s)."""
@@ -83,13 +104,15 @@ def normalize(df: DataFrame, schema: ResolvedSchema, *, order_by: Sequence[str]
 
     extras = list(schema.extras)
     # Whole-column redaction, before classification; unknown names ignored.
-    red = {c: F.lit(REDACTED) for c in redact if c in extras}
+    red = {extra_column(c): F.lit(REDACTED) for c in redact if c in extras}
     if red:
         out = out.withColumns(red)
+    out = _redact_roles(out, schema, redact)
 
     if isinstance(order_by, str):
         order_by = [order_by]
     if order_by:
+        order_by = [extra_column(c) if c in extras else c for c in order_by]
         missing = [c for c in order_by if c not in out.columns]
         if missing:
             raise SchemaError(f"order column(s) {missing} not found")
@@ -104,5 +127,5 @@ def normalize(df: DataFrame, schema: ResolvedSchema, *, order_by: Sequence[str]
         *[F.col(c) for c in head],
         ts_key(F.col("ts")).alias("ts_key"),
         ord_col.alias("ord"),
-        *[F.col(f"`{c}`") for c in extras],
+        *[F.col(f"`{extra_column(c)}`") for c in extras],
     )

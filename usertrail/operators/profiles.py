@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from usertrail.constants import DEFAULT_TOP_EVENTS, OTHER_FAMILY
 from usertrail.functions.timefmt import fmt_hhmm, fmt_ts
 from usertrail.operators.classify import attrs_map, first_attr_value
+from usertrail.operators.normalize import extra_column
 
 
 def _fam_key(i: int) -> str:
@@ -90,7 +91,7 @@ def user_attributes(events: DataFrame, attrs: Sequence[str], constant: Sequence[
     values: dict[str, Column] = {}
     parts: list[DataFrame] = []
     if const:
-        keys = [F.col(f"`{a}`").cast("string").alias(f"_c{j}") for j, a in enumerate(const)]
+        keys = [F.col(f"`{extra_column(a)}`").cast("string").alias(f"_c{j}") for j, a in enumerate(const)]
         combos = ev.groupBy("user_id", *keys).agg(F.count(F.lit(1)).alias("_n"))
         parts.append(combos.groupBy("user_id").agg(*[F.max(f"_c{j}").alias(f"_c{j}") for j in range(len(const))]))
         values.update({a: F.col(f"_c{j}") for j, a in enumerate(const)})

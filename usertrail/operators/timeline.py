@@ -56,10 +56,15 @@ def _gap_start(cur_key, prev_key, gap_us: int):
     return (prev_key != null_key) & (cur_key != null_key) & ((cur_key - prev_key) > F.lit(gap_us))
 
 
+def _bucket(width_us: int):
+    """Number of the time slice that holds ``ts_key``: rounded down also before
+    1970, so that every slice is equally wide.  Null times (NULL_TS_KEY) land
+    in the lowest slice and so sort first."""
+    return F.expr(f"ts_key div {width_us} - if(ts_key < 0 and ts_key % {width_us} <> 0, 1, 0)")
+
+
 def _with_bucket(events: DataFrame, width_us: int) -> DataFrame:
-    # Integral division keeps bucket order consistent with time order; null
-    # times (NULL_TS_KEY) land in the lowest bucket and so sort first.
-    return events.where(F.col("user_id").isNotNull()).withColumn("bucket", F.expr(f"ts_key div {width_us}"))
+    return events.where(F.col("user_id").isNotNull()).withColumn("bucket", _bucket(width_us))
 
 
 def _split(events: DataFrame, hot_users):
@@ -102,7 +107,7 @@ def _mixed(events: DataFrame, hot_users, *, gap_minutes: int, bucket_seconds: in
     hot = F.broadcast(events.sparkSession.createDataFrame([(str(u), True) for u in hot_users],
                                                           "user_id string, _hot boolean"))
     ev = events.where(F.col("user_id").isNotNull()).join(hot, "user_id", "left")
-    ev = ev.withColumn("bucket", F.when(F.col("_hot"), F.expr(f"ts_key div {width}")))
+    ev = ev.withColumn("bucket", F.when(F.col("_hot"), _bucket(width)))
     summ = _bucket_summary(ev.where(F.col("_hot")), gap_us).select(
         "user_id", "bucket", "_plk", "_pln", "_fst", "_sno", "_po", "_pss")
     out = ev.join(summ, ["user_id", "bucket"], "left")

@@ -4,7 +4,7 @@
 only driver round-trips are small, bounded metadata jobs, each run at most
 once and only when a table that needs it is requested:
 
-* schema sniff (1000-row sample, skipped when aliases resolve every role);
+* schema sniff (one aggregate over all rows, skipped when aliases resolve every role);
 * epoch unit probe (integer time columns only, one ``max``);
 * row count + family plan (<= 207 strings back);
 * column classification (three one-row aggregates).
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from usertrail.config import ensure_checkpoint_dir, prepare
 from usertrail.constants import DEFAULT_SESSION_GAP_MINUTES, OTHER_FAMILY
+from usertrail.functions.text import named
 from usertrail.operators import classify as C
 from usertrail.operators import families as FAM
 from usertrail.operators import insights as INS
@@ -225,9 +226,16 @@ class Analysis:
 
     @cached_property
     def user_event_counts(self) -> DataFrame:
-        """Gold (user, event, family, count, first_pos) shared by Q3/Q5/Q6/Q8."""
-        return self._gold(self.tl.groupBy("user_id", "event_name", "family").agg(
-            F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos")))
+        """Gold (user, event, family, count, first_key) shared by Q3/Q5/Q6/Q8.
+
+        Straight from the events: neither counts nor first times need the
+        order that sessions do, so there is no window, and the aggregate is
+        combined on the map side."""
+        ev = self.capped_events.where(F.col("user_id").isNotNull())
+        counts = ev.groupBy("user_id", "event_name").agg(
+            F.count(F.lit(1)).alias("count"), F.min("ts_key").alias("first_key"))
+        return self._gold(self.family_plan.apply(counts, dim=self.family_dim).select(
+            "user_id", named(F.col("event_name")).alias("event_name"), "family", "count", "first_key"))
 
     @cached_property
     def n_users(self) -> int:
@@ -261,7 +269,7 @@ class Analysis:
         cannot use; an equivalent predicate on the raw, typed column is added
         so row groups are skipped by their min/max statistics.  Family plan and
         classification are reused from this analysis (they describe the whole
-        data set); the one-user scan needs no skew handling or gold tables.
+        data set).  A hot user takes the two-level scan here too.
         """
         from dataclasses import replace
 
@@ -272,17 +280,13 @@ class Analysis:
         dtype = raw.schema[col].dataType
         if isinstance(dtype, (T.NumericType, T.StringType)):
             raw = raw.where(F.col(f"`{col}`") == F.lit(str(user_id)).try_cast(dtype))
-        sub = Analysis(self.spark, raw, replace(self.options, skew="single", materialize=False),
-                       self.sniffed)
+        sub = Analysis(self.spark, raw, replace(self.options, materialize=False, max_users=None), self.sniffed)
         sub.__dict__["family_plan"] = self.family_plan
         if self.schema.extras:
             sub.__dict__["classification"] = self.classification
         sub.__dict__["events"] = sub.events.where(F.col("user_id") == F.lit(str(user_id)))
         return sub
 
-    def with_family(self, df: DataFrame) -> DataFrame:
-        return self.family_plan.apply(df, dim=self.family_dim)
-
 
 def analyze(spark: SparkSession, source: str | DataFrame, options: Options | None = None,
             *, schema=None, **kw) -> Analysis:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usertrail.functions.text import named
+from usertrail.functions.timefmt import fmt_ts
 from usertrail.operators import insights as INS
 from usertrail.operators import profiles as P
 from usertrail.plans.pipeline import Analysis
@@ -57,13 +59,6 @@ def event_match(pattern: str) -> Column:
     return F.lower(F.col("event_name")).contains(pattern.lower())
 
 
-def id_filter(df: DataFrame, ids: Sequence[str] | DataFrame, col: str = "user_id") -> DataFrame:
-    """Keep rows whose id is in ``ids`` (a driver list or a DataFrame of ids)."""
-    if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).cast("string").alias(col)).distinct(), col, "left_semi")
-    return df.where(F.col(col).isin([str(i) for i in ids]))
-
-
 def _prof(a: Analysis, flt: Mapping[str, str]) -> DataFrame:
     """Profiles with attributes only when an attribute filter needs them."""
     return a.profiles if flt else a.core_profiles
@@ -123,25 +118,25 @@ def analyze_user(a: Analysis, user_id: str, as_of) -> UserAnalysis:
     """
     uid = str(user_id)
     if a.profiles.where(F.col("user_id") == uid).select("user_id").limit(1).count() == 0:
-        raise QueryError(f"User '{uid}' not found")
+        raise QueryError(f"no events of a user {uid!r}")
     one = a.for_user(uid)
     tz = a.options.timezone
     prof = one.profiles
-    tl = one.tl
+    tl = one.timeline(with_props=True)
     power = a.power.where(F.col("user_id") == uid).select("user_id", "power_score")
     rec = INS.recency(prof, as_of, tz)
     gap = one.longest_gap()
     insights = power.join(rec, "user_id").join(gap, "user_id")
     sessions = (one.sessions
                 .select("session_no", "session_id",
-                        F.coalesce(F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("start"),
+                        fmt_ts(F.col("start_ts"), tz).alias("start"),
                         "n_events"))
     events = P.session_events(tl, tz)
     return UserAnalysis(
         stats=prof.select("user_id", "events", "sessions", "first_seen", "last_seen", "attrs"),
         insights=insights,
         top_families=INS.top_families(prof),
-        stuck_signals=INS.stuck_signals(tl, paths="single"),
+        stuck_signals=INS.stuck_signals(tl, paths=one.paths),
         family_first_seen=INS.family_first_seen(prof, tz),
         sessions=sessions,
         events=events,
@@ -151,10 +146,11 @@ def analyze_user(a: Analysis, user_id: str, as_of) -> UserAnalysis:
 
 
 def user_event_ranking(a: Analysis, tl: DataFrame | None = None) -> DataFrame:
-    """Q3: (user, event, family, count, first_pos) -- the shared gold table."""
+    """Q3: (user, event, family, count) with the first time key of the shared gold
+    table, or from a timeline the first position."""
     if tl is None:
         return a.user_event_counts
-    return tl.groupBy("user_id", "event_name", "family").agg(
+    return tl.groupBy("user_id", named(F.col("event_name")).alias("event_name"), "family").agg(
         F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos"))
 
 
@@ -181,6 +177,13 @@ def taxonomy(a: Analysis, n: int = 50) -> tuple[DataFrame, DataFrame]:
     return a.top_events(n).select("name", "count", "family", pct.alias("pct")), totals
 
 
+def taxonomy_record(a: Analysis, n: int = 50) -> dict[str, DataFrame]:
+    """Q4 in full: top events, totals, the schema's roles and the families with label and colours."""
+    top, totals = taxonomy(a, n)
+    record = a.meta(n)
+    return {"top_events": top, "totals": totals, "schema": record["schema"], "families": record["families"]}
+
+
 # ---- Q5 ----------------------------------------------------------------------
 @dataclass
 class Cohort:
@@ -241,7 +244,8 @@ def export_subset(a: Analysis, user_ids: Sequence[str] | DataFrame | None = None
     prof = a.profiles
     chosen = prof.where(attr_predicate(flt)) if flt else prof
     spark = a.spark
-    if user_ids is None:
+    if user_ids is None or (not isinstance(user_ids, DataFrame) and not list(user_ids)):
+        # no list, or an empty one: no restriction
         missing = spark.createDataFrame([], "user_id string")
         return chosen, missing
     req = (user_ids.select(F.col(user_ids.columns[0]).cast("string").alias("user_id"))
@@ -253,13 +257,33 @@ def export_subset(a: Analysis, user_ids: Sequence[str] | DataFrame | None = None
     return chosen, missing
 
 
+class MissingUsers(QueryError):
+    """Requested ids without a user; ``missing`` is the table of all of them."""
+
+    def __init__(self, count: int, first: str, missing: DataFrame):
+        super().__init__(f"{count} requested id(s) have no events, the first is {first!r}; .missing has all")
+        self.count, self.missing = count, missing
+
+
 def check_export(chosen: DataFrame, missing: DataFrame) -> None:
-    """Raise the same two errors as the original export (bounded look-ups)."""
-    miss = [r["user_id"] for r in missing.orderBy("user_id").limit(1000).collect()]
-    if miss:
-        raise QueryError(f"User(s) not found: {miss}")
-    if chosen.limit(1).count() == 0:
-        raise QueryError("No users matched the given filters/user_ids")
+    """Raise if an id is unknown or nobody is chosen (one row comes back)."""
+    lacking = missing.agg(F.count(F.lit(1)).alias("n"), F.min("user_id").alias("first")).first()
+    if lacking["n"]:
+        raise MissingUsers(lacking["n"], lacking["first"], missing)
+    if chosen.isEmpty():
+        raise QueryError("the ids and filters leave no user to export")
+
+
+def export_record(a: Analysis, path: str, user_ids: Sequence[str] | DataFrame | None = None,
+                  filters: str | Mapping[str, object] | None = None) -> tuple[DataFrame, DataFrame]:
+    """S10/Q7 in one call: check, write, and return (users_included, total_events) and the ids written."""
+    from usertrail.sources.sinks import export_users
+
+    chosen, missing = export_subset(a, user_ids, filters)
+    check_export(chosen, missing)
+    export_users(chosen, P.session_events(a.timeline(with_props=True), a.options.timezone), path)
+    record = chosen.agg(F.count(F.lit(1)).alias("users_included"), F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"))
+    return record, chosen.select("user_id")
 
 
 # ---- Q8 ----------------------------------------------------------------------
@@ -271,6 +295,8 @@ def quick_report(a: Analysis, filters: str | Mapping[str, object] | None = None,
     chosen = prof.where(attr_predicate(flt)) if flt else prof
     top_users = chosen.orderBy(F.col("events").desc(), F.col("user_id").asc()).limit(n) \
         .select("user_id", "events", "sessions")
+    if chosen.isEmpty():
+        raise QueryError("the filters leave no user to report on")
     gold = user_event_ranking(a)
     if flt:
         gold = gold.join(chosen.select("user_id"), "user_id", "left_semi")

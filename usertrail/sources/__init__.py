@@ -1,7 +1,7 @@
 """Sources (S1-S8) and sinks."""
 
-from usertrail.sources.reader import ReadError, read_events, read_parts, sample_for_sniff
+from usertrail.sources.reader import ReadError, read_events, read_parts
 from usertrail.sources.sinks import export_users, write_profiles
 
-__all__ = ["ReadError", "export_users", "read_events", "read_parts", "sample_for_sniff",
+__all__ = ["ReadError", "export_users", "read_events", "read_parts",
            "write_profiles"]

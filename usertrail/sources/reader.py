@@ -12,17 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usertrail.constants import SNIFF_SAMPLE_ROWS
-
 CSV_SUFFIXES = (".csv", ".tsv")
 PARQUET_SUFFIXES = (".parquet", ".pq")
 JSON_SUFFIXES = (".json",)
 JSONL_SUFFIXES = (".jsonl", ".ndjson")
 SUPPORTED = sorted(CSV_SUFFIXES + PARQUET_SUFFIXES + JSON_SUFFIXES + JSONL_SUFFIXES)
 
-# Rows Spark looks at when inferring CSV column types (mirrors a 2000-row window).
-CSV_INFER_SAMPLE_ROWS = 2000
-
 
 class ReadError(ValueError):
     """Raised when the input cannot be read."""
@@ -114,8 +109,3 @@ def read_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def sample_for_sniff(df: DataFrame, rows: int = SNIFF_SAMPLE_ROWS) -> DataFrame:
-    """The bounded head sample the schema sniffer profiles."""
-    return df.limit(rows)

@@ -37,7 +37,3 @@ def export_users(selected: DataFrame, session_events: DataFrame, path: str,
     ev = session_events.join(selected.select("user_id"), "user_id", "left_semi")
     ev.write.mode(mode).json(f"{path}/events")
 
-
-def to_json_records(df: DataFrame) -> DataFrame:
-    """One JSON string per row (for handing records to another system)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

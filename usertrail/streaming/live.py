@@ -22,20 +22,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usertrail.constants import OTHER_FAMILY
+from usertrail.functions.timefmt import parse_string_ts, ts_key
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _normalise(stream: DataFrame, user_col: str, ts_col: str, name_col: str) -> DataFrame:
-    ts = F.col(ts_col)
-    dtype = stream.schema[ts_col].dataType
-    if not isinstance(dtype, T.TimestampType):
-        ts = ts.cast("timestamp")  # watermarks need TIMESTAMP, not TIMESTAMP_NTZ
+def _time(stream: DataFrame, ts_col: str, epoch: str | None):
+    """The time as TIMESTAMP (watermarks need it); unreadable strings are null, as in a batch.
+
+    A stream can't look at its largest value first, so numbers need their unit:
+    ``epoch`` is "s" or "ms"."""
+    ts, dtype = F.col(ts_col), stream.schema[ts_col].dataType
+    if isinstance(dtype, T.StringType):
+        return parse_string_ts(ts)
+    if isinstance(dtype, T.NumericType):
+        if epoch not in ("s", "ms"):
+            raise ValueError(f"{ts_col!r} holds numbers: say whether they are epoch='s' or epoch='ms'")
+        return F.timestamp_micros((ts.cast("decimal(38,6)") * (1_000_000 if epoch == "s" else 1000)).cast("long"))
+    return ts.cast("timestamp")
+
+
+def _normalise(stream: DataFrame, user_col: str, ts_col: str, name_col: str, epoch: str | None = None) -> DataFrame:
+    """Rows of a user, those without a time included; rows without a user belong to nobody."""
     return stream.select(
         F.col(user_col).cast("string").alias("user_id"),
-        ts.alias("ts"),
+        _time(stream, ts_col, epoch).alias("ts"),
         F.col(name_col).cast("string").alias("event_name"),
-    ).where(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
+    ).where(F.col("user_id").isNotNull())
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, fmt: str = "parquet",
@@ -47,9 +60,12 @@ def read_event_stream(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA
 
 
 def stream_sessions(stream: DataFrame, *, gap_minutes: int = 30, watermark: str = "1 hour",
-                    user_col: str = "user_id", ts_col: str = "ts", name_col: str = "event_type") -> DataFrame:
-    """Closed gap sessions (start, end = last event + gap, events)."""
-    ev = _normalise(stream, user_col, ts_col, name_col).withWatermark("ts", watermark)
+                    user_col: str = "user_id", ts_col: str = "ts", name_col: str = "event_type",
+                    epoch: str | None = None) -> DataFrame:
+    """Closed gap sessions (start, end = last event + gap, events).
+
+    A session is a stretch of time, so rows without one are in none; T2 counts them."""
+    ev = _normalise(stream, user_col, ts_col, name_col, epoch).where(F.col("ts").isNotNull()).withWatermark("ts", watermark)
     sw = F.session_window(F.col("ts"), f"{int(gap_minutes)} minutes")
     return ev.groupBy("user_id", sw.alias("session")).agg(
         F.count(F.lit(1)).alias("n_events"),
@@ -60,20 +76,20 @@ def stream_sessions(stream: DataFrame, *, gap_minutes: int = 30, watermark: str
 
 
 def stream_user_counts(stream: DataFrame, *, user_col: str = "user_id", ts_col: str = "ts",
-                       name_col: str = "event_type") -> DataFrame:
+                       name_col: str = "event_type", epoch: str | None = None) -> DataFrame:
     """Running per-user event counts and last activity (update mode)."""
-    ev = _normalise(stream, user_col, ts_col, name_col)
+    ev = _normalise(stream, user_col, ts_col, name_col, epoch)
     return ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts"))
 
 
 def stream_profiles(stream: DataFrame, families: Sequence[str], family_of, *, user_col: str = "user_id",
-                    ts_col: str = "ts", name_col: str = "event_type") -> DataFrame:
+                    ts_col: str = "ts", name_col: str = "event_type", epoch: str | None = None) -> DataFrame:
     """T4: incremental per-user profile aggregates (counts, first/last, family counts).
 
     ``families``/``family_of`` come from a batch ``FamilyPlan`` (the family
     list is fixed when the stream starts).
     """
-    ev = _normalise(stream, user_col, ts_col, name_col).withColumn("family", family_of(F.col("event_name")))
+    ev = _normalise(stream, user_col, ts_col, name_col, epoch).withColumn("family", family_of(F.col("event_name")))
     fams = list(dict.fromkeys(list(families) + [OTHER_FAMILY]))
     return ev.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("events"),
@@ -174,7 +190,8 @@ def _column_session_step(key, batches, state):
 
 
 def stream_column_sessions(stream: DataFrame, *, user_col: str = "user_id", ts_col: str = "ts",
-                           session_col: str = "sid", order_col: str = "event_id") -> DataFrame:
+                           session_col: str = "sid", order_col: str = "event_id",
+                           epoch: str | None = None) -> DataFrame:
     """A new session whenever the session column changes (A,B,A -> 3).
 
     ``applyInPandasWithState`` keyed by user: one small state row per user;
@@ -183,15 +200,12 @@ def stream_column_sessions(stream: DataFrame, *, user_col: str = "user_id", ts_c
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    ts = F.col(ts_col)
-    if not isinstance(stream.schema[ts_col].dataType, T.TimestampType):
-        ts = ts.cast("timestamp")
     ev = stream.select(
         F.col(user_col).cast("string").alias("user_id"),
-        F.unix_micros(ts).alias("ts_key"),
+        ts_key(_time(stream, ts_col, epoch)).alias("ts_key"),
         F.col(order_col).cast("long").alias("ord"),
         F.coalesce(F.col(session_col).cast("string"), F.lit("")).alias("sid"),
-    ).where(F.col("user_id").isNotNull() & F.col("ts_key").isNotNull())
+    ).where(F.col("user_id").isNotNull())  # rows without a time come first, as in a batch
     return ev.groupBy("user_id").applyInPandasWithState(
         _column_session_step, COLUMN_SESSION_OUT, COLUMN_SESSION_STATE, "append",
         GroupStateTimeout.NoTimeout)
