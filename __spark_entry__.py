@@ -32,7 +32,8 @@ from usertrail.operators.classify import attribute_domain, props_map
 from usertrail.operators.resolve import resolve_schema
 from usertrail.plans import fixtures as FX
 from usertrail.plans import queries as Q
-from usertrail.sources.reader import read_events
+from usertrail.sources.reader import read_events, read_parts
+from usertrail.sources.sinks import write_profiles
 
 AS_OF = "2024-03-01"
 COHORT = {"c_mktsegment": "BUILDING"}
@@ -56,7 +57,8 @@ def _norm(df: DataFrame) -> DataFrame:
 
 def _an(spark: SparkSession, sf: str, variant: str = "named", gap: int = 30, **opts):
     """Cached Analysis per (session, input, variant, gap, options)."""
-    key = (id(spark), sf, variant, gap, tuple(sorted(opts.items())))
+    # the application's id: another session may get the same id() after this one has stopped
+    key = (spark.sparkContext.applicationId, sf, variant, gap, tuple(sorted(opts.items())))
     if key not in _ANALYSES:
         prepare(spark)
         src = {
@@ -112,10 +114,12 @@ def q_display_timezone(spark, sf):
 
 
 def q_resolve_schema_alias(spark, sf):
+    """Roles found by header names, with the number of values read through each column."""
     raw = FX.raw_events(spark, sf)
-    s = resolve_schema(raw)
-    rows = [(role, col) for role, col, _ in s.notes]
-    return spark.createDataFrame(rows, "role string, column string")
+    roles = {role: col for role, col, _ in resolve_schema(raw).notes}
+    counts = raw.agg(*[F.count(F.col(f"`{c}`")).alias(r) for r, c in roles.items()])
+    rows = [F.struct(F.lit(r).alias("role"), F.lit(c).alias("column"), F.col(r).alias("n_values")) for r, c in roles.items()]
+    return _norm(counts.select(F.inline(F.array(*rows))))
 
 
 def q_resolve_schema_sniff(spark, sf):
@@ -134,10 +138,10 @@ def _round_trip(spark, sf, fmt):
         ev.write.option("header", "true").option("sep", "\t" if fmt == ".tsv" else ",").csv(path + fmt)
     elif fmt == ".jsonl":
         ev.write.json(path + fmt)
-    if fmt == ".json":  # array-of-objects documents: one per input partition
-        docs = (ev.withColumn("pid", F.spark_partition_id()).groupBy("pid")
+    if fmt == ".json":  # array-of-objects documents of a bounded number of rows
+        docs = (ev.withColumn("doc", F.expr("event_id div 5000")).groupBy("doc")
                 .agg(F.to_json(F.collect_list(F.struct(*ev.columns))).alias("v")))
-        docs.write.partitionBy("pid").text(path + "-doc.json")
+        docs.select("v").write.option("maxRecordsPerFile", 1).text(path + "-doc.json")
         src = path + "-doc.json"
     else:
         src = path + fmt
@@ -145,6 +149,48 @@ def _round_trip(spark, sf, fmt):
     return _norm(a.profiles_without_attrs().select("user_id", "events", "sessions", "first_seen", "last_seen"))
 
 
+def q_read_parquet(spark, sf):
+    path = _scratch(spark, "parquet") + ".parquet"
+    FX.raw_events(spark, sf).select("event_id", "ts", "user_id", "event_type").write.parquet(path)
+    a = analyze(spark, path, Options(order_by="event_id"))
+    return _norm(a.profiles_without_attrs().select("user_id", "events", "sessions", "first_seen", "last_seen"))
+
+
+def q_read_parts(spark, sf):
+    """Two parts whose columns stand in another order, united by name."""
+    base, ev = _scratch(spark, "parts"), FX.raw_events(spark, sf)
+    ev.where("event_id % 2 = 0").select("event_id", "ts", "user_id", "event_type").write.parquet(base + "-a.parquet")
+    ev.where("event_id % 2 = 1").select("event_type", "user_id", "value", "ts", "event_id").write.parquet(base + "-b.parquet")
+    a = analyze(spark, read_parts(spark, [base + "-a.parquet", base + "-b.parquet"]), Options(order_by="event_id"))
+    return _norm(a.profiles_without_attrs().select("user_id", "events", "sessions", "first_seen", "last_seen"))
+
+
+def q_write_profiles(spark, sf):
+    """The all-user sink, read back."""
+    path = _scratch(spark, "profiles")
+    write_profiles(_an(spark, sf, "customer").profiles, path)
+    back = spark.read.schema("user_id string, events long, sessions long, first_seen string, last_seen string").json(path)
+    return _norm(back)
+
+
+def q_export_record(spark, sf):
+    """Checked export: the totals that it returns."""
+    ids = FX.table(spark, sf, "customer").where("c_nationkey = 7").select("c_custkey").join(
+        FX.raw_events(spark, sf).select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_semi")
+    return _norm(Q.export_record(_an(spark, sf, "customer"), _scratch(spark, "export"), ids)[0])
+
+
+def q_export_events(spark, sf):
+    """Checked export: the event rows that it writes, read back."""
+    path = _scratch(spark, "export")
+    ids = FX.table(spark, sf, "customer").where("c_nationkey = 7").select("c_custkey").join(
+        FX.raw_events(spark, sf).select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_semi")
+    Q.export_record(_an(spark, sf, "customer"), path, ids)
+    back = spark.read.schema("user_id string, session_id string, pos long, hhmm string, event_name string, family string").json(
+        path + "/events")
+    return _norm(back)
+
+
 def q_read_csv(spark, sf):
     return _round_trip(spark, sf, ".csv")
 
@@ -185,6 +231,22 @@ def q_event_properties(spark, sf):
     return _norm(ev.select("event_id", F.explode("p").alias("key", "value")))
 
 
+def q_event_properties_reserved(spark, sf):
+    """Extras whose names are the library's own columns come out unharmed."""
+    names = ["_id", "family", "pos", "bucket", "ord", "ts_key", "props", "session_no"]
+    ev = FX.raw_events(spark, sf).select("event_id", "ts", "user_id", "event_type", *[
+        F.concat(F.lit(n), (F.col("event_id") % (k + 3)).cast("string")).alias(n) for k, n in enumerate(names)])
+    a = analyze(spark, ev, Options(order_by="event_id", materialize=False))
+    tl = a.timeline(with_props=True).select("event_id", F.explode("props").alias("key", "value"))
+    return _norm(tl.where(F.col("key") != "event_id"))
+
+
+def q_redact_roles(spark, sf):
+    """Redacted user ids keep whose rows are whose; redacted event names are one name."""
+    a = analyze(spark, FX.raw_events(spark, sf), Options(order_by="event_id", redact=("user_id", "event_type"), materialize=False))
+    return _norm(a.events.select("event_id", "user_id", "event_name"))
+
+
 def q_redact_columns(spark, sf):
     a = _an(spark, sf, "customer", redact=("c_mktsegment",))
     return _norm(a.profiles.select("user_id", F.explode("attrs").alias("key", "value")))
@@ -207,6 +269,27 @@ def q_family_registry(spark, sf):
     return a.family_plan.registry(spark).select("family", "label")
 
 
+def q_no_families(spark, sf):
+    a = _an(spark, sf, "named", no_families=True)
+    return _norm(a.core_profiles.select("user_id", F.explode("family_counts").alias("family", "count")))
+
+
+def q_prefix_attributes(spark, sf):
+    """A prefix-named column is an attribute though it varies; its first value in time counts."""
+    ev = FX.raw_events(spark, sf).select("event_id", "ts", "user_id", "event_type", F.expr("event_id % 40").alias("user_mark"))
+    a = analyze(spark, ev, Options(order_by="event_id"))
+    return _norm(a.profiles.select("user_id", F.element_at("attrs", F.lit("user_mark")).alias("user_mark")))
+
+
+def q_meta_schema(spark, sf):
+    """Roles of the meta record with the number of distinct values read through each."""
+    a = _an(spark, sf, "raw")
+    roles = {"user_id": "user_id", "timestamp": "ts", "event_name": "event_name"}
+    counts = a.events.agg(*[F.count_distinct(c).alias(r) for r, c in roles.items()])
+    n = counts.select(F.explode(F.create_map(*[x for r in roles for x in (F.lit(r), F.col(r))])).alias("role", "n_values"))
+    return _norm(a.meta()["schema"].join(n, "role"))
+
+
 def q_family_counts(spark, sf):
     a = _an(spark, sf, "named")
     return _norm(a.core_profiles.select("user_id", F.explode("family_counts").alias("family", "count")))
@@ -228,6 +311,48 @@ def q_sessionize_gap_1440(spark, sf):
     return _sessionize(spark, sf, 1440)
 
 
+#: Few enough events that about half of the users count as hot.
+HOT = dict(hot_user_events=66)
+
+
+def q_sessionize_hot(spark, sf):
+    """Hot and ordinary users in one plan: the rows of ``sessionize_gap_30``."""
+    a = _an(spark, sf, "raw", 30, **HOT)
+    return _norm(a.timeline(with_family=False).select("user_id", "event_id", "session_no", "session_id", "is_start"))
+
+
+def q_sessionize_before_1970(spark, sf):
+    """Times on both sides of the epoch, every user in time slices as wide as the gap."""
+    ev = FX.raw_events(spark, sf).withColumn("ts", F.expr("timestampadd(DAY, -19738, ts)"))
+    a = analyze(spark, ev, Options(session_gap_minutes=15, order_by="event_id", skew="bucketed", materialize=False))
+    return _norm(a.timeline(with_family=False).select("user_id", "event_id", "session_no", "session_id", "is_start"))
+
+
+def q_session_table_hot(spark, sf):
+    a = _an(spark, sf, "raw", 30, **HOT)
+    return _norm(a.sessions.select("user_id", "session_id", fmt_ts(F.col("start_ts")).alias("start"),
+                                   fmt_ts(F.col("end_ts")).alias("end"), "n_events"))
+
+
+def q_stuck_signals_hot(spark, sf):
+    a = _an(spark, sf, "raw", 1440, **HOT)
+    return _norm(INS.stuck_signals(a.timeline(with_family=False), paths=a.paths))
+
+
+def q_transitions_hot(spark, sf):
+    a = _an(spark, sf, "raw", 1440, **HOT)
+    return _norm(FL.transitions(a.timeline(with_family=False)))
+
+
+def q_next_event_step_hot(spark, sf):
+    a = _an(spark, sf, "raw", 1440, **HOT)
+    return _norm(FL.next_event_step(a.timeline(with_family=False), ["view", "click"]))
+
+
+def q_longest_gap_hot(spark, sf):
+    return _norm(_an(spark, sf, "named", **HOT).longest_gap())
+
+
 def q_sessions_by_column(spark, sf):
     src = FX.column_session_events(spark, sf)
     a = analyze(spark, src, Options(session_id="sid", order_by="event_id"))
@@ -361,6 +486,40 @@ def q_analyze_user_sessions(spark, sf):
     return _norm(Q.analyze_user(a, "7", AS_OF).sessions)
 
 
+def q_analyze_user_stats(spark, sf):
+    a = _an(spark, sf, "named")
+    return _norm(Q.analyze_user(a, "7", AS_OF).stats.select("user_id", "events", "sessions", "first_seen", "last_seen"))
+
+
+def q_analyze_user_events(spark, sf):
+    """One user's events with their properties."""
+    a = _an(spark, sf, "named")
+    ev = Q.analyze_user(a, "7", AS_OF).events
+    return _norm(ev.select("session_id", "pos", "hhmm", "event_name", "family", F.element_at("props", F.lit("props")).alias("props")))
+
+
+def q_analyze_user_sessions_hot(spark, sf):
+    """The one user takes the two-level scan, in another display zone."""
+    a = _an(spark, sf, "named", hot_user_events=10, timezone=TZ)
+    return _norm(Q.analyze_user(a, "7", AS_OF).sessions)
+
+
+def q_analyze_user_top_families(spark, sf):
+    return _norm(Q.analyze_user(_an(spark, sf, "named"), "7", AS_OF).top_families)
+
+
+def q_list_users_totals(spark, sf):
+    return _norm(Q.list_users(_an(spark, sf, "customer"), 50, "events", COHORT).totals)
+
+
+def q_taxonomy_totals(spark, sf):
+    return _norm(Q.taxonomy(_an(spark, sf, "named"))[1])
+
+
+def q_quick_report_totals(spark, sf):
+    return _norm(Q.quick_report(_an(spark, sf, "named"))[2])
+
+
 def q_analyze_user_top_events(spark, sf):
     a = _an(spark, sf, "named")
     return _norm(Q.analyze_user(a, "7", AS_OF).top_events)
@@ -378,7 +537,7 @@ def q_user_top_events_pct(spark, sf):
 
 def q_user_event_ranking(spark, sf):
     a = _an(spark, sf, "named")
-    return _norm(Q.user_event_ranking(a).drop("first_pos"))
+    return _norm(Q.user_event_ranking(a).drop("first_pos", "first_key"))
 
 
 def q_taxonomy(spark, sf):

@@ -77,7 +77,9 @@ WITH cols AS (SELECT column_name, ordinal_position FROM information_schema.colum
 al(role, alias) AS (VALUES {_alias_rows()}),
 m AS (SELECT al.role, cols.column_name, cols.ordinal_position
       FROM cols JOIN al ON lower(trim(cols.column_name)) = al.alias)
-SELECT role, arg_min(column_name, ordinal_position) AS "column" FROM m GROUP BY role"""
+SELECT role, "column", CASE "column" WHEN 'ts' THEN (SELECT count(ts) FROM events) WHEN 'user_id' THEN (SELECT count(user_id) FROM events)
+       ELSE (SELECT count(event_type) FROM events) END AS n_values
+FROM (SELECT role, arg_min(column_name, ordinal_position) AS "column" FROM m GROUP BY role)"""
 
 # ---- S (round trips through CSV / TSV / JSON / JSONL) -------------------------
 _ROUND_TRIP = with_(ev_raw(), sessions(30)) + f"""
@@ -408,17 +410,13 @@ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT w FROM wm)"""
 
 
 def _sniff_sql() -> str:
-    """Content sniff over the first 1000 rows of ``events`` renamed c0..c5."""
-    from usertrail.constants import ISO_TIMESTAMP_PATTERN
-    from usertrail.operators.resolve import _ISO_LOOSE_PATTERN
-
+    """Content sniff over all rows of ``events`` renamed c0..c5."""
     def num(c):
         return (f"count(*) FILTER (WHERE {c} IS NOT NULL AND (({c} > 1000000000 AND {c} < 4000000000) "
                 f"OR ({c} > 1000000000000 AND {c} < 4000000000000)))")
 
     def text(c):
-        return (f"count(*) FILTER (WHERE {c} IS NOT NULL AND (regexp_full_match(trim({c}), '{ISO_TIMESTAMP_PATTERN}') "
-                f"OR regexp_full_match(replace({c}, 'Z', '+00:00'), '{_ISO_LOOSE_PATTERN}')))")
+        return f"count(try_cast({c} AS TIMESTAMP))"
 
     parts = [
         ("c0", 0, "event_id", num("event_id"), "false"),
@@ -432,11 +430,11 @@ def _sniff_sql() -> str:
         f"SELECT '{name}' AS col, {i} AS ord, count({c}) AS nn, {hit} AS tsh, count(DISTINCT {c}) AS nu, "
         f"{is_str} AS is_str FROM s" for name, i, c, hit, is_str in parts)
     return f"""
-WITH s AS (SELECT * FROM events LIMIT 1000),
+WITH s AS (SELECT * FROM events),
 n AS (SELECT count(*) AS nrows FROM s),
 cols AS ({cols}),
-sc AS (SELECT col, ord, tsh / least(nn, 1000) AS ts_score,
-              CASE WHEN nu <= 1 THEN 0.0 WHEN nu / nrows BETWEEN 0.001 AND 0.9
+sc AS (SELECT col, ord, tsh / nn AS ts_score,
+              CASE WHEN nu <= 1 OR col = 'c4' /* a DOUBLE */ THEN 0.0 WHEN nu / nrows <= 0.9 AND (nu / nrows >= 0.001 OR nu > 500)
                    THEN 0.6 + 0.3 * least(nu / nrows / 0.5, 1.0) ELSE 0.0 END AS user_score,
               CASE WHEN NOT is_str THEN 0.0 WHEN nu = 0 OR nu > 500 THEN 0.0 WHEN nu / nrows > 0.5 THEN 0.0
                    WHEN nu BETWEEN 2 AND 200 THEN 0.7 ELSE 0.3 END AS ev_score
@@ -452,3 +450,55 @@ UNION ALL SELECT 'event_name', col FROM e"""
 
 
 ORACLE["resolve_schema_sniff"] = _sniff_sql()
+
+
+# ---- hot users and other paths: the same rows as on the plain path -------------
+ORACLE["sessionize_hot"] = ORACLE["sessionize_gap_30"]
+ORACLE["sessionize_before_1970"] = with_(ev_raw(), sessions(15)) + """
+SELECT user_id, event_id, session_no, user_id || '_s' || CAST(session_no AS VARCHAR) AS session_id,
+       is_start = 1 AS is_start
+FROM se"""
+for _k in ("session_table", "stuck_signals", "transitions", "next_event_step", "longest_gap"):
+    ORACLE[f"{_k}_hot"] = ORACLE[_k]
+ORACLE["analyze_user_sessions_hot"] = with_(ev_named(), sessions(30)) + f"""
+SELECT session_no, user_id || '_s' || CAST(session_no AS VARCHAR) AS session_id,
+       strftime(timezone('America/New_York', min(ts) AT TIME ZONE 'UTC'), {TS}) AS start, count(*) AS n_events
+FROM se WHERE user_id = '7' GROUP BY user_id, session_no"""
+
+# ---- sources, sinks and records -------------------------------------------------
+ORACLE["read_parquet"] = ORACLE["read_parts"] = _ROUND_TRIP
+ORACLE["write_profiles"] = _LIST_BASE + f"\nSELECT {_PROFILE_COLS} FROM pr"
+_SEVEN = "user_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey = 7)"
+ORACLE["export_record"] = _LIST_BASE + f"""
+SELECT count(*) AS users_included, CAST(coalesce(sum(events), 0) AS BIGINT) AS total_events FROM pr WHERE {_SEVEN}"""
+ORACLE["export_events"] = _LIST_BASE + f"""
+SELECT user_id, user_id || '_s' || CAST(session_no AS VARCHAR) AS session_id, pos, strftime(ts, '%H:%M') AS hhmm,
+       event_name, family
+FROM fe WHERE {_SEVEN}"""
+ORACLE["event_properties_reserved"] = " UNION ALL ".join(
+    f"SELECT event_id, '{n}' AS key, '{n}' || CAST(event_id % {k + 3} AS VARCHAR) AS value FROM events WHERE user_id IS NOT NULL"
+    for k, n in enumerate(["_id", "family", "pos", "bucket", "ord", "ts_key", "props", "session_no"]))
+ORACLE["redact_roles"] = """
+SELECT event_id, 'redacted-' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS user_id,
+       CASE WHEN event_type IS NOT NULL THEN '<redacted>' END AS event_name
+FROM events"""
+ORACLE["no_families"] = with_(ev_named()) + """
+SELECT user_id, 'other' AS family, count(*) AS count FROM ev WHERE user_id IS NOT NULL GROUP BY user_id"""
+ORACLE["prefix_attributes"] = """
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(arg_min(event_id % 40, (ts, event_id)) AS VARCHAR) AS user_mark
+FROM events WHERE user_id IS NOT NULL GROUP BY 1"""
+ORACLE["meta_schema"] = """
+SELECT 'user_id' AS role, 'user_id' AS "column", count(DISTINCT user_id) AS n_values FROM events
+UNION ALL SELECT 'timestamp', 'ts', count(DISTINCT ts) FROM events
+UNION ALL SELECT 'event_name', 'event_type', count(DISTINCT event_type) FROM events"""
+ORACLE["analyze_user_stats"] = _core(ev_named()) + f"\nSELECT {_PROFILE_COLS} FROM pr WHERE user_id = '7'"
+ORACLE["analyze_user_events"] = _core(ev_named()) + """
+SELECT user_id || '_s' || CAST(session_no AS VARCHAR) AS session_id, pos, strftime(ts, '%H:%M') AS hhmm, event_name, family, props
+FROM fe WHERE user_id = '7'"""
+ORACLE["analyze_user_top_families"] = f"SELECT * FROM ({ORACLE['top_families']}) WHERE user_id = '7'"
+ORACLE["list_users_totals"] = _LIST_BASE + """
+SELECT (SELECT count(*) FROM pr) AS total, count(*) AS filtered_total FROM pr WHERE user_id IN (SELECT user_id FROM cm)"""
+ORACLE["taxonomy_totals"] = _core(ev_named()) + """
+SELECT CAST(sum(events) AS BIGINT) AS total_events, count(*) AS total_users FROM pr"""
+ORACLE["quick_report_totals"] = _core(ev_named()) + """
+SELECT count(*) AS users_included, CAST(coalesce(sum(events), 0) AS BIGINT) AS total_events FROM pr"""

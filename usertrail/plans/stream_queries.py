@@ -83,7 +83,7 @@ def q_stream_column_sessions(spark: SparkSession, sf: str) -> DataFrame:
     out = L.stream_column_sessions(stream, session_col="sid")
     L.run_available_now(out, checkpoint=base + "/ckpt", output_mode="append", sink_path=base + "/out")
     res = spark.read.parquet(base + "/out")
-    return res.where(~F.col("late")).select("user_id", "event_id", "session_no", "session_id")
+    return res.select("user_id", "event_id", "session_no", "session_id")
 
 
 def q_stream_totals(spark: SparkSession, sf: str) -> DataFrame:
