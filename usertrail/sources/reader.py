@@ -6,7 +6,6 @@ formats are read lazily by Spark; nothing passes through the driver.
 
 from __future__ import annotations
 
-import glob as _glob
 import os
 from collections.abc import Sequence
 
@@ -28,35 +27,30 @@ def _suffix(path: str) -> str:
     return os.path.splitext(base)[1].lower()
 
 
-def _is_remote(path: str) -> bool:
-    return "://" in path and not path.startswith("file://")
-
-
-def _check_local(path: str) -> list[str]:
-    """Existence and emptiness checks for local paths; returns matched files."""
-    if path.startswith("file://"):
-        path = path[len("file://"):]
-    elif path.startswith("file:"):
-        path = path[len("file:"):]
-    if any(ch in path for ch in "*?["):
-        files = sorted(_glob.glob(path))
-        if not files:
-            raise ReadError(f"File not found: {path}")
-        return files
-    if not os.path.exists(path):
-        raise ReadError(f"File not found: {path}")
-    if os.path.isdir(path):
-        files = sorted(
-            os.path.join(root, f)
-            for root, _, names in os.walk(path) for f in names
-            if not f.startswith((".", "_"))
-        )
-        if not files:
-            raise ReadError(f"File is empty: {path}")
-        return files
-    if os.path.getsize(path) == 0:
-        raise ReadError(f"File is empty: {path}")
-    return [path]
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the non-empty data files that a path, folder or pattern stands for.
+
+    Asks the file system that Spark would read from, so a path without a scheme
+    means the cluster's default file system and not the driver's disk.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(where)
+    if not found:
+        raise ReadError(f"nothing to read at {path}")
+    names, size = [], 0
+    for status in found:
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().getName()
+            if not name.startswith((".", "_")):
+                names.append(name)
+                size += f.getLen()
+    if not size:
+        raise ReadError(f"no data in {path}")
+    return names
 
 
 def _format_of(path: str, files: Sequence[str]) -> str:
@@ -68,8 +62,8 @@ def _format_of(path: str, files: Sequence[str]) -> str:
     if len(suffixes) == 1:
         return suffixes.pop()
     if not suffixes and files:
-        raise ReadError(f"Unrecognized file extension {suffix!r}. Supported: {SUPPORTED}")
-    raise ReadError(f"Mixed or unrecognized file extensions {sorted(suffixes)}. Supported: {SUPPORTED}")
+        raise ReadError(f"cannot tell the format of {path} from {suffix!r}; known are {SUPPORTED}")
+    raise ReadError(f"{path} holds files of {sorted(suffixes)}; expected are files of one of {SUPPORTED}")
 
 
 def read_events(spark: SparkSession, path: str, *, schema=None) -> DataFrame:
@@ -79,8 +73,7 @@ def read_events(spark: SparkSession, path: str, *, schema=None) -> DataFrame:
     pass one for CSV/JSON.
     """
     path = str(path)
-    files = [path] if _is_remote(path) else _check_local(path)
-    fmt = _format_of(path, files)
+    fmt = _format_of(path, _files(spark, path))
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -97,13 +90,13 @@ def read_events(spark: SparkSession, path: str, *, schema=None) -> DataFrame:
     if fmt in JSON_SUFFIXES:
         # An array of objects: one document per file, not splittable.
         return reader.option("multiLine", "true").json(path)
-    raise ReadError(f"Unrecognized file extension {fmt!r}. Supported: {SUPPORTED}")
+    raise ReadError(f"no reader for {fmt!r}; known are {SUPPORTED}")
 
 
 def read_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Union several export parts by column name (missing columns -> null)."""
     if not paths:
-        raise ReadError("No input paths given")
+        raise ReadError("an empty list of parts")
     frames = [read_events(spark, p) for p in paths]
     out = frames[0]
     for f in frames[1:]:
