@@ -12,7 +12,9 @@ Everything is DataFrame expressions; no step pairs up the lines of a group.
    for every h up to half the shorter one.  Lines that share no such key with a
    different line have no neighbour, and emit nothing (an exact filter).
 3. The others emit themselves and every variant with one word deleted, hashed by
-   position-salted word hashes, so that a line of n words costs n log n.
+   position-salted word hashes, so that a line of n words costs n log n.  (Should
+   two variants of one length share a 64-bit hash without sharing their words, a
+   line of theirs may stay; none goes wrongly, see step 5.)
 4. Equal variants meet by aggregation.  Of lines that had their word deleted in
    the same place, the earliest is the partner of all others; a line that equals a
    variant as it stands is the partner of all that made it.
@@ -74,30 +76,29 @@ def _scan(values: Column) -> Column:
 
 
 def _variants(words: Column) -> Column:
-    """Structs (s1, s2, n, slot): the line as it stands (slot 0), and with word 1, 2, ... deleted.
+    """Structs (s, n, slot): the line as it stands (slot 0), and with word 1, 2, ... deleted.
 
     A sequence's hash is the exclusive-or of its words' hashes, each salted with its
     place.  Behind a deleted word all places move by one: the hash takes each word's
-    ``here`` before the gap and its ``back`` behind it.
+    ``here`` before the gap and its ``back`` behind it.  Variants meet only with
+    equal hash, length and, but for a line as it stands, slot; that the words agree
+    is verified later.
     """
     zero = F.lit(0).cast("long")
+    here = F.transform(words, lambda w, i: F.xxhash64(F.lit(17), w, i))
+    back = F.transform(words, lambda w, i: F.xxhash64(F.lit(17), w, i - 1))
 
-    def hashes(seed: int) -> Column:
-        both = F.transform(words, lambda w, i: F.struct(F.xxhash64(F.lit(seed), w, i).alias("here"),
-                                                        F.xxhash64(F.lit(seed), w, i - 1).alias("back")))
-        scanned = F.struct(both.alias("w"), _scan(F.transform(both, lambda b: b["here"].bitwiseXOR(b["back"]))).alias("sum"))
+    def each(s: Column) -> Column:
+        """``change``: running difference between the words' places here and back."""
+        all_back = F.aggregate(s["back"], zero, lambda a, b: a.bitwiseXOR(b))
+        return _let(all_back, lambda all_: F.transform(
+            F.concat(F.array(F.lit(None).cast("long")), s["back"]), lambda b, i: F.struct(
+                F.when(i == 0, F.element_at(s["change"], -1)).otherwise(
+                    F.coalesce(F.get(s["change"], i - 2), zero).bitwiseXOR(b)).bitwiseXOR(all_).alias("s"),
+                (F.size(s["back"]) - (i > 0).cast("int")).alias("n"), i.alias("slot"))))
 
-        def each(s: Column) -> Column:
-            behind = F.aggregate(s["w"], zero, lambda a, b: a.bitwiseXOR(b["back"]))
-            gaps = F.transform(s["w"], lambda b, i: F.coalesce(F.get(s["sum"], i - 1), zero).bitwiseXOR(b["back"]))
-            return _let(behind, lambda all_: F.concat(
-                F.array(all_.bitwiseXOR(F.element_at(s["sum"], -1))), F.transform(gaps, lambda g: g.bitwiseXOR(all_))))
-
-        return _let(scanned, each)
-
-    n = F.size(words)
-    return F.transform(F.arrays_zip(hashes(17).alias("a"), hashes(29).alias("b")), lambda v, i: F.struct(
-        v["a"].alias("s1"), v["b"].alias("s2"), F.when(i == 0, n).otherwise(n - 1).alias("n"), i.alias("slot")))
+    scanned = _let(back, lambda b: F.struct(b.alias("back"), _scan(F.zip_with(here, b, lambda x, y: x.bitwiseXOR(y))).alias("change")))
+    return _let(scanned, each)
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -147,11 +148,11 @@ def _neighbours(docs: DataFrame, keys: DataFrame, distinct: DataFrame, key: str,
     near = landed(hits.join(places, [*ROW, "line"]).select("node", "first", words_of(F.col("raw")).alias("w"))
                   .dropDuplicates(["node"]), "line-words")
 
-    variant = ["s1", "s2", "n"]
+    variant = ["s", "n"]
     variants = landed(near.select("node", F.inline(_variants(F.col("w")))), "line-variants")
     met = landed(variants.groupBy(*variant).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
                  .select(*variant), "line-met")
-    met = narrowed(variants, F.col("s1"), met, F.col("s1")).join(met, variant)
+    met = narrowed(variants, F.col("s"), met, F.col("s")).join(met, variant)
     met = landed(met.join(near.select("node", "first"), "node"), "line-met")
     cut, whole = met.where("slot > 0"), met.where("slot = 0")
     by_slot = cut.groupBy(*variant, "slot").agg(F.min("first").alias("partner"))
