@@ -49,7 +49,7 @@ _PACK = {n: struct.Struct(f"<{n}I").pack for n in range(1, 33)}
 class Lattice:
     """Segmentations by one model file."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -78,7 +78,8 @@ class Lattice:
         no_letter = r"(?:(?<![^\W\d_])" + (f"|(?<=[{re.escape(joined)}])" if joined else "") + ")"
         inner = f"(?:[^{BLANK}\n.,;:!?]+|{no_letter}[.,;:!?])"
         self.cut = re.compile(f"{letter}[.,;:!?]{inner}*|{BLANK}+{inner}*|\n|{inner}+" if chained else r".+", re.DOTALL)
-        self.most, self.known, self.known_best = most, {}, {}
+        # the words learned lately, and those before them; of the latter, used ones come over
+        self.most, self.known, self.before, self.known_best = most, {}, {}, {}
 
     # -------------------------------------------------------------- one word
 
@@ -126,6 +127,9 @@ class Lattice:
 
     def learn(self, word: str) -> tuple[bytes, float, float]:
         """The word's best ids (packed), their score, and what its second segmentation loses."""
+        if (got := self.before.get(word)) is not None:
+            self.known[word] = got
+            return got
         best, back, second = self.viterbi(word)
         ids, at, loss = [], len(word), float("inf")
         while at:
@@ -195,7 +199,7 @@ class Lattice:
                 ids[k] = options[j][1]
             out.append((loss, b"".join(ids)))
         if len(known) > self.most:
-            known.clear()
+            self.known, self.before = {}, known
         if len(self.known_best) > self.most // 10:
             self.known_best.clear()
         return score, out
