@@ -51,11 +51,12 @@ class Encoder:
     only the first id of a word can start with the blank, which tells them apart.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib, self.most = Tokenizer.from_file(path), most
         self.units, self.words = {"": b""}, {}  # ids of a unit as it stands, and of a word behind a blank
+        self.before: dict[str, bytes] = {}  # words before those of late; used ones come over
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         vocabulary = self.lib.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
@@ -87,6 +88,9 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new words: behind a blank, or behind the line end that they show."""
+        old = {w: x for w in new if (x := self.before.get(w)) is not None}
+        self.words.update(old)
+        new = {w for w in new if w not in old}
         self._encode_words([w for w in new if w[0] != "\n"])
         heads = [w for w in new if w[0] == "\n"]
         self._encode_units([u for u in {w[1:] for w in heads} | {"\n"} if u not in self.units])
@@ -102,7 +106,7 @@ class Encoder:
         if len(self.units) > self.most:
             self.units = {"": b""}
         if len(self.words) > self.most:
-            self.words.clear()
+            self.words, self.before = {}, self.words
         out, get, held, new = [b""] * len(batch), self.words.get, [], set()
         for i, t in enumerate(batch):
             if any(s in t for s in self.special):
