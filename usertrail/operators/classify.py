@@ -28,7 +28,8 @@ from usertrail.constants import FREE_TEXT_SHARE, MAX_ATTR_CARDINALITY, USER_ATTR
 from usertrail.operators.normalize import extra_column
 
 _USER_PREFIX = re.compile(USER_ATTR_PREFIX_PATTERN)
-_NEAR = 0.10  # relative band around a threshold inside which we count exactly
+_ERROR = 0.01  # standard error of the estimates
+_NEAR = 10 * _ERROR  # band around a threshold inside which we count exactly: ten standard errors
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,7 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
     # Job A: estimates, null flags and the row count.
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(extras):
-        aggs.append(F.approx_count_distinct(_orderable(c, dtypes[extra_column(c)])).alias(f"a{i}"))
+        aggs.append(F.approx_count_distinct(_orderable(c, dtypes[extra_column(c)]), _ERROR).alias(f"a{i}"))
         aggs.append(F.max(_q(c).isNull().cast("int")).alias(f"z{i}"))
     ra = events.agg(*aggs).first()
     rows = ra["__rows"] if n_rows is None else n_rows
