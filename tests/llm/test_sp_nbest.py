@@ -57,6 +57,14 @@ def test_words_part_where_no_piece_joins():
         assert not any(a[-1] + b[0] in pairs for a, b in zip(found, found[1:]))
 
 
+def test_words_together_as_alone():
+    rng, together, alone = random.Random(4), S.Lattice(PATH), S.Lattice(PATH)
+    words = {"".join(rng.choice("▁abcdethein東🙂é.") for _ in range(rng.randrange(1, 14))) for _ in range(4000)}
+    together.learn_all(words)
+    for w in words:
+        assert together.known[w] == alone.learn(w)
+
+
 def test_frames(spark):
     rows = [(1, None, 0), (2, "", 0), (None, "null id", 0), (4, "same", 0), (4, "same", 0), (5, "x" * 30_000, 0),
             (6, f"a{S.BLANK}b", 0)]

@@ -43,6 +43,7 @@ BLANK = "▁"
 NORMAL, BYTE = 1, 6  # piece types of the model file
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _PACK = {n: struct.Struct(f"<{n}I").pack for n in range(1, 33)}
 
 
@@ -78,6 +79,19 @@ class Lattice:
         no_letter = r"(?:(?<![^\W\d_])" + (f"|(?<=[{re.escape(joined)}])" if joined else "") + ")"
         inner = f"(?:[^{BLANK}\n.,;:!?]+|{no_letter}[.,;:!?])"
         self.cut = re.compile(f"{letter}[.,;:!?]{inner}*|{BLANK}+{inner}*|\n|{inner}+" if chained else r".+", re.DOTALL)
+        # the pieces' beginnings by length, for many words at once: sorted hashes, piece ids (-1: none) and scores
+        self.by_length = []
+        for size in range(1, max(map(len, self.pieces), default=0) + 1):
+            begin = [(p, got) for p, got in self.pieces.items() if len(p) == size]
+            codes = np.frombuffer("".join(p for p, _ in begin).encode("utf-32-le"), "<u4").reshape(-1, size)
+            hashes = np.zeros(len(begin), np.uint64)
+            for k in range(size):
+                hashes = hashes * _BASE + codes[:, k]
+            order = np.argsort(hashes)
+            if len(np.unique(hashes)) < len(hashes):
+                raise ValueError("two beginnings of pieces share a hash")
+            self.by_length.append((hashes[order], np.asarray([got[0] if got else -1 for _, got in begin], np.int32)[order],
+                                   np.asarray([got[1] if got else 0.0 for _, got in begin])[order]))
         # the words learned lately, and those before them; of the latter, used ones come over
         self.most, self.known, self.before, self.known_best = most, {}, {}, {}
 
@@ -145,6 +159,70 @@ class Lattice:
                                   best[-1], loss)
         return got
 
+    def _learn_equal(self, words: list[str]) -> None:
+        """``learn`` for words of one length together: the same pass over starts and ends, a column a word."""
+        n, rows = len(words[0]), np.arange(len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)
+        best, second = (np.full((n + 1, len(words)), -np.inf) for _ in range(2))
+        back, piece = (np.zeros((n + 1, len(words)), np.int32) for _ in range(2))
+        best[0] = 0.0
+
+        def arc(at: np.ndarray, start: int, end: int, score: np.ndarray, ids: np.ndarray) -> None:
+            now = best[end, at]
+            better = score > now
+            second[end, at] = np.where(better, now, np.maximum(second[end, at], score))
+            won = at[better]
+            best[end, won], back[end, won], piece[end, won] = score[better], start, ids[better]
+
+        for start in range(n):
+            at, hashes, single = rows, np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
+            for size, (known, ids, scores) in enumerate(self.by_length[:n - start], 1):
+                hashes = hashes * _BASE + codes[at, start + size - 1]
+                k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                begins = known[k] == hashes
+                at, hashes, k = at[begins], hashes[begins], k[begins]
+                if not len(at):
+                    break
+                whole = ids[k] >= 0
+                if size == 1:
+                    single[at[whole]] = True
+                arc(at[whole], start, start + size, best[start, at[whole]] + scores[k[whole]], ids[k[whole]])
+            odd = rows[~single]
+            if len(odd):
+                arc(odd, start, start + 1, best[start, odd] + self.unknown, np.full(len(odd), -1, np.int32))
+        at, loss, steps, path = np.full(len(words), n), np.full(len(words), np.inf), np.zeros(len(words), np.int64), []
+        spelled = np.zeros(len(words), bool)
+        while (at > 0).any():
+            on = at > 0
+            loss[on] = np.minimum(loss[on], best[at[on], rows[on]] - second[at[on], rows[on]])
+            here = piece[at, rows]
+            spelled |= on & (here < 0)
+            path.append(here)
+            steps += on
+            at = np.where(on, back[at, rows], 0)
+        ids = np.asarray(path[::-1], "<i4").T  # each word's pieces stand at the end of its row
+        for i, (w, k, score, lost, odd) in enumerate(zip(words, steps.tolist(), best[n].tolist(), loss.tolist(), spelled.tolist())):
+            if odd:
+                self.learn(w)
+            else:
+                # rows are cut where the word's path ends: what is over stands in front
+                self.known[w] = (ids[i, len(path) - k:].tobytes(), score, lost)
+
+    def learn_all(self, words: set[str]) -> None:
+        """Make words known: those of before come over, the others are learned by length."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            if (got := self.before.get(w)) is not None:
+                self.known[w] = got
+            else:
+                by_length.setdefault(len(w), []).append(w)
+        for size, group in by_length.items():
+            if len(group) < 24 or size > 64:
+                for w in group:
+                    self.learn(w)
+            else:
+                self._learn_equal(group)
+
     def n_best(self, word: str, n: int) -> list[tuple[float, bytes]]:
         """(loss, packed ids) of the word's n best segmentations, by A* from its end."""
         if (found := self.known_best.get((word, n))) is not None:
@@ -180,11 +258,23 @@ class Lattice:
 
     def encode(self, text: str, n: int = 1) -> tuple[float, list[tuple[float, bytes]]]:
         """The best score, and (loss, packed ids) of the n best segmentations."""
-        if not text:
-            return 0.0, [(0.0, b"")]
-        found = self.cut.findall(self.lead + text.replace(" ", BLANK))
-        known, get = self.known, self.known.get
-        got = [get(w) or self.learn(w) for w in found]
+        return self.encode_all([text], n)[0]
+
+    def encode_all(self, batch: list[str], n: int = 1) -> list[tuple[float, list[tuple[float, bytes]]]]:
+        """``encode`` of several texts, whose new words are learned together."""
+        found = [self.cut.findall(self.lead + t.replace(" ", BLANK)) if t else [] for t in batch]
+        known = self.known
+        self.learn_all({w for f in found for w in f if w not in known})
+        out = [self._n_best_of(f, n) for f in found]
+        if len(known) > self.most:
+            self.known, self.before = {}, known
+        if len(self.known_best) > self.most // 10:
+            self.known_best.clear()
+        return out
+
+    def _n_best_of(self, found: list[str], n: int) -> tuple[float, list[tuple[float, bytes]]]:
+        """The text's score and n best, from those of its words."""
+        got = list(map(self.known.__getitem__, found))
         ids = list(map(itemgetter(0), got))
         score = sum(map(itemgetter(1), got))
         losses = list(map(itemgetter(2), got))
@@ -198,11 +288,7 @@ class Lattice:
             for k, options, j in zip(open_, lists, chosen):
                 ids[k] = options[j][1]
             out.append((loss, b"".join(ids)))
-        if len(known) > self.most:
-            self.known, self.before = {}, known
-        if len(self.known_best) > self.most // 10:
-            self.known_best.clear()
-        return score, out
+        return float(score), out
 
     def decode(self, packed: bytes) -> str:
         raw = b"".join(map(self.raw.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -230,10 +316,10 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lattice(model)
-        for batch in slices(batches, max_bytes=1 << 20):
+        for batch in slices(batches):
             best, sizes, scores, losses, crcs, same = [], [], [], [], [], []
-            for t in texts(batch):
-                score, found = of.encode(t, n_best)
+            whole = texts(batch)
+            for t, (score, found) in zip(whole, of.encode_all(whole, n_best)):
                 best.append(np.frombuffer(found[0][1], "<i4") if ids else None)
                 sizes.append(len(found[0][1]) // 4)
                 scores.append(score)
