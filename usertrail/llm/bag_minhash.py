@@ -9,12 +9,13 @@ the count, so points beyond fall away.  A process ends as soon as it is later th
 every component's earliest point.  Two documents agree in a component with
 probability equal to their weighted Jaccard similarity, without bias.
 
-Signatures are cut into bands, and each bucket has one leader.  First every text is
-tried with the least of its leaders, which joins a group of near copies to one class
-by one pair a member; then with those other leaders that are still of another class;
-last, members of one bucket that are of different classes still are tried with each
-other.  Every pair is verified on the exact shingle counts; nothing emits all pairs of
-a group.  With 32 bands of five, a pair at the
+Signatures are cut into bands.  A bucket is led by its member with most neighbours
+over all bands (the original, in a group of copies), and every text is tried with the
+best of its leaders: one pair a member joins such a group to one class.  Members of
+one bucket that are of different classes still are tried with each other, unless
+their own shingles, which no other candidate has, bound their similarity below the
+threshold.  Every pair is verified on the exact shingle counts; nothing emits all
+pairs of a group.  With 32 bands of five, a pair at the
 threshold of 0.8 meets in some band with probability 1 - 3e-6.
 
 Defined cases: equal texts are always one class, also without words (a null text
@@ -222,6 +223,36 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
             .mapInArrow(compare, "lead long, node long"))
 
 
+def _own_shares(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """node, total and own: its shingles, and those of them that no other wanted text has.
+
+    What only one text has no pair can share, so two texts are at most as similar as
+    the rest of theirs allows.
+    """
+    wanted = landed(wanted.join(nodes.select("node", "t"), "node"), "bag-wanted")
+    all_texts = docs.select(_text_key(text).alias("t"), text_of(text).alias("text"))
+    once = narrowed(all_texts, F.xxhash64("t"), wanted, F.xxhash64("t")).groupBy("t").agg(F.first("text").alias("text"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, max_bytes=1 << 20):
+            found = [shingle_counts(t, hashes) for t in texts(batch)]
+            ids = np.asarray(column(batch, "node"))
+            sizes = [len(h) + 1 for h, _ in found]
+            # besides its shingles, one row that no other text has: it brings the total of texts without own shingles
+            marks = mix64(ids.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, sizes)),
+                 pa.array(np.concatenate([x for (h, _), m in zip(found, marks) for x in (h, [m])]).astype(np.uint64).view(np.int64)),
+                 pa.array(np.concatenate([x for _, n in found for x in (n, [0])]).astype(np.int64)),
+                 pa.array(np.repeat([int(n.sum()) for _, n in found], sizes).astype(np.int64))], ["node", "h", "n", "total"])
+
+    rows = once.join(wanted, "t").select("node", "text").mapInArrow(spread, "node long, h long, n long, total long")
+    alone = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n"),
+                                  F.max("total").alias("total")).where("node = other")
+    return alone.groupBy("node").agg(F.sum("n").alias("own"), F.max("total").alias("total"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node but the roots: large-star and small-star rounds (Kiveris et al., 2014)."""
     def oriented(df: DataFrame) -> DataFrame:
@@ -247,35 +278,32 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresho
     sketched = sketch(docs, key=key, text=text)
     nodes = distinct_texts(sketched)
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = landed(rows.join(buckets, "band").select("band", "node", "lead", "n"), "bag-buckets")
-    led = shared.where("node <> lead")
-    tried = landed(led.groupBy("node").agg(F.min("lead").alias("lead")).select("lead", "node"), "bag-tried")
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = landed(rows.join(buckets, "band"), "bag-buckets")
+    # the original of many copies is in the largest buckets: who has most neighbours leads
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = shared.select("band", "node").join(weight, "node").select("band", F.struct("weight", (-F.col("node")).alias("col2")).alias("m"))
+    leads = members.groupBy("band").agg(F.max("m").alias("lead"))
+    tried = members.join(leads, "band").groupBy("m").agg(F.max("lead").alias("lead")).where("m <> lead")
+    tried = landed(tried.select((-F.col("lead.col2")).alias("lead"), (-F.col("m.col2")).alias("node")), "bag-tried")
     links = landed(verified(tried, nodes, docs, threshold, text=text), "bag-links")
     roots = components(links)
 
-    def with_roots(pairs: DataFrame) -> DataFrame:
-        """The pairs whose two texts are not of one class yet."""
-        a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("lead", "node"))
-        joined = pairs.join(a, "lead", "left").join(b, "node", "left")
-        return joined.where(F.coalesce("lead_root", "lead") != F.coalesce("node_root", "node")).select("lead", "node")
-
-    others = landed(with_roots(led.select("lead", "node")).distinct().join(tried, ["lead", "node"], "left_anti"), "bag-others")
-    if not others.isEmpty():
-        tried = tried.unionByName(others)
-        links = landed(links.unionByName(verified(others, nodes, docs, threshold, text=text)), "bag-links")
-        roots = components(links)
-
-    # what the leaders left apart: pairs of one bucket from different classes, neither the leader
-    rest = (shared.where("n > 2 and node <> lead").select("band", "node").join(roots, "node", "left")
-            .withColumn("root", F.coalesce("root", "node")))
+    # what the leaders left apart: pairs of one bucket from different classes
+    rest = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = rest.join(split, "band").join(nodes.select("node", "bands"), "node")
+    rest = landed(rest.join(split, "band"), "bag-rest")
+    sizes = _own_shares(rest.select("node").distinct(), nodes, docs, text).where(
+        (F.col("total") - F.col("own")) / F.col("total") >= threshold)
+    rest = rest.join(sizes, "node").join(nodes.select("node", "bands"), "node")
     x, y = rest.alias("x"), rest.alias("y")
+    most = F.least(F.col("x.total") - F.col("x.own"), F.col("y.total") - F.col("y.own"))
     across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (
-        F.col("x.root") != F.col("y.root")) & (F.size(F.array_intersect("x.bands", "y.bands")) >= 2)).select(
+        F.col("x.root") != F.col("y.root")) & (most / (F.col("x.total") + F.col("y.total") - most) >= threshold) & (
+        F.size(F.array_intersect("x.bands", "y.bands")) >= 2)).select(
         F.col("x.node").alias("lead"), F.col("y.node").alias("node")).distinct()
-    across = landed(across.join(tried, ["lead", "node"], "left_anti"), "bag-across")
+    both_ways = tried.unionByName(tried.select(F.col("node").alias("lead"), F.col("lead").alias("node")))
+    across = landed(across.join(both_ways, ["lead", "node"], "left_anti"), "bag-across")
     if not across.isEmpty():
         found = landed(verified(across, nodes, docs, threshold, text=text), "bag-links")
         if not found.isEmpty():
