@@ -13,8 +13,8 @@ Signatures are cut into bands.  A bucket is led by its member with most neighbou
 over all bands (the original, in a group of copies), and every text is tried with the
 best of its leaders: one pair a member joins such a group to one class.  Members of
 one bucket that are of different classes still are tried with each other, unless
-their own shingles, which no other candidate has, bound their similarity below the
-threshold.  Every pair is verified on the exact shingle counts; nothing emits all
+their own shingles, which no other candidate has, and what each has in common with
+the leader both were tried with bound their similarity below the threshold.  Every pair is verified on the exact shingle counts; nothing emits all
 pairs of a group.  With 32 bands of five, a pair at the
 threshold of 0.8 meets in some band with probability 1 - 3e-6.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usertrail.llm.common import (
@@ -113,10 +113,15 @@ def band_keys(times: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The size of two sorted multisets' intersection."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(a[1][i], b[1][j]).sum())
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two sorted multisets."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    both = overlap(a, b)
     return both / max(int(a[1].sum() + b[1].sum()) - both, 1)
 
 
@@ -175,7 +180,8 @@ def _roles(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, *, text: str = "text") -> DataFrame:
-    """The pairs (lead, node) whose exact similarity reaches the threshold.
+    """The pairs (lead, node) with the size of their intersection, ``both``, and whether
+    their exact similarity reaches the threshold, ``link``.
 
     A bitmap leaves out texts that are in no pair; the others come together by key,
     copies combined before the shuffle; what then moves are their shingle counts.  A
@@ -209,18 +215,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (None, None)
         for batch in slices(batches, "counts", 4 << 20):
-            links = []
+            out = []
             for lead, member, node, raw in zip(*(column(batch, c).to_pylist() for c in ("lead", "member", "node", "counts"))):
                 if member == 0:
                     held = (lead, unpack(raw))
-                elif held[0] == lead and similarity(held[1], unpack(raw)) >= threshold:
-                    links.append((lead, node))
-            a, b = zip(*links) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["lead", "node"])
+                elif held[0] == lead:
+                    other = unpack(raw)
+                    both = overlap(held[1], other)
+                    either = int(held[1][1].sum() + other[1].sum()) - both
+                    out.append((lead, node, both, both >= threshold * max(either, 1)))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())],
+                                             ["lead", "node", "both", "link"])
 
     packed = rows.select("text", "roles").mapInArrow(pack, "lead long, salt int, member int, node long, counts binary")
     return (packed.repartition(partitions(docs.sparkSession), "lead", "salt").sortWithinPartitions("lead", "salt", "member")
-            .mapInArrow(compare, "lead long, node long"))
+            .mapInArrow(compare, "lead long, node long, both long, link boolean"))
 
 
 def _own_shares(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -273,6 +283,24 @@ def components(links: DataFrame) -> DataFrame:
             small.select("a", F.col("m").alias("b")))), "bag-edges")
 
 
+def _most() -> Column:
+    """The largest intersection that texts x and y can have.
+
+    Own shingles are in no other text.  Where both were tried with the same hub, the
+    intersection lies within the hub as far as both meet it, and outside as far as
+    both have shingles there that are not their own.
+    """
+    def least(of) -> Column:
+        return F.least(of("x"), of("y"))
+
+    free = least(lambda t: F.col(f"{t}.total") - F.col(f"{t}.own"))
+    by_hub = least(lambda t: F.col(f"{t}.both")) + least(lambda t: F.col(f"{t}.total") - F.col(f"{t}.both") - F.col(f"{t}.own"))
+    # a hub's own shingles lie within itself
+    outside = F.when(F.col("x.hub") == F.col("y.hub"), F.when(
+        (F.col("x.node") != F.col("x.hub")) & (F.col("y.node") != F.col("y.hub")), by_hub))
+    return F.least(free, F.coalesce(outside, free))
+
+
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(documents, nodes): key, t and node of each document; t, node, first and root of each distinct text."""
     sketched = sketch(docs, key=key, text=text)
@@ -286,26 +314,31 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresho
     leads = members.groupBy("band").agg(F.max("m").alias("lead"))
     tried = members.join(leads, "band").groupBy("m").agg(F.max("lead").alias("lead")).where("m <> lead")
     tried = landed(tried.select((-F.col("lead.col2")).alias("lead"), (-F.col("m.col2")).alias("node")), "bag-tried")
-    links = landed(verified(tried, nodes, docs, threshold, text=text), "bag-links")
+    tried = landed(verified(tried, nodes, docs, threshold, text=text), "bag-tried")
+    links = tried.where("link").select("lead", "node")
     roots = components(links)
 
     # what the leaders left apart: pairs of one bucket from different classes
     rest = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     rest = landed(rest.join(split, "band"), "bag-rest")
-    sizes = _own_shares(rest.select("node").distinct(), nodes, docs, text).where(
-        (F.col("total") - F.col("own")) / F.col("total") >= threshold)
-    rest = rest.join(sizes, "node").join(nodes.select("node", "bands"), "node")
+    wanted = rest.select("node").distinct().join(tried.select("node", F.col("lead").alias("hub"), "both"), "node", "left")
+    wanted = landed(wanted.withColumn("hub", F.coalesce("hub", "node")), "bag-wanted")
+    everyone = wanted.select("node").unionByName(wanted.select(F.col("hub").alias("node"))).distinct()
+    sizes = wanted.join(_own_shares(everyone, nodes, docs, text), "node")
+    sizes = sizes.where((F.col("total") - F.col("own")) >= threshold * F.col("total")).select(
+        "node", "hub", "total", "own", F.coalesce("both", "total").alias("both"))
+    rest = landed(rest.join(sizes, "node").join(nodes.select("node", "bands"), "node"), "bag-rest")
     x, y = rest.alias("x"), rest.alias("y")
-    most = F.least(F.col("x.total") - F.col("x.own"), F.col("y.total") - F.col("y.own"))
+    shares = F.array_intersect("x.bands", "y.bands")
     across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (
-        F.col("x.root") != F.col("y.root")) & (most / (F.col("x.total") + F.col("y.total") - most) >= threshold) & (
-        F.size(F.array_intersect("x.bands", "y.bands")) >= 2)).select(
-        F.col("x.node").alias("lead"), F.col("y.node").alias("node")).distinct()
-    both_ways = tried.unionByName(tried.select(F.col("node").alias("lead"), F.col("lead").alias("node")))
+        F.col("x.root") != F.col("y.root")) & (_most() >= threshold * (F.col("x.total") + F.col("y.total") - _most())) & (
+        F.size(shares) >= 2) & (F.array_min(shares) == F.col("x.band"))).select(
+        F.col("x.node").alias("lead"), F.col("y.node").alias("node"))
+    both_ways = tried.select("lead", "node").unionByName(tried.select(F.col("node").alias("lead"), F.col("lead").alias("node")))
     across = landed(across.join(both_ways, ["lead", "node"], "left_anti"), "bag-across")
     if not across.isEmpty():
-        found = landed(verified(across, nodes, docs, threshold, text=text), "bag-links")
+        found = landed(verified(across, nodes, docs, threshold, text=text).where("link").select("lead", "node"), "bag-links")
         if not found.isEmpty():
             roots = components(links.unionByName(found))
     named = nodes.select("t", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
