@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,24 +138,25 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", ambiguous_lead: float = 0.05) -> DataFrame:
     """All columns of ``docs``, with a struct ``lang_id`` of (lang, score, ambiguous) behind them."""
-    ids = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_of(text).alias("text"))
-    doc_type = ids.schema["doc"].dataType.simpleString()
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=1 << 20):
-            found = [ngram_counts(t, model.buckets) if model.langs else None for t in texts(batch)]
-            out = [{"lang": UNDETERMINED, "score": 0.0, "ambiguous": False} for _ in found]
-            at = [i for i, f in enumerate(found) if f is not None]
-            for lo in range(0, len(at), 64):
-                part = at[lo:lo + 64]
-                x = np.stack([found[i] for i in part]).astype(np.float32)
-                margins = (x @ model.weights) / x.sum(axis=1, keepdims=True)
-                for i, b, s, lead in zip(part, *decode(model, margins.astype(np.float64))):
-                    out[i] = {"lang": model.langs[b], "score": round(float(s), 6), "ambiguous": bool(lead < ambiguous_lead)}
-            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(out, kind)], ["doc", "lang_id"])
-
-    return ids.mapInArrow(label, f"doc {doc_type}, lang_id struct<lang:string,score:double,ambiguous:boolean>")
+    @F.pandas_udf("lang string, score double, ambiguous boolean")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for lo in range(0, len(batch), 64):
+                found = [ngram_counts(t, model.buckets) if model.langs else None for t in batch.iloc[lo:lo + 64]]
+                rows = [(UNDETERMINED, 0.0, False)] * len(found)
+                at = [i for i, f in enumerate(found) if f is not None]
+                if at:
+                    x = np.stack([found[i] for i in at]).astype(np.float32)
+                    margins = (x @ model.weights) / x.sum(axis=1, keepdims=True)
+                    for i, b, s, lead in zip(at, *decode(model, margins.astype(np.float64))):
+                        rows[i] = (model.langs[b], round(float(s), 6), bool(lead < ambiguous_lead))
+                out += rows
+            yield pd.DataFrame(out, columns=["lang", "score", "ambiguous"])
+
+    # only the texts go to Python; non-deterministic, lest a filter on the result computes it again
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                       label.asNondeterministic()(text_of(text)).alias("lang_id"))
 
 
 def fold(key: str, n: int) -> Column:

@@ -26,8 +26,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usertrail.llm.common import _marked, column, landed, slices, texts
@@ -214,11 +215,14 @@ ENTITY = ["kind", "canon", "gender"]
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("kid"), F.col(key).isNull().alias("no_id"),
-                       F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                       F.col(text).cast("string").alias("text"))
+                       F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 
-def mentions(rows: DataFrame) -> DataFrame:
+def _text(text: str) -> Column:
+    return F.col("doc").getField(text).cast("string")
+
+
+def mentions(rows: DataFrame, text: str) -> DataFrame:
     """(kid, no_id, th, kind, canon, gender) of each entity in each text, written once."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -232,7 +236,7 @@ def mentions(rows: DataFrame) -> DataFrame:
                                              + [pa.array(c, pa.string()) for c in cols], [*ROW, *ENTITY])
 
     schema = "kid string, no_id boolean, th long, kind string, canon string, gender string"
-    return landed(rows.select(*ROW, "text").mapInArrow(find, schema), "mentions")
+    return landed(rows.select(*ROW, _text(text).alias("text")).mapInArrow(find, schema), "mentions")
 
 
 def redraws(found: DataFrame, key: bytes, bits: int = 128, most: int = 64) -> DataFrame:
@@ -268,24 +272,25 @@ def redraws(found: DataFrame, key: bytes, bits: int = 128, most: int = 64) -> Da
 def replace_all(docs: DataFrame, key: bytes, *, id_column: str = "doc_id", text: str = "text", bits: int = 128) -> DataFrame:
     """All columns of ``docs`` in a struct ``doc``, with the new text and the kinds replaced beside it."""
     rows = _rows(docs, id_column, text)
-    found = mentions(rows)
+    found = mentions(rows, text)
     again = redraws(found, key, bits)
     lists = landed(found.join(again, ENTITY).groupBy(*ROW).agg(
         F.collect_set(F.struct(*ENTITY, "surrogate")).alias("redrawn")), "redrawn")
-    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).schema["doc"].dataType.simpleString()
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+    @F.pandas_udf("text string, kinds array<string>")
+    def put(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for whole, lists_ in batches:
             new, kinds = [], []
-            for t, redrawn in zip(column(batch, "text").to_pylist(), column(batch, "redrawn").to_pylist()):
-                names = {(r["kind"], r["canon"], r["gender"]): r["surrogate"] for r in redrawn or ()}
+            for t, redrawn in zip(whole, lists_):
+                names = {(r["kind"], r["canon"], r["gender"]): r["surrogate"] for r in (() if redrawn is None else redrawn)}
                 got, k = replace(t or "", names, key, bits)
                 new.append(None if t is None else got)
                 kinds.append(k)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(new, pa.string()),
-                                              pa.array(kinds, pa.list_(pa.string()))], ["doc", "text", "kinds"])
+            yield pd.DataFrame({"text": new, "kinds": kinds})
 
     marked = _marked(rows, F.xxhash64(*ROW), lists, F.xxhash64(*ROW), 1 << 16)
-    plain = marked.where("not _maybe").select("doc", "text", F.lit(None).cast(lists.schema["redrawn"].dataType).alias("redrawn"))
-    met = marked.where("_maybe").join(lists, ROW, "left").select("doc", "text", "redrawn")
-    return plain.unionByName(met).mapInArrow(put, f"doc {kind}, text string, kinds array<string>")
+    plain = marked.where("not _maybe").select("doc", F.lit(None).cast(lists.schema["redrawn"].dataType).alias("redrawn"))
+    met = marked.where("_maybe").join(lists, ROW, "left").select("doc", "redrawn")
+    # only texts go to Python; non-deterministic, lest both fields compute it
+    new = put.asNondeterministic()(_text(text), F.col("redrawn")).alias("new")
+    return plain.unionByName(met).select("doc", new).select("doc", "new.*")
