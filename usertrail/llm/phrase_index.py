@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import io
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,30 @@ BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 4 << 20
 CHUNK = "{:06d}.npz"
 
 
+def _block_row(keys: pa.Array, whole: list[str]) -> pa.RecordBatch:
+    """The index row of these documents (a function of its own, so that its words are freed before the next)."""
+    found = [words_of(t) for t in whole]
+    sizes = np.asarray([len(f) for f in found], np.int64)
+    starts = np.cumsum(sizes + GAP) - sizes - GAP
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+    del found
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[np.asarray(order)] = np.arange(len(order))
+    ids = rank[np.asarray(coded.indices)] if len(at) else np.empty(0, np.int64)
+    lists = at[np.argsort(ids, kind="stable")]
+    counts = np.bincount(ids, minlength=len(order))
+    ends = np.cumsum(counts)
+    deltas = np.diff(lists, prepend=0)
+    deltas[ends - counts] = lists[ends - counts]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
+         pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(order)),
+         pa.array([ends.astype("<i8").tobytes()], pa.binary()), pa.array([deltas.astype("<u4").tobytes()], pa.binary())],
+        ["keys", "sizes", "terms", "ends", "postings"])
+
+
 def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per block: terms, the ends of their posting lists, the lists, and the block's documents."""
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
@@ -47,27 +71,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=BLOCK_BYTES):
-            found = [words_of(t) for t in texts(batch)]
-            sizes = np.asarray([len(f) for f in found], np.int64)
-            starts = np.cumsum(sizes + GAP) - sizes - GAP
-            at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
-            order = pc.array_sort_indices(coded.dictionary)
-            rank = np.empty(len(order), np.int64)
-            rank[np.asarray(order)] = np.arange(len(order))
-            ids = rank[np.asarray(coded.indices)] if len(at) else np.empty(0, np.int64)
-            by_term = np.argsort(ids, kind="stable")
-            lists = at[by_term]
-            ends = np.cumsum(np.bincount(ids, minlength=len(order)))
-            deltas = np.diff(lists, prepend=0)
-            heads = (ends - np.bincount(ids, minlength=len(order)))
-            deltas[heads] = lists[heads]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([column(batch, "key").to_pylist()], pa.list_(column(batch, "key").type)),
-                 pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(order)),
-                 pa.array([ends.astype("<i8").tobytes()], pa.binary()), pa.array([deltas.astype("<u4").tobytes()], pa.binary())],
-                ["keys", "sizes", "terms", "ends", "postings"])
+            yield _block_row(column(batch, "key"), texts(batch))
 
     return landed(rows.mapInArrow(
         index, f"keys array<{key_type}>, sizes binary, terms array<string>, ends binary, postings binary"), "postings")
@@ -193,28 +197,30 @@ def find(index: DataFrame, items: DataFrame, *, item_key: str = "item_id", item_
     path, chunks = write_phrases(items, key=item_key, text=item_text, size=size)
     key_type = index.schema["keys"].dataType.elementType.simpleString()
 
+    def hits(keys: pa.Array, block: Block, chunks_: Iterable) -> pa.RecordBatch:
+        marks, found = np.zeros(block.span + 1, np.int32), [set() for _ in range(len(keys))]
+        for terms, phrases, owners in chunks_:
+            numbers = np.append(block.numbers(terms), -2)  # the last stands for no term
+            of, start = block.phrases(numbers[np.where(phrases < 0, len(numbers) - 1, phrases)])
+            if not len(of):
+                continue
+            np.add.at(marks, start, 1)
+            np.add.at(marks, start + (phrases[of] >= 0).sum(axis=1), -1)
+            for doc, item in set(zip(block.document(start).tolist(), owners.take(pa.array(of)).to_pylist())):
+                found[doc].add(item)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
+        hit = covered[block.starts + block.sizes] - covered[block.starts]
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(block.sizes), pa.array(hit.astype(np.int64)),
+             pa.array([sorted(s) for s in found], pa.list_(pa.string()))], ["key", "n_words", "n_hit", "items"])
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = list(_chunks(path, chunks)) if len(chunks) == 1 else None
         for batch in batches:
             for i in range(batch.num_rows):
-                keys = column(batch, "keys")[i].values
                 block = Block(column(batch, "terms")[i].values,
                               *(column(batch, c)[i].as_py() for c in ("sizes", "ends", "postings")))
-                marks, found = np.zeros(block.span + 1, np.int32), [set() for _ in range(len(keys))]
-                for terms, phrases, owners in only or _chunks(path, chunks):
-                    numbers = np.append(block.numbers(terms), -2)  # the last stands for no term
-                    of, start = block.phrases(numbers[np.where(phrases < 0, len(numbers) - 1, phrases)])
-                    if not len(of):
-                        continue
-                    np.add.at(marks, start, 1)
-                    np.add.at(marks, start + (phrases[of] >= 0).sum(axis=1), -1)
-                    for doc, item in set(zip(block.document(start).tolist(), owners.take(pa.array(of)).to_pylist())):
-                        found[doc].add(item)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
-                hit = covered[block.starts + block.sizes] - covered[block.starts]
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(block.sizes), pa.array(hit.astype(np.int64)),
-                     pa.array([sorted(s) for s in found], pa.list_(pa.string()))], ["key", "n_words", "n_hit", "items"])
+                yield hits(column(batch, "keys")[i].values, block, only or _chunks(path, chunks))
 
     return index.mapInArrow(match, f"key {key_type}, n_words long, n_hit long, items array<string>")
 
