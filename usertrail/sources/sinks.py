@@ -6,7 +6,6 @@ Writes are distributed (one file per partition); nothing is collected.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def _flat_profile(profiles: DataFrame) -> DataFrame:
