@@ -22,38 +22,28 @@ def _sessions(spark, rows, gap=30, **kw):
     return a
 
 
-def test_gap_below_threshold_single_session(spark):
-    a = _sessions(spark, [("u1", "2026-04-01 10:00:00", "page_viewed"),
-                          ("u1", "2026-04-01 10:10:00", "item_clicked"),
-                          ("u1", "2026-04-01 10:20:00", "checkout_started")])
-    assert a.sessions.count() == 1
-
-
-def test_gap_splits(spark):
-    a = _sessions(spark, [("u1", "2026-04-01 10:00:00", "page_viewed"),
-                          ("u1", "2026-04-01 10:31:00", "item_clicked")])
-    tl = a.tl.orderBy("pos").collect()
-    assert [r["session_no"] for r in tl] == [1, 2]
-    assert [r["session_id"] for r in tl] == ["u1_s1", "u1_s2"]
-
-
-def test_exact_gap_does_not_split(spark):
-    a = _sessions(spark, [("u1", "2026-04-01 10:00:00", "page_viewed"),
-                          ("u1", "2026-04-01 10:30:00", "item_clicked")])
-    assert a.sessions.count() == 1
-
-
-def test_ids_unique_and_prefixed(spark):
-    a = _sessions(spark, [("u1", "2026-04-01 10:00:00", "a"), ("u1", "2026-04-01 11:00:00", "b"),
-                          ("u1", "2026-04-01 12:00:00", "c")])
-    ids = [r["session_id"] for r in a.sessions.collect()]
-    assert len(set(ids)) == 3 and all(i.startswith("u1_s") for i in ids)
-
-
-def test_hhmm_format(spark):
+@pytest.mark.parametrize("gap", [1, 30, 45])
+def test_only_more_than_the_gap_opens_a_session(spark, gap):
+    """Pauses from a second to twice the gap, each counted by hand."""
+    second = timedelta(seconds=1)
+    pauses = [second, gap * 60 * second, gap * 60 * second + second, 90 * second, 2 * gap * 60 * second]
+    at, rows = datetime(2025, 11, 30, 23, 50), []
+    for k, pause in enumerate([timedelta(0), *pauses]):
+        at += pause
+        rows.append(("w", at.strftime("%Y-%m-%d %H:%M:%S"), f"step_{k}"))
+    wanted, number = [1], 1
+    for pause in pauses:
+        number += pause > gap * 60 * second
+        wanted.append(number)
+    tl = _sessions(spark, rows, gap).tl.orderBy("pos").collect()
+    assert [r["session_no"] for r in tl] == wanted
+    assert [r["session_id"] for r in tl] == [f"w_s{n}" for n in wanted]
+
+
+def test_clock_times_are_padded(spark):
     from usertrail.operators.profiles import session_events
-    a = _sessions(spark, [("u1", "2026-04-01 09:05:00", "page_viewed")])
-    assert session_events(a.tl).first()["hhmm"] == "09:05"
+    a = _sessions(spark, [("w", "2025-11-30 00:07:59", "lamp_lit"), ("w", "2025-11-30 23:00:00", "lamp_out")])
+    assert [r["hhmm"] for r in session_events(a.tl).orderBy("pos").collect()] == ["00:07", "23:00"]
 
 
 def test_null_timestamps_sort_first_and_do_not_open_sessions(spark):
