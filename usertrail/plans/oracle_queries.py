@@ -502,3 +502,11 @@ ORACLE["taxonomy_totals"] = _core(ev_named()) + """
 SELECT CAST(sum(events) AS BIGINT) AS total_events, count(*) AS total_users FROM pr"""
 ORACLE["quick_report_totals"] = _core(ev_named()) + """
 SELECT count(*) AS users_included, CAST(coalesce(sum(events), 0) AS BIGINT) AS total_events FROM pr"""
+ORACLE["stream_profile_full"] = with_(
+    ev_raw(), families(), sessions(30), fam_events(), profiles(), power().strip(),
+    "st AS (SELECT user_id, session_no, epoch_us(min(ts)) // 1000000 AS sec FROM se GROUP BY 1, 2)",
+    "lg AS (SELECT user_id, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY session_no) AS d FROM st)",
+    "gp AS (SELECT user_id, CAST(coalesce(max(floor(d / 86400)), 0) AS BIGINT) AS longest_gap_days FROM lg GROUP BY user_id)",
+) + f"""
+SELECT {_PROFILE_COLS}, longest_gap_days, power_score
+FROM pr JOIN (SELECT user_id, power_score FROM pw) USING (user_id) JOIN gp USING (user_id)"""

@@ -74,6 +74,25 @@ def q_stream_profile_refresh(spark: SparkSession, sf: str) -> DataFrame:
                       F.explode("family_counts").alias("family", "count"))
 
 
+def q_stream_profile_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles renewed over micro-batches in no order of time, with power scores."""
+    from usertrail.operators.families import plan_families
+    from usertrail.operators.normalize import normalize
+    from usertrail.operators.resolve import resolve_schema
+    from usertrail.plans.pipeline import Options
+
+    prepare(spark)
+    base, raw = ensure_checkpoint_dir(spark).rstrip("/") + f"/usertrail-stream-{uuid.uuid4().hex}", FX.raw_events(spark, sf)
+    raw.repartition(STREAM_BATCHES, F.xxhash64("event_id")).write.parquet(base + "/landing")
+    plan = plan_families(normalize(raw, resolve_schema(raw).schema))
+    options = Options(user_id="user_id", timestamp="ts", event_name="event_type", order_by="event_id")
+    L.run_available_now(_stream(spark, base + "/landing", 1), checkpoint=base + "/ckpt", output_mode="append",
+                        foreach_batch=L.profile_refresher(base, options, plan))
+    power = L.live_power(spark, base).select("user_id", "power_score")
+    return L.latest(spark, base + "/log").join(power, "user_id").select(
+        "user_id", "events", "sessions", "first_seen", "last_seen", "longest_gap_days", F.col("power_score").cast("long").alias("power_score"))
+
+
 def q_stream_column_sessions(spark: SparkSession, sf: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/usertrail-stream-{uuid.uuid4().hex}"
     prepare(spark)
@@ -100,4 +119,5 @@ STREAM_QUERIES = {
     "stream_sessions": q_stream_sessions,
     "stream_user_counts": q_stream_user_counts,
     "stream_profile_refresh": q_stream_profile_refresh,
+    "stream_profile_full": q_stream_profile_full,
 }

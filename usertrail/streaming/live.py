@@ -109,6 +109,36 @@ def changelog_writer(path: str):
     return _write
 
 
+def profile_refresher(path: str, options, family_plan):
+    """foreachBatch sink of T4 in full: renew the profiles of the users that a batch touches.
+
+    The batch joins the stored history, and the profiles of its users (sessions,
+    longest gap, times, families) are recomputed from all their rows, so late and
+    untimed rows take their place in history.  A retried batch replaces its own
+    part of the history.  ``latest`` reads the profiles, ``live_power`` the scores.
+    """
+    from dataclasses import replace
+
+    def _write(batch: DataFrame, batch_id: int) -> None:
+        from usertrail.plans.pipeline import analyze
+
+        spark, own = batch.sparkSession, f"{path}/history/usertrail_batch={batch_id}"
+        batch.write.mode("overwrite").parquet(own)
+        touched = spark.read.parquet(own).select(options.user_id).distinct()
+        history = spark.read.option("basePath", f"{path}/history").parquet(f"{path}/history").drop("usertrail_batch")
+        a = analyze(spark, history.join(touched, options.user_id, "left_semi"), replace(options, materialize=False))
+        a.__dict__["family_plan"] = family_plan
+        a.core_profiles.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{path}/log")
+    return _write
+
+
+def live_power(spark: SparkSession, path: str) -> DataFrame:
+    """Power scores of all users from the newest profiles."""
+    from usertrail.operators.insights import power_scores
+
+    return power_scores(latest(spark, f"{path}/log"))
+
+
 def latest(spark: SparkSession, path: str, key: str = "user_id") -> DataFrame:
     """Read a changelog table keeping the newest row per key."""
     log = spark.read.parquet(path)
