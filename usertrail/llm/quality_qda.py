@@ -7,7 +7,8 @@ over all labelled rows, so the driver sees a few hundred numbers.  Each class
 covariance is shrunk towards the pooled one and its diagonal; its Cholesky factor
 is computed once and sent with the scorer.  The score is the logistic of the
 difference of the classes' log-densities (Mahalanobis distances and
-log-determinants) plus the log-odds of the classes.
+log-determinants) plus the log-odds of the classes.  The difference counts in
+proportion n / (n + 10) to a text's n words, as shares of few words say little.
 
 Defined cases: a null text is empty and scored like any text; rows with a null
 label are not learned from; a repeated document or label counts as often as it
@@ -32,6 +33,8 @@ _SYMBOLS = re.compile(r"[^\w\s.,;:'\"!?()\-]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _LETTERS = re.compile(r"[^\W\d_]")
 _DIGITS = re.compile(r"\d")
+#: The number of words at which the densities count for half.
+TRUST_WORDS = 10.0
 FEATURES = ("chars", "words", "word_length", "symbols", "upper", "exclaims", "digits", "distinct", "top_word",
             "repeated_runs", "repeated_lines", "line_length", "short_words", "stops")
 
@@ -73,7 +76,9 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         density = [-0.5 * (((x - m) @ f.T) ** 2).sum(axis=1) - 0.5 * d
                    for m, f, d in zip(self.means, self.factors, self.log_dets)]
-        return 1 / (1 + np.exp(np.clip(-(density[1] - density[0] + self.log_odds), -500, 500)))
+        words = np.expm1(x[:, FEATURES.index("words")])
+        trust = words / (words + TRUST_WORDS)
+        return 1 / (1 + np.exp(np.clip(-(trust * (density[1] - density[0]) + self.log_odds), -500, 500)))
 
 
 def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float = 0.1,
