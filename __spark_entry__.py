@@ -8,6 +8,7 @@ parquet views; column names and integer types match the Spark side.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 import uuid
@@ -660,6 +661,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _importable(query: Callable) -> Callable:
+    """Python workers of this machine find the package too, wherever the driver was started."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if _HERE not in known:
+            env["PYTHONPATH"] = os.pathsep.join([_HERE, *known])
+        return query(spark, sf_dir)
+    return run
+
+
 def _corpus() -> tuple[dict, dict]:
     """Queries and SQL of the corpus operators; none where their folder or the pipeline is not there."""
     try:
@@ -681,7 +694,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(_QUERIES)
     out.update(STREAM_QUERIES)
     out.update(_corpus()[0])
-    return out
+    return {name: _importable(query) for name, query in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:
