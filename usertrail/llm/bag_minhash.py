@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usertrail.llm.common import (
-    WordHashes, column, landed, mix64, narrowed, partitions, shingle_hashes, slices, text_of, texts, words,
+    WordHashes, bounded_batches, column, landed, mix64, narrowed, partitions, shingle_hashes, slices, text_of, texts, words,
 )
 
 BANDS, ROWS = 32, 5
@@ -133,7 +133,7 @@ def _text_key(name: str = "text"):
 
 def sketch(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's text key and band keys, written once; copies within a batch are sketched once."""
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
     key_type = docs.schema[key].dataType.simpleString()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Texts may be long: unless the session sets another number than Spark's default of
+    10000, hand Python 500 rows at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "500")
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/usertrail-llm/{name}-{uuid.uuid4().hex}"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import column, slices, text_of, texts
+from usertrail.llm.common import bounded_batches, column, slices, text_of, texts
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
@@ -100,7 +100,7 @@ def fit(langs: list[str], counts: np.ndarray) -> Model:
 
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """Learn from all rows that have a language."""
-    known = rows.select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text")).where(
+    known = bounded_batches(rows).select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text")).where(
         "lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", ambiguous_lead
             yield pd.DataFrame(out, columns=["lang", "score", "ambiguous"])
 
     # only the texts go to Python; non-deterministic, lest a filter on the result computes it again
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+    return bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
                        label.asNondeterministic()(text_of(text)).alias("lang_id"))
 
 

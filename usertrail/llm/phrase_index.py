@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import SharedFiles, ascii_lower, column, landed, partitions, scratch, slices, text_of, texts
+from usertrail.llm.common import SharedFiles, ascii_lower, bounded_batches, column, landed, partitions, scratch, slices, text_of, texts
 from usertrail.llm.common import words as words_of
 
 #: Positions left free between documents: more than any phrase or proximity window is long.
@@ -66,7 +66,7 @@ def _block_row(keys: pa.Array, whole: list[str]) -> pa.RecordBatch:
 
 def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per block: terms, the ends of their posting lists, the lists, and the block's documents."""
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
     key_type = docs.schema[key].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def write_phrases(items: DataFrame, *, key: str = "item_id", text: str = "text",
     if size >= GAP:
         raise ValueError(f"windows must be shorter than {GAP} words")
     spark, path = items.sparkSession, scratch(items.sparkSession, "phrases")
-    rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), text_of(text).alias("text"))
+    rows = bounded_batches(items).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), text_of(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // CHUNK_BYTES))
 

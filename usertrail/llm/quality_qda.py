@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import column, landed, slices, text_of, texts
+from usertrail.llm.common import bounded_batches, column, landed, slices, text_of, texts
 
 _SYMBOLS = re.compile(r"[^\w\s.,;:'\"!?()\-]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -101,7 +101,7 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: flo
 
 def featurise(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and its vector ``x``, written once: learning and scoring read it."""
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import column, landed, slices, text_of, texts
+from usertrail.llm.common import bounded_batches, column, landed, slices, text_of, texts
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
                      re.IGNORECASE | re.ASCII)
@@ -80,7 +80,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", repository
          owner: str = "source", salt: bytes = b"usertrail") -> DataFrame:
     """Candidates of each document, with its repository and owner, written once."""
     cols = {"key": key, "repository": repository, "owner": owner}
-    rows = docs.select(F.monotonically_increasing_id().alias("row"),
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"),
                        *[F.col(c).cast("string").alias(n) if n != "key" else F.col(c).alias(n) for n, c in cols.items()],
                        text_of(text).alias("text"))
     fixed = f"key {docs.schema[key].dataType.simpleString()}, repository string, owner string"

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import column, slices, text_of, texts
+from usertrail.llm.common import bounded_batches, column, slices, text_of, texts
 
 BLANK = "▁"
 NORMAL, BYTE = 1, 6  # piece types of the model file
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
     little-endian 32-bit integers), best first; and whether the best decodes to the text."""
     if n_best < 1:
         raise ValueError("n_best must be at least 1")
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
     names = ["key", "ids", "n_pieces", "score", "losses", "ids_crc32", "round_trip"]
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +335,7 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
 
 def decode(encoded: DataFrame, model: str, *, key: str = "key", ids: str = "ids") -> DataFrame:
     """key and text; null ids decode to an empty text."""
-    rows = encoded.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
+    rows = bounded_batches(encoded).select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lattice(model)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import column, landed, partitions, slices, text_of, texts
+from usertrail.llm.common import bounded_batches, column, landed, partitions, slices, text_of, texts
 
 PRIMES = np.asarray([[2147483647], [2147483629]], np.uint64)
 BASES = (911382323, 972663749)
@@ -171,7 +171,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     id_type = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
     rows = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
 

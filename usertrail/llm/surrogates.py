@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import _marked, column, landed, slices, texts
+from usertrail.llm.common import _marked, bounded_batches, column, landed, slices, texts
 
 # Given names by gender and script, and the words that stand before a name.
 GIVEN = {
@@ -214,7 +214,7 @@ ENTITY = ["kind", "canon", "gender"]
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("kid"), F.col(key).isNull().alias("no_id"),
+    return bounded_batches(docs).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("kid"), F.col(key).isNull().alias("no_id"),
                        F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import SharedFiles, column, mix64, partitions, slices, text_of, texts
+from usertrail.llm.common import SharedFiles, bounded_batches, column, mix64, partitions, slices, text_of, texts
 
 BUCKET_KEYS = 20_000
 LEVELS_AT_MOST = 64
@@ -144,7 +144,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_i
     """Write the shards; return the entries (shard, place, key, copy, offset, n_tokens), read back."""
     spark = docs.sparkSession
     key_type = docs.schema[key].dataType
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
     order = ["key", F.xxhash64("text"), "text"]
     # one range of keys a shard; ties are settled, so a task that runs again writes the same bytes
     rows = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
