@@ -39,7 +39,7 @@ from usertrail.llm.common import (
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-MEMBERS_A_TASK = 2000
+MEMBERS_A_TASK = 250
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
