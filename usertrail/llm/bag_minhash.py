@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usertrail.llm.common import (
-    WordHashes, bounded_batches, column, landed, mix64, narrowed, partitions, shingle_hashes, slices, text_of, texts, words,
+    WordHashes, bounded_batches, column, give_back, landed, mix64, narrowed, partitions, shingle_hashes, slices, text_of, texts, words,
 )
 
 BANDS, ROWS = 32, 5
@@ -158,6 +158,7 @@ def sketch(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "key"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["key", "t", "bands"])
+        give_back()
 
     return landed(rows.mapInArrow(draw, f"key {key_type}, t binary, bands array<long>"), "bag-sketch")
 

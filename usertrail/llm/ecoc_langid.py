@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import bounded_batches, column, slices, text_of, texts
+from usertrail.llm.common import bounded_batches, column, give_back, slices, text_of, texts
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
@@ -115,6 +115,7 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", buckets: i
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])],
                 ["lang", "bucket", "n"])
+        give_back()
 
     sums = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()
@@ -153,6 +154,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", ambiguous_lead
                         rows[i] = (model.langs[b], round(float(s), 6), bool(lead < ambiguous_lead))
                 out += rows
             yield pd.DataFrame(out, columns=["lang", "score", "ambiguous"])
+        give_back()
 
     # only the texts go to Python; non-deterministic, lest a filter on the result computes it again
     return bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import SharedFiles, ascii_lower, bounded_batches, column, landed, partitions, scratch, slices, text_of, texts
+from usertrail.llm.common import SharedFiles, ascii_lower, bounded_batches, column, give_back, landed, partitions, scratch, slices, text_of, texts
 from usertrail.llm.common import words as words_of
 
 #: Positions left free between documents: more than any phrase or proximity window is long.
@@ -72,6 +72,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=BLOCK_BYTES):
             yield _block_row(column(batch, "key"), texts(batch))
+        give_back()
 
     return landed(rows.mapInArrow(
         index, f"keys array<{key_type}>, sizes binary, terms array<string>, ends binary, postings binary"), "postings")
