@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from usertrail.llm import line_dedup as D
-from usertrail.llm.queries import ORACLE, op3_line_dedup
+from usertrail.llm.queries import ORACLE, op3_line_dedup, op3_line_dedup_every
 
 
 
@@ -103,3 +103,20 @@ def test_query_equals_sql(spark):
     want = sorted(con.execute(ORACLE["op3_line_dedup"]).fetchall())
     assert sorted(map(tuple, op3_line_dedup(spark, sf).collect())) == want
     assert any(r[2] for r in want)
+
+
+def test_every_repeat_whatever_its_words(spark):
+    rows = [(1, "Menu\n\n東京都の天気\n  \nnext page"), (2, "menu \n\n東京都の天気\n  \nNext Page\nown"), (3, "x"), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc.doc_id, r.text, r.n_dropped) for r in D.dedup(docs, min_words=1).collect())
+    assert got == [(1, rows[0][1], 0), (2, "\n  \nown", 3), (3, "", 1), (3, "x", 0)]
+
+
+def test_query_of_every_repeat_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = sorted(con.execute(ORACLE["op3_line_dedup_every"]).fetchall())
+    assert sorted(map(tuple, op3_line_dedup_every(spark, sf).collect())) == want
+    fewer = con.execute(f"SELECT sum(n_dropped) FROM ({ORACLE['op3_line_dedup']})").fetchone()[0]
+    assert sum(r[2] for r in want) > fewer

@@ -3,7 +3,8 @@
 Lines are trimmed and lower-cased; their words are what stands between blanks.  A
 line goes if an earlier line (by document id, then line number) has the same words,
 or if both have at least ``fuzzy_words`` words and differ by one inserted, deleted
-or replaced word.  Lines of fewer than ``min_words`` words always stay.
+or replaced word.  Lines of fewer than ``min_words`` words always stay, and so do
+empty ones; with ``min_words`` 1 every exact repeat of any other line goes.
 
 Everything is DataFrame expressions; no step pairs up the lines of a group.
 
@@ -125,7 +126,7 @@ def _line_keys(docs: DataFrame, key: str, text: str, min_words: int, fuzzy_words
     """A narrow row per line of at least ``min_words`` words, written once."""
     found = _lines(_rows(docs, key, text)).select(*ROW, "id", "line", F.xxhash64("raw").alias("rh"), plain(F.col("raw")).alias("p"))
     blanks = F.octet_length("p") - F.octet_length(F.replace(F.col("p"), F.lit(" "), F.lit("")))
-    found = found.withColumn("n", blanks + 1).where(F.col("n") >= min_words)
+    found = found.withColumn("n", blanks + 1).where((F.col("n") >= min_words) & (F.col("p") != ""))
     return landed(found.select(
         *ROW, "id", "line", "rh", F.xxhash64("p").alias("h1"), F.xxhash64(F.lit(5), "p").alias("h2"),
         F.when(F.col("n") >= fuzzy_words, _half_keys(F.col("p"), F.col("n"))).alias("halves")), "line-keys")
@@ -207,7 +208,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words
     # a repeated row's lines are all later than those of the first such row
     copy = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(1)))).otherwise(1)
     lines = F.split(body, "\n", -1)
-    long_ones = F.filter(F.transform(lines, lambda x, i: F.when(F.size(words_of(x)) >= min_words, i)), F.isnotnull)
+    long_ones = F.filter(F.transform(lines, lambda x, i: F.when((F.size(words_of(x)) >= min_words) & (plain(x) != ""), i)), F.isnotnull)
     met = met.withColumn("copy", copy).select(
         "doc", F.when(F.col("copy") > 1, long_ones).otherwise(F.coalesce("drop", none)).alias("drop"))
     out = still.unionByName(met).select("doc", "drop", lines.alias("lines"))

@@ -31,13 +31,18 @@ def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op3_line_dedup(spark: SparkSession, sf_dir: str, min_words: int = 5) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=min_words)
     return found.select("doc.doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
                         F.col("n_dropped").cast("long").alias("n_dropped"),
                         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op3_line_dedup_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exact repeat of a line that is not empty goes, whatever its number of words."""
+    return op3_line_dedup(spark, sf_dir, min_words=1)
+
+
 def op4_sp_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -126,3 +131,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit.n, 0) AS B
        coalesce(n_hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)""",
 }
+ORACLE["op3_line_dedup_every"] = ORACLE["op3_line_dedup"].replace("len(w) >= 5", "w <> ['']")
