@@ -48,7 +48,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text")
-    found = sp_nbest.encode(rows, public_tokenizers.path("piece_bpe_32k.model"), key="doc")
+    found = sp_nbest.encode(rows, public_tokenizers.path("piece_bpe_32k.model"), key="doc", alternatives=False)
     return found.select("key.*", *[c for c in found.columns if c != "key"])
 
 

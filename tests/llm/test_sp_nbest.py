@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -82,3 +83,18 @@ def test_query_round_trips(spark):
     from usertrail.llm.queries import op4_sp_nbest
     rows = op4_sp_nbest(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.round_trip and r.losses[0] == 0 and r.losses == sorted(r.losses) for r in rows)
+
+
+def test_query_returns_all_segmentations(spark):
+    from usertrail.llm.queries import op4_sp_nbest
+    sf, crc = "/root/testdata/sf0.001", lambda ids: zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    found = op4_sp_nbest(spark, sf)
+    rows = found.collect()
+    assert any(r.alternatives for r in rows)
+    for r in rows:
+        every = [r.ids, *r.alternatives]
+        assert len(r.ids) == r.n_pieces and list(map(crc, every)) == r.ids_crc32 and len(set(map(tuple, every))) == len(every)
+    text = {r.doc_id: (r.text or "").replace(S.BLANK, " ") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["key"]: r.text for r in S.decode(found, PATH, key="doc_id").collect()} == text
+    second = found.where("size(alternatives) > 0").selectExpr("doc_id", "element_at(alternatives, -1) AS last")
+    assert all(text[r["key"]] == r.text for r in S.decode(second, PATH, key="doc_id", ids="last").collect())

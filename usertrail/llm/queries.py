@@ -46,8 +46,8 @@ def op3_line_dedup_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sp_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = sp_nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
-    return found.drop("ids").withColumnRenamed("key", "doc_id")
+    found = sp_nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("key", "doc_id")
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

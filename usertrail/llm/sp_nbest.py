@@ -302,35 +302,47 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-SCHEMA = ("ids array<int>, n_pieces long, score double, losses array<double>, ids_crc32 array<long>, round_trip boolean")
+SCHEMA = "ids array<int>, n_pieces long, score double, losses array<double>, ids_crc32 array<long>, round_trip boolean"
+
+
+def _packed(found: list[bytes]) -> pa.Array:
+    """Packed ids as lists of integers."""
+    ends = np.cumsum([0] + [len(p) // 4 for p in found]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
 
 def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", n_best: int = 4,
-           ids: bool = True) -> DataFrame:
+           alternatives: bool = True) -> DataFrame:
     """A row per document: the best ids, their number and score; the n best's losses and crc32s (of ids as
-    little-endian 32-bit integers), best first; and whether the best decodes to the text."""
+    little-endian 32-bit integers), best first; whether the best decodes to the text; and the ids of the
+    ``alternatives``, the second to n-th segmentation."""
     if n_best < 1:
         raise ValueError("n_best must be at least 1")
     rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
-    names = ["key", "ids", "n_pieces", "score", "losses", "ids_crc32", "round_trip"]
+    names = ["key", "ids", "n_pieces", "score", "losses", "ids_crc32", "round_trip", *["alternatives"] * alternatives]
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lattice(model)
         for batch in slices(batches):
-            best, sizes, scores, losses, crcs, same = [], [], [], [], [], []
+            best, others, sizes, scores, losses, crcs, same = [], [], [], [], [], [], []
             whole = texts(batch)
             for t, (score, found) in zip(whole, of.encode_all(whole, n_best)):
-                best.append(np.frombuffer(found[0][1], "<i4") if ids else None)
+                best.append(found[0][1])
+                others.append([p for _, p in found[1:]])
                 sizes.append(len(found[0][1]) // 4)
                 scores.append(score)
                 losses.append([x for x, _ in found])
                 crcs.append([zlib.crc32(p) for _, p in found])
                 same.append(of.decode(found[0][1]) == t)
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "key"), pa.array(best, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(scores),
-                 pa.array(losses, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(same)], names)
-
-    return rows.mapInArrow(segment, f"key {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
+            cols = [column(batch, "key"), _packed(best), pa.array(sizes, pa.int64()), pa.array(scores),
+                    pa.array(losses, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(same)]
+            if alternatives:
+                ends = np.cumsum([0] + list(map(len, others))).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), _packed([p for o in others for p in o])))
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = SCHEMA + ", alternatives array<array<int>>" * alternatives
+    return rows.mapInArrow(segment, f"key {docs.schema[key].dataType.simpleString()}, {schema}")
 
 
 def decode(encoded: DataFrame, model: str, *, key: str = "key", ids: str = "ids") -> DataFrame:
