@@ -47,6 +47,14 @@ def test_spans_and_verdicts(spark):
     assert got[3].n_live == 1
 
 
+def test_copies_of_one_owner_stay_live(spark):
+    rows = [(i, f"key {KEY} here", "a") for i in range(30)]
+    got = S.judge(S.scan(frame(spark, rows))).collect()
+    assert len(got) == 30 and all((r.n_live, r.n_copied, r.n_added) == (1, 0, 1) for r in got)
+    apart = S.judge(S.scan(frame(spark, rows), repository="doc_id")).collect()  # where each is a repository of its own
+    assert all((r.n_live, r.n_copied) == (0, 0) and r.spans == "" for r in apart)
+
+
 def test_empty_and_repeated(spark):
     assert S.judge(S.scan(frame(spark, []))).count() == 0
     twice = S.judge(S.scan(frame(spark, [ROWS[0], ROWS[0]]))).collect()

@@ -3,9 +3,11 @@
 A scan finds candidate spans in every text: the base patterns (an assignment to a
 telling name, an access key id, a long hex run) and, beyond them, any long token of
 high entropy.  Candidate values are hashed and aggregated over the corpus by
-distinct repositories and distinct owners.  A value that more than ``max_owners``
-owners or ``max_repositories`` repositories have is a copied example; one that stays with its owners and does not look
-like a placeholder is taken for a live credential.  Base spans are always reported,
+distinct owners and, where the table names them, distinct repositories.  A value that
+more than ``max_owners`` owners or ``max_repositories`` repositories have is a copied
+example; without a repository column owners alone decide, so copies of a text by one
+owner stay that owner's.  A value that stays with its owners and does not look like a
+placeholder is taken for a live credential.  Base spans are always reported,
 with that verdict; a high-entropy token is added only if it is live.
 
 Defined cases: a null text is empty; a missing owner or repository counts as one
@@ -76,13 +78,13 @@ _FOUND = ("row long, {}, n_assign long, n_access long, n_hex long, base_sha256 s
           "found array<struct<start:long,kind:int,end:long,value:string,live:boolean>>")
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", repository: str = "doc_id",
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", repository: str | None = None,
          owner: str = "source", salt: bytes = b"usertrail") -> DataFrame:
     """Candidates of each document, with its repository and owner, written once."""
-    cols = {"key": key, "repository": repository, "owner": owner}
-    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"),
-                       *[F.col(c).cast("string").alias(n) if n != "key" else F.col(c).alias(n) for n, c in cols.items()],
-                       text_of(text).alias("text"))
+    named = F.lit(None) if repository is None else F.col(repository)
+    rows = bounded_batches(docs).select(
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), named.cast("string").alias("repository"),
+        F.col(owner).cast("string").alias("owner"), text_of(text).alias("text"))
     fixed = f"key {docs.schema[key].dataType.simpleString()}, repository string, owner string"
     item = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string()),
                       ("live", pa.bool_())])
