@@ -51,6 +51,17 @@ def test_likeness():
     assert H.likeness(empty, empty) == 1.0 and H.likeness(empty, f) == 0.0
 
 
+def test_shifted_text_stays_alike():
+    rng = random.Random(6)
+    for n in (500, 5000, 40_000):
+        text = "".join(rng.choice("abcdefgh é🙂") for _ in range(n))
+        f = H.fingerprint(prefix(text))
+        for near in ("#" + text, text[1:], text[:n // 9] + "new" + text[n // 9:], "words put in front " + text):
+            g = H.fingerprint(prefix(near))
+            assert 0.6 < H.likeness(f, g) == H.likeness(g, f) < 1.0
+        assert H.likeness(f, H.fingerprint(prefix("".join(rng.choice("abcdefgh é🙂") for _ in range(n))))) < 0.1
+
+
 def want(rows):
     rows = sorted(rows)
     out = {}

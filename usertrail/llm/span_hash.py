@@ -7,12 +7,18 @@ longest common extension of two positions is found by binary search
 (``common_extension``).
 
 A fingerprint samples the prefix array at the multiples of a power of two that
-cuts the text into 17 to 32 blocks, and at its end: ``length:step:samples`` with
-62 bits a sample.  ``likeness`` finds the common beginning of two fingerprints by
+cuts the text into 17 to 32 blocks, and at its end; and at up to 32 cuts that the
+content defines: ``length:step:samples:level:cuts`` with 62 bits a sample.  A cut is
+where the hash of the next 16 code points ends in ``level`` zero bits, so cuts move
+with the text, and those of a higher level are among those of a lower one.
+
+``likeness`` is the larger of two shares.  For the first it finds the common beginning of two fingerprints by
 binary search over the samples, then compares the blocks behind it by their
-span hashes; the share of the longer text's characters in equal blocks is the
-likeness.  Texts whose steps differ meet at the coarser one, whose multiples
-both have sampled.
+span hashes; the share is that of the longer text's characters in equal blocks.
+Texts whose steps differ meet at the coarser one, whose multiples both have
+sampled.  The second share is that of the characters in equal blocks between cuts,
+wherever these stand, each block as often as both texts have it: inserted or deleted
+text costs only the blocks it touches.
 
 Defined cases: a null text is empty; two empty texts are alike (1.0), an empty
 and another text are not (0.0).  Rows without an id come first; equal ids are
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,22 +38,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usertrail.llm.common import bounded_batches, column, landed, partitions, slices, text_of, texts
+from usertrail.llm.common import bounded_batches, column, landed, mix64, partitions, slices, text_of, texts
 
 PRIMES = np.asarray([[2147483647], [2147483629]], np.uint64)
 BASES = (911382323, 972663749)
 BLOCKS = 32
-_POWERS = np.ones((2, 1), np.uint64)
+WINDOW, LEAST_LEVEL = 16, 4
+_POWERS = {sign: np.ones((2, 1), np.uint64) for sign in (1, -1)}
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers 0 to n - 1 of both bases, extended by doubling."""
-    global _POWERS
-    while _POWERS.shape[1] < n:
-        have = _POWERS.shape[1]
-        step = np.asarray([[pow(b, have, int(p[0]))] for b, p in zip(BASES, PRIMES)], np.uint64)
-        _POWERS = np.concatenate([_POWERS, _POWERS * step % PRIMES], axis=1)
-    return _POWERS[:, :n]
+def powers(n: int, sign: int = 1) -> np.ndarray:
+    """Powers 0 to n - 1 of both bases (or of their inverses), extended by doubling."""
+    while (known := _POWERS[sign]).shape[1] < n:
+        have = known.shape[1]
+        step = np.asarray([[pow(b, sign * have, int(p[0]))] for b, p in zip(BASES, PRIMES)], np.uint64)
+        _POWERS[sign] = np.concatenate([known, known * step % PRIMES], axis=1)
+    return _POWERS[sign][:, :n]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -96,26 +103,67 @@ def step_of(n: int) -> int:
     return step
 
 
+def cuts(prefix: Prefix) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least level with at most ``BLOCKS`` cuts, their places and their levels."""
+    v, size = prefix.values[0], max(len(prefix) - WINDOW, 0)
+    ahead = (v[WINDOW + 1:WINDOW + size] + PRIMES[0] - v[1:size]) % PRIMES[0] * powers(size, -1)[0, 1:] % PRIMES[0]
+    mixed = mix64(ahead)
+    at = np.flatnonzero((mixed & np.uint64(2**LEAST_LEVEL - 1)) == 0)
+    low = mixed[at] | np.uint64(1 << 62)
+    levels = np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.uint8)
+    level = LEAST_LEVEL
+    while (levels >= level).sum() > BLOCKS:
+        level += 1
+    return level, at[levels >= level] + 1, levels[levels >= level]
+
+
 def fingerprint(prefix: Prefix) -> str:
     n = len(prefix)
     step = step_of(n)
-    at = np.append(np.arange(step, n + 1, step), n)
-    samples = prefix.values[0, at] << np.uint64(31) | prefix.values[1, at]
-    return f"{n:x}:{step:x}:{base64.b64encode(samples.astype('<u8').tobytes()).decode()}"
+    level, places, levels = cuts(prefix)
+
+    def samples(at: np.ndarray) -> bytes:
+        return (prefix.values[0, at] << np.uint64(31) | prefix.values[1, at]).astype("<u8").tobytes()
+
+    fixed = base64.b64encode(samples(np.append(np.arange(step, n + 1, step), n))).decode()
+    moving = base64.b64encode(samples(places) + places.astype("<u4").tobytes() + levels.tobytes()).decode()
+    return f"{n:x}:{step:x}:{fixed}:{level:x}:{moving}"
+
+
+def _parsed(print_: str) -> tuple[int, int, np.ndarray, tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    n, step, samples, level, moving = print_.split(":")
+    zero, packed = np.zeros((2, 1), np.uint64), base64.b64decode(moving)
+    k = len(packed) // 13
+
+    def both(raw: bytes) -> np.ndarray:
+        raw = np.frombuffer(raw, "<u8")
+        return np.stack([raw >> np.uint64(31), raw & np.uint64(2**31 - 1)])
+
+    fixed = np.concatenate([zero, both(base64.b64decode(samples))], axis=1)
+    own = int(level, 16), both(packed[:8 * k]), np.frombuffer(packed[8 * k:12 * k], "<u4"), np.frombuffer(packed[12 * k:], "u1")
+    return int(n, 16), int(step, 16), fixed, own
 
 
-def _parsed(print_: str) -> tuple[int, int, np.ndarray]:
-    n, step, samples = print_.split(":")
-    raw = np.frombuffer(base64.b64decode(samples), "<u8")
-    both = np.stack([raw >> np.uint64(31), raw & np.uint64(2**31 - 1)])
-    return int(n, 16), int(step, 16), np.concatenate([np.zeros((2, 1), np.uint64), both], axis=1)
+def _blocks(n: int, end: np.ndarray, own: tuple, level: int) -> Counter:
+    """How many characters lie in each block, by hash and length, between cuts of that level."""
+    _, samples, places, levels = own
+    on = levels >= level
+    at = np.concatenate([[0], places[on], [n]]).astype(np.int64)
+    values = np.concatenate([np.zeros((2, 1), np.uint64), samples[:, on], end], axis=1)
+    spans = (values[:, 1:] + PRIMES - values[:, :-1]) % PRIMES * powers(n + 1, -1)[:, at[:-1]] % PRIMES
+    out: Counter = Counter()
+    for x, y, size in zip(*spans.tolist(), np.diff(at).tolist()):
+        out[x, y, size] += size
+    return out
 
 
 def likeness(one: str, other: str) -> float:
     """The share of the longer text, 0 to 1, that lies in equal blocks."""
-    (n, s, a), (m, t, b) = _parsed(one), _parsed(other)
+    (n, s, a, own), (m, t, b, others) = _parsed(one), _parsed(other)
     if not n or not m:
         return float(n == m)
+    level = max(own[0], others[0])
+    moved = (_blocks(n, a[:, -1:], own, level) & _blocks(m, b[:, -1:], others, level)).total()
     step = max(s, t)
     blocks = min(n, m) // step
     x, y = a[:, :-1][:, ::step // s][:, :blocks + 1], b[:, :-1][:, ::step // t][:, :blocks + 1]
@@ -128,7 +176,7 @@ def likeness(one: str, other: str) -> float:
     if n == m and n % step:
         last = [(v[:, -1] + PRIMES[:, 0] - w[:, blocks]) % PRIMES[:, 0] for v, w in ((a, x), (b, y))]
         equal += n % step * bool((last[0] == last[1]).all())
-    return equal / max(n, m)
+    return max(equal, moved) / max(n, m)
 
 
 # ------------------------------------------------------------------ documents and their edits
@@ -203,7 +251,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             yield edge(held, "last")
 
     schema = _SCHEMA.format(id_type) + ", part long, side string, whole string"
-    found = landed(rows.mapInArrow(follow, schema), "fingerprints")
+    found = landed(rows.mapInArrow(follow, schema), "fingerprints", "zstd")
 
     first, last = (found.where(F.col("side") == s).select("part", "doc_id", "whole") for s in ("first", "last"))
     ranks = first.select("part", F.row_number().over(Window.orderBy("part")).alias("rank"), F.count(F.lit(1)).over(
