@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usertrail.llm import bag_minhash, ecoc_langid, line_dedup, phrase_index, quality_qda, secret_owners, sp_nbest, span_hash, surrogates, token_store
-from usertrail.llm.common import scratch, table
+from usertrail.llm import (bag_minhash, ecoc_langid, line_dedup, phrase_index, quality_qda, secret_owners, sp_nbest, span_hash,
+                           spelling_groups, surrogates, token_align, token_store, toxicity_nnpu)
+from usertrail.llm.common import landed, scratch, table
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,28 @@ def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.judge(scanned).withColumnRenamed("key", "doc_id")
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_align.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+def op12_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold, docs = ecoc_langid.fold, table(spark, sf_dir, "documents")
+    learned = fold("doc_id", 4) != 2
+    model = toxicity_nnpu.learn(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
+    return toxicity_nnpu.score(docs, model).select(
+        F.col("key").alias("doc_id"), (fold("key", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = landed(spelling_groups.count_words(table(spark, sf_dir, "documents")), "words")
+    return spelling_groups.groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.startswith("op")}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
