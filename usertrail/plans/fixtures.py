@@ -9,6 +9,7 @@ event names and per-user columns from them (all lazily, at full size):
 * ``customer_events``: events joined with ``customer`` on the user id, giving
   per-user attribute columns;
 * ``epoch_events``: the time as integer epoch seconds / milliseconds;
+* ``untidy_events``: every 97th event has lost its time;
 * ``column_session_events``: a session column ``cast(value as int) % 3``.
 """
 
@@ -68,3 +69,7 @@ def column_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = raw_events(spark, sf_dir)
     return ev.select("event_id", "ts", "user_id", "event_type",
                      (F.col("value").cast("int") % 3).alias("sid"))
+
+
+def untidy_events(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.when(F.col("event_id") % 97 != 13, F.col("ts")))

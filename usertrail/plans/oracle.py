@@ -21,6 +21,12 @@ def ev_raw() -> str:
             "event_id, value, props FROM events)")
 
 
+def ev_untidy() -> str:
+    """Raw events, every 97th without its time."""
+    return ("ev AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_id % 97 <> 13 THEN ts END AS ts, "
+            "event_type AS event_name, event_id, value, props FROM events)")
+
+
 def ev_named() -> str:
     return (f"ev AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, "
             f"event_type || '_' || {_suffix(K)} AS event_name, event_id, value, props FROM events)")

@@ -8,6 +8,7 @@ from usertrail.plans.oracle import (
     ev_named,
     ev_overflow,
     ev_raw,
+    ev_untidy,
     fam_events,
     families,
     power,
@@ -169,7 +170,8 @@ s AS (SELECT *, sum(CASE WHEN rn = 1 OR sid <> psid THEN 1 ELSE 0 END)
       FROM l)
 SELECT user_id, event_id, CAST(sno AS BIGINT) AS session_no, sid AS session_id FROM s"""
 
-ORACLE["stream_column_sessions"] = ORACLE["sessions_by_column"]
+ORACLE["stream_column_sessions"] = ORACLE["sessions_by_column"].replace(
+    "AS user_id, ts,", "AS user_id, CASE WHEN event_id % 97 <> 13 THEN ts END AS ts,", 1)
 
 ORACLE["session_table"] = with_(ev_raw(), sessions(30)) + f"""
 SELECT user_id, user_id || '_s' || CAST(session_no AS VARCHAR) AS session_id,
@@ -384,22 +386,29 @@ SELECT user_id, family, round_even(share, 6) AS share, round_even(mean_share, 6)
 FROM cp JOIN ms USING (family)"""
 
 # ---- T (streaming) -------------------------------------------------------------
-ORACLE["stream_user_counts"] = f"""
-SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS events, strftime(max(ts), {TS}) AS last_seen
-FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"""
+ORACLE["stream_user_counts"] = with_(ev_untidy()) + f"""
+SELECT user_id, count(*) AS events, strftime(max(ts), {TS}) AS last_seen
+FROM ev WHERE user_id IS NOT NULL GROUP BY 1"""
 
-ORACLE["stream_totals"] = """
-SELECT count(DISTINCT user_id) AS users, count(*) AS events
-FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"""
+ORACLE["stream_totals"] = with_(ev_untidy()) + """
+SELECT count(DISTINCT user_id) AS users, count(*) AS events FROM ev WHERE user_id IS NOT NULL"""
 
-ORACLE["stream_profile_refresh"] = with_(ev_raw(), families()) + f""",
+ORACLE["stream_profile_refresh"] = with_(ev_untidy(), families()) + f""",
 pf AS (SELECT ev.user_id, coalesce(fd.family, 'other') AS family, ev.ts
-       FROM ev LEFT JOIN fd USING (event_name) WHERE ev.user_id IS NOT NULL AND ev.ts IS NOT NULL),
+       FROM ev LEFT JOIN fd USING (event_name) WHERE ev.user_id IS NOT NULL),
 ut AS (SELECT user_id, count(*) AS events, strftime(min(ts), {TS}) AS first_seen,
               strftime(max(ts), {TS}) AS last_seen FROM pf GROUP BY 1)
 SELECT ut.user_id, ut.events, ut.first_seen, ut.last_seen, pf.family, count(*) AS count
 FROM pf JOIN ut USING (user_id) GROUP BY ALL"""
 
+ORACLE["stream_sessions_all"] = with_(ev_untidy().replace("FROM events", "FROM events WHERE event_id % 97 <> 13"), sessions(30)) + f"""
+SELECT user_id, strftime(min(ts), {TS}) AS start, strftime(max(ts), {TS}) AS "end", count(*) AS n_events
+FROM se GROUP BY user_id, session_no"""
+
+ORACLE["stream_session_balance"] = with_(ev_untidy()) + """
+SELECT count(*) AS rows_in, count(ts) AS in_sessions, count(*) - count(ts) AS untimed, CAST(0 AS BIGINT) AS late
+FROM ev WHERE user_id IS NOT NULL"""
+
 # closed sessions only: end (last event + gap) at or before the final watermark
 ORACLE["stream_sessions"] = with_(ev_raw(), sessions(30)) + f""",
 wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events WHERE user_id IS NOT NULL)
@@ -503,10 +512,12 @@ SELECT CAST(sum(events) AS BIGINT) AS total_events, count(*) AS total_users FROM
 ORACLE["quick_report_totals"] = _core(ev_named()) + """
 SELECT count(*) AS users_included, CAST(coalesce(sum(events), 0) AS BIGINT) AS total_events FROM pr"""
 ORACLE["stream_profile_full"] = with_(
-    ev_raw(), families(), sessions(30), fam_events(), profiles(), power().strip(),
+    ev_untidy(), families(), sessions(30), fam_events(), profiles(), power().strip(),
     "st AS (SELECT user_id, session_no, epoch_us(min(ts)) // 1000000 AS sec FROM se GROUP BY 1, 2)",
     "lg AS (SELECT user_id, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY session_no) AS d FROM st)",
     "gp AS (SELECT user_id, CAST(coalesce(max(floor(d / 86400)), 0) AS BIGINT) AS longest_gap_days FROM lg GROUP BY user_id)",
 ) + f"""
 SELECT {_PROFILE_COLS}, longest_gap_days, power_score
 FROM pr JOIN (SELECT user_id, power_score FROM pw) USING (user_id) JOIN gp USING (user_id)"""
+
+ORACLE["stream_attributes"] = ORACLE["user_attributes"]

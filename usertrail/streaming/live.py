@@ -1,13 +1,13 @@
-"""Structured Streaming re-aim of the file-watch rebuild.
+"""Structured Streaming re-aim of the file-watch rebuild (S11, T1, T2, T4): Spark's own aggregates.
 
 * T1 ``stream_sessions``: gap sessions with ``session_window`` + watermark,
   append mode: a session is emitted once the watermark passes its end, i.e.
-  only *closed* sessions leave the state store.
+  only *closed* sessions leave the state store.  ``stateful.stream_gap_sessions``
+  also accounts for open sessions and for late and untimed rows.
 * T2 ``stream_user_counts`` / T4 ``stream_profiles``: per-user aggregates in
-  update mode.  Each micro-batch appends only the users whose aggregate
-  changed, tagged with the batch id, to a changelog table; ``latest`` reads
-  the newest row per user (``max_by`` over batch id, map-side combinable).
-  This gives upsert semantics on plain Parquet without rewriting the table.
+  update mode.  Each micro-batch adds only the users whose aggregate changed to a
+  ``store.ChangeLog``, which gives upsert semantics on plain Parquet.
+* Profiles that need a user's whole history: ``store.ProfileStore``.
 
 All state lives in the checkpoint location, which must be on shared storage
 on a cluster (see ``usertrail.config.ensure_checkpoint_dir``).
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usertrail.constants import OTHER_FAMILY
-from usertrail.functions.timefmt import parse_string_ts, ts_key
+from usertrail.functions.timefmt import parse_string_ts
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _time(stream: DataFrame, ts_col: str, epoch: str | None):
+def event_time(stream: DataFrame, ts_col: str, epoch: str | None):
     """The time as TIMESTAMP (watermarks need it); unreadable strings are null, as in a batch.
 
     A stream can't look at its largest value first, so numbers need their unit:
@@ -46,7 +46,7 @@ def _normalise(stream: DataFrame, user_col: str, ts_col: str, name_col: str, epo
     """Rows of a user, those without a time included; rows without a user belong to nobody."""
     return stream.select(
         F.col(user_col).cast("string").alias("user_id"),
-        _time(stream, ts_col, epoch).alias("ts"),
+        event_time(stream, ts_col, epoch).alias("ts"),
         F.col(name_col).cast("string").alias("event_name"),
     ).where(F.col("user_id").isNotNull())
 
@@ -102,59 +102,13 @@ def stream_profiles(stream: DataFrame, families: Sequence[str], family_of, *, us
                           lambda k, v: v > 0).alias("family_counts"))
 
 
-def changelog_writer(path: str):
-    """foreachBatch sink: append the batch's changed rows tagged with the batch id."""
-    def _write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(path)
-    return _write
+def live_totals(newest: DataFrame) -> DataFrame:
+    """T2 totals (users, events) from the newest row per user.
 
-
-def profile_refresher(path: str, options, family_plan):
-    """foreachBatch sink of T4 in full: renew the profiles of the users that a batch touches.
-
-    The batch joins the stored history, and the profiles of its users (sessions,
-    longest gap, times, families) are recomputed from all their rows, so late and
-    untimed rows take their place in history.  A retried batch replaces its own
-    part of the history.  ``latest`` reads the profiles, ``live_power`` the scores.
-    """
-    from dataclasses import replace
-
-    def _write(batch: DataFrame, batch_id: int) -> None:
-        from usertrail.plans.pipeline import analyze
-
-        spark, own = batch.sparkSession, f"{path}/history/usertrail_batch={batch_id}"
-        batch.write.mode("overwrite").parquet(own)
-        touched = spark.read.parquet(own).select(options.user_id).distinct()
-        history = spark.read.option("basePath", f"{path}/history").parquet(f"{path}/history").drop("usertrail_batch")
-        a = analyze(spark, history.join(touched, options.user_id, "left_semi"), replace(options, materialize=False))
-        a.__dict__["family_plan"] = family_plan
-        a.core_profiles.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{path}/log")
-    return _write
-
-
-def live_power(spark: SparkSession, path: str) -> DataFrame:
-    """Power scores of all users from the newest profiles."""
-    from usertrail.operators.insights import power_scores
-
-    return power_scores(latest(spark, f"{path}/log"))
-
-
-def latest(spark: SparkSession, path: str, key: str = "user_id") -> DataFrame:
-    """Read a changelog table keeping the newest row per key."""
-    log = spark.read.parquet(path)
-    cols = [c for c in log.columns if c not in (key, "batch_id")]
-    newest = log.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
-    return newest.select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
-
-
-def live_totals(spark: SparkSession, path: str) -> DataFrame:
-    """T2 totals (users, events) read from the upserted per-user table.
-
-    Streaming aggregations cannot count distinct users exactly; the newest
-    row per user in the changelog can.
+    Streaming aggregations cannot count distinct users exactly; the
+    changelog's newest rows can.
     """
-    cur = latest(spark, path)
-    return cur.agg(F.count(F.lit(1)).alias("users"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
+    return newest.agg(F.count(F.lit(1)).alias("users"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
 
 
 def run_available_now(df: DataFrame, *, checkpoint: str, output_mode: str, sink_path: str | None = None,
@@ -167,75 +121,3 @@ def run_available_now(df: DataFrame, *, checkpoint: str, output_mode: str, sink_
         q = w.format(fmt).option("path", sink_path).start()
     q.awaitTermination()
     return q
-
-
-# --- T3: column-based session runs in a stream ---------------------------------
-
-COLUMN_SESSION_OUT = "user_id string, event_id long, session_no long, session_id string, late boolean"
-COLUMN_SESSION_STATE = "last_key long, last_ord long, last_sid string, session_no long"
-
-
-def _column_session_step(key, batches, state):
-    """Per user and micro-batch: continue the run-based session numbering.
-
-    State (last time key, last order key, last session value, session count)
-    carries the run across micro-batches.  Rows older than the state's last
-    row cannot be re-inserted into history: they are emitted with
-    ``late=True`` and no session.  Vectorised with pandas/numpy.
-    """
-    import numpy as np
-    import pandas as pd
-
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["ts_key", "ord"], kind="mergesort").reset_index(drop=True)
-    if state.exists:
-        last_key, last_ord, last_sid, sno = state.get
-        late = (pdf["ts_key"] < last_key) | ((pdf["ts_key"] == last_key) & (pdf["ord"] <= last_ord))
-    else:
-        last_key = last_ord = None
-        last_sid, sno = None, 0
-        late = pd.Series(False, index=pdf.index)
-    live = pdf[~late]
-    out_parts = []
-    if not live.empty:
-        sid = live["sid"].to_numpy(dtype=object)
-        prev = np.empty(len(sid), dtype=object)
-        prev[0] = last_sid
-        prev[1:] = sid[:-1]
-        new = np.array([p is None or s != p for s, p in zip(sid, prev)], dtype=np.int64)
-        numbers = sno + np.cumsum(new)
-        out_parts.append(pd.DataFrame({
-            "user_id": key[0], "event_id": live["ord"].to_numpy(), "session_no": numbers,
-            "session_id": sid, "late": False}))
-        tail = live.iloc[-1]
-        state.update((int(tail["ts_key"]), int(tail["ord"]), str(sid[-1]), int(numbers[-1])))
-    dropped = pdf[late]
-    if not dropped.empty:
-        out_parts.append(pd.DataFrame({
-            "user_id": key[0], "event_id": dropped["ord"].to_numpy(), "session_no": None,
-            "session_id": None, "late": True}))
-    yield pd.concat(out_parts, ignore_index=True)
-
-
-def stream_column_sessions(stream: DataFrame, *, user_col: str = "user_id", ts_col: str = "ts",
-                           session_col: str = "sid", order_col: str = "event_id",
-                           epoch: str | None = None) -> DataFrame:
-    """A new session whenever the session column changes (A,B,A -> 3).
-
-    ``applyInPandasWithState`` keyed by user: one small state row per user;
-    each micro-batch's rows of a user are handled together (bounded by the
-    trigger size, e.g. ``maxFilesPerTrigger``).
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    ev = stream.select(
-        F.col(user_col).cast("string").alias("user_id"),
-        ts_key(_time(stream, ts_col, epoch)).alias("ts_key"),
-        F.col(order_col).cast("long").alias("ord"),
-        F.coalesce(F.col(session_col).cast("string"), F.lit("")).alias("sid"),
-    ).where(F.col("user_id").isNotNull())  # rows without a time come first, as in a batch
-    return ev.groupBy("user_id").applyInPandasWithState(
-        _column_session_step, COLUMN_SESSION_OUT, COLUMN_SESSION_STATE, "append",
-        GroupStateTimeout.NoTimeout)
