@@ -129,6 +129,12 @@ def q_resolve_schema_sniff(spark, sf):
     return spark.createDataFrame([(r, c) for r, c, _ in s.notes], "role string, column string")
 
 
+def q_resolve_schema_repeated(spark, sf):
+    """Roles by content do not depend on how often rows repeat."""
+    raw = FX.repeated_events(spark, sf).drop("event_id").toDF("c1", "c2", "c3", "c4", "c5")
+    return spark.createDataFrame([(r, c) for r, c, _ in resolve_schema(raw).notes], "role string, column string")
+
+
 # --------------------------------------------------------------------------- S (round trips)
 
 def _round_trip(spark, sf, fmt):

@@ -17,6 +17,7 @@ from usertrail.operators.normalize import RESERVED, extra_column
 from usertrail.operators.resolve import SchemaError
 from usertrail.plans import queries as Q
 from usertrail.streaming import live as L
+from usertrail.streaming.store import ChangeLog
 
 SCHEMA = "user_id string, ts timestamp, event_name string, n long"
 
@@ -109,9 +110,9 @@ def test_stream_times(spark, tmp_path):
     rows = [("u", "2026-01-01 10:00:00", "a"), ("u", "garbage", "b"), ("u", None, "c"), (None, "2026-01-01 10:00:00", "d")]
     spark.createDataFrame(rows, "user_id string, ts string, event_type string").write.json(str(tmp_path / "in"))
     stream = L.read_event_stream(spark, str(tmp_path / "in"), "user_id string, ts string, event_type string", "json")
-    L.run_available_now(L.stream_user_counts(stream), checkpoint=str(tmp_path / "c"), output_mode="update",
-                        foreach_batch=L.changelog_writer(str(tmp_path / "log")))
-    got = L.latest(spark, str(tmp_path / "log")).collect()
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    L.run_available_now(L.stream_user_counts(stream), checkpoint=str(tmp_path / "c"), output_mode="update", foreach_batch=log.writer())
+    got = log.latest().collect()
     assert [(r.user_id, r.events) for r in got] == [("u", 3)]
     numbers = L.read_event_stream(spark, str(tmp_path / "in"), "user_id string, ts long, event_type string", "json")
     with pytest.raises(ValueError, match="epoch"):

@@ -3,7 +3,7 @@
 The decision is metadata (column names) and is made from at most three
 aggregate jobs whose results are one row each:
 
-A. one pass with ``approx_count_distinct`` + a null flag per extra (C1/C2);
+A. one pass with a HyperLogLog sketch + a null flag per extra (C1/C2);
 B. per-user ``min``/``max`` of a 64-bit hash of each extra ->
    ``bool_and(min <=> max)`` (C4: a user has at most one distinct non-null
    value iff they agree; hashing keeps every buffer fixed-width so the job is
@@ -11,7 +11,7 @@ B. per-user ``min``/``max`` of a 64-bit hash of each extra ->
    is ~1e-19) plus the exact user count (C5).  ``groupBy(user)`` is map-side
    combinable, so a hot user never materialises as one group;
 C. exact distinct counts only for the columns whose estimate lies near a
-   decision boundary (each exact distinct adds an Expand branch).
+   decision boundary (``distinct.exact``: hashes made distinct on the map side).
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usertrail.constants import FREE_TEXT_SHARE, MAX_ATTR_CARDINALITY, USER_ATTR_PREFIX_PATTERN
+from usertrail.operators.distinct import decided, sketch, value_hash
 from usertrail.operators.normalize import extra_column
 
 _USER_PREFIX = re.compile(USER_ATTR_PREFIX_PATTERN)
-_ERROR = 0.01  # standard error of the estimates
-_NEAR = 10 * _ERROR  # band around a threshold inside which we count exactly: ten standard errors
 
 
 @dataclass(frozen=True)
@@ -55,21 +54,11 @@ def _q(c: str) -> Column:
     return F.col(f"`{extra_column(c)}`")
 
 
-def _orderable(c: str, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.MapType, T.StructType, T.ArrayType, T.VariantType)):
-        return F.to_json(_q(c))
-    return _q(c)
-
-
 def max_attr_cardinality(n_users: int) -> int:
     """min(50, int(sqrt(max(n_users, 1))) * 2 + 1)."""
     return min(MAX_ATTR_CARDINALITY, int(math.sqrt(max(n_users, 1))) * 2 + 1)
 
 
-def _near(estimate: float, threshold: float) -> bool:
-    return abs(estimate - threshold) <= max(_NEAR * threshold, 2.0)
-
-
 def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
                      n_rows: int | None = None) -> Classification:
     extras = list(extras)
@@ -78,23 +67,21 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
         return Classification((), (), (), n_rows=n)
     dtypes = {f.name: f.dataType for f in events.schema.fields}
 
-    # Job A: estimates, null flags and the row count.
+    def dtype(c: str) -> T.DataType:
+        return dtypes[extra_column(c)]
+
+    # Job A: estimates, null flags and the row count.  A null counts as one more value.
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(extras):
-        aggs.append(F.approx_count_distinct(_orderable(c, dtypes[extra_column(c)]), _ERROR).alias(f"a{i}"))
-        aggs.append(F.max(_q(c).isNull().cast("int")).alias(f"z{i}"))
+        aggs += [sketch(_q(c), dtype(c)).alias(f"a{i}"), F.max(_q(c).isNull().cast("int")).alias(f"z{i}")]
     ra = events.agg(*aggs).first()
     rows = ra["__rows"] if n_rows is None else n_rows
-    estimate = {c: ra[f"a{i}"] + (ra[f"z{i}"] or 0) for i, c in enumerate(extras)}
+    nulls = {c: ra[f"z{i}"] or 0 for i, c in enumerate(extras)}
 
     # Job B: constant-per-user flags and the exact user count (null user counts).
-    def _h(c: str) -> Column:
-        v = _orderable(c, dtypes[extra_column(c)])
-        return F.when(v.isNotNull(), F.xxhash64(v))
-
     per_user = events.groupBy("user_id").agg(*[
         agg for i, c in enumerate(extras)
-        for agg in (F.min(_h(c)).alias(f"mn{i}"), F.max(_h(c)).alias(f"mx{i}"))
+        for agg in (F.min(value_hash(_q(c), dtype(c))).alias(f"mn{i}"), F.max(value_hash(_q(c), dtype(c))).alias(f"mx{i}"))
     ])
     rb = per_user.agg(
         F.count(F.lit(1)).alias("__users"),
@@ -107,19 +94,10 @@ def classify_columns(events: DataFrame, extras: list[str] | tuple[str, ...],
     free_text = rows * FREE_TEXT_SHARE
 
     # Job C: exact distinct counts only where the estimate could flip a decision.
-    exact_needed = [
-        c for c in extras
-        if _near(estimate[c], free_text)
-        or (constant[c] and not _USER_PREFIX.match(c) and _near(estimate[c], cap))
-    ]
-    n_unique = dict(estimate)
-    if exact_needed:
-        rc = events.agg(*[
-            (F.count_distinct(_orderable(c, dtypes[extra_column(c)])) + F.max(_q(c).isNull().cast("int"))).alias(f"e{i}")
-            for i, c in enumerate(exact_needed)
-        ]).first()
-        for i, c in enumerate(exact_needed):
-            n_unique[c] = int(rc[f"e{i}"] or 0)
+    thresholds = {c: [t - nulls[c] for t in ([free_text, cap] if constant[c] and not _USER_PREFIX.match(c) else [free_text])]
+                  for c in extras}
+    values = decided(events, {c: _q(c) for c in extras}, {c: ra[f"a{i}"] for i, c in enumerate(extras)}, thresholds)
+    n_unique = {c: values[c] + nulls[c] for c in extras}
 
     attrs, props, skipped = [], [], []
     for c in extras:

@@ -10,6 +10,7 @@ event names and per-user columns from them (all lazily, at full size):
   per-user attribute columns;
 * ``epoch_events``: the time as integer epoch seconds / milliseconds;
 * ``untidy_events``: every 97th event has lost its time;
+* ``repeated_events``: every event 60 times, so that the share of distinct users is tiny;
 * ``column_session_events``: a session column ``cast(value as int) % 3``.
 """
 
@@ -73,3 +74,7 @@ def column_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def untidy_events(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.when(F.col("event_id") % 97 != 13, F.col("ts")))
+
+
+def repeated_events(spark: SparkSession, sf_dir: str, times: int = 60) -> DataFrame:
+    return raw_events(spark, sf_dir).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy")

@@ -418,8 +418,8 @@ FROM se WHERE ts IS NOT NULL GROUP BY user_id, session_no
 HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT w FROM wm)"""
 
 
-def _sniff_sql() -> str:
-    """Content sniff over all rows of ``events`` renamed c0..c5."""
+def _sniff_sql(source: str = "SELECT * FROM events", leave: str = "") -> str:
+    """Content sniff over all rows of ``events`` renamed c0..c5, without the column ``leave``."""
     def num(c):
         return (f"count(*) FILTER (WHERE {c} IS NOT NULL AND (({c} > 1000000000 AND {c} < 4000000000) "
                 f"OR ({c} > 1000000000000 AND {c} < 4000000000000)))")
@@ -437,13 +437,13 @@ def _sniff_sql() -> str:
     ]
     cols = " UNION ALL ".join(
         f"SELECT '{name}' AS col, {i} AS ord, count({c}) AS nn, {hit} AS tsh, count(DISTINCT {c}) AS nu, "
-        f"{is_str} AS is_str FROM s" for name, i, c, hit, is_str in parts)
+        f"{is_str} AS is_str FROM s" for name, i, c, hit, is_str in parts if name != leave)
     return f"""
-WITH s AS (SELECT * FROM events),
+WITH s AS ({source}),
 n AS (SELECT count(*) AS nrows FROM s),
 cols AS ({cols}),
 sc AS (SELECT col, ord, tsh / nn AS ts_score,
-              CASE WHEN nu <= 1 OR col = 'c4' /* a DOUBLE */ THEN 0.0 WHEN nu / nrows <= 0.9 AND (nu / nrows >= 0.001 OR nu > 500)
+              CASE WHEN nu <= 1 OR col = 'c4' /* a DOUBLE */ THEN 0.0 WHEN nu / nrows <= 0.9
                    THEN 0.6 + 0.3 * least(nu / nrows / 0.5, 1.0) ELSE 0.0 END AS user_score,
               CASE WHEN NOT is_str THEN 0.0 WHEN nu = 0 OR nu > 500 THEN 0.0 WHEN nu / nrows > 0.5 THEN 0.0
                    WHEN nu BETWEEN 2 AND 200 THEN 0.7 ELSE 0.3 END AS ev_score
@@ -459,6 +459,7 @@ UNION ALL SELECT 'event_name', col FROM e"""
 
 
 ORACLE["resolve_schema_sniff"] = _sniff_sql()
+ORACLE["resolve_schema_repeated"] = _sniff_sql("SELECT events.* FROM events, generate_series(1, 60)", "c0")
 
 
 # ---- hot users and other paths: the same rows as on the plain path -------------
