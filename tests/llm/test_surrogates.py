@@ -88,3 +88,16 @@ def test_query_hides_all(spark):
         if not found:
             assert new[r.doc_id].text == r.text
     assert n > 20
+
+
+def test_formats_with_too_few_values_get_numbered_surrogates(spark):
+    """More mail addresses with one letter than there are letters: all distinct, none left, the same everywhere."""
+    letters = "abcdefghijklmnopqrstuvwxyzàáâãäåèéêëìíîïòó"
+    mails = [f"{c}@corp.example.com" for c in letters] + ["anna@corp.example.com"]
+    docs = frame(spark, [(i, f"write to {m} or {m}") for i, m in enumerate(mails)])
+    found = [r.text.removeprefix("write to ").split(" or ") for r in S.replace_all(docs, KEY).select("text").collect()]
+    assert all(a == b for a, b in found)
+    new = {a for a, _ in found}
+    assert len(new) == len(mails) and not new & set(mails)
+    assert any(n.startswith("email-") for n in new) and any(n.endswith(".com") for n in new)
+    assert S.render("card", "1234 5678", S.numbered("card", "12345678", "", KEY)).startswith("card-")

@@ -22,6 +22,7 @@ can't be traced back, with it they are the same in every run.
 from __future__ import annotations
 
 import hashlib
+import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -181,7 +182,9 @@ def draw(kind: str, canon: str, gender: str, attempt: int, key: bytes, bits: int
 
 
 def render(kind: str, value: str, surrogate: str) -> str:
-    """The surrogate in the format of the mention."""
+    """The surrogate in the format of the mention; a numbered one as it is."""
+    if surrogate.startswith(f"{kind}-"):
+        return surrogate
     if kind in ("card", "phone", "ssn"):
         digits = iter(surrogate)
         return "".join(next(digits) if c in "0123456789" else c for c in value)
@@ -239,8 +242,17 @@ def mentions(rows: DataFrame, text: str) -> DataFrame:
     return landed(rows.select(*ROW, _text(text).alias("text")).mapInArrow(find, schema), "mentions")
 
 
-def redraws(found: DataFrame, key: bytes, bits: int = 128, most: int = 64) -> DataFrame:
-    """kind, canon, gender and surrogate of the entities whose first draw did not stand."""
+def numbered(kind: str, canon: str, gender: str, key: bytes) -> str:
+    """A surrogate outside the format, for formats with too few values: 128 bits of the key and the entity."""
+    return f"{kind}-{hmac.new(key, repr((kind, canon, gender)).encode(), 'sha256').hexdigest()[:32]}"
+
+
+def redraws(found: DataFrame, key: bytes, bits: int = 128, most: int = 24) -> DataFrame:
+    """kind, canon, gender and surrogate of the entities whose first draw did not stand.
+
+    A format may have fewer values than the corpus has entities of it (mail addresses with
+    one letter before the sign, say): what still collides after ``most`` draws gets a
+    ``numbered`` surrogate, which keeps the kind and distinctness but not the format."""
     schema = "kind string, canon string, gender string, attempt int, surrogate string"
 
     def drawn(rows: DataFrame) -> DataFrame:
@@ -266,7 +278,16 @@ def redraws(found: DataFrame, key: bytes, bits: int = 128, most: int = 64) -> Da
             return held.where("attempt > 0").select(*ENTITY, "surrogate")
         again = drawn(lost.withColumn("attempt", F.lit(attempt)))
         held = landed(held.join(lost, ENTITY, "left_anti").unionByName(again), "draws")
-    raise ValueError(f"after {most} draws there are still equal surrogates: a format has too few values for its entities")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [column(batch, c).to_pylist() for c in ENTITY]
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ENTITY] + [
+                pa.array([numbered(*r, key) for r in zip(*cols)], pa.string())], [*ENTITY, "surrogate"])
+
+    rest = held.where(F.col("attempt") == most).select(*ENTITY).mapInArrow(
+        number, "kind string, canon string, gender string, surrogate string")
+    return held.where((F.col("attempt") > 0) & (F.col("attempt") < most)).select(*ENTITY, "surrogate").unionByName(rest)
 
 
 def replace_all(docs: DataFrame, key: bytes, *, id_column: str = "doc_id", text: str = "text", bits: int = 128) -> DataFrame:
