@@ -49,6 +49,18 @@ def test_langid_defined_cases(spark):
     assert L.predict(docs.where("false"), model).count() == 0
 
 
+def test_only_letters_count():
+    """A text has a letter if and only if one of its characters is one by Unicode (str.isalpha)."""
+    import sys
+
+    for c in ["\u00b2", "\u00bd", "\u2167", "\u2460", "5", "\u0663", "_", "\u0301", "-"]:
+        assert L.ngram_counts(f"{c} {c}") is None, c
+    for c in ["a", "\u00e9", "\u65e5", "\u00aa", "\u0434"]:
+        assert L.ngram_counts(f"{c} 5") is not None, c
+    wrong = [c for c in map(chr, range(sys.maxunicode + 1)) if (L._NOT_LETTERS.sub("", c) != "") != c.isalpha()]
+    assert not wrong, wrong[:5]
+
+
 def test_quality_held_out(spark):
     rows = {r.doc_id: r for r in op2_quality_qda(spark, SF).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()

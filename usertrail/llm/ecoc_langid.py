@@ -35,7 +35,9 @@ from usertrail.llm.common import bounded_batches, column, give_back, slices, tex
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What a pattern calls a word character though it is neither letter nor decimal digit: \u00b2, \u00bd, \u2167, ...
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
