@@ -33,6 +33,7 @@ from usertrail.operators.classify import attribute_domain, props_map
 from usertrail.operators.resolve import resolve_schema
 from usertrail.plans import fixtures as FX
 from usertrail.plans import queries as Q
+from usertrail.plans.sql import register_views
 from usertrail.sources.reader import read_events, read_parts
 from usertrail.sources.sinks import write_profiles
 
@@ -180,6 +181,16 @@ def q_write_profiles(spark, sf):
     return _norm(back)
 
 
+def q_write_profiles_maps(spark, sf):
+    """The maps of the all-user sink, read back: a row an entry."""
+    path = _scratch(spark, "profiles")
+    write_profiles(_an(spark, sf, "customer").profiles, path, fmt="parquet")
+    back = spark.read.parquet(path)
+    families = back.select("user_id", F.lit("family").alias("kind"), F.explode("family_counts").alias("key", "value"))
+    attributes = back.select("user_id", F.lit("attribute").alias("kind"), F.explode("attrs").alias("key", "value"))
+    return families.withColumn("value", F.col("value").cast("string")).unionByName(attributes)
+
+
 def q_export_record(spark, sf):
     """Checked export: the totals that it returns."""
     ids = FX.table(spark, sf, "customer").where("c_nationkey = 7").select("c_custkey").join(
@@ -198,6 +209,42 @@ def q_export_events(spark, sf):
     return _norm(back)
 
 
+def q_export_properties(spark, sf):
+    """The property maps of the exported event rows, read back."""
+    path = _scratch(spark, "export")
+    ids = FX.table(spark, sf, "customer").where("c_nationkey = 7").select("c_custkey").join(
+        FX.raw_events(spark, sf).select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_semi")
+    Q.export_record(_an(spark, sf, "customer"), path, ids)
+    back = spark.read.schema("user_id string, pos long, props map<string,string>").json(path + "/events")
+    return back.select("user_id", "pos", F.explode("props").alias("key", "value")).where("key in ('props', 'c_name')")
+
+
+def q_taxonomy_record(spark, sf):
+    """Families of the taxonomy record with the events and names that they cover, by its own list of all names."""
+    record = Q.taxonomy_record(_an(spark, sf, "named"), n=1_000_000)
+    top = record["top_events"].groupBy("family").agg(F.sum("count").alias("events"), F.count(F.lit(1)).alias("names"))
+    return _norm(record["families"].select("family").join(top, "family"))
+
+
+def q_meta_attributes(spark, sf):
+    """The attribute part of the meta record."""
+    return _an(spark, sf, "customer").meta()["attributes"]
+
+
+def q_missing_role(spark, sf):
+    """A table without a time is refused, and the message names what it has."""
+    from usertrail.operators.resolve import SchemaError
+
+    table = FX.table(spark, sf, "conversations")
+    try:
+        resolve_schema(table)
+        said = ""
+    except SchemaError as e:
+        said = str(e)
+    return table.agg(F.lit("timestamp" in said).alias("refused"),
+                     F.lit(all(c in said for c in table.columns)).alias("names_columns"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def q_read_csv(spark, sf):
     return _round_trip(spark, sf, ".csv")
 
@@ -250,7 +297,8 @@ def q_event_properties_reserved(spark, sf):
 
 def q_redact_roles(spark, sf):
     """Redacted user ids keep whose rows are whose; redacted event names are one name."""
-    a = analyze(spark, FX.raw_events(spark, sf), Options(order_by="event_id", redact=("user_id", "event_type"), materialize=False))
+    a = analyze(spark, FX.raw_events(spark, sf), Options(
+        order_by="event_id", redact=("user_id", "event_type"), redact_key="usertrail registered query", materialize=False))
     return _norm(a.events.select("event_id", "user_id", "event_name"))
 
 
@@ -660,6 +708,31 @@ def q_cohort_index(spark, sf):
     return _norm(out.select("user_id", "family", *[F.bround(c, 6).alias(c) for c in ("share", "mean_share", "index")]))
 
 
+# --------------------------------------------------------------------------- SQL surface
+
+def _sql(spark, sf, statement):
+    views = register_views(_an(spark, sf, "customer"), prefix=f"u{uuid.uuid4().hex[:8]}_")
+    return _norm(spark.sql(statement.format(**views)))
+
+
+def q_sql_user_profile(spark, sf):
+    return _sql(spark, sf, "SELECT user_id, events, sessions, first_seen, last_seen, attrs['c_mktsegment'] AS segment FROM {user_profile} "
+                           "WHERE events >= (SELECT avg(events) FROM {user_profile})")
+
+
+def q_sql_segment_sessions(spark, sf):
+    return _sql(spark, sf, "SELECT a.value AS segment, count(*) AS sessions, sum(s.n_events) AS events FROM {sessions} s "
+                           "JOIN {user_attributes} a ON a.user_id = s.user_id AND a.key = 'c_mktsegment' GROUP BY a.value")
+
+
+def q_sql_users_by_event(spark, sf):
+    return _sql(spark, sf, "SELECT user_id, occurrences FROM {users_by_event}('VIEW', 5)")
+
+
+def q_sql_event_followers(spark, sf):
+    return _sql(spark, sf, "SELECT event_name, n FROM {event_followers}('view_viewed')")
+
+
 # --------------------------------------------------------------------------- registry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

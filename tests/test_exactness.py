@@ -74,7 +74,14 @@ def test_null_names_are_listed(spark):
 
 def test_redacted_roles(spark):
     ev = events(spark, 5)
-    a = analyze(spark, ev, Options(order_by="n", redact=("user_id", "event_name")))
+    with pytest.raises(SchemaError, match="redact_key"):
+        analyze(spark, ev, Options(order_by="n", redact=("user_id",))).events
+    a = analyze(spark, ev, Options(order_by="n", redact=("user_id", "event_name"), redact_key=b"secret"))
+    import hashlib
+    import hmac
+
+    want = {"redacted-" + hmac.new(b"secret", f"u{k}".encode(), hashlib.sha256).hexdigest()[:32] for k in range(6)}
+    assert {r.user_id for r in a.core_profiles.collect()} == want
     got = a.core_profiles.collect()
     assert len(got) == 6 and all(r.user_id.startswith("redacted-") for r in got)
     assert {r["name"] for r in a.top_events().collect()} == {"<redacted>"}

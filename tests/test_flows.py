@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usertrail import analyze
+from usertrail import Options, analyze
 from usertrail.operators import flows as FL
 
 
@@ -37,3 +37,13 @@ def test_heatmap_and_composition(spark, tiny):
 def test_timeline_cap(spark, tiny):
     a = analyze(spark, tiny)
     assert FL.timeline_cap(a.tl, 2).count() == 6
+
+
+def test_a_prefix_longer_than_a_machine_word(spark):
+    import datetime as dt
+
+    t = dt.datetime(2026, 1, 1)
+    rows = [("u", t + dt.timedelta(seconds=i), "a") for i in range(75)] + [("u", t + dt.timedelta(seconds=75), "end")]
+    a = analyze(spark, spark.createDataFrame(rows, "user_id string, ts timestamp, event_name string"), Options(materialize=False))
+    got = {r.next_event: r.n for r in FL.next_event_step(a.timeline(with_family=False), ["a"] * 70).collect()}
+    assert got == {"a": 5, "end": 1}

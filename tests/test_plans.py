@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from usertrail import Options, analyze
 from usertrail.operators import profiles as P
@@ -57,3 +58,21 @@ def test_single_user_predicate_reaches_the_scan(spark, events):
     plan = _plan(a.for_user("7").sessions)
     assert "EqualTo(user_id,7)" in plan, plan
     assert a.for_user("7").core_profiles.first()["user_id"] == "7"
+
+
+def test_bucketed_gold_tables_join_without_a_shuffle(spark, events):
+    from usertrail.plans import queries as Q
+
+    src = events.withColumn("plan", F.concat(F.lit("p"), F.col("user_id") % 5)).drop("value", "props")
+    plain = analyze(spark, src, Options(order_by="event_id"))
+    a = analyze(spark, src, Options(order_by="event_id", gold_buckets=4))
+    wanted = lambda x: sorted(map(str, Q.list_users(x, limit=None).users.select("user_id", "events", "attrs", "power_score").collect()))
+    assert wanted(a) == wanted(plain) and len(wanted(a)) == 150
+    counts = a.user_event_counts.groupBy("user_id").agg(F.sum("count").alias("n"))
+    for df in (a.profiles, a.profiles.join(a.power, "user_id"), Q.list_users(a).users, a.core_profiles.join(counts, "user_id")):
+        plan = _plan(df)
+        assert "Exchange hashpartitioning(user_id" not in plan and "SortMergeJoin" in plan, plan
+    tables = list(a._cache["gold_tables"])
+    assert all(spark.catalog.tableExists(t) for t in tables)
+    a.release()
+    assert not any(spark.catalog.tableExists(t) for t in tables)

@@ -88,14 +88,14 @@ def next_event_step(tl: DataFrame, prefix: Sequence[str]) -> DataFrame:
     # where such a prefix would begin, and as the follower to the place a whole
     # prefix before it.  Places are keys, so one exchange serves all steps.
     name, steps = named(F.col("event_name")), len(prefix)
-    reports = [F.when(name == F.lit(step), F.struct((F.col("pos") - k).alias("start"), F.lit(1 << k).alias("step"),
+    reports = [F.when(name == F.lit(step), F.struct((F.col("pos") - k).alias("start"), F.lit(1).alias("step"),
                                                     F.lit(None).cast("string").alias("next_event")))
                for k, step in enumerate(prefix)]
     reports.append(F.struct((F.col("pos") - steps).alias("start"), F.lit(0).alias("step"), name.alias("next_event")))
     told = tl.select("user_id", "session_no", F.inline(F.filter(F.array(*reports), F.isnotnull)))
     whole = told.groupBy("user_id", "session_no", "start").agg(
-        F.bit_or("step").alias("steps"), F.max("next_event").alias("next_event"))
-    whole = whole.where((F.col("steps") == (1 << steps) - 1) & F.col("next_event").isNotNull())
+        F.sum("step").alias("steps"), F.max("next_event").alias("next_event"))
+    whole = whole.where((F.col("steps") == steps) & F.col("next_event").isNotNull())
     return whole.groupBy("next_event").agg(F.count(F.lit(1)).alias("n"))
 
 

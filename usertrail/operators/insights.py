@@ -19,7 +19,7 @@ from usertrail.constants import (
 )
 from usertrail.functions.text import named
 from usertrail.functions.timefmt import fmt_minute, local_date
-from usertrail.operators.ranking import percentile_score, score_ranks, top_n_per_key
+from usertrail.operators.ranking import percentile_score, with_ranks, top_n_per_key
 from usertrail.operators.timeline import with_runs
 
 
@@ -59,8 +59,7 @@ def power_scores(profiles: DataFrame) -> DataFrame:
     """I4: percentile of events*sessions among all users (strictly lower share)."""
     scored = profiles.select("user_id", "events", "sessions",
                              (F.col("events") * F.col("sessions")).alias("activity"))
-    ranks = score_ranks(scored, "activity")
-    return scored.join(ranks, "activity").select(
+    return with_ranks(scored, "activity").select(
         "user_id", "events", "sessions", "activity",
         percentile_score(F.col("n_lower"), F.col("n_total")).alias("power_score"))
 

@@ -8,6 +8,7 @@ specs downstream.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -75,12 +76,31 @@ def default_order(extras: Sequence[str], dtypes: dict | None = None) -> Column:
     return F.xxhash64(*[hashable(c) for c in extras])
 
 
-def _redact_roles(out: DataFrame, schema: ResolvedSchema, redact: Sequence[str]) -> DataFrame:
+def hmac_pads(key: bytes) -> tuple[bytes, bytes]:
+    """The inner and outer block of HMAC-SHA256 (RFC 2104) for a key."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
+def keyed_digest(c: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text column, in hex; null for null."""
+    inner, outer = map(F.lit, map(bytearray, hmac_pads(key)))
+    text = c.cast("string").cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text), 256))), 256)
+
+
+def _redact_roles(out: DataFrame, schema: ResolvedSchema, redact: Sequence[str], key: bytes | str | None) -> DataFrame:
     """N7 for role columns.  Event names become one constant, as extras do.  A user or
-    session id becomes a digest instead, which hides the id but keeps whose rows are whose;
-    a redacted time would leave nothing to analyse."""
+    session id becomes a digest under the caller's key instead, which keeps whose rows are whose
+    and can't be undone by hashing all ids without the key; a redacted time would leave
+    nothing to analyse."""
+    ids = [c for c in (schema.user_id, schema.session_id) if c and c in redact]
+    if ids and not key:
+        raise SchemaError(f"redacting the id column(s) {ids} needs Options(redact_key=...), a secret of yours")
+    secret = key.encode() if isinstance(key, str) else key
+
     def digest(c: str) -> Column:
-        return F.concat(F.lit("redacted-"), F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 16))
+        return F.concat(F.lit("redacted-"), F.substring(keyed_digest(F.col(c), secret), 1, 32))
 
     if schema.timestamp in redact:
         raise SchemaError(f"the time column {schema.timestamp!r} cannot be redacted: every result is about time")
@@ -94,7 +114,7 @@ def _redact_roles(out: DataFrame, schema: ResolvedSchema, redact: Sequence[str])
 
 
 def normalize(df: DataFrame, schema: ResolvedSchema, *, order_by: Sequence[str] | str | None = None,
-              redact: Sequence[str] = ()) -> DataFrame:
+              redact: Sequence[str] = (), redact_key: bytes | str | None = None) -> DataFrame:
     """N1-N5 + N7. ``order_by`` names the caller's tie-break column(s)."""
     out = _rename(df, schema)
     out = out.withColumn("user_id", F.col("user_id").cast("string"))
@@ -107,7 +127,7 @@ def normalize(df: DataFrame, schema: ResolvedSchema, *, order_by: Sequence[str]
     red = {extra_column(c): F.lit(REDACTED) for c in redact if c in extras}
     if red:
         out = out.withColumns(red)
-    out = _redact_roles(out, schema, redact)
+    out = _redact_roles(out, schema, redact, redact_key)
 
     if isinstance(order_by, str):
         order_by = [order_by]

@@ -4,39 +4,57 @@
 every row without a global (single-partition) window over the rows:
 
 * a histogram collapses equal scores (a hot score is one row);
-* scores fall into fixed logarithmic buckets (at most ~512 for a long), whose
-  totals get prefix sums in a window over those few rows;
-* inside a bucket a window over the *distinct* scores finishes the prefix sum.
+* sampled splitters cut the distinct scores into ranges of about equal size,
+  whose totals (one number a range) get prefix sums on the driver;
+* inside a range a window over the *distinct* scores finishes the prefix sum.
+
+``with_ranks`` brings the ranks back to the rows.  A score that holds more than its share of
+the rows goes by a broadcast of such scores (there can't be many), so that no
+task of the join gets all its rows.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 8
+RANGES_AT_MOST = 1024
 
 
-def _bucket(score):
-    s = score.cast("double")
-    return F.when(s <= 0, F.lit(-1)).otherwise(F.floor(F.log2(s + 1.0) * BUCKETS_PER_OCTAVE)).cast("int")
+def _splitters(hist: DataFrame, score: str, ranges: int) -> list:
+    """Scores that cut the distinct scores into about equal parts (approximate: only balance depends on it)."""
+    shares = [k / ranges for k in range(1, ranges)]
+    found = hist.agg(F.percentile_approx(score, shares, 100 * ranges).alias("s")).first()["s"] if shares else None
+    return sorted(set(found or []))
 
 
-def score_ranks(df: DataFrame, score: str) -> DataFrame:
-    """(score, n_lower, n_total) for every distinct score of ``df[score]``."""
-    hist = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col(score)))
-    tot = hist.groupBy("_b").agg(F.sum("_c").alias("_bc"))
-    # window over the bucket totals: bounded by the number of buckets
-    wb = Window.orderBy("_b")
-    tot = tot.select(
-        "_b",
-        F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bc").over(Window.partitionBy()).alias("n_total"),
-    )
+def score_ranks(df: DataFrame, score: str, ranges: int | None = None) -> DataFrame:
+    """(score, n_rows, n_lower, n_total) for every distinct score of ``df[score]``; nulls have no rank."""
+    n = min(ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES_AT_MOST)
+    hist = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n_rows"))
+    cuts = _splitters(hist, score, n)
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(score))) if cuts else F.lit(0)
+    hist = hist.withColumn("_b", at)
+    # at most RANGES_AT_MOST totals; as literals, their prefix sums need no join
+    totals = {r["_b"]: r["n"] for r in hist.groupBy("_b").agg(F.sum("n_rows").alias("n")).collect()}
+    before = list(accumulate((totals.get(k, 0) for k in range(len(cuts) + 1)), initial=0))
     ws = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_in", F.coalesce(F.sum("_c").over(ws), F.lit(0)))
-    return (hist.join(F.broadcast(tot), "_b")  # <= ~520 rows by construction
-            .select(score, (F.col("_off") + F.col("_in")).alias("n_lower"), "n_total"))
+    inside = F.coalesce(F.sum("n_rows").over(ws), F.lit(0))
+    offset = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_b") + 1)
+    return hist.select(score, "n_rows", (offset + inside).alias("n_lower"), F.lit(before[-1]).cast("long").alias("n_total"))
+
+
+def with_ranks(df: DataFrame, score: str, parts: int | None = None) -> DataFrame:
+    """The rows of ``df`` that have a score, with n_lower and n_total."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks = score_ranks(df, score)
+    # fewer than 4 * parts scores can each hold more than 1 / (4 * parts) of the rows
+    hot = ranks.where(F.col("n_rows") * F.lit(4 * parts) > F.col("n_total")).drop("n_rows")
+    often = df.join(F.broadcast(hot), score)
+    seldom = df.join(F.broadcast(hot.select(score)), score, "left_anti").join(ranks.drop("n_rows"), score)
+    return often.unionByName(seldom)
 
 
 def percentile_score(n_lower, n_total):

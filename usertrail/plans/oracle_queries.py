@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from usertrail.constants import ALIASES
+from usertrail.operators.normalize import hmac_pads
 from usertrail.plans.oracle import (
     ev_customer,
     ev_named,
@@ -488,8 +489,9 @@ FROM fe WHERE {_SEVEN}"""
 ORACLE["event_properties_reserved"] = " UNION ALL ".join(
     f"SELECT event_id, '{n}' AS key, '{n}' || CAST(event_id % {k + 3} AS VARCHAR) AS value FROM events WHERE user_id IS NOT NULL"
     for k, n in enumerate(["_id", "family", "pos", "bucket", "ord", "ts_key", "props", "session_no"]))
-ORACLE["redact_roles"] = """
-SELECT event_id, 'redacted-' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS user_id,
+_INNER, _OUTER = (pad.hex() for pad in hmac_pads(b"usertrail registered query"))
+ORACLE["redact_roles"] = f"""
+SELECT event_id, 'redacted-' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(CAST(user_id AS VARCHAR))))), 1, 32) AS user_id,
        CASE WHEN event_type IS NOT NULL THEN '<redacted>' END AS event_name
 FROM events"""
 ORACLE["no_families"] = with_(ev_named()) + """
@@ -522,3 +524,39 @@ SELECT {_PROFILE_COLS}, longest_gap_days, power_score
 FROM pr JOIN (SELECT user_id, power_score FROM pw) USING (user_id) JOIN gp USING (user_id)"""
 
 ORACLE["stream_attributes"] = ORACLE["user_attributes"]
+
+# ---- SQL surface ----------------------------------------------------------------
+ORACLE["sql_user_profile"] = with_(ev_customer(), families(), sessions(30), fam_events(), profiles()) + """
+SELECT p.user_id, p.events, p.sessions, p.first_seen, p.last_seen, c.c_mktsegment AS segment
+FROM pr p LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = p.user_id WHERE p.events >= (SELECT avg(events) FROM pr)"""
+
+ORACLE["sql_segment_sessions"] = with_(ev_customer(), sessions(30)) + """
+SELECT segment, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events
+FROM (SELECT user_id, session_no, any_value(c_mktsegment) AS segment, count(*) AS n FROM se GROUP BY 1, 2)
+WHERE segment IS NOT NULL GROUP BY segment"""
+
+ORACLE["sql_users_by_event"] = with_(ev_customer()) + """
+SELECT user_id, count(*) AS occurrences FROM ev WHERE user_id IS NOT NULL AND contains(lower(event_name), 'view')
+GROUP BY user_id HAVING count(*) >= 5"""
+
+ORACLE["sql_event_followers"] = with_(ev_customer(), sessions(30)) + """
+SELECT event_name, count(*) AS n
+FROM (SELECT event_name, prev_name, is_start FROM se) WHERE prev_name = 'view_viewed' AND is_start = 0 GROUP BY event_name"""
+
+# ---- parts of records that other queries leave out --------------------------------
+ORACLE["write_profiles_maps"] = _LIST_BASE + """
+SELECT user_id, 'family' AS kind, family AS key, CAST(count(*) AS VARCHAR) AS value FROM fe GROUP BY user_id, family
+UNION ALL SELECT user_id, 'attribute', key, value FROM ua WHERE value IS NOT NULL"""
+
+ORACLE["export_properties"] = _LIST_BASE + f"""
+SELECT user_id, pos, 'props' AS key, props AS value FROM se WHERE props IS NOT NULL AND {_SEVEN}
+UNION ALL SELECT user_id, pos, 'c_name', c_name FROM se WHERE c_name IS NOT NULL AND {_SEVEN}"""
+
+ORACLE["taxonomy_record"] = with_(ev_named(), families()) + """
+SELECT coalesce(fd.family, 'other') AS family, count(*) AS events, count(DISTINCT event_name) AS names
+FROM ev LEFT JOIN fd USING (event_name) GROUP BY 1"""
+
+ORACLE["meta_attributes"] = ORACLE["attribute_domain"]
+
+ORACLE["missing_role"] = """
+SELECT true AS refused, true AS names_columns, count(*) AS n_rows FROM conversations"""

@@ -43,6 +43,7 @@ class Options:
     session_gap_minutes: int = DEFAULT_SESSION_GAP_MINUTES
     no_families: bool = False
     redact: tuple[str, ...] = ()
+    redact_key: bytes | str | None = None  # needed to redact a user or session id
     timezone: str | None = None
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS
     use_session_column: bool = True
@@ -52,6 +53,10 @@ class Options:
     # lineage back to the raw events is cut (an executor loss does not
     # recompute the sessionisation).
     materialize: bool = True
+    # With a number here the gold tables are bucketed and sorted by user id into so many
+    # buckets (tables of the session's catalog, files in the same folder), so that joins
+    # and aggregates by user need no shuffle of them.  For user counts that fill the buckets.
+    gold_buckets: int | None = None
     # Skew handling for the per-user ordered scan: "auto" samples for users
     # with >= hot_user_events events and sends only them through the
     # two-level (user, time-bucket) scan; "bucketed" sends everyone;
@@ -77,7 +82,7 @@ class Analysis:
     def events(self) -> DataFrame:
         """Normalised events (all rows, null users included)."""
         return normalize(self.raw, self.schema, order_by=self.options.order_by,
-                         redact=self.options.redact)
+                         redact=self.options.redact, redact_key=self.options.redact_key)
 
     @cached_property
     def n_events(self) -> int:
@@ -126,15 +131,25 @@ class Analysis:
             return df
         base = ensure_checkpoint_dir(self.spark).rstrip("/")
         path = f"{base}/usertrail-gold-{uuid.uuid4().hex}"
-        df.write.parquet(path)
         self._cache.setdefault("gold_paths", []).append(path)
-        return self.spark.read.parquet(path)
+        buckets = self.options.gold_buckets
+        if not buckets:
+            df.write.parquet(path)
+            return self.spark.read.parquet(path)
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        # dealt as the buckets are, so a bucket is one file
+        (df.repartition(buckets, "user_id").write.format("parquet").bucketBy(buckets, "user_id").sortBy("user_id")
+         .option("path", path).saveAsTable(name))
+        self._cache.setdefault("gold_tables", []).append(name)
+        return self.spark.table(name)
 
     def release(self) -> None:
         """Delete the gold tables this analysis wrote (Hadoop FileSystem API,
         so it works on shared storage); cached tables are recomputed on demand."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in self._cache.pop("gold_tables", []):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in self._cache.pop("gold_paths", []):
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)

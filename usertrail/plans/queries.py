@@ -18,6 +18,7 @@ from usertrail.functions.text import named
 from usertrail.functions.timefmt import fmt_ts
 from usertrail.operators import insights as INS
 from usertrail.operators import profiles as P
+from usertrail.operators.order_stats import median
 from usertrail.plans.pipeline import Analysis
 
 SORT_KEYS = {"events": "events", "sessions": "sessions", "first_seen": "first_seen", "last_seen": "last_seen"}
@@ -117,9 +118,9 @@ def analyze_user(a: Analysis, user_id: str, as_of) -> UserAnalysis:
     The power score still ranks against all users (gold table).
     """
     uid = str(user_id)
-    if a.profiles.where(F.col("user_id") == uid).select("user_id").limit(1).count() == 0:
-        raise QueryError(f"no events of a user {uid!r}")
     one = a.for_user(uid)
+    if one.events.isEmpty():
+        raise QueryError(f"no events of a user {uid!r}")
     tz = a.options.timezone
     prof = one.profiles
     tl = one.timeline(with_props=True)
@@ -205,8 +206,7 @@ def cohort(a: Analysis, filters: str | Mapping[str, object] | None = None,
         F.count_if(inside).alias("filtered_users"),
         F.coalesce(F.sum(F.when(inside, F.col("events"))), F.lit(0)).alias("total_events"),
         F.coalesce(F.avg(F.when(inside, F.col("events"))), F.lit(0.0)).alias("avg_events_per_user"),
-        F.coalesce(F.median(F.when(inside, F.col("sessions"))).cast("double"), F.lit(0.0)).alias("median_sessions"),
-    )
+    ).withColumn("median_sessions", F.lit(median(prof, F.when(inside, F.col("sessions"))) or 0.0))
     gold = user_event_ranking(a)
     if flt:
         gold = gold.join(members.select("user_id"), "user_id", "left_semi")
@@ -229,8 +229,9 @@ def find_users_by_event(a: Analysis, pattern: str, min_occurrences: int = 1,
     occ = gold.groupBy("user_id").agg(
         F.coalesce(F.sum(F.when(event_match(pattern), F.col("count"))), F.lit(0)).alias("occurrences"))
     matched = occ.where(F.col("occurrences") >= int(min_occurrences))
-    matched = matched.join(a.profiles.select("user_id", "attrs"), "user_id")
-    page = matched.orderBy(F.col("occurrences").desc(), F.col("user_id").asc()).limit(int(limit))
+    order = [F.col("occurrences").desc(), F.col("user_id").asc()]
+    # only the page's users are looked up; every user of the gold table has a profile
+    page = matched.orderBy(*order).limit(int(limit)).join(a.profiles.select("user_id", "attrs"), "user_id").orderBy(*order)
     total = matched.agg(F.count(F.lit(1)).alias("total_matched"))
     return page, total
 
