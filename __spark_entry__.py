@@ -157,6 +157,25 @@ def _round_trip(spark, sf, fmt):
     return _norm(a.profiles_without_attrs().select("user_id", "events", "sessions", "first_seen", "last_seen"))
 
 
+def q_read_json_ranges(spark, sf):
+    """One array in one file, read in byte ranges by many tasks."""
+    path, name = _scratch(spark, "array"), "spark.sql.files.maxPartitionBytes"
+    docs = FX.raw_events(spark, sf).select("event_id", F.col("ts").cast("string").alias("ts"), "user_id", "event_type", "props")
+    # the array's text, written by Spark as one file: an object a row, with commas between and brackets around
+    last = docs.agg(F.max("event_id")).first()[0]
+    sign = F.when(F.col("event_id") == last, "]").otherwise(",")
+    (docs.orderBy("event_id").coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(""),
+                                                          F.to_json(F.struct(*docs.columns)), sign).alias("value"))
+     .write.option("lineSep", " ").text(path + ".json"))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        events = read_events(spark, path + ".json")
+    finally:
+        spark.conf.set(name, before)
+    return _norm(events.select("event_id", "ts", "user_id", "event_type", "props"))
+
+
 def q_read_parquet(spark, sf):
     path = _scratch(spark, "parquet") + ".parquet"
     FX.raw_events(spark, sf).select("event_id", "ts", "user_id", "event_type").write.parquet(path)

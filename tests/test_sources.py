@@ -6,6 +6,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from usertrail import Options, analyze
 from usertrail.sources import ReadError, read_events, read_parts, write_profiles
@@ -122,3 +123,56 @@ def test_d6_float_epochs(spark):
     a = analyze(spark, df, Options())
     r = a.core_profiles.first()
     assert (r["first_seen"], r["last_seen"], r["sessions"]) == ("2026-04-01 09:00:00", "2026-04-01 09:01:00", 1)
+
+
+NASTY = [{"id": i, "a": a, "n": {"deep": [{"x": "}{][\\"}], "s": 'quo"te\\'}, "list": [{"k": i}] * (i % 3)} for i, a in enumerate(
+    ["plain", "br{ace", "br}ace", '"}', "[]", "\\", "\\\"", "ünï\u2581", "", None, "x" * 300, "}" * 40, "line\nend"] * 5)]
+
+
+@pytest.mark.parametrize("size", ["97b", "1k", "128m"])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_arrays_in_byte_ranges(spark, tmp_path, size, indent):
+    from usertrail.sources import read_json_array
+
+    name = "spark.sql.files.maxPartitionBytes"
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps([{**r, "file": k} for r in NASTY], indent=indent, ensure_ascii=False))
+    (tmp_path / "in" / "empty.json").write_text(" [ ] \n")
+    (tmp_path / "in" / "one.json").write_text('{"id": 1000, "a": "}", "file": 2}')
+    (tmp_path / "in" / "mixed.json").write_text('[1, "}{", null, {"id": 1001, "a": "b", "file": 3}, 2.5]')
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        got = read_json_array(spark, str(tmp_path / "in"))
+        rows = [json.loads(r) for r in got.toJSON().collect()]
+    finally:
+        spark.conf.set(name, before)
+    want = [{**r, "file": k} for k in range(2) for r in NASTY] + [{"id": 1000, "a": "}", "file": 2}, {"id": 1001, "a": "b", "file": 3}]
+    (tmp_path / "lines.jsonl").write_text("\n".join(map(json.dumps, want)))
+    lines = spark.read.json(str(tmp_path / "lines.jsonl"))
+    assert got.schema == lines.schema
+    key = lambda r: json.dumps(r, sort_keys=True)
+    assert sorted(map(key, rows)) == sorted(key(json.loads(r)) for r in lines.toJSON().collect())
+
+
+def test_large_json_arrays_are_dispatched_to_byte_ranges(spark, tmp_path):
+    path = tmp_path / "big.json"
+    path.write_text(json.dumps([{"user_id": f"u{i % 5}", "ts": "2026-01-01 10:00:00", "event": "a", "i": i} for i in range(3000)]))
+    plain = read_events(spark, str(path))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20k")
+    try:
+        ranges = read_events(spark, str(path))
+        typed = read_events(spark, str(path), schema="i long, user_id string")
+        parts = ranges.select(F.spark_partition_id()).distinct().count()
+        assert parts > 1
+        assert sorted(map(tuple, ranges.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert typed.agg(F.sum("i")).first()[0] == sum(range(3000)) and typed.columns == ["i", "user_id"]
+        cut = tmp_path / "cut.json"
+        cut.write_text(path.read_text()[:-40])
+        with pytest.raises(ReadError, match="cut.json"):
+            read_events(spark, str(cut))
+    finally:
+        spark.conf.set(name, before)

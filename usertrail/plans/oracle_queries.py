@@ -560,3 +560,5 @@ ORACLE["meta_attributes"] = ORACLE["attribute_domain"]
 
 ORACLE["missing_role"] = """
 SELECT true AS refused, true AS names_columns, count(*) AS n_rows FROM conversations"""
+
+ORACLE["read_json_ranges"] = "SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, props FROM events"

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from usertrail.sources.json_array import read_json_array
+
 CSV_SUFFIXES = (".csv", ".tsv")
 PARQUET_SUFFIXES = (".parquet", ".pq")
 JSON_SUFFIXES = (".json",)
@@ -22,13 +24,18 @@ class ReadError(ValueError):
     """Raised when the input cannot be read."""
 
 
+def _range_bytes(spark: SparkSession) -> int:
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
+
 def _suffix(path: str) -> str:
     base = path.rstrip("/")
     return os.path.splitext(base)[1].lower()
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """Names of the non-empty data files that a path, folder or pattern stands for.
+def _files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names and largest sizes of the non-empty data files that a path, folder or pattern stands for.
 
     Asks the file system that Spark would read from, so a path without a scheme
     means the cluster's default file system and not the driver's disk.
@@ -39,14 +46,15 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     found = fs.globStatus(where)
     if not found:
         raise ReadError(f"nothing to read at {path}")
-    names, size = [], 0
+    names: dict[str, int] = {}
+    size = 0
     for status in found:
         files = fs.listFiles(status.getPath(), True)
         while files.hasNext():
             f = files.next()
             name = f.getPath().getName()
             if not name.startswith((".", "_")):
-                names.append(name)
+                names[name] = max(names.get(name, 0), f.getLen())
                 size += f.getLen()
     if not size:
         raise ReadError(f"no data in {path}")
@@ -73,7 +81,8 @@ def read_events(spark: SparkSession, path: str, *, schema=None) -> DataFrame:
     pass one for CSV/JSON.
     """
     path = str(path)
-    fmt = _format_of(path, _files(spark, path))
+    files = _files(spark, path)
+    fmt = _format_of(path, list(files))
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -88,7 +97,10 @@ def read_events(spark: SparkSession, path: str, *, schema=None) -> DataFrame:
     if fmt in JSONL_SUFFIXES:
         return reader.json(path)
     if fmt in JSON_SUFFIXES:
-        # An array of objects: one document per file, not splittable.
+        # An array of objects.  A file of more than one byte range is read in ranges; Spark's own
+        # reader takes a file as one document, which is the same and cheaper for small ones.
+        if max(files.values()) > _range_bytes(spark):
+            return read_json_array(spark, path, schema)
         return reader.option("multiLine", "true").json(path)
     raise ReadError(f"no reader for {fmt!r}; known are {SUPPORTED}")
 
