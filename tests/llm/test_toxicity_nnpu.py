@@ -36,8 +36,10 @@ def test_scores_are_the_models(spark):
 
     from usertrail.llm.common import words
     for r, s in zip(docs.orderBy("doc_id").collect(), X.score(docs, model).orderBy("key").collect()):
-        found = [xxhash.xxh64_intdigest(w) for w in words(r.text or "")]
-        mixed = [*found, *((a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(found, found[1:]))]
+        plain = words(r.text or "")
+        found = [xxhash.xxh64_intdigest(w) for w in plain]
+        mixed = [*found, *((a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(found, found[1:])),
+                 *(xxhash.xxh64_intdigest(w[:n] + "-") for w in plain for n in X.STARTS if len(w) > n)]
         at = {int(model.slot[int(X.mix64(np.asarray([m], np.uint64))[0]) >> (64 - X.BITS)]) for m in mixed} - {-1}
         margins = [sum(w[i] for i in at) + b for w, b in zip(model.weights, model.bias)]
         assert s.key == r.doc_id and s.score == pytest.approx(np.mean([1 / (1 + np.exp(-m)) for m in margins]), abs=2e-6)

@@ -7,8 +7,8 @@ clean texts' risk, which can't be negative.  Where a batch makes it so, the step
 goes the other way (the non-negative estimator), which keeps the classifiers from
 learning the examples by heart.
 
-Features are hashed words and pairs of neighbouring words that a text holds (once
-each).  Those whose share among the toxic examples differs from that among the
+Features are the hashed words, pairs of neighbouring words and beginnings of longer words that
+a text holds (once each).  Those whose share among the toxic examples differs from that among the
 unlabelled by ``least_z`` standard errors are kept, at most ``most_features``, the
 strongest first.  A few logistic classifiers are trained by Adam on shuffled
 batches (numpy, from different seeds); a text's score is their mean probability.
@@ -36,14 +36,24 @@ from pyspark.sql import functions as F
 from usertrail.llm.common import WordHashes, bounded_batches, column, give_back, landed, mix64, slices, text_of, texts, words
 
 BITS = 18
+#: Lengths of the beginnings: inflected and compound words share them.
+STARTS = (4, 5)
 
 
-def buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The hash buckets of a text's words and of its neighbouring pairs."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    two = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
-    return (mix64(np.concatenate([hashes, two])) >> np.uint64(64 - bits)).astype(np.int64)
+class Features:
+    """The hash buckets of a text's words, of its neighbouring pairs, and of its longer words' beginnings."""
+
+    def __init__(self, bits: int = BITS):
+        self.bits, self.whole, self.starts = bits, WordHashes(), WordHashes()
+
+    def __call__(self, text: str) -> np.ndarray:
+        found = words(text)
+        if not found:
+            return np.empty(0, np.int64)
+        hashes = self.whole(found)
+        two = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+        starts = [self.starts([f"{w[:n]}-" for w in set(found) if len(w) > n]) for n in STARTS]
+        return (mix64(np.concatenate([hashes, two, *starts])) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
 @dataclass
@@ -120,9 +130,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
+        features = Features(bits)
         for batch in slices(batches):
-            found = [np.unique(buckets(hashed(words(t)), bits)) for t in texts(batch)]
+            found = [np.unique(features(t)) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array(found, pa.list_(pa.int64()))], ["toxic", "found"])
         give_back()
 
@@ -160,9 +170,9 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     bits = len(model.slot).bit_length() - 1
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
+        features = Features(bits)
         for batch in slices(batches):
-            out = [round(model.score(buckets(hashed(words(t)), bits)), 6) for t in texts(batch)]
+            out = [round(model.score(features(t)), 6) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(out, pa.float64())], ["key", "score"])
         give_back()
 
