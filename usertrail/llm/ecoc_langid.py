@@ -35,15 +35,24 @@ from usertrail.llm.common import bounded_batches, column, give_back, slices, tex
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
-#: What a pattern calls a word character though it is neither letter nor decimal digit: \u00b2, \u00bd, \u2167, ...
-_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
+def only_letters(text: str) -> str:
+    """The text with a blank for everything that is no letter (str.isalpha)."""
+    found = _NOT_LETTERS.sub(" ", text)
+    if not found.isascii():
+        # to a pattern, other numbers than decimal digits are word characters too: \u00b2, \u00bd, \u2167
+        other = {ord(c): " " for c in set(found) if not c.isalpha()}
+        if other.keys() - {32}:
+            found = found.translate(other)
+    return found
+
+
 def ngram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray | None:
     """Counts a hash bucket, or None without letters.  ``buckets`` is a power of two."""
-    letters = _NOT_LETTERS.sub(" ", text).lower()
+    letters = only_letters(text).lower()
     if not letters.strip():
         return None
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), "<u4").astype(np.uint64)
