@@ -63,7 +63,7 @@ def test_fit_is_calibrated_and_keeps_the_clean_risk_from_falling_below_zero():
     assert say([draw(True) for _ in range(500)]).mean() > 0.6 > 0.15 > say([draw(False) for _ in range(500)]).mean()
     # every text has a feature of its own: an unconstrained fit would drive the estimate far below zero
     own_p, own_u = [np.asarray([i]) for i in range(50)], [np.asarray([50 + i]) for i in range(50)]
-    w, b = X.fit(own_p, own_u, 100, 0.5, epochs=300, decay=0)
+    w, b = X.fit(own_p, own_u, 100, 0.5, epochs=300, precision=0)
     assert X.risk(w[:50] + b, w[50:] + b, 0.5)[1] > -0.2
 
 

@@ -80,8 +80,11 @@ def risk(margin_toxic: np.ndarray, margin_any: np.ndarray, prior: float) -> tupl
 
 
 def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, *, seed: int = 0, epochs: int = 40,
-        batch: int = 512, rate: float = 0.02, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """One classifier, from the feature numbers that each text holds."""
+        batch: int = 512, rate: float = 0.02, precision: float = 1.5) -> tuple[np.ndarray, float]:
+    """One classifier, from the feature numbers that each text holds.
+
+    ``precision`` is that of a normal prior on each weight: the fewer examples, the more it holds back."""
+    decay = precision / max(len(toxic), 1)
     rng = np.random.default_rng(seed)
     w, m, v, t = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
     w[n] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
