@@ -68,13 +68,14 @@ def want(rows):
     for k, (i, t) in enumerate(rows):
         n, cut = len(t), len(t) // 4
         nxt = rows[(k + 1) % len(rows)][1]
-        out[i] = (n, hashlib.sha256((t[:n - cut] + nxt[:cut]).encode()).hexdigest(), H.fingerprint(prefix(t)),
-                  H.likeness(H.fingerprint(prefix(t)), H.fingerprint(prefix(nxt))))
+        edited = t[:n - cut] + nxt[:cut]
+        f, g, h = (H.fingerprint(prefix(x)) for x in (t, edited, nxt))
+        out[i] = (n, hashlib.sha256(edited.encode()).hexdigest(), f, g, H.likeness(f, g), H.likeness(f, h))
     return out
 
 
 def got(df):
-    return {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.near_next) for r in df.collect()}
+    return {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in df.collect()}
 
 
 def test_query_equals_plain(spark):

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usertrail.llm.common import bounded_batches, column, landed, mix64, partitions, slices, text_of, texts
@@ -117,7 +117,8 @@ def cuts(prefix: Prefix) -> tuple[int, np.ndarray, np.ndarray]:
     return level, at[levels >= level] + 1, levels[levels >= level]
 
 
-def fingerprint(prefix: Prefix) -> str:
+def packed(prefix: Prefix) -> tuple[int, int, bytes, int, bytes]:
+    """A fingerprint's parts: length, step, samples at the steps, level of the cuts, and the cuts."""
     n = len(prefix)
     step = step_of(n)
     level, places, levels = cuts(prefix)
@@ -125,23 +126,37 @@ def fingerprint(prefix: Prefix) -> str:
     def samples(at: np.ndarray) -> bytes:
         return (prefix.values[0, at] << np.uint64(31) | prefix.values[1, at]).astype("<u8").tobytes()
 
-    fixed = base64.b64encode(samples(np.append(np.arange(step, n + 1, step), n))).decode()
-    moving = base64.b64encode(samples(places) + places.astype("<u4").tobytes() + levels.tobytes()).decode()
-    return f"{n:x}:{step:x}:{fixed}:{level:x}:{moving}"
+    return (n, step, samples(np.append(np.arange(step, n + 1, step), n)), level,
+            samples(places) + places.astype("<u4").tobytes() + levels.tobytes())
+
+
+def fingerprint(prefix: Prefix) -> str:
+    n, step, fixed, level, moving = packed(prefix)
+    return f"{n:x}:{step:x}:{base64.b64encode(fixed).decode()}:{level:x}:{base64.b64encode(moving).decode()}"
+
+
+def _spelled(n: Column, step: Column, fixed: Column, level: Column, moving: Column) -> Column:
+    """``fingerprint`` of the parts."""
+    n, step, level = (F.lower(F.hex(c)) for c in (n, step, level))
+    fixed, moving = (F.translate(F.base64(c), "\r\n", "") for c in (fixed, moving))  # base64 may break lines
+    return F.concat_ws(":", n, step, fixed, level, moving)
 
 
 def _parsed(print_: str) -> tuple[int, int, np.ndarray, tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     n, step, samples, level, moving = print_.split(":")
-    zero, packed = np.zeros((2, 1), np.uint64), base64.b64decode(moving)
-    k = len(packed) // 13
+    return _unpacked(int(n, 16), int(step, 16), base64.b64decode(samples), int(level, 16), base64.b64decode(moving))
+
+
+def _unpacked(n: int, step: int, samples: bytes, level: int, moving: bytes) -> tuple:
+    zero, k = np.zeros((2, 1), np.uint64), len(moving) // 13
 
     def both(raw: bytes) -> np.ndarray:
         raw = np.frombuffer(raw, "<u8")
         return np.stack([raw >> np.uint64(31), raw & np.uint64(2**31 - 1)])
 
-    fixed = np.concatenate([zero, both(base64.b64decode(samples))], axis=1)
-    own = int(level, 16), both(packed[:8 * k]), np.frombuffer(packed[8 * k:12 * k], "<u4"), np.frombuffer(packed[12 * k:], "u1")
-    return int(n, 16), int(step, 16), fixed, own
+    fixed = np.concatenate([zero, both(samples)], axis=1)
+    own = level, both(moving[:8 * k]), np.frombuffer(moving[8 * k:12 * k], "<u4"), np.frombuffer(moving[12 * k:], "u1")
+    return n, step, fixed, own
 
 
 def _blocks(n: int, end: np.ndarray, own: tuple, level: int) -> Counter:
@@ -159,7 +174,11 @@ def _blocks(n: int, end: np.ndarray, own: tuple, level: int) -> Counter:
 
 def likeness(one: str, other: str) -> float:
     """The share of the longer text, 0 to 1, that lies in equal blocks."""
-    (n, s, a, own), (m, t, b, others) = _parsed(one), _parsed(other)
+    return _likeness(_parsed(one), _parsed(other))
+
+
+def _likeness(one: tuple, other: tuple) -> float:
+    (n, s, a, own), (m, t, b, others) = one, other
     if not n or not m:
         return float(n == m)
     level = max(own[0], others[0])
@@ -185,24 +204,27 @@ class _Doc:
     def __init__(self, doc_id, text: str):
         self.doc_id, self.text = doc_id, text
         self.prefix = Prefix(code_points(text))
-        self.print = fingerprint(self.prefix)
+        self.packed = packed(self.prefix)
+        self.print = _unpacked(*self.packed)
 
     def row(self, following: "_Doc") -> tuple:
         """The result of this document, edited with the beginning of the following one."""
         n = len(self.prefix)
         cut = n // 4
         head = following.text[:cut]
-        edited = Prefix(code_points(head), self.prefix.values[:, :n - cut + 1])
-        sha = hashlib.sha256((self.text[:n - cut] + head).encode()).hexdigest()
-        edited_print = fingerprint(edited)
-        return (self.doc_id, n, sha, self.print, edited_print, likeness(self.print, edited_print),
-                likeness(self.print, following.print))
+        edited = packed(Prefix(code_points(head), self.prefix.values[:, :n - cut + 1]))
+        sha = hashlib.sha256((self.text[:n - cut] + head).encode()).digest()
+        # an edited text begins like its text, so their samples stand together for the writer to compress
+        pair = self.packed, edited
+        return (self.doc_id, sha, *([p[k] for p in pair] for k in (0, 1, 3)), *([len(p[k]) for p in pair] for k in (2, 4)),
+                b"".join(p[2] for p in pair), b"".join(p[4] for p in pair),
+                _likeness(self.print, _unpacked(*edited)), _likeness(self.print, following.print))
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-_SCHEMA = ("doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-           "near_edited double, near_next double")
+NAMES = ["doc_id", "edited_sha", "n", "step", "level", "n_fixed", "n_moving", "fixed", "moving", "near_edited", "near_next"]
+_TYPES = [pa.binary(), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.int32())] * 2, pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_SCHEMA = ("doc_id {}, edited_sha binary, n array<long>, step array<long>, level array<long>, n_fixed array<int>, "
+           "n_moving array<int>, fixed binary, moving binary, near_edited double, near_next double")
 
 
 def _arrays(rows: list[tuple], id_type: pa.DataType) -> list[pa.Array]:
@@ -210,6 +232,20 @@ def _arrays(rows: list[tuple], id_type: pa.DataType) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(cols, [id_type, *_TYPES])]
 
 
+def _results(rows: DataFrame) -> DataFrame:
+    """The packed results of ``_Doc.row`` spelled out."""
+    def part(name: str, which: int) -> Column:
+        first = F.get(f"n_{name}", F.lit(0))
+        return F.substring(name, F.lit(1), first) if which == 0 else F.substring(name, first + 1, F.get(f"n_{name}", F.lit(1)))
+
+    def print_(which: int) -> Column:
+        n, step, level = (F.get(c, F.lit(which)) for c in ("n", "step", "level"))
+        return _spelled(n, step, part("fixed", which), level, part("moving", which))
+
+    return rows.select("doc_id", F.get("n", F.lit(0)).alias("n_chars"), F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+                       print_(0).alias("fingerprint"), print_(1).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit with the next document's beginning.
 
@@ -232,7 +268,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                  pa.array([text] * len(rows), pa.string())], [*NAMES, "part", "side", "whole"])
 
         def edge(doc: _Doc, side: str) -> pa.RecordBatch:
-            return out([(doc.doc_id, None, None, None, None, None, None)], side, doc.text)
+            return out([(doc.doc_id, *[None] * len(_TYPES))], side, doc.text)
 
         for batch in slices(batches):
             kind = column(batch, "doc_id").type
@@ -268,4 +304,4 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             cols = (column(batch, c).to_pylist() for c in ("doc_id", "text", "next_id", "next_whole"))
             yield pa.RecordBatch.from_arrays(_arrays([_Doc(i, t).row(_Doc(j, u)) for i, t, j, u in zip(*cols)], kind), NAMES)
 
-    return found.where("side is null").select(*NAMES).unionByName(pairs.mapInArrow(close, _SCHEMA.format(id_type)))
+    return _results(found.where("side is null").select(*NAMES).unionByName(pairs.mapInArrow(close, _SCHEMA.format(id_type))))
