@@ -79,6 +79,16 @@ def test_frames(spark):
     assert S.encode(docs.where("false"), PATH).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 4, 12])
+def test_replacements_spell_the_alternatives(spark, n):
+    texts = [None, "", "a", "東", "the cat, in  on", "x" * 30_000, "über a\nb " * 200]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, alternatives long")
+    rows = S.encode(docs, PATH, n_best=n).withColumn("alternatives", S.expanded()).collect()
+    for r in rows:
+        _, want = S.lattice(PATH).encode(texts[r["key"]] or "", n)
+        assert [np.asarray(ids, "<u4").tobytes() for ids in [r.ids, *r.alternatives]] == [p for _, p in want]
+
+
 def test_query_round_trips(spark):
     from usertrail.llm.queries import op4_sp_nbest
     rows = op4_sp_nbest(spark, "/root/testdata/sf0.001").collect()
@@ -88,7 +98,7 @@ def test_query_round_trips(spark):
 def test_query_returns_all_segmentations(spark):
     from usertrail.llm.queries import op4_sp_nbest
     sf, crc = "/root/testdata/sf0.001", lambda ids: zlib.crc32(np.asarray(ids, "<u4").tobytes())
-    found = op4_sp_nbest(spark, sf)
+    found = op4_sp_nbest(spark, sf).withColumn("alternatives", S.expanded())
     rows = found.collect()
     assert any(r.alternatives for r in rows)
     for r in rows:

@@ -16,6 +16,9 @@ blanks as U+2581.  A character that is no piece becomes its UTF-8 byte pieces, a
 a score below every piece's.  For a model trained with merges the scores are merge
 ranks, so the best path is not the merge result, but it decodes to the same text.
 
+The second to n-th segmentation differ from the best in a few words only, so a row
+holds them as replacements of stretches of the best ids; ``expanded`` spells them out.
+
 Defined cases: a null or empty text has no pieces, one empty segmentation and
 decodes to an empty text; ties go to the longer last piece, and between words to
 the earlier one; a text holding U+2581 decodes with a blank there (``round_trip``
@@ -28,13 +31,13 @@ import heapq
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usertrail.llm.common import bounded_batches, column, slices, text_of, texts
@@ -258,10 +261,11 @@ class Lattice:
 
     def encode(self, text: str, n: int = 1) -> tuple[float, list[tuple[float, bytes]]]:
         """The best score, and (loss, packed ids) of the n best segmentations."""
-        return self.encode_all([text], n)[0]
+        return self.encode_all([text], n)[0][:2]
 
-    def encode_all(self, batch: list[str], n: int = 1) -> list[tuple[float, list[tuple[float, bytes]]]]:
-        """``encode`` of several texts, whose new words are learned together."""
+    def encode_all(self, batch: list[str], n: int = 1) -> list[tuple[float, list[tuple[float, bytes]], list]]:
+        """``encode`` of several texts, whose new words are learned together; and of each segmentation but the
+        best its replacements: (from which of the best ids on, how many of them, packed ids)."""
         found = [self.cut.findall(self.lead + t.replace(" ", BLANK)) if t else [] for t in batch]
         known = self.known
         self.learn_all({w for f in found for w in f if w not in known})
@@ -272,8 +276,8 @@ class Lattice:
             self.known_best.clear()
         return out
 
-    def _n_best_of(self, found: list[str], n: int) -> tuple[float, list[tuple[float, bytes]]]:
-        """The text's score and n best, from those of its words."""
+    def _n_best_of(self, found: list[str], n: int) -> tuple[float, list[tuple[float, bytes]], list]:
+        """The text's score, n best and their replacements, from those of its words."""
         got = list(map(self.known.__getitem__, found))
         ids = list(map(itemgetter(0), got))
         score = sum(map(itemgetter(1), got))
@@ -283,12 +287,17 @@ class Lattice:
         lists = [self.n_best(found[k], n) for k in open_]
         for options in lists:
             paths = heapq.nsmallest(n, ((a + b[0], (*c, j)) for a, c in paths for j, b in enumerate(options)))
-        out = []
+        out, edits, places, at, start = [], [], [], 0, 0
+        for k in open_:  # where the word's ids begin, and how many they are
+            at += sum(map(len, ids[start:k])) // 4
+            places.append((at, len(ids[k]) // 4))
+            start = k
         for loss, chosen in paths:
             for k, options, j in zip(open_, lists, chosen):
                 ids[k] = options[j][1]
             out.append((loss, b"".join(ids)))
-        return float(score), out
+            edits.append([(*place, options[j][1]) for place, options, j in zip(places, lists, chosen) if j])
+        return float(score), out, edits[1:]
 
     def decode(self, packed: bytes) -> str:
         raw = b"".join(map(self.raw.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -305,17 +314,21 @@ def lattice(path: str) -> Lattice:
 SCHEMA = "ids array<int>, n_pieces long, score double, losses array<double>, ids_crc32 array<long>, round_trip boolean"
 
 
+def _lists(sizes: Iterable[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), values)
+
+
 def _packed(found: list[bytes]) -> pa.Array:
     """Packed ids as lists of integers."""
-    ends = np.cumsum([0] + [len(p) // 4 for p in found]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+    return _lists((len(p) // 4 for p in found), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
 
 def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", n_best: int = 4,
            alternatives: bool = True) -> DataFrame:
     """A row per document: the best ids, their number and score; the n best's losses and crc32s (of ids as
-    little-endian 32-bit integers), best first; whether the best decodes to the text; and the ids of the
-    ``alternatives``, the second to n-th segmentation."""
+    little-endian 32-bit integers), best first; whether the best decodes to the text; and the ``alternatives``,
+    the second to n-th segmentation: each replaces the ``over`` ids from number ``at`` (from 0) of the best
+    by ``ids``, once or more."""
     if n_best < 1:
         raise ValueError("n_best must be at least 1")
     rows = bounded_batches(docs).select(F.col(key).alias("key"), text_of(text).alias("text"))
@@ -326,9 +339,9 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
         for batch in slices(batches):
             best, others, sizes, scores, losses, crcs, same = [], [], [], [], [], [], []
             whole = texts(batch)
-            for t, (score, found) in zip(whole, of.encode_all(whole, n_best)):
+            for t, (score, found, edits) in zip(whole, of.encode_all(whole, n_best)):
                 best.append(found[0][1])
-                others.append([p for _, p in found[1:]])
+                others.append(edits)
                 sizes.append(len(found[0][1]) // 4)
                 scores.append(score)
                 losses.append([x for x, _ in found])
@@ -337,14 +350,34 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
             cols = [column(batch, "key"), _packed(best), pa.array(sizes, pa.int64()), pa.array(scores),
                     pa.array(losses, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(same)]
             if alternatives:
-                ends = np.cumsum([0] + list(map(len, others))).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), _packed([p for o in others for p in o])))
+                paths = [path for o in others for path in o]
+                edits = [edit for path in paths for edit in path]
+                each = pa.StructArray.from_arrays(
+                    [pa.array([e[0] for e in edits], pa.int32()), pa.array([e[1] for e in edits], pa.int32()),
+                     _packed([e[2] for e in edits])], ["at", "over", "ids"])
+                cols.append(_lists(map(len, others), _lists(map(len, paths), each)))
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = SCHEMA + ", alternatives array<array<int>>" * alternatives
+    schema = SCHEMA + ", alternatives array<array<struct<at: int, over: int, ids: array<int>>>>" * alternatives
     return rows.mapInArrow(segment, f"key {docs.schema[key].dataType.simpleString()}, {schema}")
 
 
+def expanded(ids: str | Column = "ids", alternatives: str | Column = "alternatives") -> Column:
+    """The ids of the second to n-th segmentation, an array each."""
+    ids, alternatives = (F.col(c) if isinstance(c, str) else c for c in (ids, alternatives))
+
+    def upto(done: Column, end: Column) -> Column:
+        return F.concat(done["out"], F.slice(ids, done["upto"] + 1, end - done["upto"]))
+
+    def spell(path: Column) -> Column:
+        none = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("upto"))
+        return F.aggregate(path, none, lambda done, e: F.struct(
+            F.concat(upto(done, e["at"]), e["ids"]).alias("out"), (e["at"] + e["over"]).alias("upto")),
+            lambda done: upto(done, F.size(ids)))
+
+    return F.transform(alternatives, spell)
+
+
 def decode(encoded: DataFrame, model: str, *, key: str = "key", ids: str = "ids") -> DataFrame:
     """key and text; null ids decode to an empty text."""
     rows = bounded_batches(encoded).select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
