@@ -23,20 +23,18 @@ def distance(a, b):
 
 def plain(rows):
     """[(id, new text, n_dropped)], rows of distinct ids or of equal content."""
-    kept, out, before = [], [], []
+    out, before = [], []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         lines = [] if text is None else text.split("\n")
         stay = []
         for line in lines:
             w = line.strip(" ").lower().split(" ")
-            gone = len(w) >= 5 and any(w == b or (min(len(w), len(b)) >= 8 and abs(len(w) - len(b)) <= 1
-                                                  and distance(w, b) <= 1) for b in before)
-            if len(w) >= 5:
-                before.append(w)
+            gone = w != [""] and any(w == b or (min(len(w), len(b)) >= 8 and abs(len(w) - len(b)) <= 1
+                                                and distance(w, b) <= 1) for b in before)
             if not gone:
+                before.append(w)
                 stay.append(line)
         out.append((doc_id, None if text is None else "\n".join(stay), len(lines) - len(stay)))
-    del kept
     return out
 
 
@@ -87,11 +85,26 @@ def test_equals_plain(spark):
     assert sum(r[2] for r in got) > 50
 
 
+def test_chain_keeps_every_other_line(spark):
+    w = [f"w{k}" for k in range(12)]
+    chain = [" ".join([f"new{i}" for i in range(k)] + w[k:]) for k in range(7)]
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate(chain)], "doc_id long, text string")
+    got = {r.doc.doc_id: r.text for r in D.dedup(docs).collect()}
+    assert got == {k: line if k % 2 == 0 else "" for k, line in enumerate(chain)}
+    # lines that stay for different reasons: the shorter one goes for a later-made variant that stays
+    rows = [(1, " ".join(w)), (2, " ".join(w[:5] + ["x"] + w[5:])), (3, " ".join(w[:5] + ["x", "y"] + w[5:])),
+            (4, " ".join(w[:5] + ["x", "y", "z"] + w[5:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc.doc_id, r.text, r.n_dropped) for r in D.dedup(docs).collect()) == plain(rows)
+
+
 def test_null_ids_and_repeats(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven"
     rows = [(None, f"{a}\nx"), (1, a), (1, a), (2, f"{b}\nshort"), (2, f"{b}\nshort")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc.doc_id), r.text) for r in D.dedup(docs).collect())
+    assert got == sorted([("None", "x"), ("1", a), ("1", ""), ("2", f"{b}\nshort"), ("2", "")])
+    got = sorted((str(r.doc.doc_id), r.text) for r in D.dedup(docs, min_words=5).collect())
     assert got == sorted([("None", "x"), ("1", a), ("1", ""), ("2", f"{b}\nshort"), ("2", "short")])
     assert D.dedup(docs.where("false")).count() == 0
 
@@ -118,5 +131,4 @@ def test_query_of_every_repeat_equals_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     want = sorted(con.execute(ORACLE["op3_line_dedup_every"]).fetchall())
     assert sorted(map(tuple, op3_line_dedup_every(spark, sf).collect())) == want
-    fewer = con.execute(f"SELECT sum(n_dropped) FROM ({ORACLE['op3_line_dedup']})").fetchone()[0]
-    assert sum(r[2] for r in want) > fewer
+    assert any(r[2] for r in want)

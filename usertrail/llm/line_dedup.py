@@ -1,10 +1,12 @@
 """Line deduplication within one word of edit, by a deletion-neighbourhood join.
 
 Lines are trimmed and lower-cased; their words are what stands between blanks.  A
-line goes if an earlier line (by document id, then line number) has the same words,
-or if both have at least ``fuzzy_words`` words and differ by one inserted, deleted
-or replaced word.  Lines of fewer than ``min_words`` words always stay, and so do
-empty ones; with ``min_words`` 1 every exact repeat of any other line goes.
+line goes if an earlier line (by document id, then line number) that stays has the
+same words, or if both have at least ``fuzzy_words`` words and differ by one inserted,
+deleted or replaced word.  So what goes is within the bound of a line that is still
+there, and of a chain of lines each one word from the last every other one stays.
+Empty lines always stay, and so do lines of fewer than ``min_words`` words where more
+than 1 is asked.
 
 Everything is DataFrame expressions; no step pairs up the lines of a group.
 
@@ -16,10 +18,13 @@ Everything is DataFrame expressions; no step pairs up the lines of a group.
    position-salted word hashes, so that a line of n words costs n log n.  (Should
    two variants of one length share a 64-bit hash without sharing their words, a
    line of theirs may stay; none goes wrongly, see step 5.)
-4. Equal variants meet by aggregation.  Of lines that had their word deleted in
-   the same place, the earliest is the partner of all others; a line that equals a
-   variant as it stands is the partner of all that made it.
-5. A partner's distance is verified on the words, by common beginning and end.
+4. Equal variants meet by aggregation.  Lines that had their word deleted in the same
+   place are all neighbours; a line that equals a variant as it stands is a neighbour
+   of all that made it.  So the earliest of a group answers for it.
+5. Rounds decide: a line with a neighbour that stays goes, once their distance is
+   verified on the words, by common beginning and end; one without an earlier open
+   neighbour stays; others wait.  The earliest open line is always decided; with lines
+   in no special order, the rounds grow as the logarithm of their number.
 
 Before a large side is shuffled to meet a small one, a bitmap of fixed size over the
 small side's keys narrows it (``common.narrowed``); the join that follows decides.
@@ -155,25 +160,46 @@ def _neighbours(docs: DataFrame, keys: DataFrame, distinct: DataFrame, key: str,
                  .select(*variant), "line-met")
     met = narrowed(variants, F.col("s"), met, F.col("s")).join(met, variant)
     met = landed(met.join(near.select("node", "first"), "node"), "line-met")
-    cut, whole = met.where("slot > 0"), met.where("slot = 0")
-    by_slot = cut.groupBy(*variant, "slot").agg(F.min("first").alias("partner"))
-    by_variant = cut.groupBy(*variant).agg(F.min("first").alias("partner"))
-    as_it_stands = whole.select(*variant, F.col("first").alias("partner"))
-    pairs = (cut.join(by_slot, [*variant, "slot"]).select("node", "first", "partner")
-             .unionByName(cut.join(as_it_stands, variant).select("node", "first", "partner"))
-             .unionByName(whole.join(by_variant, variant).select("node", "first", "partner")))
-    place = F.struct(*[F.col(f"partner.{c}") for c in (*ROW, "line")])
-    pairs = pairs.where(F.col("partner") < F.col("first")).select("node", place.alias("at")).distinct()
-    partners = near.select(F.col("first").alias("partner"), F.col("w").alias("partner_w")).select(place.alias("at"), "partner_w")
-    edited = (pairs.join(partners, "at").join(near.select("node", "w", "first"), "node")
-              .where(within_one(F.col("w"), F.col("partner_w"))).select("first").distinct())
+    edited = _decided(met, landed(near.select("node", F.col("first").alias("partner"), "w"), "line-words")).select("first")
     # from the line's first place to its key
     edited = edited.select(*[F.col(f"first.{c}").alias(c) for c in (*ROW, "line", "rh")])
     return narrowed(keys.select(*ROW, "line", "rh", "h1", "h2"), F.col("rh"), edited, F.col("rh")).join(
         edited, [*ROW, "line", "rh"]).select("h1", "h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 5,
+def _decided(met: DataFrame, words: DataFrame) -> DataFrame:
+    """(node, first) of the lines that go for an earlier neighbour that stays.
+
+    ``met``: node, first, and the variants (s, n, slot) that a line shares with others.
+    """
+    variant = ["s", "n"]
+    met, out = landed(met.withColumn("stays", F.lit(False)), "line-open"), None
+    staying, waiting = (F.min(F.when(F.col("stays") == s, F.col("first"))).alias(name)
+                        for s, name in ((True, "staying"), (False, "waiting")))
+    while not met.where("not stays").isEmpty():
+        cut, whole = met.where("slot > 0"), met.where("slot = 0")
+        groups = ((cut, cut, [*variant, "slot"]), (cut, whole, variant), (whole, cut, variant))
+        pairs = None
+        for lines, others, same in groups:
+            found = lines.where("not stays").select("node", "first", *same).join(
+                others.groupBy(*same).agg(staying, waiting), same, "left").select("node", "first", "staying", "waiting")
+            pairs = found if pairs is None else pairs.unionByName(found)
+        pairs = landed(pairs.groupBy("node", "first", "staying").agg(F.min("waiting").alias("waiting")), "line-pairs")
+        near = (pairs.where(F.col("staying") < F.col("first")).select("node", "first", "staying")
+                .join(words.select(F.col("partner").alias("staying"), F.col("w").alias("staying_w")), "staying")
+                .join(words.select("node", "w"), "node"))
+        gone = near.where(within_one(F.col("w"), F.col("staying_w"))).select("node", F.lit(True).alias("goes")).distinct()
+        judged = landed(pairs.groupBy("node", "first").agg(F.min("waiting").alias("waiting")).join(gone, "node", "left").select(
+            "node", "first", F.coalesce("goes", F.lit(False)).alias("goes"),
+            F.coalesce(F.col("waiting") >= F.col("first"), F.lit(True)).alias("free")).where("goes or free"), "line-round")
+        goes = judged.where("goes").select("node", "first")
+        out = goes if out is None else out.unionByName(goes)
+        met = landed(met.join(judged.drop("first"), "node", "left").where(~F.coalesce("goes", F.lit(False))).withColumn(
+            "stays", F.col("stays") | F.coalesce("free", F.lit(False))).drop("goes", "free"), "line-open")
+    return met.select("node", "first").where("false") if out is None else out
+
+
+def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 1,
                   fuzzy_words: int = 8) -> DataFrame:
     """(kid, no_id, th, drop): the sorted numbers (from 0) of each text's lines that go."""
     if fuzzy_words < 8:
@@ -191,7 +217,7 @@ def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
     return gone.where(F.col("edited") | ~own).groupBy(*ROW).agg(F.sort_array(F.collect_set("line")).alias("drop"))
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 5, fuzzy_words: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 1, fuzzy_words: int = 8) -> DataFrame:
     """All columns of ``docs`` in a struct ``doc``, with the new text, n_lines and n_dropped beside it."""
     rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("kid"), F.col(key).isNull().alias("no_id"),
                        F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))

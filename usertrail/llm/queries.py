@@ -32,7 +32,7 @@ def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def op3_line_dedup(spark: SparkSession, sf_dir: str, min_words: int = 5) -> DataFrame:
+def op3_line_dedup(spark: SparkSession, sf_dir: str, min_words: int = 1) -> DataFrame:
     found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=min_words)
     return found.select("doc.doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
                         F.col("n_dropped").cast("long").alias("n_dropped"),
@@ -40,7 +40,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str, min_words: int = 5) -> Data
 
 
 def op3_line_dedup_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every exact repeat of a line that is not empty goes, whatever its number of words."""
+    """The former name of what ``op3_line_dedup`` does: every exact repeat of a line that is not empty goes."""
     return op3_line_dedup(spark, sf_dir, min_words=1)
 
 
@@ -119,19 +119,25 @@ _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 
 ORACLE: dict[str, str] = {
     "op3_line_dedup": r"""
-WITH l AS (SELECT doc_id, p, lines[p] AS raw, string_split(lower(trim(lines[p])), ' ') AS w
+WITH RECURSIVE l AS (SELECT doc_id, p, lines[p] AS raw, string_split(lower(trim(lines[p])), ' ') AS w
            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p
                  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
-f AS (SELECT w, min((doc_id, p)) AS first FROM l WHERE len(w) >= 5 GROUP BY w),
+f AS (SELECT w, min((doc_id, p)) AS first FROM l WHERE w <> [''] GROUP BY w),
 v AS (SELECT w, first, 0 AS slot, w AS v FROM f WHERE len(w) >= 8 UNION ALL
       SELECT w, first, i, list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w)))
       FROM (SELECT w, first, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 8)),
 m AS (SELECT v FROM v GROUP BY v HAVING count(DISTINCT w) > 1),
 c AS (SELECT * FROM v SEMI JOIN m USING (v)),
-e AS (SELECT DISTINCT a.w FROM c a JOIN c b ON a.v = b.v AND b.first < a.first
+e AS MATERIALIZED (SELECT DISTINCT a.first AS late, b.first AS early FROM c a JOIN c b ON a.v = b.v AND b.first < a.first
       AND (a.slot = b.slot OR a.slot = 0 OR b.slot = 0)),
-gone AS (SELECT l.doc_id, l.p FROM l JOIN f ON l.w = f.w LEFT JOIN e ON e.w = f.w
-         WHERE e.w IS NOT NULL OR f.first <> (l.doc_id, l.p)),
+r AS (SELECT 0 AS round, first, 'open' AS state FROM (SELECT late AS first FROM e UNION SELECT early FROM e) UNION ALL
+      SELECT r.round + 1, r.first, CASE WHEN r.state <> 'open' THEN r.state WHEN coalesce(bool_or(o.state = 'stays'), false) THEN 'goes'
+             WHEN coalesce(bool_or(o.state = 'open'), false) THEN 'open' ELSE 'stays' END
+      FROM r LEFT JOIN e ON e.late = r.first LEFT JOIN r o ON o.first = e.early
+      WHERE EXISTS (SELECT 1 FROM r x WHERE x.state = 'open') GROUP BY r.round, r.first, r.state),
+g AS (SELECT first FROM r WHERE state = 'goes' GROUP BY first),
+gone AS (SELECT l.doc_id, l.p FROM l JOIN f ON l.w = f.w LEFT JOIN g ON g.first = f.first
+         WHERE g.first IS NOT NULL OR f.first <> (l.doc_id, l.p)),
 t AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.p) AS n_dropped,
              string_agg(CASE WHEN gone.p IS NULL THEN raw END, chr(10) ORDER BY l.p) AS kept
       FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.p = l.p GROUP BY l.doc_id)
@@ -154,4 +160,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit.n, 0) AS B
        coalesce(n_hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)""",
 }
-ORACLE["op3_line_dedup_every"] = ORACLE["op3_line_dedup"].replace("len(w) >= 5", "w <> ['']")
+ORACLE["op3_line_dedup_every"] = ORACLE["op3_line_dedup"]
