@@ -145,22 +145,22 @@ def _neighbours(docs: DataFrame, keys: DataFrame, distinct: DataFrame, key: str,
     near = narrowed(halves, F.col("half"), shared, F.col("half")).join(shared, "half").select("h1", "h2").distinct()
     near = landed(near, "line-near")
     near = narrowed(distinct.select("h1", "h2", "first"), F.col("h1"), near, F.col("h1")).join(near, ["h1", "h2"])
-    near = landed(near.withColumn("node", F.monotonically_increasing_id()), "line-near")
+    # numbers in the order of the lines' first places, which stand for these from here on
+    near = landed(near.orderBy("first").withColumn("node", F.monotonically_increasing_id()), "line-near")
 
     # the words of these lines, from their first places
     places = near.select("node", "first", *[F.col(f"first.{c}").alias(c) for c in (*ROW, "line", "rh")])
     scanned = _lines(_rows(docs, key, text)).drop("id").withColumn("rh", F.xxhash64("raw"))
     hits = narrowed(scanned, F.col("rh"), places, F.col("rh")).drop("rh")
-    near = landed(hits.join(places, [*ROW, "line"]).select("node", "first", words_of(F.col("raw")).alias("w"))
-                  .dropDuplicates(["node"]), "line-words")
+    words = landed(hits.join(places, [*ROW, "line"]).select("node", words_of(F.col("raw")).alias("w"))
+                   .dropDuplicates(["node"]), "line-words")
 
     variant = ["s", "n"]
-    variants = landed(near.select("node", F.inline(_variants(F.col("w")))), "line-variants")
+    variants = landed(words.select("node", F.inline(_variants(F.col("w")))), "line-variants")
     met = landed(variants.groupBy(*variant).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
                  .select(*variant), "line-met")
     met = narrowed(variants, F.col("s"), met, F.col("s")).join(met, variant)
-    met = landed(met.join(near.select("node", "first"), "node"), "line-met")
-    edited = _decided(met, landed(near.select("node", F.col("first").alias("partner"), "w"), "line-words")).select("first")
+    edited = _decided(met, words).join(near, "node").select("first")
     # from the line's first place to its key
     edited = edited.select(*[F.col(f"first.{c}").alias(c) for c in (*ROW, "line", "rh")])
     return narrowed(keys.select(*ROW, "line", "rh", "h1", "h2"), F.col("rh"), edited, F.col("rh")).join(
@@ -168,35 +168,34 @@ def _neighbours(docs: DataFrame, keys: DataFrame, distinct: DataFrame, key: str,
 
 
 def _decided(met: DataFrame, words: DataFrame) -> DataFrame:
-    """(node, first) of the lines that go for an earlier neighbour that stays.
+    """The nodes of the lines that go for an earlier neighbour that stays.
 
-    ``met``: node, first, and the variants (s, n, slot) that a line shares with others.
+    ``met``: node, and the variants (s, n, slot) that a line shares with others; nodes in the order of the lines.
     """
     variant = ["s", "n"]
-    met, out = landed(met.withColumn("stays", F.lit(False)), "line-open"), None
-    staying, waiting = (F.min(F.when(F.col("stays") == s, F.col("first"))).alias(name)
+    met, out = landed(met.withColumn("stays", F.lit(False)), "line-open"), met.select("node").where("false")
+    staying, waiting = (F.min(F.when(F.col("stays") == s, F.col("node"))).alias(name)
                         for s, name in ((True, "staying"), (False, "waiting")))
     while not met.where("not stays").isEmpty():
         cut, whole = met.where("slot > 0"), met.where("slot = 0")
         groups = ((cut, cut, [*variant, "slot"]), (cut, whole, variant), (whole, cut, variant))
         pairs = None
         for lines, others, same in groups:
-            found = lines.where("not stays").select("node", "first", *same).join(
-                others.groupBy(*same).agg(staying, waiting), same, "left").select("node", "first", "staying", "waiting")
+            found = lines.where("not stays").select("node", *same).join(
+                others.groupBy(*same).agg(staying, waiting), same, "left").select("node", "staying", "waiting")
             pairs = found if pairs is None else pairs.unionByName(found)
-        pairs = landed(pairs.groupBy("node", "first", "staying").agg(F.min("waiting").alias("waiting")), "line-pairs")
-        near = (pairs.where(F.col("staying") < F.col("first")).select("node", "first", "staying")
-                .join(words.select(F.col("partner").alias("staying"), F.col("w").alias("staying_w")), "staying")
-                .join(words.select("node", "w"), "node"))
+        pairs = landed(pairs.groupBy("node", "staying").agg(F.min("waiting").alias("waiting")), "line-pairs")
+        near = (pairs.where("staying < node").select("node", "staying")
+                .join(words.select(F.col("node").alias("staying"), F.col("w").alias("staying_w")), "staying")
+                .join(words, "node"))
         gone = near.where(within_one(F.col("w"), F.col("staying_w"))).select("node", F.lit(True).alias("goes")).distinct()
-        judged = landed(pairs.groupBy("node", "first").agg(F.min("waiting").alias("waiting")).join(gone, "node", "left").select(
-            "node", "first", F.coalesce("goes", F.lit(False)).alias("goes"),
-            F.coalesce(F.col("waiting") >= F.col("first"), F.lit(True)).alias("free")).where("goes or free"), "line-round")
-        goes = judged.where("goes").select("node", "first")
-        out = goes if out is None else out.unionByName(goes)
-        met = landed(met.join(judged.drop("first"), "node", "left").where(~F.coalesce("goes", F.lit(False))).withColumn(
+        judged = landed(pairs.groupBy("node").agg(F.min("waiting").alias("waiting")).join(gone, "node", "left").select(
+            "node", F.coalesce("goes", F.lit(False)).alias("goes"),
+            F.coalesce(F.col("waiting") >= F.col("node"), F.lit(True)).alias("free")).where("goes or free"), "line-round")
+        out = out.unionByName(judged.where("goes").select("node"))
+        met = landed(met.join(judged, "node", "left").where(~F.coalesce("goes", F.lit(False))).withColumn(
             "stays", F.col("stays") | F.coalesce("free", F.lit(False))).drop("goes", "free"), "line-open")
-    return met.select("node", "first").where("false") if out is None else out
+    return out
 
 
 def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 1,
