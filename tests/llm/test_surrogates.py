@@ -101,3 +101,81 @@ def test_formats_with_too_few_values_get_numbered_surrogates(spark):
     assert len(new) == len(mails) and not new & set(mails)
     assert any(n.startswith("email-") for n in new) and any(n.endswith(".com") for n in new)
     assert S.render("card", "1234 5678", S.numbered("card", "12345678", "", KEY)).startswith("card-")
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("ISBN 9781234567897", []), ("order 1234567890123", []), ("4111 1111 1111 1112", ["card"]), ("Ines Ines Ines", []),
+    ("fe80::1ff:2 at 12:30:45, std::dec", ["ip"]), ("my name is Priya Sharma", ["name"]), ("Regards,\nWei Chen", ["name"]),
+    ("Dr Anna Keller. Keller said KELLER", ["name"] * 3), ("Keller said", []),
+])
+def test_what_is_an_entity(text, kinds):
+    assert [e[2] for e in S.entities(text)] == kinds
+
+
+def test_coreference_of_names_and_account_numbers():
+    new, _ = S.replace("Mr Keller, Hugo Keller and Keller; Mr Kellner", {}, KEY)
+    first, full, third = new.split("; ")[0].replace(" and ", ", ").split(", ")
+    assert first.split(" ")[1] == full.split(" ")[1] == third != new.split(" ")[-1]
+    new, _ = S.replace("DE89 3704 0044 0532 0130 00", {}, KEY)
+    assert new[2:4] == S._check_digits("DE", new[4:].replace(" ", "")) and new != "DE89 3704 0044 0532 0130 00"
+
+
+def test_one_gender_for_an_entity_and_hosts_apart(spark):
+    hosts = [f"{a}{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(1, "Dr Anna Kellerova"), (2, "Frau Anna Kellerova"), (3, "Dr Kim Novak"), (4, "Mr Kim Novak"), (5, "Mrs Kim Novak")]
+    rows += [(10 + i, f"someone.{i}@{h}") for i, h in enumerate(hosts)]
+    new = {r.doc.doc_id: r.text for r in S.replace_all(frame(spark, rows), KEY).select("doc", "text").collect()}
+    assert new[1].removeprefix("Dr ") == new[2].removeprefix("Frau ")
+    assert new[1].split(" ")[1] in S.GIVEN["f", "LATIN"]
+    three = {new[k].split(" ", 1)[1] for k in (3, 4, 5)}
+    assert len(three) == 3 and len({n.split(" ")[-1] for n in three}) == 1
+    replaced = {h: new[10 + i].split("@")[1] for i, h in enumerate(hosts)}
+    assert len(set(replaced.values())) == len(hosts) and not set(replaced.values()) & set(hosts)
+
+
+def plain_rounds(known, bits, most=24):
+    """{entity: (attempt, surrogate)} by a loop over a dict."""
+    held = {e: (0, S.draw(*e, 0, KEY, bits, of)) for e, of in known.items()}
+    real = {(e[0], e[1]) for e in known}
+    for attempt in range(1, most + 1):
+        first = {}
+        for e, (at, s) in held.items():
+            first[e[0], s] = min(first.get((e[0], s), (at, *e[1:])), (at, *e[1:]))
+        lost = [e for e, (at, s) in held.items() if (e[0], s) in real or first[e[0], s] != (at, *e[1:])]
+        for e in lost:
+            held[e] = (attempt, S.draw(*e, attempt, KEY, bits, known[e]) if attempt < most else S.numbered(*e, KEY, known[e]))
+    return {e: s for e, (_, s) in held.items()}
+
+
+def test_query_against_a_plain_version(spark):
+    """Texts made of known mentions: the whole is replaced as a loop over dicts replaces it."""
+    rng = random.Random(5)
+    titles = {"Mr": "m", "Mrs": "f", "Dr": ""}
+    mentions = [("email", m, "") for m in {f"{rng.choice('abcdef')}{rng.choice('xyz')}@{rng.choice('pqrs')}{rng.choice('tu')}.org" for _ in range(60)}]
+    mentions += [("ip", f"10.{rng.randrange(200)}.3.{rng.randrange(200)}", "") for _ in range(40)]
+    mentions += [("name", f"{rng.choice(['Kim', 'Sascha', 'Robin'])} {rng.choice(['Ode', 'Uhl', 'Wix', 'Zak'])}", g) for g in ("m", "f", "", "m")
+                 for _ in range(10)]
+    docs = [[rng.choice(mentions) for _ in range(rng.randrange(4))] for _ in range(150)]
+    title = {g: t for t, g in titles.items()}
+
+    def text(mentioned):
+        return " ~ ".join(f"{title[g]} {v}" if kind == "name" else v for kind, v, g in mentioned)
+
+    genders = {}
+    for kind, v, g in {m for d in docs for m in d if m[0] == "name" and m[2]}:
+        genders.setdefault(v.lower(), set()).add(g)
+
+    def settled(kind, v, g):
+        of_name = genders.get(v.lower(), set())
+        return kind, v.lower(), g or (min(of_name) if len(of_name) == 1 else "")
+
+    used = {settled(*m) for d in docs for m in d}
+    parts = {("host", c.split("@")[1], "") if k == "email" else ("surname", c.split(" ")[1], "") for k, c, _ in used if k != "ip"}
+    bits = 5
+    new_parts = plain_rounds(dict.fromkeys(parts), bits)
+    new = plain_rounds({e: new_parts.get(("host", e[1].split("@")[-1], "")) or new_parts.get(("surname", e[1].split(" ")[-1], "")) for e in used}, bits)
+    out = {r.doc.doc_id: r.text for r in S.replace_all(frame(spark, [(i, text(d)) for i, d in enumerate(docs)]), KEY, bits=bits).collect()}
+    for i, d in enumerate(docs):
+        expected = text([(kind, S.render(kind, v, new[settled(kind, v, g)]), g) for kind, v, g in d])
+        assert out[i] == expected
+    assert len(set(new.values())) == len(new)
