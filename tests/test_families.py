@@ -86,3 +86,21 @@ def test_broadcast_and_expression_paths_agree(spark):
     via_expr = {r["event_name"]: r["family"] for r in big.apply(df, names=df).collect()}
     assert via_join == via_expr
     assert via_join[None] == "other"
+
+
+def test_names_are_broadcast_by_count_and_bytes(spark):
+    names = ["page_viewed", "ai_reply", "é_viewed", None]
+    df, plan = _plan(spark, names)
+    assert plan.name_bytes == sum(len(n.encode()) for n in names if n) and plan.broadcastable
+    assert not FamilyPlan(plan.kept, plan.prefixes, True, n_names=3, name_bytes=1 << 30).broadcastable
+
+
+def test_user_cap_takes_the_first_ids_without_a_join(spark):
+    from usertrail.operators.profiles import cap_users
+
+    df = spark.createDataFrame([("10",), ("9",), ("é",), (None,), ("Z",), ("10",), ("1",)], "user_id string")
+    for n, want in ((1, ["1"]), (2, ["1", "10", "10"]), (4, ["1", "10", "10", "9", "Z"]), (9, ["1", "10", "10", "9", "Z", "é"])):
+        capped = cap_users(df, n)
+        assert sorted(r.user_id for r in capped.collect()) == want
+    assert "Join" not in capped._jdf.queryExecution().optimizedPlan().toString()
+    assert cap_users(df.where("user_id is null"), 3).count() == 0

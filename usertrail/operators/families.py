@@ -9,7 +9,7 @@ share >= 0.5 % of all rows, so at most 200) and the number of distinct names.
 Applying the assignment to events has two strategies, chosen on that checked
 name count:
 
-* few names (<= ``BROADCAST_MAX_NAMES``): the per-name dimension
+* few names (<= ``BROADCAST_MAX_NAMES``, of <= ``BROADCAST_MAX_BYTES``): the per-name dimension
   ``(event_name, family)`` is computed by Spark from the events and joined
   with a broadcast hash join -- one hash probe per event;
 * otherwise: the assignment is evaluated as a column expression per event
@@ -35,9 +35,9 @@ from usertrail.constants import (
 )
 from usertrail.functions.text import first_token, last_token
 
-# Largest name dimension we broadcast (the count is checked by plan_families);
-# ~200k short strings is a few MB per executor.
+# Largest name dimension we broadcast: count and bytes are both checked by plan_families.
 BROADCAST_MAX_NAMES = 200_000
+BROADCAST_MAX_BYTES = 16 << 20
 
 
 def verb_family(name: Column) -> Column:
@@ -55,6 +55,7 @@ class FamilyPlan:
     has_other: bool
     disabled: bool = False
     n_names: int = 0               # distinct non-null event names (checked size)
+    name_bytes: int = 0            # their length in UTF-8
 
     def family(self, name: Column) -> Column:
         """F3/F4/F6/F7 as one expression over the event name."""
@@ -69,7 +70,8 @@ class FamilyPlan:
 
     @property
     def broadcastable(self) -> bool:
-        return not self.disabled and bool(self.kept) and self.n_names <= BROADCAST_MAX_NAMES
+        return not self.disabled and bool(self.kept) and self.n_names <= BROADCAST_MAX_NAMES and (
+            self.name_bytes <= BROADCAST_MAX_BYTES)
 
     def dimension(self, names: DataFrame) -> DataFrame:
         """(event_name, family) for every distinct non-null name in ``names``."""
@@ -125,14 +127,14 @@ def plan_families(events: DataFrame, *, no_families: bool = False,
     total = total_rows if total_rows is not None else events.count()
     total = max(total, 1)
     nc = name_counts(events).where(F.col("event_name").isNotNull())
-    nc = nc.select("n", verb_family(F.col("event_name")).alias("verb"),
+    nc = nc.select("n", F.octet_length("event_name").cast("long").alias("bytes"), verb_family(F.col("event_name")).alias("verb"),
                    first_token(F.col("event_name")).alias("first"))
     grp = (
         F.when(F.col("verb").isNotNull(), F.concat(F.lit("v:"), F.col("verb")))
         .when(F.col("first").isNull(), F.lit("x"))
         .otherwise(F.concat(F.lit("p:"), F.col("first")))
     )
-    groups = nc.groupBy(grp.alias("g")).agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("r"))
+    groups = nc.groupBy(grp.alias("g")).agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("r"), F.sum("bytes").alias("bytes"))
     # the catch-all has no name of its own: a prefix spelled like it stays in it
     is_prefix = F.col("g").startswith("p:") & (F.col("g") != F.lit("p:" + OTHER_FAMILY))
     qualifies = is_prefix & (F.col("d") >= PREFIX_MIN_DISTINCT) & (F.col("r") / F.lit(total) >= PREFIX_MIN_SHARE)
@@ -140,14 +142,15 @@ def plan_families(events: DataFrame, *, no_families: bool = False,
         F.collect_set(F.when(F.col("g").startswith("v:"), F.substring("g", 3, 1 << 20))).alias("verbs"),
         F.collect_set(F.when(qualifies, F.substring("g", 3, 1 << 20))).alias("prefixes"),
         F.max((F.col("g") == "x") | (F.col("g").startswith("p:") & ~qualifies)).alias("unmatched"),
-        F.sum("d").alias("n_names"),
+        F.sum("d").alias("n_names"), F.sum("bytes").alias("name_bytes"),
     ).first()
     verbs = set(row["verbs"] or [])
     prefixes = sorted(row["prefixes"] or [])
     named = sorted(verbs | set(prefixes))
     kept = tuple(named[:MAX_FAMILIES])
     has_other = bool(row["unmatched"]) or len(named) > MAX_FAMILIES
-    return FamilyPlan(kept, tuple(prefixes), has_other, n_names=int(row["n_names"] or 0))
+    return FamilyPlan(kept, tuple(prefixes), has_other, n_names=int(row["n_names"] or 0),
+                      name_bytes=int(row["name_bytes"] or 0))
 
 
 def event_family_dim(events: DataFrame, plan: FamilyPlan) -> DataFrame:

@@ -113,16 +113,15 @@ def with_attributes(core: DataFrame, attributes: DataFrame | None) -> DataFrame:
 def cap_users(events: DataFrame, max_users: int | None) -> DataFrame:
     """Keep the first ``max_users`` users by string user id.
 
-    The id list is a TakeOrderedAndProject of exactly ``max_users`` rows, a
-    size fixed by the caller, so it is broadcast into a semi join placed
-    *before* the session window.
+    They are the users up to the ``max_users``-th id, so the last of these ids is
+    all that other rows are compared with: a scalar subquery, whatever the number
+    of users, and no join before the session window.
     """
     if max_users is None:
         return events
     keep = (events.where(F.col("user_id").isNotNull()).select("user_id").distinct()
             .orderBy("user_id").limit(int(max_users)))
-    keep = F.broadcast(keep) if max_users <= 1_000_000 else keep
-    return events.join(keep, "user_id", "left_semi")
+    return events.where(F.col("user_id") <= keep.agg(F.max("user_id")).scalar())
 
 
 def top_events(events: DataFrame, family_of, n: int = DEFAULT_TOP_EVENTS) -> DataFrame:
