@@ -91,3 +91,57 @@ def test_quality_defined_cases(spark):
     assert Q.learn(features, labels) is None
     assert {r.score for r in Q.score(features, None).collect()} == {0.5}
     assert Q.featurise(docs.where("false")).count() == 0
+
+
+def test_langid_query_equals_plain(spark):
+    """The query's languages and scores, from counts added up and decoded one text at a time."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 for r in docs}
+    counts = {r.doc_id: L.ngram_counts(r.text or "") for r in docs}
+    langs = sorted({r.lang for r in docs if r.lang is not None and fold[r.doc_id] != 2 and counts[r.doc_id] is not None})
+    sums = np.zeros((len(langs), L.BUCKETS))
+    for r in docs:
+        if r.lang is not None and fold[r.doc_id] != 2 and counts[r.doc_id] is not None:
+            sums[langs.index(r.lang)] += counts[r.doc_id]
+    model = L.fit(langs, sums)
+    got = {r.doc_id: r for r in op7_ecoc_langid(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, c in counts.items():
+        assert got[i].held_out == (fold[i] == 2)
+        if c is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        margins = (c.astype(np.float64) @ model.weights.astype(np.float64)) / c.sum()
+        best, score, _ = L.decode(model, margins[None])
+        assert got[i].lang_pred == langs[best[0]] and abs(got[i].score - score[0]) < 1e-3
+
+
+def test_quality_query_equals_plain(spark):
+    """The query's scores, from class moments of all learned rows and densities by the covariances' inverses."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    x = {r.doc_id: np.asarray(Q.statistics(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in x}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()
+              if r.doc_id in x and fold[r.doc_id] != 0 and r.quality in (0, 1)]
+    of = [np.asarray([x[i] for i, y in labels if y == c]) for c in (0, 1)]
+    covs, n = [np.cov(v.T, bias=True) for v in of], [len(v) for v in of]
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    level = np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled))
+    shrunk = [0.88 * c + 0.1 * pooled + 0.02 * level for c in covs]
+
+    def density(v, c):
+        d = v - of[c].mean(axis=0)
+        return -0.5 * d @ np.linalg.solve(shrunk[c], d) - 0.5 * np.linalg.slogdet(shrunk[c])[1]
+
+    for r in op2_quality_qda(spark, sf).collect():
+        v = x.pop(r.doc_id)
+        words = np.expm1(v[Q.FEATURES.index("words")])
+        odds = words / (words + Q.TRUST_WORDS) * (density(v, 1) - density(v, 0)) + np.log(n[1] / n[0])
+        assert abs(r.score - 1 / (1 + np.exp(np.clip(-odds, -500, 500)))) < 1e-4
+        assert r.held_out == (fold[r.doc_id] == 0) and r.predicted == (r.score >= 0.3)
+    assert not x

@@ -68,3 +68,34 @@ def test_query_base_spans(spark):
     for r in op10_secret_owners(spark, sf).collect():
         assert r.base_sha256 == hashlib.sha256(",".join(want.pop(r.doc_id)).encode()).hexdigest()
     assert not want
+
+
+def test_verdicts_against_plain(spark):
+    """Owners, copies and live values of random texts, counted by dicts."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(8)
+    values = ["".join(rng.choice("abcdefGHJKLmnpqRSTuv23456789") for _ in range(26)) for _ in range(25)] + ["your-example-key-12345678"]
+    rows = [(i, " ; ".join(rng.choice(["", "token="]) + rng.choice(values) for _ in range(rng.randrange(4))), f"o{rng.randrange(6)}")
+            for i in range(40)]
+    found, owners = {}, defaultdict(set)
+    for i, t, o in rows:
+        base = S.base_spans(t)
+        found[i] = base + S.long_spans(t, base)
+        for *_, v in found[i]:
+            owners[v].add(o)
+    got = {r.key: r for r in S.judge(S.scan(frame(spark, rows)), max_owners=2).collect()}
+    for i, _, _ in rows:
+        copied = sum(len(owners[v]) > 2 for *_, v in found[i])
+        live = sum(S.looks_live(v) and len(owners[v]) <= 2 for *_, v in found[i])
+        spans = [s for s in found[i] if s[1] < 3 or (S.looks_live(s[3]) and len(owners[s[3]]) <= 2)]
+        assert (got[i].n_live, got[i].n_added, got[i].spans) == (live, sum(s[1] == 3 for s in spans), S.joined(spans))
+        # of entropy tokens only those that stay are counted
+        assert got[i].n_copied == sum(len(owners[v]) > 2 for _, k, _, v in found[i] if k < 3) <= copied
+
+
+def test_very_long_text(spark):
+    text = ("filler words " * 40_000) + "token = 9a8b7c6d5e4f30219a8b7c6d5e4f3021"
+    got = S.judge(S.scan(frame(spark, [(1, text, None)]))).collect()[0]
+    assert got.base_sha256 == hashlib.sha256(",".join(plain(text)).encode()).hexdigest() and got.n_assign == 1
