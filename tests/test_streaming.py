@@ -212,6 +212,56 @@ def test_merged_stretches():
     assert S._merged([np.asarray([[0, 0, 1], [5, 5, 1], [11, 11, 1]])], 5).tolist() == [[0, 5, 2], [11, 11, 1]]
 
 
+class _FakeState:
+    """A handle with lists and timers that counts the calls to it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def _called(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self._called(list(rows))
+
+    def appendList(self, rows):
+        self._called(self.rows + list(rows))
+
+    def clear(self):
+        self._called([])
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_calls_to_the_gap_state_follow_groups_and_not_users():
+    import pandas as pd
+
+    state, op = _FakeState(), S._GapSessions(5_000)
+    op.init(state)
+    state.now = 0
+    frames = [pd.DataFrame({"user_id": [f"u{k}" for k in range(100)], "start_key": 1000 * at, "end_key": 1000 * at, "n_events": 1})
+              for at in (20, 3, 40, 5)]
+    assert list(op.handleInputRows((0,), iter(frames), state)) == []
+    assert state.calls <= 3 and len(state.rows) == 1 and state.timers == [11]
+    state.now = 12
+    closed, = op.handleExpiredTimer((0,), state, None)
+    assert sorted(closed["user_id"]) == sorted(frames[0]["user_id"])
+    assert set(closed[S._SPAN].itertuples(index=False, name=None)) == {(3000, 5000, 2)}
+    assert len(S._unpacked(state.rows, S._OPEN)) == 200 and state.timers[-1] == 26
+
+
 def test_changelog_is_compacted_and_retries_change_nothing(spark):
     log = ChangeLog(spark, _base(spark), fan_in=3)
     with pytest.raises(ValueError):
