@@ -262,6 +262,22 @@ def test_calls_to_the_gap_state_follow_groups_and_not_users():
     assert len(S._unpacked(state.rows, S._OPEN)) == 200 and state.timers[-1] == 26
 
 
+def test_stretches_of_all_users_of_a_batch_in_two_frames():
+    import pandas as pd
+
+    rng = random.Random(8)
+    frame = pd.DataFrame([(f"u{rng.randrange(30)}", rng.randrange(1000) if rng.random() > 0.1 else S.NULL_TS_KEY) for _ in range(400)],
+                         columns=["user_id", "ts_key"])
+    known, untimed = list(S._stretches(7)(iter([frame])))
+    want = []
+    for user, at in frame[frame["ts_key"] != S.NULL_TS_KEY].groupby("user_id")["ts_key"]:
+        at = at.to_numpy(np.int64)
+        want += [(user, *r) for r in S._merged([np.column_stack([at, at, np.ones(len(at), np.int64)])], 7).tolist()]
+    assert sorted(known.itertuples(index=False, name=None)) == sorted(want)
+    none = frame[frame["ts_key"] == S.NULL_TS_KEY].groupby("user_id").size()
+    assert dict(zip(untimed["user_id"], untimed["n_events"])) == none.to_dict() and set(untimed["start_key"]) == {S.NULL_TS_KEY}
+
+
 def test_changelog_is_compacted_and_retries_change_nothing(spark):
     log = ChangeLog(spark, _base(spark), fan_in=3)
     with pytest.raises(ValueError):
