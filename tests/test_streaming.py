@@ -278,6 +278,22 @@ def test_stretches_of_all_users_of_a_batch_in_two_frames():
     assert dict(zip(untimed["user_id"], untimed["n_events"])) == none.to_dict() and set(untimed["start_key"]) == {S.NULL_TS_KEY}
 
 
+def test_a_group_of_users_settles_at_once_with_runs_of_each_users_own():
+    import pandas as pd
+
+    state, op = _FakeState(), S._Settler(1_000_000)
+    op.init(state)
+    state.now = 0
+    rows = [("u", 1, 1, "A"), ("v", 1, 2, "A"), ("u", 2, 3, "B"), ("v", 9, 4, "A"), ("u", 3, 5, "A"), ("v", 9, None, "C")]
+    frame = pd.DataFrame(rows, columns=["user_id", "ts_key", "ord", "sid"])
+    assert list(op.handleInputRows((3, 0), iter([frame[:4], frame[4:]]), state)) == []
+    assert state.calls <= 3 and len(state.rows) == 2 and state.timers == [1000]
+    state.now = 1000
+    out, = op.handleExpiredTimer((3, 0), state, None)
+    assert [(r.user_id, r.bucket, r.ts_key, r.sid, r.run) for r in out.itertuples()] == [
+        ("u", 0, 1, "A", 0), ("u", 0, 2, "B", 1), ("u", 0, 3, "A", 2), ("v", 0, 1, "A", 0), ("v", 0, 9, "C", 1), ("v", 0, 9, "A", 2)]
+
+
 def test_changelog_is_compacted_and_retries_change_nothing(spark):
     log = ChangeLog(spark, _base(spark), fan_in=3)
     with pytest.raises(ValueError):
