@@ -176,3 +176,24 @@ def test_large_json_arrays_are_dispatched_to_byte_ranges(spark, tmp_path):
             read_events(spark, str(cut))
     finally:
         spark.conf.set(name, before)
+
+
+def test_small_byte_ranges_share_tasks(spark, tmp_path):
+    from usertrail.sources import json_array as J
+
+    path, rows = tmp_path / "small.json", 4000
+    path.write_text(json.dumps([{"i": i, "a": "}{" * (i % 3)} for i in range(rows)]))
+    name, cores = "spark.sql.files.maxPartitionBytes", spark.sparkContext.defaultParallelism
+    assert path.stat().st_size > 1024 * 4 * (cores + 10) and J._tasks(spark, str(path)) == cores
+    before = {k: spark.conf.get(k, None) for k in (name, J._MAX_PARTS)}
+    spark.conf.set(name, "1k")
+    try:
+        assert J._fragments(spark, str(path), cores).select(F.spark_partition_id()).distinct().count() <= cores
+        got = J.read_json_array(spark, str(path))
+    finally:
+        spark.conf.set(name, before[name])
+    assert spark.conf.get(J._MAX_PARTS, None) == before[J._MAX_PARTS]
+    # a file a task, and those of the objects that were joined from pieces
+    assert len(got.inputFiles()) <= cores + 10
+    assert got.agg(F.sum("i"), F.count("i"), F.sum(F.length("a"))).first()[:] == (
+        rows * (rows - 1) // 2, rows, sum(2 * (i % 3) for i in range(rows)))
