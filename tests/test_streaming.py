@@ -278,6 +278,51 @@ def test_stretches_of_all_users_of_a_batch_in_two_frames():
     assert dict(zip(untimed["user_id"], untimed["n_events"])) == none.to_dict() and set(untimed["start_key"]) == {S.NULL_TS_KEY}
 
 
+def test_stretches_reach_the_state_as_one_row_a_group(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "PIECE_BYTES", 1500)
+    rng = random.Random(9)
+    rows = [(f"u{k}", 10 * at, 10 * at, 1, k % 4) for k, at in ((rng.randrange(40), rng.randrange(10_000)) for _ in range(3000))]
+    rows += [("u1", S.NULL_TS_KEY, S.NULL_TS_KEY, 5, 1)]
+    frame = pd.DataFrame(rows, columns=[*S._OPEN.names, "user_group"])
+    batches = [pa.RecordBatch.from_pandas(frame[at:at + 200], preserve_index=False) for at in range(0, len(frame), 200)]
+    packed = pa.Table.from_batches(list(S._by_group(iter([batches[0][:0], *batches])))).to_pandas()
+    assert packed["user_group"].tolist() == [0, 1, 2, 3] and list(S._by_group(iter([batches[0][:0]]))) == []
+    for group, own in packed.groupby("user_group"):
+        state, op = _FakeState(), S._GapSessions(30)
+        op.init(state)
+        state.now = 0
+        untimed = list(op.handleInputRows((group,), iter([own, own]), state))  # each comes twice
+        timed = frame[(frame["user_group"] == group) & (frame["start_key"] != S.NULL_TS_KEY)]
+        want = S._merged_frames([timed, timed], 30)
+        assert sorted(S._unpacked(state.rows, S._OPEN).itertuples(index=False)) == sorted(want.itertuples(index=False))
+        assert [x["n_events"].tolist() for x in untimed] == ([[5], [5]] if group == 1 else [])
+
+
+def test_streams_land_by_many_tasks_and_hold_a_state_store_a_core(spark):
+    from usertrail.plans import stream_queries as Q
+
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "23")
+        base, stream = Q._landed(spark, spark.range(2000).select(F.col("id").alias("event_id")))
+        assert len(spark.read.parquet(base + "/landing").inputFiles()) == 24
+        query = L.run_available_now(stream, checkpoint=base + "/ck", output_mode="append", sink_path=base + "/out")
+        assert [p["numInputRows"] > 0 for p in query.recentProgress] == [True] * 4
+        assert spark.read.parquet(base + "/out").distinct().count() == 2000
+        spark.conf.set(name, "500")
+        cores = spark.sparkContext.defaultParallelism
+        assert S.state_stores(spark, base + "/landing") == cores
+        with S.rocksdb_state(spark, 3):
+            assert spark.conf.get(name) == "3" and S.state_stores(spark, base + "/landing") == min(cores, 3)
+        assert spark.conf.get(name) == "500"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_a_group_of_users_settles_at_once_with_runs_of_each_users_own():
     import pandas as pd
 

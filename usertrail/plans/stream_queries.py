@@ -34,12 +34,15 @@ def _base(spark: SparkSession) -> str:
 
 
 def _landed(spark: SparkSession, events: DataFrame) -> tuple[str, DataFrame]:
-    """Land the events in no order of time; a stream over them of about four micro-batches."""
+    """Land the events in no order of time; a stream over them of about four micro-batches.
+
+    A batch has its share of the shuffle partitions as files, which as many tasks write and read."""
     base = _base(spark)
-    events = events.repartition(STREAM_BATCHES, F.xxhash64("event_id"))
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // STREAM_BATCHES)
+    events = events.repartition(STREAM_BATCHES * files, F.xxhash64("event_id"))
     events.write.parquet(base + "/landing")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
-    return base, L.read_event_stream(spark, base + "/landing", schema=schema, max_files_per_trigger=1)
+    return base, L.read_event_stream(spark, base + "/landing", schema=schema, max_files_per_trigger=files)
 
 
 def _untidy(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
@@ -61,7 +64,7 @@ def q_stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def _gap_sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, int]]:
     base, stream = _untidy(spark, sf)
     out = S.stream_gap_sessions(S.observed(stream.where("user_id is not null"), "ts"), watermark=ANY_ORDER)
-    with S.rocksdb_state(spark):
+    with S.rocksdb_state(spark, S.state_stores(spark, base + "/landing")):
         query = L.run_available_now(out, checkpoint=base + "/ckpt", output_mode="append", sink_path=base + "/out")
     return S.gap_sessions(spark, base + "/out", base + "/ckpt"), S.observations(query)
 
@@ -148,7 +151,7 @@ def q_stream_attributes(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_column_sessions(spark: SparkSession, sf: str) -> DataFrame:
     base, stream = _landed(spark, FX.untidy_events(FX.column_session_events(spark, sf)))
     out = S.stream_column_runs(stream, watermark="7 days", session_col="sid")
-    with S.rocksdb_state(spark):
+    with S.rocksdb_state(spark, S.state_stores(spark, base + "/landing")):
         L.run_available_now(out, checkpoint=base + "/ckpt", output_mode="append", sink_path=base + "/out")
     return S.column_sessions(spark, base + "/out", base + "/ckpt").withColumnRenamed("ord", "event_id")
 
