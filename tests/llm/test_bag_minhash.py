@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from usertrail.llm import bag_minhash as B
-from usertrail.llm.common import WordHashes
+from usertrail.llm.common import WordHashes, mix64, word_bytes, words
 
 H = WordHashes()
 
@@ -39,6 +39,61 @@ def test_signature_ignores_order_and_batch():
     assert (both[1] == alone[0]).all()
 
 
+def plain_signature(shingles, counts, size, steps=4000):
+    """Every process by itself, step by step, far beyond the point where none matters any more."""
+    best, golden = np.full(size, np.inf), 0x9E3779B97F4A7C15
+    one = lambda x: int(mix64(np.array([x % 2**64], np.uint64))[0])
+    for shingle, count in zip(shingles.tolist(), counts.tolist()):
+        low, high, seed = 0, 1, shingle
+        while low < count:
+            time = 0.0
+            for step in range(1, steps):
+                r = one(seed + step * golden)
+                time -= np.log(((r >> 11) + 0.5) * 2.0**-53) / (high - low)
+                if time >= best.max():
+                    break
+                s = one(r ^ 0xA0761D6478BD642F)
+                bits, lo, hi = one(s + golden), low, high
+                while lo < count < hi:
+                    middle, bit, bits = (lo + hi) // 2, bits & 1, bits >> 1
+                    lo, hi = (middle, hi) if bit else (lo, middle)
+                if hi <= count:
+                    at = (s >> 32) * size >> 32
+                    best[at] = min(best[at], time)
+            low, high = high, 2 * high
+            seed = one(shingle + low * golden)
+    return best
+
+
+def test_signatures_equal_step_by_step_processes():
+    rng = np.random.default_rng(8)
+    sizes = [1, 3, 40, 2]
+    doc, n = np.repeat(np.arange(len(sizes)), sizes), sum(sizes)
+    shingle, count = rng.integers(0, 2**63, n, dtype=np.uint64), rng.choice([1, 1, 2, 3, 7], n)
+    got = B.signatures(doc, shingle, count, len(sizes))
+    for d in range(len(sizes)):
+        assert (got[d] == plain_signature(shingle[doc == d], count[doc == d], B.SIZE)).all()
+
+
+def test_few_processes_take_few_rounds(monkeypatch):
+    """A text of one shingle needs some 900 points: they are drawn many at once, not a round of array calls each."""
+    calls = []
+    monkeypatch.setattr(B, "mix64", lambda x: calls.append(x.size) or mix64(x))
+    B.signatures(np.zeros(1, np.int64), np.array([12345], np.uint64), np.ones(1, np.int64), 1)
+    assert len(calls) < 100
+    calls.clear()
+    n = 50_000
+    B.signatures(np.zeros(n, np.int64), np.arange(n, dtype=np.uint64), np.ones(n, np.int64), 1)
+    assert max(calls) == n
+
+
+def test_word_bytes_are_the_words():
+    odd = "".join(map(chr, range(0x250))) + " \u3000x\u2028y\x85z\xa0Q \U0001F600É"
+    for text in ("", " ", "Ab-cD9 x", odd, *(f"a{c}B" for c in odd)):
+        assert word_bytes(text.encode()) == [w.encode() for w in words(text)]
+    assert (H(words(odd)) == H(word_bytes(odd.encode()))).all()
+
+
 def plain(rows, threshold=0.8):
     counts = [B.shingle_counts(t or "", H) for _, t in rows]
     root = list(range(len(rows)))

@@ -34,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usertrail.llm.common import (
-    WordHashes, bounded_batches, column, give_back, landed, mix64, narrowed, partitions, shingle_hashes, slices, text_of, texts, words,
+    WordHashes, bounded_batches, column, give_back, landed, mix64, narrowed, partitions, shingle_hashes, slices, text_of, texts, word_bytes,
 )
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 MEMBERS_A_TASK = 250
+POINTS = 1 << 13
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,7 +48,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_counts(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes and how often each occurs."""
-    return np.unique(shingle_hashes(hashes(words(text))), return_counts=True)
+    return np.unique(shingle_hashes(hashes(word_bytes(text.encode()))), return_counts=True)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -85,23 +86,35 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
         low *= 2
     doc, seed, count, low, high = (np.concatenate(x) for x in zip(*pieces))
     best = np.full(n_docs * size, np.inf)
+    by_doc, latest = best.reshape(n_docs, size), np.full(n_docs, np.inf)
     time, step = np.zeros(len(doc)), 0
     while len(doc):
-        step += 1
-        r = mix64(seed + np.uint64(step * int(_GOLDEN) % 2**64))
-        time = time - np.log(_unit(r)) / (high - low)
+        # several points of each process at once where few processes are left; points later than needed change nothing
+        steps = np.arange(step + 1, step + 1 + max(1, min(POINTS // len(doc), size)), dtype=np.uint64)[:, None]
+        step += len(steps)
+        r = mix64(seed + steps * _GOLDEN)
+        times = np.log(_unit(r))
+        times /= low - high
+        times[0] += time
+        times = np.cumsum(times, axis=0)
         s = mix64(r ^ np.uint64(0xA0761D6478BD642F))
-        at = doc * size + ((s >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-        partial = high > count
-        kept = ~partial
-        if partial.any():
-            kept[partial] = _within(mix64(s[partial] + _GOLDEN), low[partial], high[partial], count[partial])
-        np.minimum.at(best, at[kept], time[kept])
-        here, back = np.unique(doc, return_inverse=True)
-        latest = best.reshape(n_docs, size)[here].max(axis=1)
-        live = time < latest[back]
+        at = ((s >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).view(np.int64) + doc * size
+        partial = np.flatnonzero(high > count)
+        if len(partial):
+            ends = [np.broadcast_to(x[partial], (len(steps), len(partial))).ravel() for x in (low, high, count)]
+            within = _within(mix64(s[:, partial] + _GOLDEN).ravel(), *ends)
+            kept = np.ones(at.shape, bool)
+            kept[:, partial] = within.reshape(len(steps), -1)
+            np.minimum.at(best, at[kept], times[kept])
+        else:
+            np.minimum.at(best, at.ravel(), times.ravel())
+        time = times[-1]
+        here = np.zeros(n_docs, bool)
+        here[doc] = True
+        latest[here] = by_doc[here].max(axis=1)
+        live = np.flatnonzero(time < latest[doc])
         doc, seed, count, low, high, time = (x[live] for x in (doc, seed, count, low, high, time))
-    return best.reshape(n_docs, size)
+    return by_doc
 
 
 def band_keys(times: np.ndarray, bands: int = BANDS) -> np.ndarray:
